@@ -4,28 +4,75 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rallyframe.llm.common import table
+from rallyframe.llm.common import materialise, table
+from rallyframe.llm.decontamination import overlaps
 from rallyframe.llm.licenses import license_scan
+from rallyframe.llm.media import edited, find_copies, rendered
+from rallyframe.llm.near_dedup import near_dedup
 from rallyframe.llm.packing import best_fit_pack
+from rallyframe.llm.quality import quality
+from rallyframe.llm.secrets import secret_spans
 from rallyframe.llm.token_counts import token_counts
 from rallyframe.llm.token_output import token_output
+from rallyframe.llm.toxicity import toxicity
 
 
 def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(table(spark, sf_dir, "documents"), "word_bpe_49k.json")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "toxic", threshold=0.3)
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", limit=1024)
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "quality", threshold=0.7)
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_spans(table(spark, sf_dir, "documents"))
+
+
+def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(table(spark, sf_dir, "documents"))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_pack(table(spark, sf_dir, "documents"), 2048, "byte_bpe_50k.json")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_output, op3_token_counts, op5_license_scan, op9_best_fit_packing)}
+def op10_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The supplied tables hold no pictures: each vector of ``embeddings`` is drawn as one.  The query set is the
+    edited pictures of the ids divisible by 50, against all."""
+    images = materialise(rendered(table(spark, sf_dir, "embeddings")), "images")
+    return find_copies(edited(images.where("image_id % 50 = 0")), images)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_token_output,
+        op2_toxicity,
+        op3_token_counts,
+        op4_quality,
+        op5_license_scan,
+        op6_secret_scan,
+        op7_minhash_dedup,
+        op8_decontamination,
+        op9_best_fit_packing,
+        op10_image_copies,
+    )
+}
 ORACLES: dict[str, str] = {}
