@@ -13,6 +13,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,3 +65,15 @@ def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def slices(batch, text_at: int, most: int = 4 << 20):
+    """Consecutive parts of an Arrow batch whose texts have about ``most`` bytes, so a task's lists stay small; a longer text is a part alone."""
+    size = np.asarray(pc.fill_null(pc.binary_length(batch.column(text_at)), 0))
+    part = np.cumsum(size) // most
+    ends = [*(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    start = 0
+    for end in ends:
+        if end > start:
+            yield batch.slice(start, end - start)
+        start = end

@@ -24,8 +24,8 @@ PIECES = {
     "word": re.compile(f"[^{SPACE}]+"),
     "byte": re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"),
 }
-#: A worker forgets its pieces between two batches once it knows so many (about 250 MB).
-MOST_PIECES = 1_200_000
+#: A worker forgets its pieces between two batches once it knows so many (about 150 MB).
+MOST_PIECES = 700_000
 
 
 def vocabulary(name: str) -> str:

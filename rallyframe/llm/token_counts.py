@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rallyframe.llm.common import id_text
+from rallyframe.llm.common import id_text, slices
 from rallyframe.llm.pieces import PIECES, encoder, library
 
 MOST_CACHED = 1_000_000
@@ -82,7 +82,7 @@ def token_counts(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", limit:
         enc = encoder(vocabulary, "byte")
         one, two = _tier_one(id(t), t.text, t.length.tobytes()), _tier_two(vocabulary)
         get = one.get
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, 1)):
             if len(two) > MOST_CACHED:
                 two.clear()
             texts = b.column(1).to_pylist()
