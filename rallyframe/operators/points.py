@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SET = Window.partitionBy("set_id").orderBy("ts", "event_id")
+
+def in_set():
+    """A set's events in time order."""
+    return Window.partitionBy("set_id").orderBy("ts", "event_id")
 
 
 def timeline(rallies: DataFrame) -> DataFrame:
     """Every event of a set with the score after it; the rally's server is the winner of the one before (A at the start)."""
-    a = F.sum((F.col("scored_by") == "A").cast("int")).over(SET)
-    b = F.sum((F.col("scored_by") == "B").cast("int")).over(SET)
-    before = SET.rowsBetween(Window.unboundedPreceding, -1)
+    a = F.sum((F.col("scored_by") == "A").cast("int")).over(in_set())
+    b = F.sum((F.col("scored_by") == "B").cast("int")).over(in_set())
+    before = in_set().rowsBetween(Window.unboundedPreceding, -1)
     server = F.coalesce(F.last("scored_by", ignorenulls=True).over(before), F.lit("A"))
     return rallies.select(
         "set_id", "ts", "event_id", "kind", "scored_by", "called_by", F.coalesce(a, F.lit(0)).alias("score_a"), F.coalesce(b, F.lit(0)).alias("score_b"), server.alias("server")
@@ -21,7 +24,7 @@ def timeline(rallies: DataFrame) -> DataFrame:
 
 def points_only(lines: DataFrame) -> DataFrame:
     """Points numbered from 1 in each set, with the lead y of A."""
-    w = Window.partitionBy("set_id").orderBy("ts", "event_id")
+    w = in_set()
     return lines.where("kind = 'point'").withColumn("x", F.row_number().over(w).cast("long")).withColumn("y", F.col("score_a") - F.col("score_b"))
 
 
@@ -43,8 +46,8 @@ def phases(points: DataFrame) -> DataFrame:
 
 def serve_runs(points: DataFrame) -> DataFrame:
     """Per set and side: serve runs and the longest; a run ends when the serve changes."""
-    changed = F.coalesce((F.col("server") != F.lag("server").over(SET)).cast("int"), F.lit(0))
-    runs = points.withColumn("changed", changed).withColumn("run", F.sum("changed").over(SET)).groupBy("set_id", "server", "run").agg(F.count(F.lit(1)).alias("n"))
+    changed = F.coalesce((F.col("server") != F.lag("server").over(in_set())).cast("int"), F.lit(0))
+    runs = points.withColumn("changed", changed).withColumn("run", F.sum("changed").over(in_set())).groupBy("set_id", "server", "run").agg(F.count(F.lit(1)).alias("n"))
     return runs.groupBy("set_id", F.col("server").alias("side")).agg(F.count(F.lit(1)).alias("runs"), F.max("n").alias("longest"), F.sum("n").alias("serves"))
 
 
@@ -68,7 +71,7 @@ def momentum(points: DataFrame) -> DataFrame:
 
 def largest_leads(points: DataFrame) -> DataFrame:
     """Largest lead of each side, lead changes and the longest scoring run in a set."""
-    w = SET
+    w = in_set()
     sign = F.signum("y")
     other = F.coalesce((F.col("scored_by") != F.lag("scored_by").over(w)).cast("int"), F.lit(0))
     rows = points.withColumn("sign", sign).withColumn("before", F.last(F.when(sign != 0, sign), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("other", other)
@@ -94,7 +97,7 @@ def decisions(lines: DataFrame) -> DataFrame:
     on (set, point number) and no range join.
     """
     total = Window.partitionBy("set_id")
-    at = F.sum((F.col("kind") == "point").cast("int")).over(SET)
+    at = F.sum((F.col("kind") == "point").cast("int")).over(in_set())
     rows = lines.withColumn("at", F.coalesce(at, F.lit(0))).withColumn("n", F.sum((F.col("kind") == "point").cast("int")).over(total))
     size = _clamp(F.round(F.col("n") * 0.18), 4, 12).cast("long")
     events = rows.where("kind <> 'point'").withColumn("w", size).select(

@@ -54,23 +54,36 @@ def _club_code() -> tuple[Column, Column]:
     return F.when(~given, raw).when(good, clean), F.when(~given, None).when(~good, "removed").when(clean != raw, "corrected")
 
 
+#: What several rules read, worked out once per row before them.
+HELPERS = {
+    "_wins_a": ("sets", lambda: F.size(F.filter("sets", lambda s: s["a"] > s["b"]))),
+    "_wins_b": ("sets", lambda: F.size(F.filter("sets", lambda s: s["b"] > s["a"]))),
+    "_said": ("score", lambda: sc.set_score(F.col("score"))),
+    "_said_pair": ("score", lambda: sc.score_pair(F.col("score"))),
+    "_minutes": ("duration", lambda: sc.minutes(F.col("duration"))),
+}
+
+
 def set_wins() -> tuple[Column, Column]:
-    a = F.size(F.filter("sets", lambda s: s["a"] > s["b"]))
-    b = F.size(F.filter("sets", lambda s: s["b"] > s["a"]))
-    return a, b
+    return F.col("_wins_a"), F.col("_wins_b")
+
+
+def _says_played() -> Column:
+    pair = F.col("_said_pair")
+    return F.coalesce(F.contains(F.col("_said"), F.lit("P")) | (pair["a"] + pair["b"] > 0), F.lit(False))
 
 
 def _score() -> tuple[Column, Column]:
     a, b = set_wins()
     some = F.coalesce(F.size("sets") > 0, F.lit(False))
     derived = F.when(some, F.concat_ws("/", a.cast("string"), b.cast("string")))
-    said, pair = sc.set_score(F.col("score")), sc.score_pair(F.col("score"))
+    said, pair = F.col("_said"), F.col("_said_pair")
     numbers = said.rlike(r"^\d+/\d+$")
     range_ = F.coalesce(numbers & ((pair["a"] > 3) | (pair["b"] > 3)), F.lit(False))
     differs = F.coalesce(numbers & ~F.col("forfeit") & (derived != said), F.lit(False))
     missing = some & F.col("score").isNull()
     wrong = range_ | differs | missing
-    nothing = ~wrong & F.col("score").isNotNull() & ~sc.score_says_played(F.col("score")) & ~F.col("forfeit")
+    nothing = ~wrong & F.col("score").isNotNull() & ~_says_played() & ~F.col("forfeit")
     fixed = F.when(wrong, derived).when(nothing, None).otherwise(F.col("score"))
     return fixed, F.when(wrong & derived.isNotNull(), "corrected").when(wrong | nothing, "removed")
 
@@ -84,14 +97,14 @@ def _winner() -> tuple[Column, Column]:
 def _played() -> tuple[Column, Column]:
     """A score out of range counts for nothing unless the sets speak."""
     a, b = set_wins()
-    pair = sc.score_pair(F.col("score"))
-    said = sc.score_says_played(F.col("score")) & F.coalesce((pair["a"] <= 3) & (pair["b"] <= 3), F.lit(False))
+    pair = F.col("_said_pair")
+    said = _says_played() & F.coalesce((pair["a"] <= 3) & (pair["b"] <= 3), F.lit(False))
     should = F.col("forfeit") | said | F.coalesce(a + b > 0, F.lit(False))
     return should, F.when(should != F.col("played"), "corrected")
 
 
 def _duration() -> tuple[Column, Column]:
-    m = sc.minutes(F.col("duration"))
+    m = F.col("_minutes")
     total = F.aggregate("set_minutes", F.lit(0.0).cast("double"), lambda s, x: s + F.coalesce(x.cast("double"), F.lit(0.0)))
     good = lambda c: F.coalesce(c.between(SHORTEST, LONGEST), F.lit(False))
     given = F.coalesce(F.trim("duration") != "", F.lit(False))
@@ -126,12 +139,18 @@ def check(matches: DataFrame, rules: tuple[Rule, ...] = RULES, policy: str = "au
         if policy == "auto":
             fixed[rule.field] = value
     issues = F.filter(F.array(*found), lambda i: i["action"].isNotNull()) if found else F.array().cast(f"array<{ISSUE}>")
-    return matches.select(*(fixed[c].alias(c) if c in fixed else F.col(c) for c in matches.columns), issues.alias("issues"))
+    helped = matches.withColumns({name: make() for name, (source, make) in HELPERS.items() if source in matches.columns})
+    return helped.select(*(fixed[c].alias(c) if c in fixed else F.col(c) for c in matches.columns), issues.alias("issues"))
+
+
+def issue_rows(checked: DataFrame, *keep: str) -> DataFrame:
+    """One row per issue.  The outer explode keeps the rules out of an inferred filter, where they would be worked out again."""
+    return checked.select(*keep, F.explode_outer("issues").alias("i")).where("i.rule is not null").select(*keep, "i.*")
 
 
 def issue_summary(checked: DataFrame) -> DataFrame:
     """How many issues by rule and action."""
-    return checked.select(F.explode("issues").alias("i")).groupBy("i.rule", "i.action").agg(F.count(F.lit(1)).alias("issues"))
+    return issue_rows(checked).groupBy("rule", "action").agg(F.count(F.lit(1)).alias("issues"))
 
 
 def audit(checked: DataFrame) -> DataFrame:

@@ -308,7 +308,7 @@ i AS (
   UNION ALL SELECT match_id, 'played-sync', 'corrected' FROM b WHERE (k % 2 = 0) <> (k % 7 = 0)
   UNION ALL SELECT match_id, 'duration-range', 'corrected' FROM b WHERE k % 6 = 1)
 """
-query("l5_found_issues", lambda c: qu.check(_imported(c)).select("match_id", F.explode("issues").alias("i")).select("match_id", "i.rule", "i.action"), _CHECKED + "SELECT * FROM i", base=False)
+query("l5_found_issues", lambda c: qu.issue_rows(qu.check(_imported(c)), "match_id").select("match_id", "rule", "action"), _CHECKED + "SELECT * FROM i", base=False)
 query("l8_issue_summary", lambda c: qu.issue_summary(qu.check(_imported(c))), _CHECKED + "SELECT rule, action, count(*) issues FROM i GROUP BY 1, 2", base=False)
 query(
     "l9_audit",
