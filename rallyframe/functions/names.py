@@ -28,7 +28,11 @@ def core_name(c: Column) -> Column:
 
 def same_club(a: Column, b: Column) -> Column:
     """Equal names; equal cores; one the other's beginning but for a volleyball ending; or cores within two edits."""
-    na, nb, ca, cb = club_name(a), club_name(b), core_name(a), core_name(b)
+    return _same(club_name(a), core_name(a), club_name(b), core_name(b))
+
+
+def _same(na: Column, ca: Column, nb: Column, cb: Column) -> Column:
+    """As :func:`same_club`, of names and cores worked out before."""
     longer, shorter = F.when(F.length(na) > F.length(nb), na).otherwise(nb), F.when(F.length(na) > F.length(nb), nb).otherwise(na)
     rest = F.trim(longer.substr(F.length(shorter) + 1, F.length(longer)))
     begins = (F.length(shorter) >= 5) & longer.startswith(shorter) & ((rest == "") | rest.rlike(f"^({'|'.join(ENDINGS)})$"))
@@ -36,37 +40,49 @@ def same_club(a: Column, b: Column) -> Column:
     return (na == nb) | ((ca == cb) & (F.length(ca) >= 4)) | begins | near
 
 
-def swapped(a: Column, b: Column, other_a: Column, other_b: Column, score: Column, sets_a: Column, sets_b: Column) -> Column:
-    """Whether a sheet names the sides the other way round: exact names, then fuzzy ones, then edit distance, then the score."""
-    up = lambda c: F.upper(F.trim(F.coalesce(c, F.lit(""))))
-    a, b, x, y = up(a), up(b), up(other_a), up(other_b)
+def with_swaps(df: DataFrame, a: str, b: str, other_a: str, other_b: str, score: str | None = None, sets_a: str | None = None, sets_b: str | None = None) -> DataFrame:
+    """Adds ``swapped``: whether a sheet names the sides the other way round.
+
+    Exact names decide first, then fuzzy ones, then a gap of 3 in edit distance, then the score.  Each
+    name's normal form and core is worked out once, in a projection below.
+    """
+    sides = {"a": a, "b": b, "x": other_a, "y": other_b}
+    up = df.withColumns({f"_{k}": F.upper(F.trim(F.coalesce(F.col(c), F.lit("")))) for k, c in sides.items()})
+    up = up.withColumns({f"_{k}_name": club_name(F.col(f"_{k}")) for k in sides} | {f"_{k}_core": core_name(F.col(f"_{k}")) for k in sides})
     one = lambda test: F.coalesce(test, F.lit(False)).cast("int")
-    both = lambda p, q: (p != "") & (q != "")
-    exact = one(both(x, a) & (x == a)) + one(both(y, b) & (y == b)) - one(both(x, b) & (x == b)) - one(both(y, a) & (y == a))
-    fuzzy = one(both(x, a) & same_club(x, a)) + one(both(y, b) & same_club(y, b)) - one(both(x, b) & same_club(x, b)) - one(both(y, a) & same_club(y, a))
-    far = lambda p, q: F.levenshtein(club_name(p), club_name(q))
-    gap = far(x, a) + far(y, b) - far(x, b) - far(y, a)
-    sa, sb = (F.regexp_extract(score, r"^\s*(\d+)\s*/\s*(\d+)\s*$", k).try_cast("int") for k in (1, 2))
-    by_score = F.coalesce((sa != sb) & (sets_a == sb) & (sets_b == sa), F.lit(False))
-    named = ((a != "") | (b != "")) & ((x != "") | (y != ""))
-    return F.when(~named, False).when(exact > 0, False).when(exact < 0, True).when(fuzzy > 0, False).when(fuzzy < 0, True).when(gap >= 3, True).when(gap <= -3, False).otherwise(by_score)
+    there = lambda p, q: (F.col(f"_{p}") != "") & (F.col(f"_{q}") != "")
+    equal = lambda p, q: one(there(p, q) & (F.col(f"_{p}") == F.col(f"_{q}")))
+    alike = lambda p, q: one(there(p, q) & _same(*(F.col(f"_{k}_{what}") for k in (p, q) for what in ("name", "core"))))
+    far = lambda p, q: F.levenshtein(F.col(f"_{p}_name"), F.col(f"_{q}_name"))
+    up = up.withColumns({
+        "_exact": equal("x", "a") + equal("y", "b") - equal("x", "b") - equal("y", "a"),
+        "_fuzzy": alike("x", "a") + alike("y", "b") - alike("x", "b") - alike("y", "a"),
+        "_gap": far("x", "a") + far("y", "b") - far("x", "b") - far("y", "a"),
+    })
+    by_score = F.lit(False)
+    if score:
+        sa, sb = (F.regexp_extract(F.col(score), r"^\s*(\d+)\s*/\s*(\d+)\s*$", k).try_cast("int") for k in (1, 2))
+        by_score = F.coalesce((sa != sb) & (F.col(sets_a) == sb) & (F.col(sets_b) == sa), F.lit(False))
+    named = ((F.col("_a") != "") | (F.col("_b") != "")) & ((F.col("_x") != "") | (F.col("_y") != ""))
+    exact, fuzzy, gap = F.col("_exact"), F.col("_fuzzy"), F.col("_gap")
+    swapped = F.when(~named, False).when(exact > 0, False).when(exact < 0, True).when(fuzzy > 0, False).when(fuzzy < 0, True).when(gap >= 3, True).when(gap <= -3, False).otherwise(by_score)
+    return up.select(*df.columns, swapped.alias("swapped"))
 
 
 def match_clubs(names: DataFrame, clubs: DataFrame, name_col: str = "name", club_col: str = "club") -> DataFrame:
     """(name, club) pairs that denote the same club.
 
-    Candidates meet by blocking keys, never by a cross join: the core name, and, for cores of six
-    letters or more, what is left when one or two letters are deleted from its first eight (two edits
-    apart shares such a key unless the edits lie behind it, where the beginnings are equal).
+    Candidates meet by blocking keys, never by a cross join: the core name and, for cores of six
+    letters or more, what is left when one or two of its letters are deleted (two names within two
+    edits share such a key).
     """
 
     def keys(core: Column) -> Column:
-        head = F.substring(core, 1, 8)
-        n = F.length(head)
-        one = F.transform(F.sequence(F.lit(1), n), lambda k: F.concat(head.substr(F.lit(1), k - 1), head.substr(k + 1, n)))
-        two = F.flatten(F.transform(one, lambda h: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(h))), lambda k: F.concat(h.substr(F.lit(1), k - 1), h.substr(k + 1, n)))))
-        return F.array_distinct(F.when(F.length(core) >= 4, F.concat(F.array(core, head), one, two)).otherwise(F.array(core)))
-
-    left = names.select(F.col(name_col).alias("name")).distinct().withColumn("key", F.explode(keys(core_name(F.col("name")))))
-    right = clubs.select(F.col(club_col).alias("club")).distinct().withColumn("key", F.explode(keys(core_name(F.col("club")))))
+        without = lambda c: F.transform(F.sequence(F.lit(1), F.length(c)), lambda k: F.concat(c.substr(F.lit(1), k - 1), c.substr(k + 1, F.length(c))))
+        one = without(core)
+        return F.when(F.length(core) >= 6, F.array_distinct(F.concat(F.array(core), one, F.flatten(F.transform(one, without))))).otherwise(F.array(core))
+
+    core = lambda df, c, name: df.select(F.col(c).alias(name)).distinct().withColumn("core", core_name(F.col(name)))
+    left = core(names, name_col, "name").select("name", F.explode(keys(F.col("core"))).alias("key"))
+    right = core(clubs, club_col, "club").select("club", F.explode(keys(F.col("core"))).alias("key"))
     return left.join(right, "key").select("name", "club").distinct().where(same_club(F.col("name"), F.col("club")))

@@ -105,7 +105,7 @@ def earliest_birth_year(category: Column, season_end: Column) -> Column:
 
 
 def oldest_age(birth_year: Column, reference_year: int) -> Column:
-    return F.greatest(F.lit(0), F.lit(reference_year) - birth_year)
+    return F.when(birth_year.isNotNull(), F.greatest(F.lit(0), F.lit(reference_year) - birth_year))
 
 
 def division(c: Column, youth: bool = False) -> Column:

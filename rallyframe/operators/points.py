@@ -132,3 +132,49 @@ def server_at(points: DataFrame, moments: DataFrame) -> DataFrame:
     w = Window.partitionBy("set_id").orderBy("t", "asked").rowsBetween(Window.unboundedPreceding, 0)
     both = p.unionByName(m).withColumn("last", F.last("v", ignorenulls=True).over(w))
     return both.where("asked = 1").select("set_id", "moment_id", F.col("last.server").alias("server"), F.col("last.score_a").alias("score_a"), F.col("last.score_b").alias("score_b"))
+
+
+def presence(lines: DataFrame) -> DataFrame:
+    """Who was on court when: intervals of point numbers per (set, side, slot), with points won and lost meanwhile.
+
+    A slot begins with its starter (player 0 minus the slot); a substitution of the side replaces the
+    slot ``event_id % 6 + 1`` by the player ``event_id``.  Points are differences of running scores,
+    looked up by equal (set, point number).
+    """
+    at = F.coalesce(F.sum((F.col("kind") == "point").cast("int")).over(in_set()), F.lit(0))
+    rows = lines.withColumn("at", at).withColumn("n", F.sum((F.col("kind") == "point").cast("int")).over(Window.partitionBy("set_id")))
+    subs = rows.where("kind = 'substitution'").select("set_id", F.col("called_by").alias("side"), (F.pmod("event_id", F.lit(6)) + 1).alias("slot"), "at", F.col("event_id").alias("player_id"), "n", F.lit(1).alias("later"))
+    sets = rows.groupBy("set_id").agg(F.max("n").alias("n"))
+    slots = F.explode(F.sequence(F.lit(1).cast("long"), F.lit(6).cast("long"))).alias("slot")
+    starters = sets.select("set_id", "n", F.explode(F.array(F.lit("A"), F.lit("B"))).alias("side")).select("set_id", "n", "side", slots)
+    starters = starters.select("set_id", "side", "slot", F.lit(0).cast("long").alias("at"), (-F.col("slot")).alias("player_id"), "n", F.lit(0).alias("later"))
+    w = Window.partitionBy("set_id", "side", "slot").orderBy("at", "later", "player_id")
+    spans = subs.unionByName(starters).withColumn("to_x", F.coalesce(F.lead("at").over(w), F.col("n"))).withColumnRenamed("at", "from_x")
+    score = rows.where("kind = 'point'").select("set_id", F.col("at").alias("x"), "score_a", "score_b")
+    for name in ("from_x", "to_x"):
+        there = score.select("set_id", F.col("x").alias(name), F.col("score_a").alias(f"{name}_a"), F.col("score_b").alias(f"{name}_b"))
+        spans = spans.join(there, ["set_id", name], "left").fillna(0, [f"{name}_a", f"{name}_b"])
+    a, b = F.col("to_x_a") - F.col("from_x_a"), F.col("to_x_b") - F.col("from_x_b")
+    mine = F.col("side") == "A"
+    return spans.select("set_id", "side", "slot", "player_id", "from_x", "to_x", F.when(mine, a).otherwise(b).alias("won"), F.when(mine, b).otherwise(a).alias("lost"))
+
+
+def on_court(intervals: DataFrame) -> DataFrame:
+    """Per player of a set: intervals, points played, plus-minus on court."""
+    return intervals.groupBy("set_id", "side", "player_id").agg(
+        F.count(F.lit(1)).alias("intervals"), F.sum(F.col("to_x") - F.col("from_x")).alias("points"), F.sum(F.col("won") - F.col("lost")).alias("plus_minus")
+    )
+
+
+def slot_stats(intervals: DataFrame) -> DataFrame:
+    """Per (side, slot): appearances, points, and the player with most points there."""
+    played = F.col("to_x") - F.col("from_x")
+    by_player = intervals.groupBy("side", "slot", "player_id").agg(F.count(F.lit(1)).alias("n"), F.sum(played).alias("points"))
+    return by_player.groupBy("side", "slot").agg(F.sum("n").alias("appearances"), F.sum("points").alias("points"), F.max_by("player_id", F.struct("points", -F.col("player_id"))).alias("dominant"))
+
+
+def face_to_face(phase_rows: DataFrame) -> DataFrame:
+    """Comparison rows of a set: metric, A, B, in long form."""
+    metrics = ("serves", "breaks", "receptions", "side_outs", "break_pct", "side_out_pct")
+    long = phase_rows.select("set_id", "side", F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics))).alias("m")).select("set_id", "side", "m.*")
+    return long.groupBy("set_id", "metric").agg(F.max(F.when(F.col("side") == "A", F.col("value"))).alias("a"), F.max(F.when(F.col("side") == "B", F.col("value"))).alias("b"))

@@ -155,8 +155,7 @@ def test_same_club_and_swapped(spark):
     assert df.where(nm.same_club(F.col("a"), F.col("b")) != F.col("want")).count() == 0
     rows = [("RHONE 1", "RHONE 3", "RHONE 3", "RHONE 1", None, None, None, True), ("A VB", "BRON", "BRON VOLLEY", "X", None, None, None, True), ("A", "B", None, None, None, None, None, False), ("AAAA", "BBBB", "CCCC", "DDDD", "3/1", 1, 3, True)]
     df = spark.createDataFrame(rows, "a string, b string, x string, y string, score string, sa int, sb int, want boolean")
-    got = df.select(nm.swapped(F.col("a"), F.col("b"), F.col("x"), F.col("y"), F.col("score"), F.col("sa"), F.col("sb")).alias("g"), "want")
-    assert got.where("g <> want").count() == 0
+    assert nm.with_swaps(df, "a", "b", "x", "y", "score", "sa", "sb").where("swapped <> want").count() == 0
     m = nm.match_clubs(df.select(F.lit("CHAMALIERES VB").alias("name")), spark.createDataFrame([("Chamalière",), ("Chamonix",)], "club string"))
     assert [r["club"] for r in m.collect()] == ["Chamalière"]
 
