@@ -3,10 +3,13 @@
 1. One pass over the texts gives each document its set size, a digest of its words, band keys and a
    signature of one byte per hash.  Documents with the same words form a class; only the class's
    smallest doc_id goes on, so a large group of copies is one row from here.
-2. Classes that share a band key are candidates.  First each bucket's members are compared with the
-   bucket's smallest member; the verified links give components.  Then, in buckets that still hold
-   several components, all pairs of members of different components are compared, so no candidate
-   pair stays unexamined except those already joined.  Pairs within a joined group are never listed.
+2. Classes that share a band key are candidates.  First each class is compared with one bucket's
+   smallest member, the one that it shares most bands with; the verified links give components.  Then,
+   in buckets that still hold several components, all pairs of members of different components are
+   compared, so no candidate pair stays unexamined except those already joined.  Pairs within a joined
+   group are never listed: small buckets list the pairs across components (at most ``LISTED`` a
+   member), large ones are cut into blocks of ``BLOCK`` members, and two blocks are compared within
+   one task, which gives only the links that join something new.
 3. Comparing means: sizes that can't reach the similarity go; signature batches are compared one after
    the other, and a pair goes as soon as the posterior probability of the similarity is below ``MISS``;
    survivors are decided on the full sets of 64-bit shingle hashes, in integers.
@@ -19,7 +22,6 @@ component_id (null if the class has no other id) and is kept only in that case.
 
 from __future__ import annotations
 
-import math
 from functools import lru_cache
 
 import numpy as np
@@ -37,6 +39,8 @@ WORDS, SIMILARITY = 5, 75  # words of a shingle; percent
 #: A pair at the similarity shares no band with probability (1 - 0.75**5)**40 = 2e-5.
 BANDS, ROWS = 40, 5
 HASHES, BATCH = BANDS * ROWS, 40
+#: Members of a bucket whose pairs are listed; members of a block of a larger bucket.
+LISTED, BLOCK = 24, 192
 #: Posterior probability below which a pair is given up, at each batch.
 MISS = 1e-6
 
@@ -168,16 +172,43 @@ def _bayes(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def _packed(docs: DataFrame) -> DataFrame:
-    """doc_id and the text's words, compressed: what travels to be compared."""
+#: Bits of the table that tells which texts must travel (8 MB, whatever the number of documents).
+ID_BITS = 26
+
+
+def _slot(ids: np.ndarray) -> np.ndarray:
+    return (_mixed(ids.view(np.uint64)) & np.uint64((1 << ID_BITS) - 1)).astype(np.int64)
+
+
+def id_bits(ids: DataFrame):
+    """A broadcast table of 2**ID_BITS bits with those of the ids set.  Of fixed size: it spares texts
+    the way to a shuffle where few are wanted, and decides nothing (a join follows)."""
+
+    def run(batches):
+        for b in batches:
+            at = _slot(b.column(0).to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 5), pa.array(np.int64(1) << (at & 31))], ["w", "b"])
+
+    words = ids.select("doc_id").mapInArrow(run, "w long, b long").groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    table = np.zeros(1 << (ID_BITS - 5), np.uint32)
+    table[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64).astype(np.uint32)
+    return ids.sparkSession.sparkContext.broadcast(table)
+
+
+def _packed(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id and the text's words, compressed, of the ids: one row each, as a table."""
+    wanted = id_bits(ids)
 
     def run(batches):
         pack = zstandard.ZstdCompressor(level=1).compress
         for b in batches:
+            at = _slot(b.column(0).to_numpy())
+            b = b.filter(pa.array((wanted.value[at >> 5] >> (at & 31).astype(np.uint32)) & 1 > 0))
             texts = [pack(b" ".join(blank_words(t))) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.binary())], ["doc_id", "packed"])
 
-    return id_text(docs).mapInArrow(run, "doc_id long, packed binary")
+    near = id_text(docs).where("doc_id is not null").mapInArrow(run, "doc_id long, packed binary")
+    return materialise(near.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
 
 
 def _exact(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -206,8 +237,7 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame |
     if likely.limit(1).count() == 0:
         return None
     ids = likely.select(F.col("a").alias("doc_id")).union(likely.select(F.col("b").alias("doc_id"))).distinct()
-    texts = materialise(_packed(docs).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-    return materialise(_exact(likely, texts), "links")
+    return materialise(_exact(likely, _packed(docs, ids)), "links")
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
@@ -221,13 +251,17 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     bands = reps.select("doc_id", "n", F.explode("bands").alias("key"))
     shared = bands.groupBy("key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("size")).where("size > 1").select("key", "first")
     crowded = materialise(bands.join(shared, "key"), "crowded")
-    stars = crowded.where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct()
+    shares = crowded.where("doc_id <> first").groupBy("doc_id", "first").agg(F.count(F.lit(1)).alias("shared"))
+    stars = shares.groupBy(F.col("doc_id").alias("b")).agg(F.max_by("first", F.struct("shared", -F.col("first"))).alias("a")).select("a", "b")
     links = _verified(stars, reps, docs)
     roots = components(links if links is not None else stars.limit(0))
 
-    rest = _cross_pairs(crowded, roots)
-    more = _verified(rest, reps, docs)
-    if more is not None:
+    mixed = _mixed_buckets(crowded, roots)
+    listed = _verified(_cross_pairs(mixed.where(F.col("size") <= LISTED)), reps, docs)
+    blocked = _block_links(mixed.where(F.col("size") > LISTED), reps, docs)
+    found = [x for x in (listed, blocked) if x is not None]
+    if found:
+        more = found[0] if len(found) == 1 else found[0].unionByName(found[1])
         ends = relabel(relabel(more, roots, "a"), roots, "b").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         step = components(ends)
         roots = materialise(relabel(roots, step, "root").unionByName(step), "roots")
@@ -239,24 +273,64 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _cross_pairs(crowded: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a bucket's members in different components whose sizes may reach the similarity.
+def _mixed_buckets(crowded: DataFrame, roots: DataFrame) -> DataFrame:
+    """key, doc_id, n, root, size: the members of buckets that hold several components, as a table."""
+    labelled = relabel(crowded.withColumn("root", F.col("doc_id")), roots, "root")
+    mixed = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi").select("key", "size")
+    return materialise(labelled.join(mixed, "key").select("key", "doc_id", "n", "root", "size"), "mixed")
+
+
+def _cross_pairs(members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of small buckets' members in different components whose sizes may reach the similarity."""
+    side = lambda k: members.select("key", F.col("root").alias(f"root_{k}"), F.col("doc_id").alias(k), F.col("n").alias(f"size_{k}"))
+    pairs = side("a").join(side("b"), "key").where("a < b and root_a <> root_b")
+    return pairs.where(100 * F.least("size_a", "size_b") >= SIMILARITY * F.greatest("size_a", "size_b")).select("a", "b").distinct()
+
+
+def _block_links(members: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame | None:
+    """Links between different components in large buckets, as a table; None if there is no such bucket.
 
-    Buckets of one component drop out.  Components, not members, are paired first, so a large joined
-    group meets only the strangers in its buckets; pairs with a bucket's first member are done already.
+    A member goes to every pair of blocks that its own is part of; a task holds two blocks.  A pair is
+    decided in the first bucket that its members share.
     """
-    labelled = relabel(crowded.withColumn("root", F.col("doc_id")), roots, "root")
-    mixed = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    step = math.log(100 / SIMILARITY)
-    members = materialise(labelled.join(mixed, "key", "left_semi").where("doc_id <> first").withColumn("level", F.floor(F.log("n") / step).cast("int")), "mixed")
-    groups = members.select("key", "root", "level").distinct()
-    left = groups.select("key", F.col("root").alias("root_1"), F.col("level").alias("level_1"), F.explode(F.array(F.col("level"), F.col("level") + 1)).alias("level_2"))
-    right = groups.select("key", F.col("root").alias("root_2"), F.col("level").alias("level_2"))
-    met = left.join(right, ["key", "level_2"]).where((F.col("root_1") != F.col("root_2")) & ((F.col("level_1") != F.col("level_2")) | (F.col("root_1") < F.col("root_2"))))
-    side = lambda k: members.select("key", F.col("root").alias(f"root_{k}"), F.col("level").alias(f"level_{k}"), F.col("doc_id").alias(f"x_{k}"), F.col("n").alias(f"size_{k}"))
-    pairs = met.join(side(1), ["key", "root_1", "level_1"]).join(side(2), ["key", "root_2", "level_2"])
-    pairs = pairs.where(100 * F.least("size_1", "size_2") >= SIMILARITY * F.greatest("size_1", "size_2"))
-    return pairs.select(F.least("x_1", "x_2").alias("a"), F.greatest("x_1", "x_2").alias("b")).distinct()
+    ids = members.select("doc_id").distinct()
+    if ids.limit(1).count() == 0:
+        return None
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    mine = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
+    spread = members.select("key", "doc_id", "root", mine.alias("mine"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    spread = spread.select("key", "doc_id", "root", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    full = reps.join(_packed(docs, ids), "doc_id").select("doc_id", "n", "bands", "sig", "packed")
+
+    def compare(group: pa.Table) -> pa.Table:
+        unpack = zstandard.ZstdDecompressor().decompress
+        col = lambda k: group.column(k).to_numpy()
+        ids_, root, n, mine_ = col("doc_id"), col("root").copy(), col("n").astype(np.int64), col("mine")
+        key, i, j = (group.column(k)[0].as_py() for k in ("key", "i", "j"))
+        sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint8).reshape(-1, HASHES)
+        bands = np.array(group.column("bands").to_pylist(), np.int64)
+        packed, sets = group.column("packed"), {}
+        p, q = np.triu_indices(len(ids_), 1) if i == j else np.meshgrid(np.flatnonzero(mine_ == i), np.flatnonzero(mine_ == j), indexing="ij")
+        p, q = p.ravel(), q.ravel()
+        fits = (root[p] != root[q]) & (100 * np.minimum(n[p], n[q]) >= SIMILARITY * np.maximum(n[p], n[q]))
+        p, q = p[fits], q[fits]
+        alive = plausible(sig[p], sig[q])
+        p, q = p[alive], q[alive]
+        same = bands[p] == bands[q]
+        first = bands[p, same.argmax(1)] == key if len(p) else np.zeros(0, bool)
+        out = []
+        for x, y in zip(p[first].tolist(), q[first].tolist()):
+            if root[x] == root[y]:
+                continue  # joined meanwhile
+            for k in (x, y):
+                if k not in sets:
+                    sets[k] = shingles(unpack(packed[k].as_py()).split())
+            if similar(sets[x], sets[y]):
+                out.append(sorted((int(ids_[x]), int(ids_[y]))))
+                root[root == root[y]] = root[x]
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    return materialise(spread.join(full, "doc_id").groupBy("key", "i", "j").applyInArrow(compare, "a long, b long").distinct(), "links")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rallyframe.llm.common import materialise, table
+from rallyframe.llm.common import table
 from rallyframe.llm.decontamination import overlaps
 from rallyframe.llm.licenses import license_scan
 from rallyframe.llm.media import edited, find_copies, rendered
@@ -56,7 +56,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The supplied tables hold no pictures: each vector of ``embeddings`` is drawn as one.  The query set is the
     edited pictures of the ids divisible by 50, against all."""
-    images = materialise(rendered(table(spark, sf_dir, "embeddings")), "images")
+    images = rendered(table(spark, sf_dir, "embeddings"))
     return find_copies(edited(images.where("image_id % 50 = 0")), images)
 
 
@@ -75,4 +75,18 @@ QUERIES = {
         op10_image_copies,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_minhash_dedup": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') ws FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) sh FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id x, b.doc_id y, count(*) AS common FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT x, y FROM p JOIN n na ON na.doc_id = x JOIN n nb ON nb.doc_id = y WHERE 100 * common >= 75 * (na.n + nb.n - common)),
+ends AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+r(doc_id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT ends.y, r.c FROM r JOIN ends ON ends.x = r.doc_id)
+SELECT d.doc_id, coalesce(n.n, 0) n_shingles, m.c component_id, d.doc_id = m.c AS kept
+FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(c) AS c FROM r GROUP BY 1) m USING (doc_id)""",
+}

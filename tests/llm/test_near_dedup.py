@@ -5,6 +5,7 @@ import re
 
 import pytest
 
+from rallyframe.llm import near_dedup as nd
 from rallyframe.llm.common import table
 from rallyframe.llm.components import components
 from rallyframe.llm.near_dedup import keep_first, near_dedup
@@ -76,6 +77,24 @@ def test_edits_chains_and_strangers(spark):
     assert want[10 + 59][1] == 10
 
 
+def test_large_buckets_in_blocks(spark, monkeypatch):
+    """Near the similarity on both sides of it, with buckets cut into small blocks."""
+    monkeypatch.setattr(nd, "LISTED", 2)
+    monkeypatch.setattr(nd, "BLOCK", 7)
+    random.seed(8)
+    words = [f"w{k}" for k in range(500)]
+    rows = []
+    for group in range(3):
+        base = random.choices(words, k=100)
+        for k in range(40):
+            mine = list(base)
+            for _ in range(random.randrange(1, 9)):
+                mine[random.randrange(100)] = random.choice(words)
+            rows.append((group * 100 + k, " ".join(mine)))
+    random.shuffle(rows)
+    check(spark, rows)
+
+
 def test_repeated_null_and_empty(spark):
     schema = "doc_id long, text string"
     assert near_dedup(spark.createDataFrame([], schema)).count() == 0
@@ -96,3 +115,12 @@ def test_components(spark, edges):
             root[a] = root[b] = min(root[a], root[b])
     got = {r["id"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: r for i, r in root.items() if i != r}
+
+
+def test_against_sql(spark, sf_dir):
+    from oracle import compare, connection
+
+    from rallyframe.llm.queries import ORACLES, QUERIES
+
+    name = "op7_minhash_dedup"
+    assert compare(QUERIES[name](spark, sf_dir), connection(sf_dir), ORACLES[name]) is None
