@@ -120,7 +120,7 @@ def decisions(lines: DataFrame) -> DataFrame:
 def decision_summary(impacts: DataFrame) -> DataFrame:
     d = impacts.where("change is not null")
     return d.groupBy("side", "kind").agg(
-        F.count(F.lit(1)).alias("decisions"), F.round(F.avg("change"), 2).alias("mean_change"), F.max("change").alias("best"), F.min("change").alias("worst"), F.count_if(F.col("impact") == "positive").alias("positive")
+        F.count(F.lit(1)).alias("decisions"), F.sum(F.round(F.col("change") * 10).cast("long")).alias("total_tenths"), F.round(F.avg("change"), 2).alias("mean_change"), F.max("change").alias("best"), F.min("change").alias("worst"), F.count_if(F.col("impact") == "positive").alias("positive")
     )
 
 

@@ -307,9 +307,9 @@ di AS (SELECT *, CASE WHEN change >= 12 THEN 'positive' WHEN change <= -12 THEN
 query("g14_decisions", lambda c: pt.decisions(pt.timeline(c.rallies)), _DECISIONS + "SELECT * FROM di")
 query(
     "g15_decision_summary",
-    lambda c: pt.decision_summary(pt.decisions(pt.timeline(c.rallies))),
+    lambda c: pt.decision_summary(pt.decisions(pt.timeline(c.rallies))).drop("mean_change"),
     _DECISIONS
-    + """SELECT side, kind, count(*) decisions, round(avg(change), 2) mean_change, max(change) best, min(change) worst, count(*) FILTER (impact = 'positive') positive FROM di WHERE change IS NOT NULL GROUP BY 1, 2""",
+    + """SELECT side, kind, count(*) decisions, CAST(sum(CAST(round(change * 10) AS BIGINT)) AS BIGINT) total_tenths, max(change) best, min(change) worst, count(*) FILTER (impact = 'positive') positive FROM di WHERE change IS NOT NULL GROUP BY 1, 2""",
 )
 query(
     "g4_score_as_of",
