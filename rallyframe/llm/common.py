@@ -77,3 +77,20 @@ def slices(batch, text_at: int, most: int = 4 << 20):
         if end > start:
             yield batch.slice(start, end - start)
         start = end
+
+
+def parts_of(batches, text_at: int):
+    """The batches of a task in slices of a few MB of text."""
+    for batch in batches:
+        yield from slices(batch, text_at)
+
+
+_holder: dict = {}
+
+
+def hold_cache(name: str, clear) -> None:
+    """Only one operator's cache lives in a Python worker: when another begins to fill its own, the last one is cleared."""
+    if _holder.get("name") != name:
+        if "clear" in _holder:
+            _holder["clear"]()
+        _holder.update(name=name, clear=clear)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rallyframe.llm.common import id_text
+from rallyframe.llm.common import id_text, parts_of
 from rallyframe.llm.words import hashes_of, letter_words
 
 #: Masks of 11 words with 7 that count.  Whichever two words of 13 are substituted, some mask hits at some shift.
@@ -145,7 +145,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def run(batches, block=block):
             names = [c.split()[0] for c in OVERLAPS.split(", ")]
-            for b in batches:
+            for b in parts_of(batches, 1):
                 rows = [
                     (doc, block.value.ids[item], *rest)
                     for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist())
@@ -164,7 +164,7 @@ def reject_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "
     for block in blocks(docs.sparkSession, benchmark):
 
         def run(batches, block=block):
-            for b in batches:
+            for b in parts_of(batches, at):
                 clean = [not t or not block.value.overlaps(hashes_of(letter_words(t))) for t in b.column(at).to_pylist()]
                 yield b.filter(pa.array(clean, pa.bool_()))
 

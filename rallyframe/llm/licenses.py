@@ -18,7 +18,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from rallyframe.llm.common import id_text
+from rallyframe.llm.common import id_text, parts_of
 
 #: The phrases whose exact places count, with their labels.
 BASE = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
@@ -131,7 +131,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
     def run(batches):
         kinds = (pa.int64(),) * 4 + (pa.string(), pa.string(), pa.float64(), pa.list_(pa.string()))
         names = SCHEMA.replace("array<string>", "x").split(", ")
-        for b in batches:
+        for b in parts_of(batches, 1):
             cols = list(zip(*map(scan, b.column(1).to_pylist()))) or [()] * 8
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, kinds))], [n.split()[0] for n in names])
 

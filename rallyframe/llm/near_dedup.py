@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rallyframe.llm.common import id_text, materialise
+from rallyframe.llm.common import id_text, materialise, parts_of
 from rallyframe.llm.components import components, relabel
 from rallyframe.llm.words import blank_words, hashes_of
 
@@ -93,7 +93,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n (set size), same (digest of the words), bands, sig; no shuffle."""
 
     def run(batches):
-        for b in batches:
+        for b in parts_of(batches, 1):
             n, same, sigs = [], [], []
             for text in b.column(1).to_pylist():
                 words = blank_words(text)
@@ -201,7 +201,7 @@ def _packed(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
     def run(batches):
         pack = zstandard.ZstdCompressor(level=1).compress
-        for b in batches:
+        for b in parts_of(batches, 1):
             at = _slot(b.column(0).to_numpy())
             b = b.filter(pa.array((wanted.value[at >> 5] >> (at & 31).astype(np.uint32)) & 1 > 0))
             texts = [pack(b" ".join(blank_words(t))) for t in b.column(1).to_pylist()]
@@ -266,7 +266,8 @@ def near_dedup(docs: DataFrame) -> DataFrame:
         step = components(ends)
         roots = materialise(relabel(roots, step, "root").unionByName(step), "roots")
 
-    named = relabel(classes.select("same", F.col("class_id").alias("component_id")), roots, "component_id")
+    # a table of its own, so that adaptive execution may split the join for a large group of copies
+    named = materialise(relabel(classes.select("same", F.col("class_id").alias("component_id")), roots, "component_id"), "named")
     out = prints.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("same")).alias("same")).join(named, "same", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     out = out.select("doc_id", "n_shingles", component.alias("component_id"))

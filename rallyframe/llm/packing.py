@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rallyframe.llm.common import id_text, materialise, slices
+from rallyframe.llm.common import id_text, materialise, parts_of
 from rallyframe.llm.pieces import encoder
 
 END_ID = 0
@@ -41,7 +41,7 @@ def pieces_of(docs: DataFrame, capacity: int = 2048, vocabulary: str = "byte_bpe
 
     def run(batches):
         enc = encoder(vocabulary, "byte")
-        for b in (part for whole in batches for part in slices(whole, 1)):
+        for b in parts_of(batches, 1):
             out: list[list] = [[], [], [], [], []]
             for doc, ids in zip(b.column(0).to_pylist(), enc.encode(b.column(1).to_pylist())):
                 raw = np.append(ids, np.uint32(END_ID)).astype("<u4").tobytes()

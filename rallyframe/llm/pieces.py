@@ -16,6 +16,8 @@ from functools import lru_cache
 
 import numpy as np
 
+from rallyframe.llm.common import hold_cache
+
 #: Unicode's White_Space, as the vocabularies' patterns understand ``\s``.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: All of it but the space and the line feed.
@@ -134,6 +136,7 @@ class PieceEncoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """One array of unsigned 32-bit ids per text."""
+        hold_cache(id(self), self._clear)
         if len(self.slots) > MOST_PIECES:
             self._clear()
         number = self.slots.__getitem__
@@ -159,5 +162,5 @@ class PieceEncoder:
 
 @lru_cache(maxsize=4)
 def encoder(name: str, kind: str) -> PieceEncoder:
-    """The worker's encoder; it lives as long as the Python worker does."""
+    """The worker's encoder; it keeps its pieces from task to task."""
     return PieceEncoder(name, kind)

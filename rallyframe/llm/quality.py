@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rallyframe.llm.common import id_text, materialise
+from rallyframe.llm.common import id_text, materialise, parts_of
 from rallyframe.llm.words import LOWER, held_out, logistic, training_labels
 
 THRESHOLD = 0.7
@@ -91,7 +91,7 @@ def document_statistics(docs: DataFrame) -> DataFrame:
     """doc_id, x (array of ``NAMES``) for every row; no shuffle."""
 
     def run(batches):
-        for b in batches:
+        for b in parts_of(batches, 1):
             rows = [statistics(t) for t in b.column(1).to_pylist()]
             flat = np.nan_to_num(np.array(rows, np.float64).reshape(-1))
             x = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, D), pa.int32()), pa.array(flat))

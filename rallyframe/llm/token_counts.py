@@ -20,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rallyframe.llm.common import id_text, slices
+from rallyframe.llm.common import hold_cache, id_text, parts_of
 from rallyframe.llm.pieces import PIECES, encoder, library
 
-MOST_CACHED = 1_000_000
+MOST_CACHED = 700_000
 
 
 def frequent_pieces(docs: DataFrame, per_task: int = 4096, keep: int = 16384) -> list[str]:
@@ -31,7 +31,8 @@ def frequent_pieces(docs: DataFrame, per_task: int = 4096, keep: int = 16384) ->
 
     def run(batches):
         find, seen = PIECES["byte"].findall, Counter()
-        for b in batches:
+        hold_cache("counts", seen.clear)
+        for b in parts_of(batches, 0):
             for text in b.column(0).to_pylist():
                 seen.update(find(text))
             if len(seen) > MOST_CACHED:  # the rare ones of a long partition give way
@@ -82,7 +83,8 @@ def token_counts(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", limit:
         enc = encoder(vocabulary, "byte")
         one, two = _tier_one(id(t), t.text, t.length.tobytes()), _tier_two(vocabulary)
         get = one.get
-        for b in (part for whole in batches for part in slices(whole, 1)):
+        for b in parts_of(batches, 1):
+            hold_cache("lengths", two.clear)
             if len(two) > MOST_CACHED:
                 two.clear()
             texts = b.column(1).to_pylist()

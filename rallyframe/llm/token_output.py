@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rallyframe.llm.common import _base, id_text, parts, slices
+from rallyframe.llm.common import _base, id_text, parts, parts_of
 from rallyframe.llm.pieces import encoder
 
 END_ID = 1
@@ -67,7 +67,7 @@ def encode_ids(docs: DataFrame, vocabulary: str, path: str) -> DataFrame:
 
     def run(batches):
         ids = _ids(vocabulary)
-        for b in (part for whole in batches for part in slices(whole, 2)):
+        for b in parts_of(batches, 2):
             rows = ids(b.column(2).to_pylist())
             raw = [r.astype("<u2").tobytes() if int(r.max()) <= 0xFFFF else r.astype("<u4").tobytes() for r in rows]
             yield pa.RecordBatch.from_arrays(

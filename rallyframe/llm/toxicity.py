@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rallyframe.llm.common import id_text, materialise
+from rallyframe.llm.common import hold_cache, id_text, materialise, parts_of
 from rallyframe.llm.words import held_out, logistic, training_labels
 
 #: Labelled rows of each class that the classifier learns from, at most.
@@ -34,6 +34,8 @@ SAMPLE = 10_000
 #: Grams kept as features, at most, and the documents that must hold one.
 FEATURES, LEAST_DOCS = 2048, 4
 THRESHOLD = 0.3
+#: A worker forgets its tokens between two texts once it knows so many (about 50 MB).
+MOST_TOKENS = 400_000
 
 #: The model's alphabet: 0 is the end of a word, 1 any other letter.
 LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
@@ -91,10 +93,11 @@ def character_counts(docs: DataFrame) -> DataFrame:
     def run(batches):
         seen: Counter = Counter()
         total = np.zeros(SIZE**3, np.int64)
-        for b in batches:
+        hold_cache("counts", seen.clear)
+        for b in parts_of(batches, 0):
             for text in b.column(0).to_pylist():
                 seen.update(text.lower().split())
-            if len(seen) > 300_000:
+            if len(seen) > 200_000:
                 at, n = word_counts_to_rows(plain(seen))
                 total[at] += n
                 seen.clear()
@@ -231,15 +234,16 @@ def _gram_counts(train: DataFrame, model) -> DataFrame:
             names = list(sides[0].keys() | sides[1].keys())
             return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([sides[1][g] for g in names], pa.int64()), pa.array([sides[0][g] for g in names], pa.int64())], ["gram", "pos", "neg"])
 
-        for b in batches:
+        hold_cache("grams", make.clear)
+        for b in parts_of(batches, 0):
             for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 low = text.lower()
                 found = {g for token in set(low.split()) for g in make[token]}
                 found.update(g for w in spaced_words(low, m) for g in grams(w))
                 sides[label].update(found)
-            if len(make) > 300_000:
+            if len(make) > 100_000:
                 make.clear()
-            if len(sides[0]) + len(sides[1]) > 600_000:
+            if len(sides[0]) + len(sides[1]) > 300_000:
                 yield rows()
                 sides[0].clear(), sides[1].clear()
         yield rows()
@@ -264,7 +268,8 @@ class Scorer:
     def counts(self, text: str) -> Counter:
         if self.tokens is None:
             self.tokens = _Tokens(lambda token: self._hits(words_of_token(token, self.model)))
-        if len(self.tokens) > 1_000_000:
+        hold_cache(id(self), self.tokens.clear)
+        if len(self.tokens) > MOST_TOKENS:
             self.tokens.clear()
         low = text.lower()
         found = Counter()
@@ -327,7 +332,7 @@ def train_scorer(docs: DataFrame, labels: DataFrame, column: str = "toxic") -> S
 
         def run(batches):
             s = inside.value
-            for b in batches:
+            for b in parts_of(batches, 0):
                 found = [s.counts(t) for t in b.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column(1), pa.array([list(f) for f in found], pa.list_(pa.int32())), pa.array([list(f.values()) for f in found], pa.list_(pa.int32()))], ["label", "k", "n"])
 
@@ -349,7 +354,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, column: str = "toxic", threshol
 
     def run(batches):
         s = scorer.value
-        for b in batches:
+        for b in parts_of(batches, 1):
             scores = [s.score(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), pa.array([int(x >= threshold) for x in scores], pa.int32())], ["doc_id", "score", "predicted"])
 
@@ -364,7 +369,7 @@ def reject_toxic(docs: DataFrame, labels: DataFrame, column: str = "toxic", thre
 
     def run(batches):
         s = scorer.value
-        for b in batches:
+        for b in parts_of(batches, at):
             yield b.filter(pa.array([s.score(t or "") < threshold for t in b.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -10,8 +10,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A worker forgets its words between two batches once it knows so many (about 200 MB).
-MOST_WORDS = 1_500_000
+from rallyframe.llm.common import hold_cache
+
+#: A worker forgets its words between two texts once it knows so many (about 60 MB).
+MOST_WORDS = 400_000
 #: A-Z to lower case, nothing else: byte for byte.
 LOWER = bytes(b + 32 if 65 <= b < 91 else b for b in range(256))
 
@@ -30,6 +32,7 @@ def _hashes() -> _Hashes:
 def hashes_of(words: list[bytes]) -> np.ndarray:
     """One 64-bit hash per word, in order."""
     cache = _hashes()
+    hold_cache("words", cache.clear)
     if len(cache) > MOST_WORDS:
         cache.clear()
     return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
