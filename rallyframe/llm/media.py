@@ -3,14 +3,15 @@
 An image column is three columns: ``height``, ``width`` and ``pixels`` (grey, one byte each, row by
 row).  Corners are found at several scales; each gets an orientation and ``BITS`` binary brightness
 tests turned by it.  Images with equal pixels form a class and only its smallest id is searched.
-Descriptors are cut into ``TABLES`` chunks; query and index chunks meet in joins on (table, chunk),
-images that share enough of them become candidates, and a candidate is a copy if its mutually nearest
-descriptors agree on one similarity transform.
-
-A query set is compared with all rows; the index holds every row.  Corners per scale (``STRONGEST``)
-are part of the detector.  Defined cases: images with null or too few pixels, or smaller than a patch,
-or without corners, have no descriptors and match nothing; repeated rows belong to one class; null ids
-are not searched.
+Descriptors are cut into ``TABLES`` chunks; the queries' chunks are broadcast in blocks of ``BLOCK``
+corners and met on the map side, corners that share a chunk and lie within ``FARTHEST`` vote, images of
+which enough votes agree on a similarity transform become candidates, and a candidate is a copy if its
+mutually nearest descriptors agree on one.
+
+A query set is compared with all rows; the index holds every row.  Corners per scale (``STRONGEST`` for a
+picture of ``AREA`` pixels, more in proportion for a larger one) are part of the detector.  Defined cases:
+images with null or too few pixels, or smaller than a patch, or without corners, have no descriptors and
+match nothing; repeated rows belong to one class; null ids are not searched and their class is null.
 """
 
 from __future__ import annotations
@@ -21,21 +22,24 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rallyframe.llm.common import materialise
+from rallyframe.llm.common import materialise, parts_of
 
-RADIUS, STRONGEST = 7, 16
+RADIUS, STRONGEST, AREA = 7, 16, 96 * 96
 SCALES = (1.0, 1.5, 2.0)
-BITS, TABLES = 240, 4
+BITS, TABLES = 240, 12
 CHUNK = BITS // TABLES
-#: Votes (distinct query corners) of a candidate; Hamming distance of a match; places that agree, at least.
+#: Votes (distinct query corners that agree) of a candidate; Hamming distance of a match; places that agree, at least.
 VOTES, FARTHEST, LEAST_INLIERS = 3, 64, 7
 #: How far agreeing matches may differ: pixels, radians, logarithm of the scale.
 TOLERANCE, TURN, ZOOM = 3.5, 0.4, 0.3
 
 _rng = np.random.default_rng(11)
-#: The binary tests' pairs of places, in a disc around the corner.
-_POLAR = (_rng.uniform(0, 1, (BITS, 2)) ** 0.5 * (RADIUS - 0.5), _rng.uniform(0, 2 * np.pi, (BITS, 2)))
+#: The binary tests' pairs of places, in a disc around the corner.  They lie across the orientation: along it,
+#: which place is brighter is known beforehand, and such bits tell no corners apart.
+_POLAR = (_rng.uniform(0, 1, (BITS * 40, 2)) ** 0.5 * (RADIUS - 0.5), _rng.uniform(0, 2 * np.pi, (BITS * 40, 2)))
 _PLACES = np.stack([_POLAR[0] * np.cos(_POLAR[1]), _POLAR[0] * np.sin(_POLAR[1])], -1).astype(np.float32)
+_ALONG, _ACROSS = np.abs(_PLACES[:, 1] - _PLACES[:, 0]).T
+_PLACES = _PLACES[(_ALONG < 0.35 * _ACROSS) & (np.hypot(_ALONG, _ACROSS) > 2)][:BITS]
 _GRID = np.mgrid[-RADIUS : RADIUS + 1, -RADIUS : RADIUS + 1]
 _DISC = (_GRID[0] ** 2 + _GRID[1] ** 2 <= RADIUS**2).astype(np.float32)
 
@@ -72,6 +76,7 @@ def corners(stack: np.ndarray) -> dict[str, np.ndarray]:
     """image (number in the stack), x, y, scale, angle, bits of all corners of images of one shape."""
     found: dict[str, list] = {k: [] for k in ("image", "x", "y", "scale", "angle", "bits")}
     base = _blur(stack.astype(np.float32))
+    strongest = round(STRONGEST * max(1.0, stack.shape[1] * stack.shape[2] / AREA))
     for scale in SCALES:
         x = _resized(base, scale)
         n, h, w = x.shape
@@ -85,7 +90,7 @@ def corners(stack: np.ndarray) -> dict[str, np.ndarray]:
             for dx in (-1, 0, 1):
                 np.maximum(top, r[:, edge + dy : h - edge + dy, edge + dx : w - edge + dx], out=top)
         peak = np.where((inner == top) & (inner > 0.01 * inner.max((1, 2), keepdims=True)) & (inner > 1e-3), inner, 0).reshape(n, -1)
-        best = np.argsort(-peak, 1, kind="stable")[:, :STRONGEST]
+        best = np.argsort(-peak, 1, kind="stable")[:, :strongest]
         image, place = np.nonzero(np.take_along_axis(peak, best, 1) > 0)
         flat = best[image, place]
         if not len(flat):
@@ -105,15 +110,6 @@ def corners(stack: np.ndarray) -> dict[str, np.ndarray]:
     return {k: np.concatenate(v) for k, v in found.items()}
 
 
-#: Bits of the table that tells which chunk keys the queries hold (2 MB, whatever the number of rows).
-KEY_BITS = 24
-
-
-def _slot(keys: np.ndarray) -> np.ndarray:
-    h = keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return ((h ^ (h >> np.uint64(29))) >> np.uint64(64 - KEY_BITS)).astype(np.int64)
-
-
 def chunks(bits: np.ndarray) -> np.ndarray:
     """(corners, TABLES) keys, the table's number above the chunk's bits."""
     powers = 1 << np.arange(CHUNK, dtype=np.int64)
@@ -127,7 +123,7 @@ def descriptors(images: DataFrame, id_col: str = "image_id") -> DataFrame:
     """image_id, same (digest of the pixels), geometry (x, y, scale, angle per corner, float32), bits for every image; no shuffle."""
 
     def run(batches):
-        for b in batches:
+        for b in parts_of(batches, 3):
             ids, hs, ws, raws = (b.column(k).to_pylist() for k in range(4))
             same = [xxhash.xxh3_128_digest(f"{h},{w},".encode() + (raw or b"")) for h, w, raw in zip(hs, ws, raws)]
             by_shape: dict = {}
@@ -150,111 +146,210 @@ def descriptors(images: DataFrame, id_col: str = "image_id") -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, ["image_id", "same", "geometry", "bits"])
 
     named = images.select(F.col(id_col).cast("long").alias("image_id"), F.col("height").cast("int"), F.col("width").cast("int"), "pixels")
-    return named.where("image_id is not null").mapInArrow(run, FEATURES)
+    return named.mapInArrow(run, FEATURES)
 
 
 def unpacked(bits: bytes) -> np.ndarray:
     return np.unpackbits(np.frombuffer(bits, np.uint8).reshape(-1, BITS // 8), axis=1)
 
 
-def chunk_rows(features: DataFrame, wanted=None) -> DataFrame:
-    """(image_id, corner, key) of all chunks, or of those whose key's bit is set in the broadcast ``wanted``."""
-
-    def run(batches):
-        for b in batches:
-            ids, corner, key = [], [], []
-            for i, bits in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                keys = chunks(unpacked(bits))
-                at = np.repeat(np.arange(len(keys)), TABLES)
-                keys = keys.ravel()
-                if wanted is not None:
-                    slot = _slot(keys)
-                    inside = (wanted.value[slot >> 5] >> (slot & 31).astype(np.uint32)) & 1 > 0
-                    at, keys = at[inside], keys[inside]
-                ids.append(np.full(len(keys), i, np.int64)), corner.append(at), key.append(keys)
-            cols = [pa.array(np.concatenate(c).astype(t) if c else np.zeros(0, t)) for c, t in ((ids, np.int64), (corner, np.int32), (key, np.int64))]
-            yield pa.RecordBatch.from_arrays(cols, ["image_id", "corner", "key"])
-
-    return features.select("image_id", "bits").mapInArrow(run, "image_id long, corner int, key long")
-
-
-def key_bits(keys: DataFrame) -> np.ndarray:
-    """2**KEY_BITS bits, those of the keys set: of fixed size; it spares chunks no query can share the way
-    to the join, and decides nothing."""
-
-    def run(batches):
-        for b in batches:
-            slot = _slot(b.column(0).to_numpy())
-            yield pa.RecordBatch.from_arrays([pa.array(slot >> 5), pa.array(np.int64(1) << (slot & 31))], ["w", "b"])
-
-    words = keys.select("key").mapInArrow(run, "w long, b long").groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
-    table = np.zeros(1 << (KEY_BITS - 5), np.uint32)
-    table[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64).astype(np.uint32)
-    return table
+#: Query corners of a broadcast block (about 60 bytes each); pairs of votes looked at in one go; votes from which a pair is a candidate unseen.
+BLOCK, AT_ONCE, MANY = 100_000, 1_000_000, 256
+#: Bins of turns, none narrower than TURN.
+TURNS = int(2 * np.pi / TURN)
+
+
+def _words(bits: np.ndarray) -> np.ndarray:
+    """Packed descriptors (bytes a row) as whole 64-bit words, for counting differences."""
+    return np.pad(bits, [(0, 0), (0, -bits.shape[1] % 8)]).view(np.uint64)
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """The different numbers of ``x`` in order (sorting is faster here than np.unique)."""
+    x = np.sort(x)
+    return x[np.flatnonzero(np.diff(x, prepend=-1))]
+
+
+class Queries:
+    """A block of query images, with a sorted table of chunk keys made where it is used."""
+
+    def __init__(self, rows: list[tuple[int, bytes, bytes]]):
+        self.rows, self.tables = rows, None
+
+    def __getstate__(self):
+        return {"rows": self.rows, "tables": None}
+
+    def prepare(self) -> None:
+        packed = [np.frombuffer(b, np.uint8).reshape(-1, BITS // 8) for _, _, b in self.rows]
+        self.owner = np.repeat(np.arange(len(packed)), [len(p) for p in packed])
+        every = np.concatenate(packed)
+        self.words = _words(every)
+        self.geometry = np.concatenate([np.frombuffer(g, "<f4").reshape(-1, 4) for _, g, _ in self.rows])
+        keys = chunks(np.unpackbits(every, axis=1)).ravel()
+        order = np.argsort(keys, kind="stable")
+        self.tables = keys[order], order // TABLES
+
+    def candidates(self, geometry: np.ndarray, packed: np.ndarray) -> np.ndarray:
+        """The numbers of the queries of which VOTES corners share a chunk with a near corner of the image and agree on a transform."""
+        if self.tables is None:
+            self.prepare()
+        keys, corner = self.tables
+        mine = chunks(np.unpackbits(packed, axis=1)).ravel()
+        lo = np.searchsorted(keys, mine, "left")
+        many = np.searchsorted(keys, mine, "right") - lo
+        words, ends, seen, start = _words(packed), np.cumsum(many), [], 0
+        while start < len(mine):  # a slice of the keys at a time, so that common ones need no more memory
+            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + AT_ONCE, "right")))
+            n = many[start:stop]
+            k = np.repeat(np.arange(start, stop), n)
+            q = corner[np.repeat(lo[start:stop] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            i = k // TABLES
+            near = np.bitwise_count(self.words[q] ^ words[i]).sum(1, dtype=np.int64) <= FARTHEST
+            seen.append(_distinct(q[near] * len(packed) + i[near]))
+            start = stop
+        q, i = np.divmod(_distinct(np.concatenate(seen)) if seen else np.zeros(0, np.int64), len(packed))
+        owner = self.owner[q]  # ascending, as q is
+        distinct = np.bincount(owner[np.flatnonzero(np.diff(q, prepend=-1))], minlength=len(self.rows))
+        count = np.bincount(owner, minlength=len(self.rows))
+        found = [np.flatnonzero(count > MANY)]
+        left = ((count <= MANY) & (distinct >= VOTES))[owner]
+        q, i, owner = q[left], i[left], owner[left]
+        gq, gi = self.geometry[q].astype(float), geometry[i].astype(float)
+        # votes by query and turn: those that agree stand in bins next to each other
+        turn = (gi[:, 3] - gq[:, 3]) % (2 * np.pi)
+        here = np.minimum((turn * (TURNS / (2 * np.pi))).astype(np.int64), TURNS - 1)
+        order = np.argsort(owner * TURNS + here, kind="stable")
+        q, owner, here, turn, gq, gi = (x[order] for x in (q, owner, here, turn, gq, gi))
+        key = owner * TURNS + here
+        scale = gi[:, 2] / gq[:, 2]
+        cos, sin, zoom = scale * np.cos(turn), scale * np.sin(turn), np.log(scale)
+        tx, ty = gi[:, 0] - (cos * gq[:, 0] - sin * gq[:, 1]), gi[:, 1] - (sin * gq[:, 0] + cos * gq[:, 1])
+        limit = (TOLERANCE * np.maximum(1, scale)) ** 2
+        beside = np.stack([owner * TURNS + (here + d) % TURNS for d in (-1, 0, 1)], 1).ravel()
+        lo = np.searchsorted(key, beside, "left")
+        many = np.searchsorted(key, beside, "right") - lo
+        ends, agreed, start = np.cumsum(many), [], 0
+        while start < len(lo):
+            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + AT_ONCE, "right")))
+            n = many[start:stop]
+            a = np.repeat(np.arange(start, stop) // 3, n)
+            b = np.repeat(lo[start:stop] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            keep = np.flatnonzero(np.abs(zoom[a] - zoom[b]) <= ZOOM)
+            a, b = a[keep], b[keep]
+            x, y = cos[a] * gq[b, 0] - sin[a] * gq[b, 1] + tx[a], sin[a] * gq[b, 0] + cos[a] * gq[b, 1] + ty[a]
+            keep = np.flatnonzero((x - gi[b, 0]) ** 2 + (y - gi[b, 1]) ** 2 <= limit[a])
+            a, b = a[keep], b[keep]
+            turned = np.abs(turn[a] - turn[b])
+            keep = np.minimum(turned, 2 * np.pi - turned) <= TURN
+            agreed.append(a[keep] * len(self.words) + q[b[keep]])
+            start = stop
+        if agreed:
+            voted = _distinct(np.concatenate(agreed)) // len(self.words)
+            found.append(owner[np.flatnonzero(np.bincount(voted) >= VOTES)])
+        return np.unique(np.concatenate(found))
+
+
+def blocks(asked: DataFrame, size: int | None = None):
+    """The queries with descriptors in broadcast blocks of about ``size`` corners."""
+    rows, weight = [], 0
+    for r in asked.where("length(bits) > 0").select("image_id", "geometry", "bits").toLocalIterator():
+        rows.append((r[0], bytes(r[1]), bytes(r[2])))
+        weight += len(r[2]) * 8 // BITS
+        if weight >= (size or BLOCK):
+            yield asked.sparkSession.sparkContext.broadcast(Queries(rows))
+            rows, weight = [], 0
+    if rows:
+        yield asked.sparkSession.sparkContext.broadcast(Queries(rows))
 
 
 def consensus(gq: np.ndarray, bq: np.ndarray, gi: np.ndarray, bi: np.ndarray) -> tuple[int, float, float, float, float]:
     """(inliers, dx, dy, scale, angle) of the best similarity transform from the query's matches to the image's."""
-    distance = (bq[:, None, :] != bi[None, :, :]).sum(2)
+    x, z = bq.astype(np.float32), bi.astype(np.float32)
+    distance = x.sum(1)[:, None] + z.sum(1) - 2 * (x @ z.T)
     to, back = distance.argmin(1), distance.argmin(0)
     rows = np.flatnonzero((back[to] == np.arange(len(to))) & (distance[np.arange(len(to)), to] <= FARTHEST))
-    if len(rows) < 2:
+    if len(rows) < LEAST_INLIERS:
         return len(rows), 0.0, 0.0, 1.0, 0.0
     q, i = gq[rows].astype(float), gi[to[rows]].astype(float)
     scale, angle = i[:, 2] / q[:, 2], i[:, 3] - q[:, 3]
     cos, sin = scale * np.cos(angle), scale * np.sin(angle)
     tx = i[:, 0] - (cos * q[:, 0] - sin * q[:, 1])
     ty = i[:, 1] - (sin * q[:, 0] + cos * q[:, 1])
-    x = cos[:, None] * q[None, :, 0] - sin[:, None] * q[None, :, 1] + tx[:, None]
-    y = sin[:, None] * q[None, :, 0] + cos[:, None] * q[None, :, 1] + ty[:, None]
-    agree = (x - i[None, :, 0]) ** 2 + (y - i[None, :, 1]) ** 2 <= (TOLERANCE * np.maximum(1, scale))[:, None] ** 2
-    turned = np.abs((angle[:, None] - angle[None, :] + np.pi) % (2 * np.pi) - np.pi)
-    agree &= (turned <= TURN) & (np.abs(np.log(scale[:, None] / scale[None, :])) <= ZOOM)
-    counts = agree.sum(1)
-    k = int(counts.argmax())
+    best, k, agreed = -1, 0, np.zeros(0, bool)
+    for at in range(0, len(rows), step := max(1, AT_ONCE // len(rows))):
+        c, d, one = cos[at : at + step, None], sin[at : at + step, None], slice(at, at + step)
+        x, y = c * q[:, 0] - d * q[:, 1] + tx[one, None], d * q[:, 0] + c * q[:, 1] + ty[one, None]
+        agree = (x - i[:, 0]) ** 2 + (y - i[:, 1]) ** 2 <= (TOLERANCE * np.maximum(1, scale[one]))[:, None] ** 2
+        turned = np.abs((angle[one, None] - angle[None, :] + np.pi) % (2 * np.pi) - np.pi)
+        agree &= (turned <= TURN) & (np.abs(np.log(scale[one, None] / scale[None, :])) <= ZOOM)
+        counts = agree.sum(1)
+        if counts.max() > best:
+            best, k = int(counts.max()), at + int(counts.argmax())
+            agreed = agree[k - at]
     # corners found at several scales in one place count once
-    places = {(round(a / TOLERANCE), round(b / TOLERANCE)) for a, b in i[agree[k], :2]}
+    places = {(round(a / TOLERANCE), round(b / TOLERANCE)) for a, b in i[agreed, :2]}
     return len(places), float(tx[k]), float(ty[k]), float(scale[k]), float(angle[k])
 
 
+PAIRS = "query_id long, image_id long, members long, inliers long, dx double, dy double, scale double, angle double"
+
+
+def _pairs(asked: DataFrame, index: DataFrame) -> DataFrame:
+    out = None
+    for block in blocks(asked):
+
+        def run(batches, block=block):
+            kinds = (pa.int64(),) * 4 + (pa.float64(),) * 4
+            names = [c.split()[0] for c in PAIRS.split(", ")]
+            for b in parts_of(batches, 3):
+                rows = []
+                for i, members, g, bits in zip(*(b.column(k).to_pylist() for k in range(4))):
+                    packed = np.frombuffer(bits, np.uint8).reshape(-1, BITS // 8)
+                    gi, bi = np.frombuffer(g, "<f4").reshape(-1, 4), unpacked(bits)
+                    for k in block.value.candidates(gi, packed).tolist() if len(packed) else ():
+                        q, g_q, b_q = block.value.rows[k]
+                        got = consensus(np.frombuffer(g_q, "<f4").reshape(-1, 4), unpacked(b_q), gi, bi)
+                        if got[0] >= LEAST_INLIERS:
+                            rows.append((q, i, members, *got))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 8, kinds)], names)
+
+        part = index.mapInArrow(run, PAIRS)
+        out = part if out is None else out.unionByName(part)
+    return asked.sparkSession.createDataFrame([], PAIRS) if out is None else out
+
+
+def _searched(queries: DataFrame, images: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The pairs, the features of all images, and the classes (same, image_id: the smallest, members)."""
+    every = materialise(descriptors(images), "image-features")
+    named = every.where("image_id is not null")
+    classes = named.groupBy("same").agg(F.min("image_id").alias("image_id"), F.count(F.lit(1)).alias("members"))
+    index = materialise(named.join(classes, ["same", "image_id"]).select("same", "image_id", "members", "geometry", "bits").dropDuplicates(["same"]).drop("same"), "image-index")
+    asked = materialise(descriptors(queries).where("image_id is not null"), "image-queries")
+    return _pairs(asked, index), every, classes
+
+
 def find_copies(queries: DataFrame, images: DataFrame) -> DataFrame:
     """query_id, image_id (a class's smallest id), members (of the class), inliers, dx, dy, scale, angle.
 
     ``queries`` and ``images`` have image_id, height, width, pixels.  Pixels are read once and never
-    shuffled.  Which keys the queries hold is a bit table of fixed size, so only index chunks that some
-    query shares are shuffled.
+    shuffled; votes and pairs that aren't copies stay in the task.
     """
-    spark = images.sparkSession
-    every = materialise(descriptors(images), "image-features")
-    classes = every.groupBy("same").agg(F.min("image_id").alias("image_id"), F.count(F.lit(1)).alias("members")).select("image_id", "members")
-    index = materialise(every.join(classes, "image_id").select("image_id", "members", "geometry", "bits").dropDuplicates(["image_id"]), "image-index")
-    asked = materialise(descriptors(queries), "image-queries")
-    asked_keys = chunk_rows(asked).select(F.col("image_id").alias("query_id"), "corner", "key")
-    wanted = spark.sparkContext.broadcast(key_bits(asked_keys))
-    index_keys = chunk_rows(index, wanted).select("image_id", "key").distinct()
-    hits = asked_keys.join(index_keys, "key")
-    votes = hits.select("query_id", "image_id", "corner").distinct().groupBy("query_id", "image_id").agg(F.count(F.lit(1)).alias("votes")).where(F.col("votes") >= VOTES)
-    side = lambda df, id_, k: df.select(F.col("image_id").alias(id_), F.col("geometry").alias(f"g_{k}"), F.col("bits").alias(f"b_{k}"))
-    both = votes.join(side(asked, "query_id", "q"), "query_id").join(side(index, "image_id", "i"), "image_id")
+    return _searched(queries, images)[0]
 
-    def run(batches):
-        kinds = (pa.int64(), pa.int64(), pa.int64(), *(pa.float64(),) * 4)
-        names = ["query_id", "image_id", "inliers", "dx", "dy", "scale", "angle"]
-        for b in batches:
-            rows = []
-            for q, i, g_q, b_q, g_i, b_i in zip(*(b.column(k).to_pylist() for k in range(6))):
-                gq, gi = (np.frombuffer(g, "<f4").reshape(-1, 4) for g in (g_q, g_i))
-                got = consensus(gq, unpacked(b_q), gi, unpacked(b_i))
-                if got[0] >= LEAST_INLIERS:
-                    rows.append((q, i, *got))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 7, kinds)], names)
 
-    found = both.select("query_id", "image_id", "g_q", "b_q", "g_i", "b_i").mapInArrow(run, "query_id long, image_id long, inliers long, dx double, dy double, scale double, angle double")
-    return found.join(index.select("image_id", "members"), "image_id").select("query_id", "image_id", "members", "inliers", "dx", "dy", "scale", "angle")
+def copies_and_classes(queries: DataFrame, images: DataFrame) -> DataFrame:
+    """The pairs of ``find_copies`` with class_id, and one row of (image_id, class_id) with null query_id for every row of ``images``."""
+    pairs, every, classes = _searched(queries, images)
+    of = classes.select("same", F.col("image_id").alias("class_id"))
+    rows = every.select("image_id", "same").join(of, "same", "left").select("image_id", F.when(F.col("image_id").isNotNull(), F.col("class_id")).alias("class_id"))
+    rows = materialise(rows, "image-classes")
+    return pairs.withColumn("class_id", F.col("image_id")).unionByName(rows, allowMissingColumns=True)
 
 
 #: Rendering of a vector of 64 numbers: an 8 by 8 grid of cells of 12 by 12 pixels, each with 4 by 4 grains.
 SIDE, CELL, GRAIN = 8, 12, 4
+#: Pictures drawn in one go: a batch of 10,000 would take over a GB.
+AT_A_TIME = 256
 
 
 def _enlarging() -> np.ndarray:
@@ -289,7 +384,7 @@ def rendered(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
 
     def run(batches):
         n = SIDE * CELL
-        for b in batches:
+        for b in (b.slice(k, AT_A_TIME) for b in batches for k in range(0, b.num_rows, AT_A_TIME)):
             grids = np.zeros((b.num_rows, SIDE * SIDE), np.float32)
             for k, v in enumerate(b.column(1).to_pylist()):
                 v = np.nan_to_num(np.array([x if x is not None else 0 for x in v or ()][: SIDE * SIDE], np.float32))
@@ -301,18 +396,42 @@ def rendered(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
     return vectors.select(F.col(id_col).cast("long").alias("image_id"), F.col(vector_col)).mapInArrow(run, "image_id long, height int, width int, pixels binary")
 
 
-def edited(images: DataFrame, keep: float = 0.8) -> DataFrame:
-    """Deterministic edits of images: a crop (place by id), other brightness and contrast, turned by right angles, light noise."""
+def warped(x: np.ndarray, turn: float, zoom: float) -> np.ndarray:
+    """A picture turned by ``turn`` radians about its middle and enlarged by ``zoom``, bilinear; beyond its border the border goes on."""
+    h, w = x.shape
+    n, m = max(1, round(h * zoom)), max(1, round(w * zoom))
+    y, z = ((np.arange(n) + 0.5) / zoom - h / 2)[:, None], ((np.arange(m) + 0.5) / zoom - w / 2)[None, :]
+    c, d = np.cos(turn), np.sin(turn)
+    at = np.clip(c * y - d * z + h / 2 - 0.5, 0, h - 1.001), np.clip(d * y + c * z + w / 2 - 0.5, 0, w - 1.001)
+    i, j = (a.astype(int) for a in at)
+    u, v = (a - a.astype(int) for a in at)
+    return x[i, j] * (1 - u) * (1 - v) + x[i + 1, j] * u * (1 - v) + x[i, j + 1] * (1 - u) * v + x[i + 1, j + 1] * u * v
+
+
+EDITS = ("right", "turned", "rescaled", "blurred")
+
+
+def edited(images: DataFrame, keep: float = 0.8, kind: str | None = None) -> DataFrame:
+    """Deterministic edits of images: a crop (place by id), then one of EDITS (``kind``, or by id), other brightness and contrast, light noise."""
 
     def run(batches):
-        for b in batches:
+        for b in parts_of(batches, 3):
             out = []
             for i, h, w, raw in zip(*(b.column(k).to_pylist() for k in range(4))):
                 x = np.frombuffer(raw, np.uint8).reshape(h, w).astype(np.float32)
                 rng = np.random.default_rng(abs(i))
                 ch, cw = int(h * keep), int(w * keep)
                 top, left = rng.integers(0, h - ch + 1), rng.integers(0, w - cw + 1)
-                x = np.rot90(x[top : top + ch, left : left + cw], int(rng.integers(0, 4)))
+                x = x[top : top + ch, left : left + cw]
+                how = kind or EDITS[int(rng.integers(0, len(EDITS)))]
+                if how == "right":
+                    x = np.rot90(x, int(rng.integers(0, 4)))
+                elif how == "turned":
+                    x = warped(x, rng.uniform(-np.pi, np.pi), 1.0)
+                elif how == "rescaled":
+                    x = warped(x, 0.0, rng.uniform(0.75, 1.5))
+                else:
+                    x = _blur(_blur(x[None]))[0]
                 x = np.clip(np.rint(x * 0.85 + 12 + rng.normal(0, 2, x.shape)), 0, 255).astype(np.uint8)
                 out.append((i, *x.shape, x.tobytes()))
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary())

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from rallyframe.llm.common import table
 from rallyframe.llm.decontamination import overlaps
 from rallyframe.llm.licenses import license_scan
-from rallyframe.llm.media import edited, find_copies, rendered
+from rallyframe.llm.media import copies_and_classes, edited, rendered
 from rallyframe.llm.near_dedup import near_dedup
 from rallyframe.llm.packing import best_fit_pack
 from rallyframe.llm.quality import quality
@@ -55,9 +55,9 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The supplied tables hold no pictures: each vector of ``embeddings`` is drawn as one.  The query set is the
-    edited pictures of the ids divisible by 50, against all."""
+    edited pictures of the ids divisible by 50, against all; beside the pairs stands every row's class."""
     images = rendered(table(spark, sf_dir, "embeddings"))
-    return find_copies(edited(images.where("image_id % 50 = 0")), images)
+    return copies_and_classes(edited(images.where("image_id % 50 = 0")), images)
 
 
 QUERIES = {

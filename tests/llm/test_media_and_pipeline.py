@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -40,6 +41,58 @@ def test_equal_images_are_one_class_and_odd_ones_match_nothing(spark, sf_dir):
     assert md.find_copies(images.limit(0), images.limit(0)).count() == 0
 
 
+def plain_pictures(vectors):
+    """Pictures without grain: smooth grey levels alone."""
+    z = (vectors - vectors.mean(1, keepdims=True)) / vectors.std(1, keepdims=True)
+    smooth = np.einsum("pi,bij,qj->bpq", md._enlarging(), z.reshape(-1, md.SIDE, md.SIDE), md._enlarging())
+    return np.clip(np.rint(128 + 45 * smooth), 0, 255).astype(np.uint8)
+
+
+@pytest.mark.parametrize("grain", [True, False])
+@pytest.mark.parametrize("kind", md.EDITS)
+def test_every_kind_of_edit_is_found_as_by_all_pairs(spark, sf_dir, kind, grain):
+    vectors = table(spark, sf_dir, "embeddings").orderBy("vec_id").limit(80)
+    images = md.rendered(vectors)
+    if not grain:
+        numbers = np.array([r["embedding"][:64] for r in vectors.collect()], np.float32)
+        rows = [(k, 96, 96, p.tobytes()) for k, p in enumerate(plain_pictures(numbers))]
+        images = spark.createDataFrame(rows, images.schema)
+    images = images.cache()
+    queries = md.edited(images.where("image_id % 4 = 0"), kind=kind).cache()
+    f = lambda df: {r["image_id"]: (np.frombuffer(r["geometry"], "<f4").reshape(-1, 4), md.unpacked(r["bits"])) for r in md.descriptors(df).collect()}
+    index, asked = f(images), f(queries)
+    brute = {(q, i) for q, (gq, bq) in asked.items() for i, (gi, bi) in index.items() if md.consensus(gq, bq, gi, bi)[0] >= md.LEAST_INLIERS}
+    got = {(r["query_id"], r["image_id"]) for r in md.find_copies(queries, images).collect()}
+    own = {(q, q) for q in asked}
+    assert got <= brute and len(got & own) == len(brute & own) >= (0.6 if kind == "rescaled" and not grain else 0.8) * len(own)
+    assert len(got) >= 0.95 * len(brute)
+
+
+def test_larger_pictures_have_more_corners():
+    rng = np.random.default_rng(1)
+    small, large = (md.corners(rng.integers(0, 256, (1, n, n)).astype(np.uint8)) for n in (96, 288))
+    assert len(small["x"]) <= 48 and len(large["x"]) > 6 * len(small["x"])
+
+
+def test_every_row_has_its_class_and_blocks_give_the_same(spark, sf_dir, monkeypatch):
+    rows = md.rendered(table(spark, sf_dir, "embeddings")).limit(12).collect()
+    rows = [tuple(r) for r in rows] + [(1000 + k, *tuple(r)[1:]) for k, r in enumerate(rows[:5])] + [(None, *tuple(rows[0])[1:])]
+    images = spark.createDataFrame(rows, "image_id long, height int, width int, pixels binary").cache()
+    queries = md.edited(images.where("image_id < 1000"))
+    got = md.copies_and_classes(queries, images).collect()
+    classes = [(r["image_id"], r["class_id"]) for r in got if r["query_id"] is None]
+    least = {}
+    for i, *pixels in rows:
+        if i is not None:
+            least[tuple(pixels)] = min(i, least.get(tuple(pixels), i))
+    key = lambda x: (x[0] is None, x)
+    assert sorted(classes, key=key) == sorted(((i, None if i is None else least[tuple(p)]) for i, *p in rows), key=key)
+    pairs = sorted((r["query_id"], r["image_id"], r["inliers"]) for r in got if r["query_id"] is not None)
+    monkeypatch.setattr(md, "BLOCK", 100)
+    monkeypatch.setattr(md, "AT_ONCE", 50)
+    assert pairs and pairs == sorted((r["query_id"], r["image_id"], r["inliers"]) for r in md.find_copies(queries, images).collect())
+
+
 def test_pipeline_stages_take_effect(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     before = {r["doc_id"] for r in docs.select("doc_id").collect()}
