@@ -4,7 +4,7 @@ A seed is a fixed mask over consecutive words that ignores some positions, so a
 substituted words still hashes alike when they fall on ignored positions.  Items' seed hashes meet
 the documents' on the map side in blocks of ``BLOCK`` hashes, each block broadcast (so what is
 broadcast is bounded whatever the benchmark's size); around each hit the words of both are compared
-on the hit's diagonal, and the best stretch is kept if it is long and alike enough.
+on the hit's diagonal, and every stretch is kept that is long and alike enough, those that touch as one.
 
 Defined cases: null and empty texts hit nothing; items without words can't be found; items shorter
 than the masks are searched whole, exact or (from ``SHORTEST_LOOSE`` words) with one word substituted;
@@ -23,13 +23,11 @@ from pyspark.sql import functions as F
 from rallyframe.llm.common import id_text, parts_of
 from rallyframe.llm.words import hashes_of, letter_words
 
-#: Masks of 11 words with 7 that count.  Whichever two words of 13 are substituted, some mask hits at some shift.
-MASKS = ("11011010011", "10111001101", "11100111001", "10010110111", "11011110001")
+#: Masks of 11 words with 7 that count.  Whichever fifth (rounded down) of 13 to 20 words is substituted, some mask hits at some shift.
+MASKS = ("11011010011", "10111001101", "11100111001", "10010110111", "11011110001", "10100011111", "11000101111", "11101100101", "11111100001", "11001011101")
 SPAN, SHORTEST_LOOSE = len(MASKS[0]), 6
 #: A verified stretch: words, share of them equal; a shorter item must be covered whole.
 LEAST_WORDS, LEAST_SHARE = 13, 0.8
-#: Score of an unequal word when the best stretch is sought (an equal one scores 1).
-UNEQUAL = -2
 #: Seed hashes of one broadcast block (16 bytes each, and the block's words).
 BLOCK = 500_000
 _TABLE_BITS = 22
@@ -37,7 +35,7 @@ _TABLE_BITS = 22
 
 def masks_for(n: int) -> list[tuple[int, ...]]:
     """The offsets that count, mask by mask, for an item of ``n`` words."""
-    if n >= SPAN:
+    if n >= LEAST_WORDS:
         return [tuple(k for k, c in enumerate(m) if c == "1") for m in MASKS]
     whole = tuple(range(n))
     return [whole] + ([whole[:k] + whole[k + 1 :] for k in range(n)] if n >= SHORTEST_LOOSE else [])
@@ -70,7 +68,7 @@ class Block:
         self.words = [hashes_of(letter_words(t)) for _, t in items]
         found: dict = {}
         for k, w in enumerate(self.words):
-            span = min(SPAN, len(w))
+            span = SPAN if len(w) >= LEAST_WORDS else len(w)
             for mask in masks_for(len(w)) if len(w) else ():
                 h = seed_hashes(w, mask, span)
                 found.setdefault((span, mask), []).append((h, np.full(len(h), k, np.int32), np.arange(len(h), dtype=np.int32)))
@@ -83,7 +81,7 @@ class Block:
             self.seeds[key] = (h[order], item[order], at[order], np.packbits(bits) if len(found) > 8 else bits)
 
     def overlaps(self, words: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-        """(item number, first word, words, equal words, item's first word) of verified overlaps, one per item and diagonal."""
+        """(item number, first word, words, equal words, item's first word) of verified overlaps, by item and diagonal."""
         seen, out = set(), []
         low = np.uint64((1 << _TABLE_BITS) - 1)
         for (span, mask), (h, item, at, bits) in self.seeds.items():
@@ -98,26 +96,43 @@ class Block:
                     key = (int(item[k]), place - int(at[k]))
                     if key not in seen:
                         seen.add(key)
-                        if (got := self._verify(words, *key)) is not None:
-                            out.append(got)
+                        out += self._verify(words, *key)
         return out
 
-    def _verify(self, words: np.ndarray, item: int, diagonal: int):
-        """The best-scoring stretch on a diagonal, if it is long and alike enough."""
+    def _verify(self, words: np.ndarray, item: int, diagonal: int) -> list[tuple[int, int, int, int, int]]:
+        """The stretches on a diagonal that are long and alike enough."""
         theirs = self.words[item]
         first, last = max(0, diagonal), min(len(words), diagonal + len(theirs))
         equal = words[first:last] == theirs[first - diagonal : last - diagonal]
-        total = np.concatenate([[0], np.cumsum(np.where(equal, 1, UNEQUAL))])
-        floor = np.minimum.accumulate(total)
-        end = int(np.argmax(total - floor))
-        start = int(np.flatnonzero(total[: end + 1] == floor[end])[-1]) if end else 0
-        n, same = end - start, int(equal[start:end].sum())
-        whole = len(theirs) < LEAST_WORDS and len(equal) == len(theirs) and equal.sum() >= len(theirs) - (len(theirs) >= SHORTEST_LOOSE)
-        if whole:
-            return item, first, len(theirs), int(equal.sum()), 0
-        if n >= LEAST_WORDS and same >= LEAST_SHARE * n:
-            return item, first + start, n, same, first + start - diagonal
-        return None
+        if len(theirs) < LEAST_WORDS:
+            whole = len(equal) == len(theirs) and equal.sum() >= len(theirs) - (len(theirs) >= SHORTEST_LOOSE)
+            return [(item, first, len(theirs), int(equal.sum()), 0)] if whole else []
+        found = []
+        for start, end in stretches(equal):
+            found.append((item, first + start, end - start, int(equal[start:end].sum()), first + start - diagonal))
+        return found
+
+
+def stretches(equal: np.ndarray) -> list[tuple[int, int]]:
+    """(start, end) of the stretches of LEAST_WORDS or more with LEAST_SHARE equal words, those that overlap
+    merged: stretches whose end words are equal, or any where there are none."""
+    n = len(equal)
+    if n < LEAST_WORDS:
+        return []
+    total = np.concatenate([[0], np.cumsum(np.where(equal, 5 * (1 - LEAST_SHARE), -5 * LEAST_SHARE).round().astype(np.int64))])
+    for starts, ends in ((np.flatnonzero(equal), np.concatenate([[False], equal])), (np.arange(n), np.ones(n + 1, bool))):
+        best = np.maximum.accumulate(np.where(ends, total, -5 * n - 1)[::-1])[::-1]  # of all ends from here on
+        last = np.searchsorted(-best, -total[starts], "right") - 1
+        keep = last - starts >= LEAST_WORDS
+        merged: list[list[int]] = []
+        for s, e in zip(starts[keep].tolist(), last[keep].tolist()):
+            if merged and s < merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], e)
+            else:
+                merged.append([s, e])
+        if merged:
+            return [(s, e) for s, e in merged]
+    return []
 
 
 def blocks(spark, benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", size: int = BLOCK):

@@ -1,6 +1,7 @@
 """Operators 5, 6 and 8 against brute force."""
 
 import hashlib
+import itertools
 import random
 import re
 
@@ -150,6 +151,25 @@ def test_blocks_give_the_same(spark, sf_dir, monkeypatch):
     assert sorted(map(tuple, dc.overlaps(docs, items).collect())) == one and one
 
 
+def test_every_placing_of_changes_is_an_overlap():
+    for n in range(11, 21):
+        item = " ".join(f"w{chr(97 + k)}" for k in range(n))
+        block = dc.Block([(1, item)])
+        theirs = item.split()
+        for changed in itertools.combinations(range(n), 1 if n < dc.LEAST_WORDS else n // 5):
+            words = ["before"] + ["other" if k in changed else w for k, w in enumerate(theirs)] + ["after"]
+            assert block.overlaps(dc.hashes_of(letter_words(" ".join(words)))), (n, changed)
+
+
+def test_stretches_are_all_that_the_rule_allows():
+    random.seed(6)
+    for _ in range(300):
+        equal = [random.random() < 0.8 for _ in range(random.randrange(0, 45))]
+        n = len(equal)
+        plain = any(5 * sum(equal[s:e]) >= 4 * (e - s) for s in range(n) for e in range(s + dc.LEAST_WORDS, n + 1))
+        assert bool(dc.stretches(dc.np.array(equal, bool))) == plain
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     items = spark.createDataFrame([], "item_id long, text string")
