@@ -70,7 +70,8 @@ def _machine():
 def fuzzy_spans(text: str) -> list[tuple[str, int, int, int]]:
     """(label, start, end, edits) of notices in ``text`` (words joined by single spaces), one per disjoint place.
 
-    Windows of one notice that touch are verified together.
+    Windows of one notice that touch are verified together: the search gives the best place of a window,
+    and what lies before and behind it is searched again.
     """
     automaton, patterns = _machine()
     windows: dict[int, list[list[int]]] = {}
@@ -88,10 +89,12 @@ def fuzzy_spans(text: str) -> list[tuple[str, int, int, int]]:
     for which, mine in windows.items():
         phrase, label, errors = NOTICES[which]
         for a, b in mine:
-            at = a
-            while m := patterns[which].search(text, at, min(b, len(text))):
-                found.append((label, m.start(), m.end(), sum(m.fuzzy_counts)))
-                at = max(m.end(), m.start() + 1)
+            rest = [(a, min(b, len(text)))]
+            while rest:
+                lo, hi = rest.pop()
+                if m := patterns[which].search(text, lo, hi):
+                    found.append((label, m.start(), m.end(), sum(m.fuzzy_counts)))
+                    rest += [(lo, m.start()), (max(m.end(), m.start() + 1), hi)]
     return sorted(found, key=lambda x: (x[1], x[2], x[0]))
 
 

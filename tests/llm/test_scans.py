@@ -81,6 +81,15 @@ def test_fuzzy_places_are_complete():
                 assert any(s[0] == label for s in spans), (phrase, changed)
 
 
+@pytest.mark.parametrize("text, spans", [
+    ("apache licence apache license", [(0, 14, 1), (15, 29, 0)]),
+    ("apache license apache licence apache licensf", [(0, 14, 0), (15, 29, 1), (30, 44, 1)]),
+    ("all rigths reserved all rights reserved", [(0, 19, 2), (20, 39, 0)]),
+])
+def test_neighbouring_fuzzy_and_exact_places(text, spans):
+    assert [x[1:] for x in li.fuzzy_spans(text)] == spans
+
+
 def test_secret_patterns_against_plain_search(docs, rows):
     got = {r["doc_id"]: r for r in se.secret_spans(docs).collect()}
     for i, text in rows:
