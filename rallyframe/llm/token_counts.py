@@ -4,7 +4,8 @@ Tier one is a compact table of the lengths, in tokens, of the most frequent piec
 runs, whose ends are always pre-token ends), broadcast to all tasks.  Tier two is each Python
 worker's own cache, filled by the library.  No piece is ever shuffled: to find the frequent ones,
 each task hands on only its own ``per_task`` most frequent, a summary of bounded size.  The table
-decides speed only; the counts are the library's for every text.
+decides speed only; the counts are the library's for every text.  Pieces of more than ``LONGEST``
+characters are left to tier two, so the table has a bound on its bytes.
 
 Defined cases: null and empty texts have 0 bytes and 0 tokens; a text that holds a special string
 of the vocabulary goes to the library whole; repeated rows are counted each.
@@ -24,6 +25,8 @@ from rallyframe.llm.common import hold_cache, id_text, parts_of
 from rallyframe.llm.pieces import PIECES, encoder, library
 
 MOST_CACHED = 700_000
+#: Characters of a piece of tier one (so of at most four times as many tokens, within 16 bits).
+LONGEST = 1024
 
 
 def frequent_pieces(docs: DataFrame, per_task: int = 4096, keep: int = 16384) -> list[str]:
@@ -34,7 +37,7 @@ def frequent_pieces(docs: DataFrame, per_task: int = 4096, keep: int = 16384) ->
         hold_cache("counts", seen.clear)
         for b in parts_of(batches, 0):
             for text in b.column(0).to_pylist():
-                seen.update(find(text))
+                seen.update(p for p in find(text) if len(p) <= LONGEST)
             if len(seen) > MOST_CACHED:  # the rare ones of a long partition give way
                 seen = Counter(dict(seen.most_common(MOST_CACHED // 4)))
         top = seen.most_common(per_task)

@@ -119,3 +119,11 @@ def test_empty_and_repeated(spark):
     assert token_output(none).count() == token_counts(none).count() == best_fit_pack(none).count() == 0
     twice = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "c")], schema)
     assert token_output(twice).count() == token_counts(twice).count() == best_fit_pack(twice).count() == 3
+
+
+def test_long_unbroken_text_is_counted(spark):
+    rng = np.random.default_rng(3)
+    text = "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"), 200_000))
+    r = token_counts(spark.createDataFrame([(1, text), (2, "a few words")], "doc_id long, text string"), "byte_bpe_50k.json").where("doc_id = 1").collect()[0]
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert r["n_tokens"] == len(t.encode(text, add_special_tokens=False).ids) > 65_535
