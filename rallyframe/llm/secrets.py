@@ -4,16 +4,18 @@ Pattern spans: three kinds (``assign``, ``access``, ``hex``), leftmost and non-o
 Novel spans: runs of identifier characters near a sensitive word.  Each is measured by the bytes that
 it adds to the compressed surroundings, zstandard being primed with a dictionary of identifiers (fixed
 ones and the corpus's own frequent pieces); a run that adds nearly as many bytes as it has characters
-could not be predicted from code or prose and is reported as kind ``novel``.
+could not be predicted from code or prose and is reported as kind ``novel``, also where it touches a pattern span.
 
 Defined cases: null and empty texts have no spans; repeated rows are scanned each; an empty table
-gives an empty dictionary of corpus pieces.  Texts are scanned whole, without shuffles.
+gives an empty dictionary of corpus pieces; a piece longer than ``LONGEST_PIECE`` does not prime.  Texts are scanned whole; only
+pieces with their partial counts are shuffled.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from functools import lru_cache
 
 import pyarrow as pa
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rallyframe.llm.common import id_text, parts_of
-from rallyframe.llm.token_counts import frequent_pieces
+from rallyframe.llm.pieces import PIECES
 
 #: The kinds' patterns, the group measured, the least characters of it.
 KINDS = ("assign", "access", "hex", "novel")
@@ -33,7 +35,7 @@ LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX = 12, 18, 16
 #: Words that make a context sensitive.
 SENSITIVE = ("secret", "token", "passw", "passphrase", "pwd", "credential", "apikey", "api_key", "api-key", "access_key", "private_key", "client_id", "auth", "bearer", "akia")
 _SENSITIVE = re.compile("|".join(SENSITIVE))
-#: A candidate: identifier characters with a digit; how far from a sensitive word it may start; its surroundings.
+#: A candidate: identifier characters; how far from a sensitive word it may start; its surroundings.
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 NEAR, AROUND = 64, 256
 #: Added bytes per character, and added bytes, from which a candidate is novel.
@@ -83,8 +85,8 @@ class Novelty:
         a, c, z = (x.encode("utf-8", "surrogatepass") for x in (before, candidate, after))
         return self.size(a + z + c) - self.size(a + z)
 
-    def spans(self, text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-        """Novel candidates near sensitive words that overlap no span of ``taken``."""
+    def spans(self, text: str) -> list[tuple[str, int, int]]:
+        """Novel candidates near sensitive words."""
         low = text.lower()
         if len(low) != len(text):
             low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
@@ -98,11 +100,9 @@ class Novelty:
                 k += 1
             if k == len(near):
                 break
-            if near[k] > e + NEAR or any(a < e and s < b for _, a, b in taken):
+            if near[k] > e + NEAR:
                 continue
             c = m.group()
-            if c.isalpha() or c.isdigit():
-                continue
             added = self.added(text[max(0, s - AROUND) : s], c, text[e : e + AROUND])
             if added >= LEAST_BYTES and added >= NOVEL * len(c):
                 found.append(("novel", s, e))
@@ -114,9 +114,31 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in sorted(spans, key=lambda x: (x[1], KINDS.index(x[0]), x[2])))
 
 
+#: Pieces that prime the measure, and the most characters of one (so the primer has a bound on its bytes).
+PRIMING, LONGEST_PIECE = 1024, 256
+#: Distinct pieces a task holds before it hands on their partial counts.
+HELD = 200_000
+
+
 def novelty(docs: DataFrame) -> Novelty:
-    """The measure primed with the corpus's most frequent pieces (a bounded list, counted over all texts)."""
-    return Novelty([p.strip() for p in frequent_pieces(docs, per_task=1024, keep=1024)])
+    """The measure primed with the corpus's most frequent pieces, counted exactly."""
+
+    def run(batches):
+        find, seen = PIECES["byte"].findall, Counter()
+
+        def partial():
+            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["piece", "n"])
+
+        for b in parts_of(batches, 0):
+            for text in b.column(0).to_pylist():
+                seen.update(p for p in find(text) if len(p) <= LONGEST_PIECE)
+            if len(seen) > HELD:
+                yield partial()
+                seen.clear()
+        yield partial()
+
+    counts = id_text(docs).select("text").mapInArrow(run, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+    return Novelty([r[0].strip() for r in counts.orderBy(F.desc("n"), "piece").limit(PRIMING).select("piece").collect()])
 
 
 def secret_spans(docs: DataFrame) -> DataFrame:
@@ -134,7 +156,7 @@ def secret_spans(docs: DataFrame) -> DataFrame:
                     if kind != "novel":
                         col.append(sum(s[0] == kind for s in base))
                 cols[3].append(hashlib.sha256(joined(base).encode()).hexdigest())
-                cols[4].append(joined(base + measure.value.spans(text, base)))
+                cols[4].append(joined(base + measure.value.spans(text)))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, kinds))], ["doc_id", *names])
 
     return id_text(docs).mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
@@ -170,7 +192,7 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", length_col: str | No
             texts = b.column(at).to_pylist()
             changed = {}
             for k, text in enumerate(texts):
-                if text and (found := (base := pattern_spans(text)) + measure.value.spans(text, base)):
+                if text and (found := (base := pattern_spans(text)) + measure.value.spans(text)):
                     changed[k] = redact(text, found)
             if changed:
                 cols = list(b.columns)
