@@ -10,6 +10,7 @@ Conventions of the subpackage
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -25,9 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder: ``spark.checkpoint.dir``; a local folder only where it is unset."""
+    """The cluster's shared folder: ``spark.checkpoint.dir``.  Where it is unset, local mode takes a folder of its own; a cluster is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^,]*(,[^,]*)?\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="rallyframe-")
         spark.conf.set("rallyframe.local.dir", base)
         base = f"file://{base}"
@@ -40,11 +43,45 @@ def materialise(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     The table cuts the lineage: a lost executor re-reads it instead of repeating the work above it.
     """
     spark = df.sparkSession
-    path = f"{_base(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    path = new_path(spark, name)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_written: list[str] = []
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A new folder of the shared one; what is written there is listed for :func:`discard`."""
+    path = f"{_base(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    _written.append(path)
+    return path
+
+
+def mark() -> int:
+    """The number of interim folders so far."""
+    return len(_written)
+
+
+def discard(spark: SparkSession, since: int, but: DataFrame | None = None) -> None:
+    """Delete the interim folders made since ``mark()`` gave ``since``, but those that ``but`` reads."""
+    needed = [f for f in but.inputFiles()] if but is not None else []
+    left = []
+    for path in _written[since:]:
+        name = path.rpartition("/")[2]
+        if any(f"/{name}/" in f for f in needed):
+            left.append(path)
+        else:
+            remove(spark, path)
+    _written[since:] = left
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder through Spark's own file systems."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def _base(spark: SparkSession) -> str:
     return spark.conf.get("rallyframe.shared.dir", None) or _remember(spark)
 

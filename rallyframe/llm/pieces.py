@@ -1,8 +1,10 @@
-"""Whole-text tokenizing through a worker cache of white-space delimited pieces.
+"""Whole-text tokenizing through a worker cache of pieces.
 
 Both vocabularies split a text before merging, and a run of non-space characters (with the one
 space before it, for the byte-level one) always begins and ends at such a split.  So the ids of a
 text are the ids of its pieces in order, and a piece needs the library once per Python worker.
+A text of Latin characters only is cut at the vocabulary's own splits, so a word is one piece whatever
+marks stand around it; the white-space dropping vocabulary folds case first, and so is such a text.
 A text that holds one of the vocabulary's special strings is given to the library whole.
 
 Texts of a batch become arrays of piece numbers; their ids are gathered with numpy.
@@ -12,6 +14,7 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 from functools import lru_cache
 
 import numpy as np
@@ -20,12 +23,25 @@ from rallyframe.llm.common import hold_cache
 
 #: Unicode's White_Space, as the vocabularies' patterns understand ``\s``.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: All of it but the space and the line feed.
-ODD_SPACE = re.compile("[\t\x0b\x0c\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 PIECES = {
     "word": re.compile(f"[^{SPACE}]+"),
     "byte": re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"),
 }
+#: Below this code point no character composes with its neighbours, so folding a whole text is what folding after normalisation is.
+_PLAIN = 0x250
+_OTHER = re.compile(f"[^\0-{chr(_PLAIN - 1)}]")
+
+
+def _class(kind: str) -> str:
+    return "".join(chr(c) for c in range(_PLAIN) if unicodedata.category(chr(c))[0] == kind)
+
+
+_L, _N = _class("L"), _class("N")
+#: The vocabularies' splits, for Latin text (folded, for the white-space dropping one).
+SPLITS = {
+    "word": re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_L}]+|[{_N}]|[^{SPACE}{_L}{_N}]+"),
+    "byte": re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{_L}]+| ?[{_N}]+| ?[^{SPACE}{_L}{_N}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"),
+}
 #: A worker forgets its pieces between two batches once it knows so many (about 150 MB).
 MOST_PIECES = 700_000
 
@@ -66,10 +82,9 @@ class PieceEncoder:
     """
 
     def __init__(self, name: str, kind: str):
-        self.library, self.kind, self.find = library(name), kind, PIECES[kind].findall
+        self.library, self.kind, self.find, self.cut = library(name), kind, PIECES[kind].findall, SPLITS[kind].findall
         special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
-        self.tails = {c: tuple(self.library.encode(c, add_special_tokens=False).ids) for c in ".,"}
         self._clear()
 
     def _clear(self) -> None:
@@ -79,49 +94,15 @@ class PieceEncoder:
         self.size = np.zeros(1 << 16, np.int32)
         self.used = 0
 
-    def _split(self, text: str) -> list[str]:
-        if ODD_SPACE.search(text):
-            return self.find(text)
-        if self.kind == "word":
-            out = []
-            for line in text.split("\n"):
-                out += line.split(" ")
-            return out  # empty pieces have no ids
-        if "  " in text or " \n" in text or "\n\n" in text or text[-1:] in (" ", "\n"):
-            return self.find(text)
-        out = []
-        for k, line in enumerate(text.split("\n")):
-            words = line.split(" ")
-            if k:
-                out.append("\n")
-            if words[0]:
-                out.append(words[0])
-            out += [" " + w for w in words[1:]]
-        return out
+    def split(self, text: str) -> list[str]:
+        """The pieces of a text without special strings; their ids one behind the other are the text's."""
+        return self.find(text) if _OTHER.search(text) else self.cut(text.lower() if self.kind == "word" else text)
 
     def _learn(self) -> None:
-        """Ask the library for the pieces that wait, all in one call.
-
-        A letter and a comma or full stop behind it are always split, so such a piece needs only its
-        word; the white-space dropping vocabulary also folds the case of ASCII.
-        """
+        """Ask the library for the pieces that wait, all in one call."""
         waiting, self.slots.waiting = self.slots.waiting, []
         start = len(self.slots) - len(waiting)
-        asked: dict[str, int] = {}
-        plan = []
-        for piece in waiting:
-            base, tail = piece, ()
-            if len(piece) > 1 and piece[-1] in self.tails and piece[-2].isalpha():
-                base, tail = piece[:-1], self.tails[piece[-1]]
-            if self.kind == "word" and base.isascii():
-                base = base.lower()
-            known = self.slots.get(base, start) if base != piece else start
-            plan.append((known if known < start else None, asked.setdefault(base, len(asked)) if known >= start else 0, tail))
-        found = [e.ids for e in self.library.encode_batch(list(asked), add_special_tokens=False)]
-        lists = [
-            [*(found[ask] if known is None else self.flat[self.first[known] : self.first[known] + self.size[known]].tolist()), *tail] if tail or known is not None else found[ask]
-            for known, ask, tail in plan
-        ]
+        lists = [e.ids for e in self.library.encode_batch_fast(waiting, add_special_tokens=False)]
         sizes = np.fromiter(map(len, lists), np.int32, len(lists))
         ids = np.fromiter((i for x in lists for i in x), np.uint32, int(sizes.sum()))
         while self.used + len(ids) > len(self.flat):
@@ -145,7 +126,7 @@ class PieceEncoder:
             if self.special is not None and self.special.search(text):
                 rows.append(np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32))
             else:
-                rows.append(list(map(number, self._split(text))))
+                rows.append(list(map(number, self.split(text))))
         if self.slots.waiting:
             self._learn()
         return [r if isinstance(r, np.ndarray) else self._gather(r) for r in rows]

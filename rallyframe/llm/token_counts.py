@@ -1,7 +1,7 @@
 """Operator 3: exact token counts by a two-tier lookup on the map side.
 
-Tier one is a compact table of the lengths, in tokens, of the most frequent pieces (white-space led
-runs, whose ends are always pre-token ends), broadcast to all tasks.  Tier two is each Python
+Tier one is a compact table of the lengths, in tokens, of the most frequent pre-tokens (in a text with
+other than Latin characters: white-space led runs of them), broadcast to all tasks.  Tier two is each Python
 worker's own cache, filled by the library.  No piece is ever shuffled: to find the frequent ones,
 each task hands on only its own ``per_task`` most frequent, a summary of bounded size.  The table
 decides speed only; the counts are the library's for every text.  Pieces of more than ``LONGEST``
@@ -22,18 +22,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rallyframe.llm.common import hold_cache, id_text, parts_of
-from rallyframe.llm.pieces import PIECES, encoder, library
+from rallyframe.llm.pieces import encoder, library
 
 MOST_CACHED = 700_000
 #: Characters of a piece of tier one (so of at most four times as many tokens, within 16 bits).
 LONGEST = 1024
 
 
-def frequent_pieces(docs: DataFrame, per_task: int = 4096, keep: int = 16384) -> list[str]:
+def frequent_pieces(docs: DataFrame, vocabulary: str, per_task: int = 4096, keep: int = 16384) -> list[str]:
     """The ``keep`` most frequent pieces, by summaries of ``per_task`` from each task (all texts are counted)."""
 
     def run(batches):
-        find, seen = PIECES["byte"].findall, Counter()
+        find, seen = encoder(vocabulary, "byte").split, Counter()
         hold_cache("counts", seen.clear)
         for b in parts_of(batches, 0):
             for text in b.column(0).to_pylist():
@@ -52,7 +52,7 @@ class Table:
 
     def __init__(self, pieces: list[str], vocabulary: str):
         pieces = [p for p in pieces if "\0" not in p]
-        found = library(vocabulary).encode_batch(pieces, add_special_tokens=False)
+        found = library(vocabulary).encode_batch_fast(pieces, add_special_tokens=False)
         self.text, self.length = "\0".join(pieces), np.array([len(e.ids) for e in found], np.uint16)
         self.vocabulary = vocabulary
 
@@ -79,7 +79,7 @@ def _tier_two(vocabulary: str) -> _Lengths:
 def token_counts(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", limit: int = 1024) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for every row."""
     docs = id_text(docs)
-    table = docs.sparkSession.sparkContext.broadcast(Table(frequent_pieces(docs), vocabulary))
+    table = docs.sparkSession.sparkContext.broadcast(Table(frequent_pieces(docs, vocabulary), vocabulary))
 
     def run(batches):
         t = table.value
@@ -96,7 +96,7 @@ def token_counts(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", limit:
                 if enc.special is not None and enc.special.search(text):
                     counts[k] = len(enc.library.encode(text, add_special_tokens=False).ids)
                     continue
-                pieces = enc._split(text)
+                pieces = enc.split(text)
                 lengths = list(map(get, pieces))
                 rest = [p for p, n in zip(pieces, lengths) if n is None]
                 counts[k] = sum(filter(None, lengths))
@@ -106,7 +106,7 @@ def token_counts(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", limit:
                         two[p]
             if two.waiting:
                 waiting, two.waiting = two.waiting, []
-                for p, e in zip(waiting, enc.library.encode_batch(waiting, add_special_tokens=False)):
+                for p, e in zip(waiting, enc.library.encode_batch_fast(waiting, add_special_tokens=False)):
                     two[p] = len(e.ids)
             for k, rest in missed:
                 counts[k] += sum(map(two.__getitem__, rest))
