@@ -5,17 +5,21 @@ need one byte.  A document is stored as two byte strings: control bytes, each wi
 (1 to 4, less one, in two bits) of four values, low bits first; and the values' bytes, little-endian.
 Decoding is a lookup in a table of the lengths of each control byte, then numpy gathers.
 
-File format: a Parquet dataset, one row per document (``shard``, ``doc_id``, ``n_tokens``,
-``control``, ``data``); shards are ranges of doc_id in ascending order, one file each, rows within a
-shard in ascending doc_id order; beside it a table ``ranks`` (``rank``, ``id``).
+Texts are encoded where they are read, and the ids' counts leave the same tasks; only ids are shuffled,
+by ranges of doc_id, and a task packs and writes its whole range as one file.
 
-Defined cases: null or empty text: only the end id.  Null doc_id: first, in order of text.  Repeated
-doc_id: each row is written, in order of text.  Empty input: files without rows.
+File format: a folder ``ids`` of Parquet files ``part-00000`` and on, one per shard, a row per document
+(``shard``, ``doc_id``, ``at``: the shard's ids before it, ``n_tokens``, ``control``, ``data``).  Shards
+and the rows in them are in ascending doc_id order, so reading the files by name gives the documents in
+order.  Beside it a table ``ranks`` (``rank``, ``id``).
+
+Defined cases: null or empty text: only the end id.  Null doc_id: first.  Repeated doc_id: each row is
+written, in order of the ids' crc32; equal rows one after the other.  A doc_id of very many rows may go
+on in the next shard.  Empty input: no documents.  Extra columns are not read.
 """
 
 from __future__ import annotations
 
-import uuid
 import zlib
 
 import numpy as np
@@ -24,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rallyframe.llm.common import _base, id_text, parts, parts_of
+from rallyframe.llm.common import id_text, new_path, parts, parts_of, remove
 from rallyframe.llm.pieces import encoder
 
 END_ID = 1
@@ -58,33 +62,36 @@ def _ids(vocabulary: str):
     return lambda texts: [np.append(x, np.uint32(END_ID)) for x in enc.encode(texts)]
 
 
+INTERIM = "doc_id long, crc long, n_tokens long, raw binary, counted binary"
+
+
 def encode_ids(docs: DataFrame, vocabulary: str, path: str) -> DataFrame:
-    """Tokenize once, in ascending doc_id order, into an interim table of raw ids under ``path``.
+    """Tokenize each text once, where it is read: rows of (doc_id, crc, n_tokens, raw ids) and, from each task,
+    one of its ids' counts (``counted``: ids, then counts, as 64-bit integers; null in documents' rows).
 
-    The range shuffle moves the (compressed) texts; its sampling pass reads only the id column.
+    ``tie`` numbers the rows of the table, so that equal ones can be dealt to several shards.
     """
-    n = parts(docs.sparkSession)
 
     def run(batches):
-        ids = _ids(vocabulary)
-        for b in parts_of(batches, 2):
-            rows = ids(b.column(2).to_pylist())
+        ids, total = _ids(vocabulary), np.zeros(1 << 16, np.int64)
+        for b in parts_of(batches, 1):
+            rows = ids(b.column(1).to_pylist())
+            if not rows:
+                continue
+            got = np.bincount(np.concatenate(rows))
+            if len(got) > len(total):
+                total = np.concatenate([total, np.zeros(len(got) - len(total), np.int64)])
+            total[: len(got)] += got
             raw = [r.astype("<u2").tobytes() if int(r.max()) <= 0xFFFF else r.astype("<u4").tobytes() for r in rows]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array([len(r) for r in rows], pa.int64()), pa.array(raw, pa.binary())],
-                ["shard", "doc_id", "n_tokens", "raw"],
-            )
+            cols = [b.column(0), pa.array([zlib.crc32(r.astype("<u4").tobytes()) for r in rows], pa.int64()), pa.array([len(r) for r in rows], pa.int64()), pa.array(raw, pa.binary()), pa.nulls(len(rows), pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in INTERIM.split(", ")])
+        seen = np.flatnonzero(total)
+        if len(seen):
+            one = [None, None, None, None, np.concatenate([seen, total[seen]]).astype("<i8").tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(one, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))], [c.split()[0] for c in INTERIM.split(", ")])
 
-    (
-        id_text(docs)
-        .repartitionByRange(n, F.asc_nulls_first("doc_id"))
-        .sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
-        .select(F.spark_partition_id().alias("shard"), "doc_id", "text")
-        .mapInArrow(run, "shard int, doc_id long, n_tokens long, raw binary")
-        .write.option("compression", "zstd")
-        .parquet(path)
-    )
-    return docs.sparkSession.read.schema("shard int, doc_id long, n_tokens long, raw binary").parquet(path)
+    id_text(docs).mapInArrow(run, INTERIM).withColumn("tie", F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(path)
+    return docs.sparkSession.read.schema(f"{INTERIM}, tie long").parquet(path)
 
 
 def _wide(n: int, raw: bytes) -> np.ndarray:
@@ -92,30 +99,28 @@ def _wide(n: int, raw: bytes) -> np.ndarray:
 
 
 def id_counts(interim: DataFrame) -> DataFrame:
-    """(id, count) over all documents; each task sends at most one row per vocabulary entry."""
+    """(id, n) over all documents, of the tasks' counts; one row of them per vocabulary entry and task."""
 
     def run(batches):
-        total = np.zeros(1 << 16, np.int64)
         for b in batches:
-            for n, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                got = np.bincount(_wide(n, raw))
-                if len(got) > len(total):
-                    total = np.concatenate([total, np.zeros(len(got) - len(total), np.int64)])
-                total[: len(got)] += got
-        ids = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total[ids], pa.int64())], ["id", "n"])
+            for raw in b.column(0).to_pylist():
+                ids, n = np.frombuffer(raw, "<i8").reshape(2, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n)], ["id", "n"])
 
-    return interim.select("n_tokens", "raw").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return interim.where("counted is not null").select("counted").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+
+
+FILES = "shard int, doc_id long, at long, n_tokens long, control binary, data binary"
 
 
 def write_ids(docs: DataFrame, path: str, vocabulary: str = "word_bpe_49k.json") -> None:
     """Write ``docs`` (doc_id, text) to the file format under ``path``.
 
-    Tokenizes each text once; the rank table is bounded by the vocabulary, so it alone is gathered
-    on the driver and broadcast.
+    The rank table is bounded by the vocabulary, so it alone is gathered on the driver and broadcast.
     """
     spark = docs.sparkSession
-    interim = encode_ids(docs, vocabulary, f"{path}/interim")
+    raw_path = new_path(spark, "ids-raw")
+    interim = encode_ids(docs, vocabulary, raw_path)
     ranked = id_counts(interim).orderBy(F.desc("n"), "id").select("id").collect()
     ids = np.array([r[0] for r in ranked], np.int64)
     to_rank = np.zeros(int(ids.max()) + 1 if len(ids) else 1, np.uint32)
@@ -124,18 +129,25 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str = "word_bpe_49k.json")
     spark.createDataFrame([(k, int(i)) for k, i in enumerate(ids)], "rank int, id int").coalesce(1).write.parquet(f"{path}/ranks")
 
     def run(batches):
+        at = 0
         for b in batches:
-            packed = [pack(table.value[_wide(n, raw)]) for n, raw in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            sizes = b.column(2).to_numpy()
+            packed = [pack(table.value[_wide(n, raw)]) for n, raw in zip(sizes.tolist(), b.column(3).to_pylist())]
+            before = at + np.cumsum(sizes) - sizes
+            at += int(sizes.sum())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), b.column(2), pa.array([c for c, _ in packed], pa.binary()), pa.array([d for _, d in packed], pa.binary())],
-                ["shard", "doc_id", "n_tokens", "control", "data"],
+                [b.column(0), b.column(1), pa.array(before, pa.int64()), b.column(2), pa.array([c for c, _ in packed], pa.binary()), pa.array([d for _, d in packed], pa.binary())],
+                [c.split()[0] for c in FILES.split(", ")],
             )
 
-    interim.mapInArrow(run, "shard int, doc_id long, n_tokens long, control binary, data binary").write.option("compression", "zstd").parquet(f"{path}/ids")
+    order = (F.asc_nulls_first("doc_id"), "crc", "tie")
+    shards = interim.where("counted is null").drop("counted").repartitionByRange(parts(spark), *order).sortWithinPartitions(*order)
+    shards.select(F.spark_partition_id().alias("shard"), "doc_id", "n_tokens", "raw").mapInArrow(run, FILES).write.option("compression", "zstd").parquet(f"{path}/ids")
+    remove(spark, raw_path)
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """(shard, doc_id, at, n_tokens, ids array<int>) of the files, ``at`` the row's place in its shard's file order."""
+    """(shard, doc_id, at, n_tokens, ids array<int>) of the files."""
     return _decoded(spark, path, lambda ids: ids.astype(np.int32).tolist(), "array<int>", pa.list_(pa.int32()))
 
 
@@ -144,41 +156,33 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
     return _decoded(spark, path, lambda ids: zlib.crc32(ids.astype("<u4").tobytes()), "long", pa.int64())
 
 
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(FILES).parquet(f"{path}/ids")
+
+
 def _decoded(spark, path, last, sql_type, arrow_type):
     ranks = spark.read.schema("rank int, id int").parquet(f"{path}/ranks").orderBy("rank").select("id").collect()
     table = spark.sparkContext.broadcast(np.array([r[0] for r in ranks], np.uint32))
 
     def run(batches):
         for b in batches:
-            n, c, d = (b.column(k).to_pylist() for k in (2, 3, 4))
+            n, c, d = (b.column(k).to_pylist() for k in (3, 4, 5))
             out = [last(table.value[unpack(*x)]) for x in zip(n, c, d)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(out, arrow_type)], ["shard", "doc_id", "n_tokens", "ids"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(out, arrow_type)], ["shard", "doc_id", "at", "n_tokens", "ids"])
 
-    files = spark.read.schema("shard int, doc_id long, n_tokens long, control binary, data binary").parquet(f"{path}/ids")
-    return files.mapInArrow(run, f"shard int, doc_id long, n_tokens long, ids {sql_type}")
+    return _files(spark, path).mapInArrow(run, f"shard int, doc_id long, at long, n_tokens long, ids {sql_type}")
 
 
-def with_starts(decoded: DataFrame) -> DataFrame:
-    """Adds ``start``: the ids of all documents before it.  Shards are summed first, so a running sum never spans more than one shard."""
-    shards = decoded.groupBy("shard").agg(F.sum("n_tokens").alias("shard_tokens"))
-    before = shards.select(
-        "shard",
-        (F.sum("shard_tokens").over(Window.orderBy("shard")) - F.col("shard_tokens")).alias("shard_start"),
-    )
-    w = Window.partitionBy("shard").orderBy(F.asc_nulls_first("doc_id"), "n_tokens", "ids").rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        decoded.join(before, "shard")
-        .withColumn("start", F.col("shard_start") + F.sum("n_tokens").over(w) - F.col("n_tokens"))
-        .drop("shard_start")
-    )
+def starts(spark: SparkSession, path: str) -> DataFrame:
+    """(shard, first): the ids of all shards before each; as many rows as files."""
+    shards = _files(spark, path).groupBy("shard").agg(F.sum("n_tokens").alias("n"))
+    return shards.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("first"))
 
 
 def token_output(docs: DataFrame, vocabulary: str = "word_bpe_49k.json") -> DataFrame:
-    """Write the files to a new folder of the shared directory, read them back, return the digests."""
+    """Write the files to a new folder of the shared directory, read them back: doc_id, start, n_tokens, ids_crc32."""
     spark = docs.sparkSession
-    path = f"{_base(spark)}/ids-{uuid.uuid4().hex[:12]}"
+    path = new_path(spark, "ids")
     write_ids(docs, path, vocabulary)
-    from rallyframe.llm.common import materialise
-
-    read = materialise(read_digests(spark, path), "ids-read")
-    return with_starts(read).select("doc_id", F.col("start").cast("long"), "n_tokens", F.col("ids").alias("ids_crc32"))
+    read = read_digests(spark, path).join(F.broadcast(starts(spark, path)), "shard")
+    return read.select("doc_id", (F.col("first") + F.col("at")).cast("long").alias("start"), "n_tokens", F.col("ids").alias("ids_crc32"))

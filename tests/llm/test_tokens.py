@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
@@ -24,6 +25,8 @@ ODD = [
     "x" * 20000,
     "A, b. C,d .e ,f",
     "É. ñ, ß.",
+    "İstanbul ΣΑΣ H\u0331 E\u0301 \u1e96 İ's DON'T 'S 'RE² ½x ªº",
+    "x\x85y\xa0z\x1cw  \n\n  A1b2 'll''s ''S",
 ]
 
 
@@ -61,14 +64,31 @@ def test_variable_length_round_trip():
         assert (unpack(n, *pack(v)) == v).all()
 
 
-def test_files_are_in_order(spark, docs, tmp_path):
+def test_files_are_in_order(spark, docs, texts, tmp_path):
+    """Reading every file by name and row gives the documents in ascending order."""
     write_ids(docs, str(tmp_path / "f"))
-    rows = read_ids(spark, str(tmp_path / "f")).collect()
-    by_shard: dict = {}
-    for r in rows:
-        by_shard.setdefault(r["shard"], []).append(r["doc_id"])
-    flat = [i for s in sorted(by_shard) for i in by_shard[s]]
-    assert flat == sorted(flat)
+    rows = []
+    for name in sorted(p.name for p in (tmp_path / "f" / "ids").glob("part-*.parquet")):
+        rows += pq.read_table(tmp_path / "f" / "ids" / name).to_pylist()
+    assert [r["doc_id"] for r in rows] == sorted(i for i, _ in texts)
+    assert [r["shard"] for r in rows] == sorted(r["shard"] for r in rows) and len({r["shard"] for r in rows}) > 1
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    by_id = dict(texts)
+    for r in read_ids(spark, str(tmp_path / "f")).collect():
+        assert r["ids"] == [*t.encode(by_id[r["doc_id"]] or "", add_special_tokens=False).ids, 1]
+
+
+def test_repeated_ids_start_where_they_stand(spark, tmp_path):
+    rows = [(1, "a a a a a a a a"), (1, "b"), (None, "c d"), (2, None), (1, "b"), (None, "e")] + [(7, f"x {k}") for k in range(40)]
+    docs = spark.createDataFrame([(i, t, 5) for i, t in rows], "doc_id long, text string, at int").repartition(3)
+    write_ids(docs, str(tmp_path / "f"))
+    stored, at = [], 0
+    for name in sorted(p.name for p in (tmp_path / "f" / "ids").glob("part-*.parquet")):
+        for r in pq.read_table(tmp_path / "f" / "ids" / name).to_pylist():
+            stored.append((r["doc_id"], at, r["n_tokens"]))
+            at += r["n_tokens"]
+    got = [(r["doc_id"], r["start"], r["n_tokens"]) for r in token_output(docs).collect()]
+    assert sorted(got, key=lambda x: x[1]) == stored and len(stored) == len(rows)
 
 
 def test_token_counts_are_the_librarys(docs, texts):
