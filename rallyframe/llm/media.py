@@ -11,11 +11,15 @@ mutually nearest descriptors agree on one.
 A query set is compared with all rows; the index holds every row.  Corners per scale (``STRONGEST`` for a
 picture of ``AREA`` pixels, more in proportion for a larger one) are part of the detector.  Defined cases:
 images with null or too few pixels, or smaller than a patch, or without corners, have no descriptors and
-match nothing; repeated rows belong to one class; null ids are not searched and their class is null.
+match nothing; repeated rows belong to one class; different images of one id are each searched and found;
+null ids are not searched and their class is null; extra columns are not read.
 """
 
 from __future__ import annotations
 
+import math
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -24,22 +28,54 @@ from pyspark.sql import functions as F
 
 from rallyframe.llm.common import materialise, parts_of
 
-RADIUS, STRONGEST, AREA = 7, 16, 96 * 96
+RADIUS, STRONGEST, AREA = 9, 32, 96 * 96
 SCALES = (1.0, 1.5, 2.0)
 BITS, TABLES = 240, 12
 CHUNK = BITS // TABLES
 #: Votes (distinct query corners that agree) of a candidate; Hamming distance of a match; places that agree, at least.
-VOTES, FARTHEST, LEAST_INLIERS = 3, 64, 7
+VOTES, FARTHEST, LEAST_INLIERS = 3, 52, 6
 #: How far agreeing matches may differ: pixels, radians, logarithm of the scale.
 TOLERANCE, TURN, ZOOM = 3.5, 0.4, 0.3
+#: Pictures that are drawn, edited or described in one go.
+AT_A_TIME = 128
+
+
+def _tests(smooth: float = 2.5, pool: int = 1500) -> np.ndarray:
+    """The binary tests' pairs of places, (BITS, 2, 2), in a disc around the corner, its orientation along the first axis.
 
-_rng = np.random.default_rng(11)
-#: The binary tests' pairs of places, in a disc around the corner.  They lie across the orientation: along it,
-#: which place is brighter is known beforehand, and such bits tell no corners apart.
-_POLAR = (_rng.uniform(0, 1, (BITS * 40, 2)) ** 0.5 * (RADIUS - 0.5), _rng.uniform(0, 2 * np.pi, (BITS * 40, 2)))
-_PLACES = np.stack([_POLAR[0] * np.cos(_POLAR[1]), _POLAR[0] * np.sin(_POLAR[1])], -1).astype(np.float32)
-_ALONG, _ACROSS = np.abs(_PLACES[:, 1] - _PLACES[:, 0]).T
-_PLACES = _PLACES[(_ALONG < 0.35 * _ACROSS) & (np.hypot(_ALONG, _ACROSS) > 2)][:BITS]
+    Patches are taken for a smooth random field (covariance ``exp(-r**2 / (2 * smooth**2))``) whose first moments,
+    which the orientation takes up, are known.  Of random pairs, those count that vary most then and whose sign
+    the orientation doesn't tell; each chunk takes, one by one, the test least correlated with those it has,
+    so that unlike corners seldom share a chunk.
+    """
+    rng = np.random.default_rng(11)
+    r, a = rng.uniform(0, 1, (pool, 2)) ** 0.5 * (RADIUS - 0.5), rng.uniform(0, 2 * np.pi, (pool, 2))
+    places = np.stack([r * np.cos(a), r * np.sin(a)], -1)
+    places = places[np.hypot(*(places[:, 1] - places[:, 0]).T) > 2]
+    y, x = np.mgrid[-RADIUS : RADIUS + 1, -RADIUS : RADIUS + 1]
+    disc = np.stack([x, y], -1)[x**2 + y**2 <= RADIUS**2].astype(float)
+    k = lambda p, q: np.exp(-((p[:, None] - q[None]) ** 2).sum(-1) / (2 * smooth**2))
+    one, two = places[:, 0], places[:, 1]
+    moments, own = (k(one, disc) - k(two, disc)) @ disc, disc.T @ k(disc, disc) @ disc
+    covariance = k(one, one) - k(one, two) - k(two, one) + k(two, two) - moments @ np.linalg.solve(own, moments.T)
+    spread = np.sqrt(np.diag(covariance))
+    told = np.abs(moments[:, 0]) / np.sqrt(own[0, 0]) / spread
+    free = (spread > np.quantile(spread, 0.3)) & (told < 0.35)
+    alike = (covariance / np.outer(spread, spread)) ** 2
+    chosen: list[int] = []
+    every = np.zeros(len(places))
+    for _ in range(TABLES):
+        chunk = np.zeros(len(places))
+        for _ in range(CHUNK):
+            c = int(np.where(free, chunk + 0.05 * every / max(1, len(chosen)), np.inf).argmin())
+            free[c] = False
+            chosen.append(c)
+            chunk += alike[c]
+            every += alike[c]
+    return places[chosen].astype(np.float32)
+
+
+_PLACES = _tests()
 _GRID = np.mgrid[-RADIUS : RADIUS + 1, -RADIUS : RADIUS + 1]
 _DISC = (_GRID[0] ** 2 + _GRID[1] ** 2 <= RADIUS**2).astype(np.float32)
 
@@ -100,8 +136,9 @@ def corners(stack: np.ndarray) -> dict[str, np.ndarray]:
         patch = smooth[image[:, None, None], y[:, None, None] + _GRID[0], z[:, None, None] + _GRID[1]] * _DISC
         angle = np.arctan2((patch * _GRID[0]).sum((1, 2)), (patch * _GRID[1]).sum((1, 2)))
         cos, sin = np.cos(angle)[:, None, None], np.sin(angle)[:, None, None]
-        px = np.rint(_PLACES[None, :, :, 0] * cos - _PLACES[None, :, :, 1] * sin).astype(int)
-        py = np.rint(_PLACES[None, :, :, 0] * sin + _PLACES[None, :, :, 1] * cos).astype(int)
+        cos, sin = cos.astype(np.float32), sin.astype(np.float32)
+        px = np.rint(_PLACES[None, :, :, 0] * cos - _PLACES[None, :, :, 1] * sin).astype(np.int16)
+        py = np.rint(_PLACES[None, :, :, 0] * sin + _PLACES[None, :, :, 1] * cos).astype(np.int16)
         value = smooth[image[:, None, None], y[:, None, None] + py, z[:, None, None] + px]
         for k, v in zip(found, (image, z * scale, y * scale, np.full(len(z), scale), angle, value[:, :, 0] < value[:, :, 1])):
             found[k].append(v)
@@ -132,7 +169,7 @@ def descriptors(images: DataFrame, id_col: str = "image_id") -> DataFrame:
                     by_shape.setdefault((h, w), []).append(k)
             out: list = [(b"", b"")] * len(ids)
             for (h, w), members in by_shape.items():
-                step = max(1, 2_000_000 // (h * w))
+                step = max(1, min(AT_A_TIME, 2_000_000 // (h * w)))
                 for at in range(0, len(members), step):
                     part = members[at : at + step]
                     c = corners(np.stack([np.frombuffer(raws[k], np.uint8).reshape(h, w) for k in part]))
@@ -208,18 +245,20 @@ class Queries:
             seen.append(_distinct(q[near] * len(packed) + i[near]))
             start = stop
         q, i = np.divmod(_distinct(np.concatenate(seen)) if seen else np.zeros(0, np.int64), len(packed))
-        owner = self.owner[q]  # ascending, as q is
+        owner = self.owner[q]
         distinct = np.bincount(owner[np.flatnonzero(np.diff(q, prepend=-1))], minlength=len(self.rows))
         count = np.bincount(owner, minlength=len(self.rows))
         found = [np.flatnonzero(count > MANY)]
-        left = ((count <= MANY) & (distinct >= VOTES))[owner]
-        q, i, owner = q[left], i[left], owner[left]
-        gq, gi = self.geometry[q].astype(float), geometry[i].astype(float)
+        left = np.flatnonzero(((count <= MANY) & (distinct >= VOTES))[owner])
         # votes by query and turn: those that agree stand in bins next to each other
-        turn = (gi[:, 3] - gq[:, 3]) % (2 * np.pi)
+        q, i, owner = q[left], i[left], owner[left]
+        turn = (geometry[i, 3].astype(float) - self.geometry[q, 3]) % (2 * np.pi)
         here = np.minimum((turn * (TURNS / (2 * np.pi))).astype(np.int64), TURNS - 1)
-        order = np.argsort(owner * TURNS + here, kind="stable")
-        q, owner, here, turn, gq, gi = (x[order] for x in (q, owner, here, turn, gq, gi))
+        bins = np.bincount(owner * TURNS + here, minlength=len(self.rows) * TURNS).reshape(-1, TURNS)
+        left = np.flatnonzero((bins + np.roll(bins, 1, 1) + np.roll(bins, -1, 1) >= VOTES)[owner, here])
+        left = left[np.argsort(owner[left] * TURNS + here[left], kind="stable")]
+        q, i, owner, here, turn = (x[left] for x in (q, i, owner, here, turn))
+        gq, gi = self.geometry[q].astype(float), geometry[i].astype(float)
         key = owner * TURNS + here
         scale = gi[:, 2] / gq[:, 2]
         cos, sin, zoom = scale * np.cos(turn), scale * np.sin(turn), np.log(scale)
@@ -263,7 +302,7 @@ def blocks(asked: DataFrame, size: int | None = None):
 
 
 def consensus(gq: np.ndarray, bq: np.ndarray, gi: np.ndarray, bi: np.ndarray) -> tuple[int, float, float, float, float]:
-    """(inliers, dx, dy, scale, angle) of the best similarity transform from the query's matches to the image's."""
+    """(inliers, dx, dy, scale, angle) of the similarity transform from the query to the image with which most mutually nearest corners agree."""
     x, z = bq.astype(np.float32), bi.astype(np.float32)
     distance = x.sum(1)[:, None] + z.sum(1) - 2 * (x @ z.T)
     to, back = distance.argmin(1), distance.argmin(0)
@@ -286,9 +325,9 @@ def consensus(gq: np.ndarray, bq: np.ndarray, gi: np.ndarray, bi: np.ndarray) ->
         if counts.max() > best:
             best, k = int(counts.max()), at + int(counts.argmax())
             agreed = agree[k - at]
-    # corners found at several scales in one place count once
-    places = {(round(a / TOLERANCE), round(b / TOLERANCE)) for a, b in i[agreed, :2]}
-    return len(places), float(tx[k]), float(ty[k]), float(scale[k]), float(angle[k])
+    # corners found at several scales in one place count once, on either side
+    places = min(len({(round(a / TOLERANCE), round(b / TOLERANCE)) for a, b in g[agreed, :2]}) for g in (q, i))
+    return places, float(tx[k]), float(ty[k]), float(scale[k]), float(angle[k])
 
 
 PAIRS = "query_id long, image_id long, members long, inliers long, dx double, dy double, scale double, angle double"
@@ -346,54 +385,69 @@ def copies_and_classes(queries: DataFrame, images: DataFrame) -> DataFrame:
     return pairs.withColumn("class_id", F.col("image_id")).unionByName(rows, allowMissingColumns=True)
 
 
-#: Rendering of a vector of 64 numbers: an 8 by 8 grid of cells of 12 by 12 pixels, each with 4 by 4 grains.
-SIDE, CELL, GRAIN = 8, 12, 4
-#: Pictures drawn in one go: a batch of 10,000 would take over a GB.
-AT_A_TIME = 256
+#: Rendering of a vector: a square grid of cells of 12 by 12 pixels, each with 4 by 4 grains.
+CELL, GRAIN = 12, 4
 
 
-def _enlarging() -> np.ndarray:
-    """Cubic interpolation weights, (SIDE * CELL, SIDE)."""
-    out = np.zeros((SIDE * CELL, SIDE), np.float32)
-    for p in range(SIDE * CELL):
+@lru_cache(maxsize=8)
+def _enlarging(side: int = 8) -> np.ndarray:
+    """Cubic interpolation weights, (side * CELL, side)."""
+    out = np.zeros((side * CELL, side), np.float32)
+    for p in range(side * CELL):
         x = (p + 0.5) / CELL - 0.5
         k = int(np.floor(x))
         for m in range(k - 1, k + 3):
             d = abs(x - m)
             w = 1.5 * d**3 - 2.5 * d**2 + 1 if d < 1 else -0.5 * d**3 + 2.5 * d**2 - 4 * d + 2 if d < 2 else 0
-            out[p, min(max(m, 0), SIDE - 1)] += w
+            out[p, min(max(m, 0), side - 1)] += w
     return out
 
 
-def drawn(grids: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Pictures of rows of 64 numbers: smooth grey levels, and in each cell a grain that its number's bits decide."""
+def drawn(grids: np.ndarray) -> np.ndarray:
+    """Pictures of rows of side * side numbers: smooth grey levels, and in each cell a grain that its number's bits decide."""
+    side = round(grids.shape[1] ** 0.5)
+    weights = _enlarging(side)
     z = (grids - grids.mean(1, keepdims=True)) / (grids.std(1, keepdims=True) + 1e-9)
-    smooth = np.einsum("pi,bij,qj->bpq", weights, z.reshape(-1, SIDE, SIDE), weights, optimize=True)
-    bits = np.ascontiguousarray(grids, np.float32).view(np.uint32).astype(np.uint64).reshape(-1, SIDE, 1, SIDE, 1)
+    smooth = np.einsum("pi,bij,qj->bpq", weights, z.reshape(-1, side, side), weights, optimize=True)
+    bits = np.ascontiguousarray(grids, np.float32).view(np.uint32).astype(np.uint64).reshape(-1, side, 1, side, 1)
     grain = np.arange(GRAIN * GRAIN, dtype=np.uint64).reshape(1, 1, GRAIN, 1, GRAIN)
     h = (bits * np.uint64(GRAIN * GRAIN) + grain) * np.uint64(0x9E3779B97F4A7C15)
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    tone = ((h >> np.uint64(40)).astype(np.float32) / (1 << 23) - 1).reshape(-1, SIDE * GRAIN, SIDE * GRAIN)
+    tone = ((h >> np.uint64(40)).astype(np.float32) / (1 << 23) - 1).reshape(-1, side * GRAIN, side * GRAIN)
     tone = tone.repeat(CELL // GRAIN, 1).repeat(CELL // GRAIN, 2)
     return np.clip(np.rint(128 + 30 * smooth + 40 * tone), 0, 255).astype(np.uint8)
 
 
+IMAGES = "image_id long, height int, width int, pixels binary"
+
+
+def _images(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, kinds)], [c.split()[0] for c in IMAGES.split(", ")])
+
+
 def rendered(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """image_id, height, width, pixels: each vector's numbers drawn as a grey picture."""
-    weights = _enlarging()
+    """image_id, height, width, pixels: all of each vector's numbers drawn as a grey picture.
+
+    The grid is 8 by 8, or larger for a longer vector, filled up with zeros; null, infinite and missing numbers
+    are zeros, so a null vector is an even picture.
+    """
 
     def run(batches):
-        n = SIDE * CELL
         for b in (b.slice(k, AT_A_TIME) for b in batches for k in range(0, b.num_rows, AT_A_TIME)):
-            grids = np.zeros((b.num_rows, SIDE * SIDE), np.float32)
+            rows: list = [None] * b.num_rows
+            by_side: dict = {}
             for k, v in enumerate(b.column(1).to_pylist()):
-                v = np.nan_to_num(np.array([x if x is not None else 0 for x in v or ()][: SIDE * SIDE], np.float32))
-                grids[k, : len(v)] = v
-            pixels = drawn(grids, weights)
-            size = pa.array(np.full(b.num_rows, n, np.int32))
-            yield pa.RecordBatch.from_arrays([b.column(0), size, size, pa.array([p.tobytes() for p in pixels], pa.binary())], ["image_id", "height", "width", "pixels"])
+                by_side.setdefault(max(8, math.isqrt(max(0, len(v or ()) - 1)) + 1), []).append((k, v or ()))
+            for side, members in by_side.items():
+                grids = np.zeros((len(members), side * side), np.float32)
+                for g, (_, v) in zip(grids, members):
+                    g[: len(v)] = np.nan_to_num(np.array([0 if x is None else x for x in v], np.float32), posinf=0, neginf=0)
+                for (k, _), p in zip(members, drawn(grids)):
+                    rows[k] = (b.column(0)[k].as_py(), *p.shape, p.tobytes())
+            yield _images(rows)
 
-    return vectors.select(F.col(id_col).cast("long").alias("image_id"), F.col(vector_col)).mapInArrow(run, "image_id long, height int, width int, pixels binary")
+    return vectors.select(F.col(id_col).cast("long").alias("image_id"), F.col(vector_col)).mapInArrow(run, IMAGES)
 
 
 def warped(x: np.ndarray, turn: float, zoom: float) -> np.ndarray:
@@ -408,33 +462,38 @@ def warped(x: np.ndarray, turn: float, zoom: float) -> np.ndarray:
     return x[i, j] * (1 - u) * (1 - v) + x[i + 1, j] * u * (1 - v) + x[i, j + 1] * (1 - u) * v + x[i + 1, j + 1] * u * v
 
 
-EDITS = ("right", "turned", "rescaled", "blurred")
+EDITS = ("right", "turned", "rescaled", "blurred", "cropped")
 
 
 def edited(images: DataFrame, keep: float = 0.8, kind: str | None = None) -> DataFrame:
-    """Deterministic edits of images: a crop (place by id), then one of EDITS (``kind``, or by id), other brightness and contrast, light noise."""
+    """Deterministic edits of images: a crop (place by id) to ``keep`` of each side, then one of EDITS (``kind``, or by id; ``cropped`` is
+    a crop to 0.6 alone), other brightness and contrast, light noise.  Images without whole pixels stay as they are; a null id counts as 0."""
+
+    def edit(i, h, w, raw):
+        if not h or not w or raw is None or len(raw) != h * w:
+            return i, h, w, raw
+        x = np.frombuffer(raw, np.uint8).reshape(h, w).astype(np.float32)
+        rng = np.random.default_rng(abs(i or 0))
+        how = kind or EDITS[int(rng.integers(0, len(EDITS)))]
+        ch, cw = (max(1, int(n * (0.6 if how == "cropped" else keep))) for n in (h, w))
+        top, left = rng.integers(0, h - ch + 1), rng.integers(0, w - cw + 1)
+        x = x[top : top + ch, left : left + cw]
+        if min(x.shape) < 2:
+            return i, *x.shape, x.astype(np.uint8).tobytes()
+        if how == "right":
+            x = np.rot90(x, int(rng.integers(0, 4)))
+        elif how == "turned":
+            x = warped(x, rng.uniform(-np.pi, np.pi), 1.0)
+        elif how == "rescaled":
+            x = warped(x, 0.0, rng.uniform(0.7, 1.5))
+        elif how == "blurred":
+            x = _blur(_blur(x[None]))[0]
+        x = np.clip(np.rint(x * 0.85 + 12 + rng.normal(0, 2, x.shape)), 0, 255).astype(np.uint8)
+        return i, *x.shape, x.tobytes()
 
     def run(batches):
-        for b in parts_of(batches, 3):
-            out = []
-            for i, h, w, raw in zip(*(b.column(k).to_pylist() for k in range(4))):
-                x = np.frombuffer(raw, np.uint8).reshape(h, w).astype(np.float32)
-                rng = np.random.default_rng(abs(i))
-                ch, cw = int(h * keep), int(w * keep)
-                top, left = rng.integers(0, h - ch + 1), rng.integers(0, w - cw + 1)
-                x = x[top : top + ch, left : left + cw]
-                how = kind or EDITS[int(rng.integers(0, len(EDITS)))]
-                if how == "right":
-                    x = np.rot90(x, int(rng.integers(0, 4)))
-                elif how == "turned":
-                    x = warped(x, rng.uniform(-np.pi, np.pi), 1.0)
-                elif how == "rescaled":
-                    x = warped(x, 0.0, rng.uniform(0.75, 1.5))
-                else:
-                    x = _blur(_blur(x[None]))[0]
-                x = np.clip(np.rint(x * 0.85 + 12 + rng.normal(0, 2, x.shape)), 0, 255).astype(np.uint8)
-                out.append((i, *x.shape, x.tobytes()))
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 4, kinds)], ["image_id", "height", "width", "pixels"])
-
-    return images.mapInArrow(run, "image_id long, height int, width int, pixels binary")
+        for b in (b.slice(k, AT_A_TIME) for b in batches for k in range(0, b.num_rows, AT_A_TIME)):
+            yield _images([edit(*r) for r in zip(*(b.column(k).to_pylist() for k in range(4)))])
+
+    named = images.select(F.col("image_id").cast("long").alias("image_id"), F.col("height").cast("int"), F.col("width").cast("int"), "pixels")
+    return named.mapInArrow(run, IMAGES)
