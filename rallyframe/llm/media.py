@@ -33,7 +33,7 @@ SCALES = (1.0, 1.5, 2.0)
 BITS, TABLES = 240, 12
 CHUNK = BITS // TABLES
 #: Votes (distinct query corners that agree) of a candidate; Hamming distance of a match; places that agree, at least.
-VOTES, FARTHEST, LEAST_INLIERS = 3, 52, 6
+VOTES, FARTHEST, LEAST_INLIERS = 4, 52, 6
 #: How far agreeing matches may differ: pixels, radians, logarithm of the scale.
 TOLERANCE, TURN, ZOOM = 3.5, 0.4, 0.3
 #: Pictures that are drawn, edited or described in one go.
@@ -186,8 +186,9 @@ def descriptors(images: DataFrame, id_col: str = "image_id") -> DataFrame:
     return named.mapInArrow(run, FEATURES)
 
 
-def unpacked(bits: bytes) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(bits, np.uint8).reshape(-1, BITS // 8), axis=1)
+def rows_of(bits: bytes) -> np.ndarray:
+    """The packed bits, a row per corner."""
+    return np.frombuffer(bits, np.uint8).reshape(-1, BITS // 8)
 
 
 #: Query corners of a broadcast block (about 60 bytes each); pairs of votes looked at in one go; votes from which a pair is a candidate unseen.
@@ -197,8 +198,16 @@ TURNS = int(2 * np.pi / TURN)
 
 
 def _words(bits: np.ndarray) -> np.ndarray:
-    """Packed descriptors (bytes a row) as whole 64-bit words, for counting differences."""
-    return np.pad(bits, [(0, 0), (0, -bits.shape[1] % 8)]).view(np.uint64)
+    """Packed descriptors (bytes a row) as 64-bit words, (words, corners), for counting differences."""
+    return np.ascontiguousarray(np.pad(bits, [(0, 0), (0, -bits.shape[1] % 8)]).view(np.uint64).T)
+
+
+def _differences(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Numbers of different bits (at most 255) of words laid out alike, or broadcast against each other."""
+    total = np.bitwise_count(x[0] ^ y[0])
+    for a, b in zip(x[1:], y[1:]):
+        total = total + np.bitwise_count(a ^ b)
+    return total
 
 
 def _distinct(x: np.ndarray) -> np.ndarray:
@@ -217,23 +226,25 @@ class Queries:
         return {"rows": self.rows, "tables": None}
 
     def prepare(self) -> None:
-        packed = [np.frombuffer(b, np.uint8).reshape(-1, BITS // 8) for _, _, b in self.rows]
+        packed = [rows_of(b) for _, _, b in self.rows]
         self.owner = np.repeat(np.arange(len(packed)), [len(p) for p in packed])
         every = np.concatenate(packed)
         self.words = _words(every)
         self.geometry = np.concatenate([np.frombuffer(g, "<f4").reshape(-1, 4) for _, g, _ in self.rows])
         keys = chunks(np.unpackbits(every, axis=1)).ravel()
         order = np.argsort(keys, kind="stable")
-        self.tables = keys[order], order // TABLES
+        keys = keys[order]
+        ends = np.flatnonzero(np.diff(keys, append=-1)) + 1
+        self.tables = keys, order // TABLES, np.repeat(ends, np.diff(ends, prepend=0))
 
     def candidates(self, geometry: np.ndarray, packed: np.ndarray) -> np.ndarray:
         """The numbers of the queries of which VOTES corners share a chunk with a near corner of the image and agree on a transform."""
         if self.tables is None:
             self.prepare()
-        keys, corner = self.tables
+        keys, corner, end = self.tables
         mine = chunks(np.unpackbits(packed, axis=1)).ravel()
-        lo = np.searchsorted(keys, mine, "left")
-        many = np.searchsorted(keys, mine, "right") - lo
+        lo = np.minimum(np.searchsorted(keys, mine, "left"), len(keys) - 1)
+        many = np.where(keys[lo] == mine, end[lo] - lo, 0)
         words, ends, seen, start = _words(packed), np.cumsum(many), [], 0
         while start < len(mine):  # a slice of the keys at a time, so that common ones need no more memory
             stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + AT_ONCE, "right")))
@@ -241,7 +252,7 @@ class Queries:
             k = np.repeat(np.arange(start, stop), n)
             q = corner[np.repeat(lo[start:stop] - np.cumsum(n) + n, n) + np.arange(n.sum())]
             i = k // TABLES
-            near = np.bitwise_count(self.words[q] ^ words[i]).sum(1, dtype=np.int64) <= FARTHEST
+            near = _differences([w[q] for w in self.words], [w[i] for w in words]) <= FARTHEST
             seen.append(_distinct(q[near] * len(packed) + i[near]))
             start = stop
         q, i = np.divmod(_distinct(np.concatenate(seen)) if seen else np.zeros(0, np.int64), len(packed))
@@ -280,10 +291,10 @@ class Queries:
             a, b = a[keep], b[keep]
             turned = np.abs(turn[a] - turn[b])
             keep = np.minimum(turned, 2 * np.pi - turned) <= TURN
-            agreed.append(a[keep] * len(self.words) + q[b[keep]])
+            agreed.append(a[keep] * len(self.owner) + q[b[keep]])
             start = stop
         if agreed:
-            voted = _distinct(np.concatenate(agreed)) // len(self.words)
+            voted = _distinct(np.concatenate(agreed)) // len(self.owner)
             found.append(owner[np.flatnonzero(np.bincount(voted) >= VOTES)])
         return np.unique(np.concatenate(found))
 
@@ -302,9 +313,11 @@ def blocks(asked: DataFrame, size: int | None = None):
 
 
 def consensus(gq: np.ndarray, bq: np.ndarray, gi: np.ndarray, bi: np.ndarray) -> tuple[int, float, float, float, float]:
-    """(inliers, dx, dy, scale, angle) of the similarity transform from the query to the image with which most mutually nearest corners agree."""
-    x, z = bq.astype(np.float32), bi.astype(np.float32)
-    distance = x.sum(1)[:, None] + z.sum(1) - 2 * (x @ z.T)
+    """(inliers, dx, dy, scale, angle) of the similarity transform from the query to the image with which most mutually nearest corners agree.
+
+    ``gq``, ``gi``: geometry, a row per corner; ``bq``, ``bi``: packed bits, a row per corner.
+    """
+    distance = _differences(_words(bq)[:, :, None], _words(bi)[:, None, :])
     to, back = distance.argmin(1), distance.argmin(0)
     rows = np.flatnonzero((back[to] == np.arange(len(to))) & (distance[np.arange(len(to)), to] <= FARTHEST))
     if len(rows) < LEAST_INLIERS:
@@ -343,11 +356,10 @@ def _pairs(asked: DataFrame, index: DataFrame) -> DataFrame:
             for b in parts_of(batches, 3):
                 rows = []
                 for i, members, g, bits in zip(*(b.column(k).to_pylist() for k in range(4))):
-                    packed = np.frombuffer(bits, np.uint8).reshape(-1, BITS // 8)
-                    gi, bi = np.frombuffer(g, "<f4").reshape(-1, 4), unpacked(bits)
+                    gi, packed = np.frombuffer(g, "<f4").reshape(-1, 4), rows_of(bits)
                     for k in block.value.candidates(gi, packed).tolist() if len(packed) else ():
                         q, g_q, b_q = block.value.rows[k]
-                        got = consensus(np.frombuffer(g_q, "<f4").reshape(-1, 4), unpacked(b_q), gi, bi)
+                        got = consensus(np.frombuffer(g_q, "<f4").reshape(-1, 4), rows_of(b_q), gi, packed)
                         if got[0] >= LEAST_INLIERS:
                             rows.append((q, i, members, *got))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 8, kinds)], names)

@@ -25,7 +25,7 @@ def test_edited_copies_are_found(spark, sf_dir):
 def test_candidates_lose_nothing_against_all_pairs(spark, sf_dir):
     images = md.rendered(table(spark, sf_dir, "embeddings")).limit(60).cache()
     queries = md.edited(images.where("image_id % 10 = 0"))
-    f = lambda df: {r["image_id"]: (np.frombuffer(r["geometry"], "<f4").reshape(-1, 4), md.unpacked(r["bits"])) for r in md.descriptors(df).collect()}
+    f = lambda df: {r["image_id"]: (np.frombuffer(r["geometry"], "<f4").reshape(-1, 4), md.rows_of(r["bits"])) for r in md.descriptors(df).collect()}
     index, asked = f(images), f(queries)
     brute = {(q, i) for q, (gq, bq) in asked.items() for i, (gi, bi) in index.items() if len(gq) and len(gi) and md.consensus(gq, bq, gi, bi)[0] >= md.LEAST_INLIERS}
     got = {(r["query_id"], r["image_id"]) for r in md.find_copies(queries, images).collect()}
@@ -63,7 +63,7 @@ def test_every_kind_of_edit_is_found_as_by_all_pairs(spark, sf_dir, kind, grain)
         images = spark.createDataFrame(rows, images.schema)
     images = images.cache()
     queries = md.edited(images.where("image_id % 2 = 0"), kind=kind).cache()
-    f = lambda df: {r["image_id"]: (np.frombuffer(r["geometry"], "<f4").reshape(-1, 4), md.unpacked(r["bits"])) for r in md.descriptors(df).collect()}
+    f = lambda df: {r["image_id"]: (np.frombuffer(r["geometry"], "<f4").reshape(-1, 4), md.rows_of(r["bits"])) for r in md.descriptors(df).collect()}
     index, asked = f(images), f(queries)
     brute = {(q, i) for q, (gq, bq) in asked.items() for i, (gi, bi) in index.items() if md.consensus(gq, bq, gi, bi)[0] >= md.LEAST_INLIERS}
     got = {(r["query_id"], r["image_id"]) for r in md.find_copies(queries, images).collect()}
