@@ -115,10 +115,12 @@ def scan(text: str) -> tuple:
     flat = b" ".join(words).decode("utf-8", "surrogatepass")
     places, base = [], set()
     for pattern, label in _base_patterns():
-        got = [m.start() for m in pattern.finditer(flat)]
-        if got:
+        at = word = 0
+        for m in pattern.finditer(flat):
             base.add(label)
-            places += [flat.count(" ", 0, s) for s in got]
+            word += flat.count(" ", at, m.start())  # each stretch of the text is counted once
+            at = m.start()
+            places.append(word)
     spans = fuzzy_spans(flat)
     labels = base | {s[0] for s in spans}
     best = 1.0 if base else max((1 - s[3] / (s[2] - s[1]) for s in spans), default=0.0)
