@@ -3,12 +3,14 @@
 Pattern spans: three kinds (``assign``, ``access``, ``hex``), leftmost and non-overlapping per kind.
 Novel spans: runs of identifier characters near a sensitive word.  Each is measured by the bytes that
 it adds to the compressed surroundings, zstandard being primed with a dictionary of identifiers (fixed
-ones and the corpus's own frequent pieces); a run that adds nearly as many bytes as it has characters
-could not be predicted from code or prose and is reported as kind ``novel``, also where it touches a pattern span.
-
-Defined cases: null and empty texts have no spans; repeated rows are scanned each; an empty table
-gives an empty dictionary of corpus pieces; a piece longer than ``LONGEST_PIECE`` does not prime.  Texts are scanned whole; only
-pieces with their partial counts are shuffled.
+ones and the corpus's own: words of letters that stand in many documents away from sensitive words); a
+run that adds nearly as many bytes as it has characters could not be predicted from code or prose and
+is reported as kind ``novel``, also where it touches a pattern span.  As words near sensitive ones don't
+prime, a secret that leaks many times stays as novel as one that leaks once.
+
+Defined cases: null and empty texts have no spans; repeated rows are scanned each; in a table of few
+documents, or an empty one, only the fixed identifiers prime.  Texts are scanned whole; only words with
+the numbers of their documents are shuffled.  Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -23,7 +25,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rallyframe.llm.common import id_text, parts_of
-from rallyframe.llm.pieces import PIECES
 
 #: The kinds' patterns, the group measured, the least characters of it.
 KINDS = ("assign", "access", "hex", "novel")
@@ -87,9 +88,7 @@ class Novelty:
 
     def spans(self, text: str) -> list[tuple[str, int, int]]:
         """Novel candidates near sensitive words."""
-        low = text.lower()
-        if len(low) != len(text):
-            low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+        low = _lowered(text)
         if not any(w in low for w in SENSITIVE):
             return []
         near = [m.start() for m in _SENSITIVE.finditer(low)]
@@ -114,31 +113,53 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in sorted(spans, key=lambda x: (x[1], KINDS.index(x[0]), x[2])))
 
 
-#: Pieces that prime the measure, and the most characters of one (so the primer has a bound on its bytes).
-PRIMING, LONGEST_PIECE = 1024, 256
-#: Distinct pieces a task holds before it hands on their partial counts.
+#: Words that prime the measure, the documents that must hold one away from sensitive words, and its letters.
+PRIMING, LEAST_DOCUMENTS = 2048, 20
+_WORD = re.compile(r"(?<![A-Za-z0-9])[A-Za-z]{4,32}(?![A-Za-z0-9])")
+#: Distinct words a task holds before it hands on their partial counts.
 HELD = 200_000
 
 
+def _lowered(text: str) -> str:
+    """Lower case, character for character."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
+def ordinary_words(text: str) -> set[str]:
+    """The words of letters of a text that stand more than NEAR characters away from every sensitive word."""
+    at = [m.span() for m in _SENSITIVE.finditer(_lowered(text))]
+    if not at:
+        return set(_WORD.findall(text))
+    found, end = set(), 0
+    for s, e in [*at, (len(text) + NEAR, 0)]:
+        if s - NEAR > end:
+            # a word that a border cuts is left out
+            found.update(m.group() for m in _WORD.finditer(text, max(0, end - 33), s - NEAR + 33) if m.start() >= end and m.end() <= s - NEAR)
+        end = max(end, e + NEAR)
+    return found
+
+
 def novelty(docs: DataFrame) -> Novelty:
-    """The measure primed with the corpus's most frequent pieces, counted exactly."""
+    """The measure primed with the words that stand in most documents, counted exactly (ties: in order of the word)."""
 
     def run(batches):
-        find, seen = PIECES["byte"].findall, Counter()
+        seen: Counter = Counter()
 
         def partial():
-            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["piece", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
 
         for b in parts_of(batches, 0):
             for text in b.column(0).to_pylist():
-                seen.update(p for p in find(text) if len(p) <= LONGEST_PIECE)
+                seen.update(ordinary_words(text))
             if len(seen) > HELD:
                 yield partial()
                 seen.clear()
         yield partial()
 
-    counts = id_text(docs).select("text").mapInArrow(run, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
-    return Novelty([r[0].strip() for r in counts.orderBy(F.desc("n"), "piece").limit(PRIMING).select("piece").collect()])
+    counts = id_text(docs).select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    best = counts.where(F.col("n") >= LEAST_DOCUMENTS).orderBy(F.desc("n"), "word").limit(PRIMING).select("word")
+    return Novelty([r[0] for r in best.collect()])
 
 
 def secret_spans(docs: DataFrame) -> DataFrame:
