@@ -196,7 +196,7 @@ def id_bits(ids: DataFrame):
 
 
 def _packed(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id and the text's words, compressed, of the ids: one row each, as a table."""
+    """doc_id and the text's words, compressed, of the ids: one row each (of a repeated id the least), as a table."""
     wanted = id_bits(ids)
 
     def run(batches):
@@ -208,7 +208,7 @@ def _packed(docs: DataFrame, ids: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.binary())], ["doc_id", "packed"])
 
     near = id_text(docs).where("doc_id is not null").mapInArrow(run, "doc_id long, packed binary")
-    return materialise(near.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    return materialise(near.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("packed").alias("packed")), "texts")
 
 
 def _exact(pairs: DataFrame, texts: DataFrame) -> DataFrame:
