@@ -114,9 +114,8 @@ def best_fit_pack(docs: DataFrame, capacity: int = 2048, vocabulary: str = "byte
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most capacity rows
     rows = plan(histogram, capacity)
     slots = spark.createDataFrame(rows, "length int, rank_from long, rank_to long, each long, first_sequence long, at long")
-    # The plan grows with the capacity, not with the corpus; a large one is joined without a broadcast.
-    slots = F.broadcast(slots) if len(rows) <= 200_000 else slots
-    p, s = ranked(pieces).alias("p"), slots.alias("s")
+    # The plan is bounded by the capacity (a few rows for each length and open room), not by the corpus.
+    p, s = ranked(pieces).alias("p"), F.broadcast(slots).alias("s")
     inside = (F.col("p.length") == F.col("s.length")) & (F.col("p.rank") >= F.col("s.rank_from")) & (F.col("p.rank") < F.col("s.rank_to"))
     nth = F.col("p.rank") - F.col("s.rank_from")
     return p.join(s, inside).select(
