@@ -90,6 +90,55 @@ def test_neighbouring_fuzzy_and_exact_places(text, spans):
     assert [x[1:] for x in li.fuzzy_spans(text)] == spans
 
 
+def test_fuzzy_spans_against_an_edit_distance_scan():
+    """Whether each notice's places, found word by word with all edits, are covered by a reported one, and no other is reported."""
+    random.seed(14)
+    words = ["licence", "license", "mit", "apache", "apach", "gnu", "general", "public", "all", "rights", "reserved", "rigths", "under", "the", "licensed", "mlt"]
+    for _ in range(60):
+        text = " ".join(random.choices(words, k=12))
+        spans = li.fuzzy_spans(text)
+        starts = [0, *(k + 1 for k, c in enumerate(text) if c == " ")]
+        for phrase, label, errors in li.NOTICES:
+            mine = [s for s in spans if s[0] == label]
+            assert all(any(edits(text[a:b], p) <= e for p, own, e in li.NOTICES if own == label) for _, a, b, _ in mine)
+            for a in starts:
+                for b in [k for k in [*(s - 1 for s in starts[1:]), len(text)] if abs(k - a - len(phrase)) <= errors]:
+                    if edits(text[a:b], phrase) <= errors:
+                        assert any(x < b and a < y for _, x, y, _ in mine), (text, phrase, text[a:b])
+
+
+def test_many_places_are_counted_in_linear_time():
+    r = li.scan("mit license " * 60_000)
+    assert r[:4] == (120_000, 60_000, 0, 119_998)
+
+
+#: The base columns, for DuckDB; what the methods add has no SQL.
+BASE_SQL = {
+    "licenses": r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') ws FROM documents),
+p AS (SELECT * FROM (VALUES (['gnu', 'general', 'public', 'license'], 'gpl'), (['apache', 'license'], 'apache'), (['cc', 'by'], 'cc-by'), (['mit', 'license'], 'mit')) v(words, label)),
+f AS (SELECT doc_id, label, unnest(list_filter(range(len(ws)), lambda k: ws[k + 1:k + len(words)] = words)) AS place FROM w CROSS JOIN p)
+SELECT w.doc_id, len(ws) AS n_words, count(place) AS n_base, min(place) AS first_word, max(place) AS last_word, coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS base_labels
+FROM w LEFT JOIN f USING (doc_id) GROUP BY w.doc_id, ws""",
+    "secrets": r"""
+SELECT doc_id,
+  len(list_filter(regexp_extract_all(coalesce(text, ''), '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1), lambda x: length(x) >= 12)) AS n_assign,
+  len(list_filter(regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 18)) AS n_access,
+  len(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9a-f]+'), lambda x: length(x) >= 16)) AS n_hex
+FROM documents""",
+}
+
+
+@pytest.mark.parametrize(("name", "operator"), [("licenses", li.license_scan), ("secrets", se.secret_spans)])
+def test_base_columns_against_sql(spark, name, operator):
+    from oracle import compare, connection
+
+    sf = "/root/testdata/sf0.01"
+    con = connection(sf)
+    columns = [d[0] for d in con.execute(BASE_SQL[name]).description]
+    assert compare(operator(table(spark, sf, "documents")).select(*columns), con, BASE_SQL[name]) is None
+
+
 def test_secret_patterns_against_plain_search(docs, rows):
     got = {r["doc_id"]: r for r in se.secret_spans(docs).collect()}
     for i, text in rows:
@@ -125,12 +174,64 @@ def test_letters_digits_and_keys_about_a_pattern_are_measured():
     assert not se.plain_measure().spans("token abcdefghijklmnopqrstuvwxyz 0000000000000000")
 
 
-def test_primer_counts_pieces_exactly(spark, monkeypatch):
-    texts = [f" often{chr(97 + k)}" * 3 + f" rare{chr(97 + k)}" for k in range(20)]
+def test_primer_counts_documents_exactly(spark, monkeypatch):
+    texts = [f"often{chr(97 + k)} often{chr(97 + k)} rare{'x' * (k % 5)}" for k in range(20)] * 3 + ["token oftena plantedword " * 9] * 5
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
-    monkeypatch.setattr(se, "PRIMING", 20)
+    monkeypatch.setattr(se, "LEAST_DOCUMENTS", 3)
     monkeypatch.setattr(se, "HELD", 2)
-    assert sorted(se.novelty(docs).primer.decode().split()[:20]) == sorted(f"often{chr(97 + k)}" for k in range(20))
+    want = {}
+    for text in texts:
+        for w in se.ordinary_words(text):
+            want[w] = want.get(w, 0) + 1
+    assert "plantedword" not in want
+    for most in (6, 30):
+        monkeypatch.setattr(se, "PRIMING", most)
+        best = sorted((w for w, n in want.items() if n >= 3), key=lambda w: (-want[w], w))[:most]
+        assert se.novelty(docs).primer.decode().startswith(" ".join(best) + " password")
+
+
+def test_ordinary_words_stand_away_from_sensitive_ones():
+    random.seed(7)
+    for _ in range(200):
+        text = " ".join(random.choice(["token", "alpha", "Bravo", "x9y", "gamma" * 3, "ſecret", "auth", "delta"] + ["filler"] * 20) for _ in range(60))
+        near = [m.span() for m in se._SENSITIVE.finditer(se._lowered(text))]
+        plain = {m.group() for m in se._WORD.finditer(text) if all(m.end() + se.NEAR <= s or m.start() >= e + se.NEAR for s, e in near)}
+        assert se.ordinary_words(text) == plain
+
+
+KINDS_OF_KEY = {
+    "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
+    "letters": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
+    "lower": "abcdefghijklmnopqrstuvwxyz0123456789",
+}
+
+
+@pytest.mark.parametrize("copies", [1, 40])
+def test_planted_keys_are_found_however_often_they_leak(spark, sf_dir, copies):
+    """Recall of planted keys among the supplied documents, and what ordinary text costs."""
+    random.seed(9)
+    rows = [(r["doc_id"], r["text"]) for r in table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text").collect()]
+    planted = []
+    for kind, letters in KINDS_OF_KEY.items():
+        for k in range(20):
+            key = "".join(random.choices(letters, k=random.choice((22, 32, 40))))
+            host = rows[random.randrange(len(rows))][1] or ""
+            text = f"{host[:500]} {random.choice(('auth bearer', 'the client_id is', 'my api-key', 'credential for it'))} {key} {host[500:900]}"
+            planted += [(100_000 + len(planted) + c, text, key, kind) for c in range(copies)]
+    docs = spark.createDataFrame(rows + [(i, t) for i, t, _, _ in planted], "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["spans"] for r in se.secret_spans(docs).collect()}
+    found = {}
+    for i, text, key, kind in planted:
+        s = text.index(key)
+        found.setdefault(kind, []).append(f":{s}:{s + len(key)}" in got[i])
+    assert all(sum(x) >= 0.9 * len(x) for x in found.values()), {k: sum(x) / len(x) for k, x in found.items()}
+    false = sum("novel:" in (got[i] or "") for i, _ in rows)
+    assert false <= 0.02 * len(rows), false
+
+
+def test_a_key_alone_in_its_table_is_novel(spark):
+    docs = spark.createDataFrame([(1, "auth bearer Zx9Kq2vL7pW4mN8rT1yB5c end")], "doc_id long, text string")
+    assert [r["spans"] for r in se.secret_spans(docs).collect()] == ["novel:12:34"]
 
 
 def plain_overlaps(words, item, least=dc.LEAST_WORDS):
@@ -170,21 +271,41 @@ def test_overlaps_against_all_diagonals(spark, sf_dir):
     assert kept == {i for i, _ in base + made} - {i for i, _ in got}
 
 
-def test_blocks_give_the_same(spark, sf_dir, monkeypatch):
+def test_full_bit_tables_and_shuffles_give_the_same(spark, sf_dir, monkeypatch):
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     one = sorted(map(tuple, dc.overlaps(docs, items).collect()))
-    monkeypatch.setattr(dc.blocks, "__defaults__", ("item_id", "text", 2000))
+    kept = sorted(r["doc_id"] for r in dc.reject_contaminated(docs, items).collect())
+    monkeypatch.setattr(dc, "LEAST_BITS", 14)
+    monkeypatch.setattr(dc, "MOST_BITS", 14)
+    monkeypatch.setattr(dc, "MOST_SENT", 0)
     assert sorted(map(tuple, dc.overlaps(docs, items).collect())) == one and one
+    assert sorted(r["doc_id"] for r in dc.reject_contaminated(docs, items).collect()) == kept
 
 
 def test_every_placing_of_changes_is_an_overlap():
     for n in range(11, 21):
-        item = " ".join(f"w{chr(97 + k)}" for k in range(n))
-        block = dc.Block([(1, item)])
-        theirs = item.split()
+        item = [f"w{chr(97 + k)}" for k in range(n)]
+        theirs = dc.hashes_of([w.encode() for w in item])
+        masks = dc.masks_in_use([min(n, dc.LEAST_WORDS)])
+        seeds = [dict(zip(dc.keys_of(theirs, *m).tolist(), range(n))) for m in masks]
         for changed in itertools.combinations(range(n), 1 if n < dc.LEAST_WORDS else n // 5):
-            words = ["before"] + ["other" if k in changed else w for k, w in enumerate(theirs)] + ["after"]
-            assert block.overlaps(dc.hashes_of(letter_words(" ".join(words)))), (n, changed)
+            words = dc.hashes_of([b"before", *(b"other" if k in changed else w.encode() for k, w in enumerate(item)), b"after"])
+            places = {p - known[key] for m, known in zip(masks, seeds) for p, key in enumerate(dc.keys_of(words, *m).tolist()) if key in known}
+            assert any(dc.verified(words, theirs, d) for d in places), (n, changed)
+
+
+def test_large_benchmark_nulls_and_clashing_columns(spark):
+    """100,000 items; documents with null ids, repeated rows and columns of the operator's own names."""
+    random.seed(12)
+    words = [f"v{k}" for k in range(5000)]
+    items = [(k, " ".join(random.choices(words, k=14))) for k in range(100_000)] + [(None, "a null id has this item of six words more or less here now")]
+    rows = [(1, "x " + items[77][1] + " y"), (1, "x " + items[77][1] + " y"), (None, items[99_999][1]), (2, items[100_000][1]), (3, "nothing of it"), (4, None), (5, "")]
+    docs = spark.createDataFrame([(i, t, "k", 1, "d", "g") for i, t in rows], "doc_id long, text string, key string, item long, doc string, _digest string")
+    bench = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", dc.F.lit(1)).repartition(4)
+    got = sorted(map(tuple, dc.overlaps(docs, bench).select("doc_id", "item_id", "first_word", "n_words").collect()), key=str)
+    assert got == sorted([(1, 77, 1, 14), (1, 77, 1, 14), (None, 99_999, 0, 14), (2, None, 0, 14)], key=str)
+    kept = dc.reject_contaminated(docs, bench)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [3, 4, 5]
 
 
 def test_stretches_are_all_that_the_rule_allows():
