@@ -63,9 +63,9 @@ def mark() -> int:
     return len(_written)
 
 
-def discard(spark: SparkSession, since: int, but: DataFrame | None = None) -> None:
+def discard(spark: SparkSession, since: int, but: DataFrame) -> None:
     """Delete the interim folders made since ``mark()`` gave ``since``, but those that ``but`` reads."""
-    needed = [f for f in but.inputFiles()] if but is not None else []
+    needed = but.inputFiles()
     left = []
     for path in _written[since:]:
         name = path.rpartition("/")[2]

@@ -31,7 +31,7 @@ MASKS = ("11011010011", "10111001101", "11100111001", "10010110111", "1101111000
 SPAN, SHORTEST_LOOSE = len(MASKS[0]), 6
 #: A verified stretch: words, share of them equal; a shorter item must be covered whole.
 LEAST_WORDS, LEAST_SHARE = 13, 0.8
-#: The bit table: about 32 bits a seed, from 2**20 to 2**28 bits (32 MB); each seed sets ``PROBES`` of them.
+#: The bit table: 128 bits a seed or more, from 2**20 to 2**28 bits (32 MB); each seed sets ``PROBES`` of them.
 #: A fuller table lets more hashes through to the join and changes no result.
 LEAST_BITS, MOST_BITS, PROBES = 20, 28, 3
 #: From so many contaminated texts (16 bytes each) their digests are no longer broadcast.
@@ -151,7 +151,7 @@ def item_seeds(items: DataFrame) -> DataFrame:
 def bit_table(seeds: DataFrame):
     """(bits, table), broadcast: the bits that the seeds set, packed eight to a byte.  Its size follows the number of seeds up to MOST_BITS."""
     spark = seeds.sparkSession
-    bits = min(MOST_BITS, max(LEAST_BITS, (32 * seeds.count()).bit_length()))
+    bits = min(MOST_BITS, max(LEAST_BITS, (128 * seeds.count()).bit_length()))
 
     def run(batches):
         for b in batches:

@@ -83,3 +83,45 @@ def test_reject_keeps_columns(spark):
     assert kept.columns == docs.columns
     bad = {r["doc_id"] for r in tx.toxicity(docs, table(spark, SF, "labels")).where("predicted = 1").collect()}
     assert {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in docs.collect()} - bad
+
+
+def test_quality_scores_from_the_stated_moments(spark):
+    """Every score again in numpy: Mahalanobis log densities of the classes, solved directly, and the logistic curve."""
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    stats = qu.document_statistics(docs).cache()
+    scorer = qu.train_scorer(stats, labels)
+    x = {r["doc_id"]: np.array(r["x"]) for r in stats.collect()}
+    learned = {r["doc_id"]: r["label"] for r in qu.training_labels(labels, "quality").collect() if r["doc_id"] in x}
+    model = scorer.model
+    by = [np.stack([x[i] for i, y in learned.items() if y == c]) for c in (0, 1)]
+    covs = [np.cov(m.T, bias=True) for m in by]
+    pooled = sum(len(m) * c for m, c in zip(by, covs)) / len(learned)
+    scale = np.sqrt(np.maximum(np.diag(pooled), 1e-8))
+    assert np.allclose(scale, model.scale)
+    fits = []
+    for a, b in qu.SHRINKAGES:
+        logs = []
+        for m, c in zip(by, covs):
+            z = ((1 - a) * c + a * pooled) / np.outer(scale, scale)
+            z = (1 - b) * z + b * max(np.trace(z) / qu.D, 1e-3) * np.eye(qu.D)
+            d = (np.stack(list(x.values())) - m.mean(0)) / scale
+            logs.append(-0.5 * (d * np.linalg.solve(z, d.T).T).sum(1) - 0.5 * np.linalg.slogdet(z)[1])
+        diff = logs[1] - logs[0] + np.log(len(by[1]) / len(by[0]))
+        fits.append(1 / (1 + np.exp(-(scorer.slope * np.sign(diff) * np.log1p(np.abs(diff)) + scorer.shift))))
+    got = {r["doc_id"]: r["score"] for r in qu.quality(docs, labels).collect()}
+    mine = np.array([got[i] for i in x])
+    assert min(np.abs(f - mine).max() for f in fits) < 1e-6
+
+
+def test_toxicity_scores_again_from_the_plain_reading(spark):
+    """Every score again without caches or batches: restored words token by token, their features counted, weights summed."""
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    scorer = tx.train_scorer(docs, labels)
+    got = {r["doc_id"]: r["score"] for r in tx.toxicity(docs, labels).collect()}
+    index = {g: k for g, k in scorer.index.items()}
+    for r in docs.select("doc_id", "text").collect():
+        low, counts = (r["text"] or "").lower(), Counter()
+        for word in [w for t in low.split() for w in tx.words_of_token(t, scorer.model)] + tx.spaced_words(low, scorer.model):
+            counts.update(index[g] for g in tx.grams(word) if g in index)
+        total = scorer.bias + sum(scorer.weights[k] * np.log1p(n) for k, n in counts.items())
+        assert abs(got[r["doc_id"]] - 1 / (1 + np.exp(-total))) < 1e-6

@@ -144,3 +144,76 @@ def test_pipeline_stages_take_effect(spark, sf_dir):
     for r in rows[:100]:
         ids = [*t.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids, 0]
         assert r["ids_crc32"] == zlib.crc32(np.array(ids[r["start"] : r["start"] + r["length"]], "<u4").tobytes())
+
+
+def _plain_pipeline(rows, items, toxic):
+    """The stages but packing in plain Python, by the rules stated: rows (doc_id, text, n_chars), the toxic texts given."""
+    import re
+
+    from rallyframe.llm import decontamination as dc
+    from rallyframe.llm import secrets as se
+    from rallyframe.llm.words import blank_words, hashes_of, letter_words
+
+    rows = [r for r in rows if r[1] not in toxic]
+
+    def shingles(text):
+        w = blank_words(text or "")
+        return frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+
+    sets = [shingles(r[1]) for r in rows]
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both) or rows[i][0] is not None and rows[i][0] == rows[j][0]:
+                group = [group[j] if g == group[i] else g for g in group]
+    least = {}
+    for r, g in zip(rows, group):
+        if r[0] is not None:
+            least[g] = min(r[0], least.get(g, r[0]))
+    rows = [r for r, g, s in zip(rows, group, sets) if r[0] is None or not s or r[0] == least[g]]
+    theirs = [hashes_of(letter_words(t or "")) for t in items]
+
+    def clean(text):
+        mine = hashes_of(letter_words(text or ""))
+        return not any(dc.verified(mine, t, d) for t in theirs if len(t) for d in range(-len(t) + 1, len(mine)))
+
+    rows = [r for r in rows if clean(r[1])]
+    measure = se.Novelty([])
+    out = []
+    for i, text, n in rows:
+        spans = se.pattern_spans(text) + measure.spans(text) if text else []
+        covered = sorted({k for _, s, e in spans for k in range(s, e)})
+        new = text if not spans else re.sub("\\0+", "[REDACTED]", "".join("\0" if k in set(covered) else c for k, c in enumerate(text)))
+        out.append((i, new, n if new == text else len(new)))
+    return out
+
+
+def test_stages_against_a_plain_pipeline(spark, tmp_path):
+    """Nulls in every column, empty and long texts, repeated rows and ids, clashing extra columns; and empty tables."""
+    rng = np.random.default_rng(6)
+    words = [f"w{k}" for k in range(400)]
+    some = lambda n: " ".join(rng.choice(words, n))
+    item, base = some(30), some(40)
+    rows = [(1, None), (2, ""), (3, base), (4, base.upper()), (5, base), (5, base), (None, base), (None, None), (6, some(20) + " " + item + " " + some(9)), (7, f"{some(12)} password = abcdefgh12345678 and auth bearer Zx9Kq2vL7pW4mN8rT1yB5c {some(9)}"), (8, some(30_000)), (9, "x" * 50_000), (10, some(4)), (11, some(25)), (None, item)]
+    rows += [(100 + k, some(15) + " vile filthword scum") for k in range(24)] + [(200 + k, some(15)) for k in range(24)]
+    toxic_texts = {t for i, t in rows if i is not None and 100 <= i < 200}
+    schema = "doc_id long, text string, lang string, source string, n_chars long, keys string, _gone long, same string"
+    docs = spark.createDataFrame([(i, t, None, "s", None if t is None else len(t), "k", 1, None) for i, t in rows], schema).repartition(3)
+    labels = [(i, None, int(100 <= i < 200)) for i, _ in rows if i is not None and i >= 100] + [(None, 1, 1), (3, 1, None)]
+    for name, df in (("documents", docs), ("labels", spark.createDataFrame(labels, "doc_id long, quality int, toxic int")), ("benchmark", spark.createDataFrame([(1, item), (None, None), (2, "")], "item_id long, text string"))):
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    got = table(spark, str(tmp_path), "documents")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = corpus_pipeline.materialise(stage(spark, got, str(tmp_path)), f"test-{name}")
+        assert after.columns == docs.columns, name
+        got = after
+    want = _plain_pipeline([(i, t, None if t is None else len(t)) for i, t in rows], [item, None, ""], toxic_texts)
+    key = lambda x: tuple((v is None, v) for v in x)
+    assert sorted(((r["doc_id"], r["text"], r["n_chars"]) for r in got.collect()), key=key) == sorted(want, key=key)
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert sum(r["length"] for r in packed) == sum(len(t.encode(x or "", add_special_tokens=False).ids) + 1 for _, x, _ in want)
+    none = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, str(tmp_path)).count() == 0, name
