@@ -90,38 +90,59 @@ def _clamp(c: Column, low: float, high: float) -> Column:
 
 
 def decisions(lines: DataFrame) -> DataFrame:
-    """Impact of each time-out and substitution: the caller's share of points in a window after it less that before.
+    """Impact of each time-out and substitution on its side, from the points in a window before and after it.
 
-    The window is 18 % of the set's points, at least 4 and at most 12.  Points before and after an
-    event are counted by differences of running counts, so an event costs two lookups by an equi-join
-    on (set, point number) and no range join.
+    The window is 18 % of the set's points, at least 4 and at most 12; a side without points in it counts as
+    winning half.  The score weighs the change of the share won (72), of the slope of the lead (42) and the swing
+    of the lead (24), more in close and late sets, less where the window is cut; it is clamped to 100.  From 12
+    on it is positive or negative; its strength changes at 18, 38 and 65.
+
+    Points before and after an event are counted by differences of running counts, so an event costs lookups by
+    an equi-join on (set, point number) and no range join.
     """
     total = Window.partitionBy("set_id")
     at = F.sum((F.col("kind") == "point").cast("int")).over(in_set())
     rows = lines.withColumn("at", F.coalesce(at, F.lit(0))).withColumn("n", F.sum((F.col("kind") == "point").cast("int")).over(total))
-    size = _clamp(F.round(F.col("n") * 0.18), 4, 12).cast("long")
-    events = rows.where("kind <> 'point'").withColumn("w", size).select(
-        "set_id", "event_id", "kind", F.col("called_by").alias("side"), "at", F.greatest(F.lit(0), F.col("at") - F.col("w")).alias("from_x"), F.least(F.col("n"), F.col("at") + F.col("w")).alias("to_x")
+    size = _clamp(F.rint(F.greatest(F.lit(1), F.col("n")) * F.lit(0.18)), 4, 12).cast("long")
+    events = rows.where("kind <> 'point' and n > 0").withColumn("w", size).select(
+        "set_id", "event_id", "kind", "n", "w", F.col("called_by").alias("side"), "at", F.greatest(F.lit(0), F.col("at") - F.col("w")).alias("from_x"), F.least(F.col("n"), F.col("at") + F.col("w")).alias("to_x")
     )
     won = rows.where("kind = 'point'").select("set_id", F.col("at").alias("x"), "score_a", "score_b")
     look = lambda name: won.select("set_id", F.col("x").alias(name), F.col("score_a").alias(f"{name}_a"), F.col("score_b").alias(f"{name}_b"))
     out = events
     for name in ("from_x", "at", "to_x"):
         out = out.join(look(name), ["set_id", name], "left").fillna(0, [f"{name}_a", f"{name}_b"])
-    mine = lambda hi, lo: F.when(F.col("side") == "A", F.col(f"{hi}_a") - F.col(f"{lo}_a")).otherwise(F.col(f"{hi}_b") - F.col(f"{lo}_b"))
-    before = F.try_divide(mine("at", "from_x").cast("double"), F.col("at") - F.col("from_x"))
-    after = F.try_divide(mine("to_x", "at").cast("double"), F.col("to_x") - F.col("at"))
-    out = out.withColumn("before", before).withColumn("after", after)
-    change = F.round(100 * (F.col("after") - F.col("before")), 1)
-    label = F.when(change >= 12, "positive").when(change <= -12, "negative").when(change.isNotNull(), "neutral")
-    return out.select("set_id", "event_id", "kind", "side", F.col("at").cast("long").alias("x"), F.round("before", 3).alias("before"), F.round("after", 3).alias("after"), change.alias("change"), label.alias("impact"))
+    mine = lambda x: F.when(F.col("side") == "A", F.col(f"{x}_a")).otherwise(F.col(f"{x}_b"))
+    lead = lambda x: F.when(F.col("side") == "A", F.col(f"{x}_a") - F.col(f"{x}_b")).otherwise(F.col(f"{x}_b") - F.col(f"{x}_a"))
+    n_before, n_after = F.col("at") - F.col("from_x"), F.col("to_x") - F.col("at")
+    rate = lambda hi, lo, n: F.coalesce(F.try_divide((mine(hi) - mine(lo)).cast("double"), n), F.lit(0.5))
+    slope = lambda hi, lo, n: (lead(hi) - lead(lo)).cast("double") / F.greatest(F.lit(1), n)
+    out = out.withColumns({
+        "n_before": n_before, "n_after": n_after, "before": rate("at", "from_x", n_before), "after": rate("to_x", "at", n_after),
+        "slope_before": slope("at", "from_x", n_before), "slope_after": slope("to_x", "at", n_after), "swing": lead("to_x") - lead("at"),
+        "close": _clamp(1 - F.abs(lead("at")) / F.lit(10.0), 0.0, 1.0), "progress": _clamp(F.col("at").cast("double") / F.col("n"), 0.0, 1.0),
+        "coverage": _clamp((n_before + n_after).cast("double") / (F.col("w") * 2), 0.0, 1.0),
+    })
+    raw = (F.col("after") - F.col("before")) * 72 + (F.col("slope_after") - F.col("slope_before")) * 42 + F.col("swing") / F.greatest(F.lit(2.0), F.col("w") * F.lit(0.8)) * 24
+    score = _clamp(raw * (F.lit(0.75) + F.lit(0.35) * F.col("close") + F.lit(0.25) * F.col("progress")) * (F.lit(0.55) + F.lit(0.45) * F.col("coverage")), -100.0, 100.0)
+    out = out.withColumn("score", score)
+    size = F.abs("score")
+    return out.select(
+        "set_id", "event_id", "kind", "side", F.col("at").cast("long").alias("x"), F.col("n_before").cast("long").alias("n_before"), F.col("n_after").cast("long").alias("n_after"),
+        F.round("before", 3).alias("before"), F.round("after", 3).alias("after"), F.round(F.col("slope_after") - F.col("slope_before"), 3).alias("slope_change"), F.col("swing").cast("long").alias("swing"),
+        F.round("score", 1).alias("impact"), F.when(F.col("score") >= 12, "positive").when(F.col("score") <= -12, "negative").otherwise("neutral").alias("label"),
+        F.when(size >= 65, "strong").when(size >= 38, "moderate").when(size >= 18, "light").otherwise("faint").alias("strength"), F.round((F.lit(0.45) + F.lit(0.55) * F.col("coverage")) * 100, 1).alias("confidence"),
+    )
 
 
 def decision_summary(impacts: DataFrame) -> DataFrame:
-    d = impacts.where("change is not null")
-    return d.groupBy("side", "kind").agg(
-        F.count(F.lit(1)).alias("decisions"), F.sum(F.round(F.col("change") * 10).cast("long")).alias("total_tenths"), F.round(F.avg("change"), 2).alias("mean_change"), F.max("change").alias("best"), F.min("change").alias("worst"), F.count_if(F.col("impact") == "positive").alias("positive")
-    )
+    """Per side and kind: decisions, their impacts in tenths (sum, best, worst, spread) and how many of each label."""
+    tenths = F.round(F.col("impact") * 10).cast("long")
+    n = impacts.groupBy("side", "kind").agg(
+        F.count(F.lit(1)).alias("decisions"), F.sum(tenths).alias("total"), F.max(tenths).alias("best"), F.min(tenths).alias("worst"),
+        *(F.count_if(F.col("label") == label).alias(label) for label in ("positive", "neutral", "negative")),
+    )
+    return n.withColumn("spread", F.col("best") - F.col("worst")).withColumn("mean", F.round(F.col("total").cast("double") / F.col("decisions"), 1))
 
 
 def server_at(points: DataFrame, moments: DataFrame) -> DataFrame:

@@ -44,17 +44,18 @@ def season_counts(matches: DataFrame) -> DataFrame:
     return matches.groupBy("season").agg(F.count(F.lit(1)).alias("matches"), F.countDistinct("competition").alias("competitions"), F.count_if("played").alias("played"), F.count_if("forfeit").alias("forfeits"))
 
 
-def team_mates(appearances: DataFrame, player_ids: list[int]) -> DataFrame:
-    """With whom the asked players shared a side, and how often: the asked side is filtered first, so the join stays narrow."""
+def team_mates(appearances: DataFrame, player_ids: list[int] | None = None) -> DataFrame:
+    """With whom the asked players (all, if none are named) shared a side, and how often: the asked are filtered first, so the join stays narrow."""
     a = appearances.where("played").select("match_id", "side", "player_id")
-    mine = a.where(F.col("player_id").isin(*player_ids)).select("match_id", "side", F.col("player_id").alias("asked"))
+    mine = a.where(F.col("player_id").isin(*player_ids) if player_ids else F.lit(True)).select("match_id", "side", F.col("player_id").alias("asked"))
     both = a.join(mine, ["match_id", "side"]).where("player_id <> asked")
     return both.groupBy("asked", "player_id").agg(F.count(F.lit(1)).alias("matches"))
 
 
-def opponents(appearances: DataFrame, sides: DataFrame, player_ids: list[int]) -> DataFrame:
-    """The teams that the asked players met, and how often they won."""
-    mine = appearances.where(F.col("played") & F.col("player_id").isin(*player_ids)).select("match_id", "side", "player_id")
+def opponents(appearances: DataFrame, sides: DataFrame, player_ids: list[int] | None = None) -> DataFrame:
+    """The teams that the asked players (all, if none are named) met, and how often they won."""
+    asked = F.col("player_id").isin(*player_ids) if player_ids else F.lit(True)
+    mine = appearances.where(F.col("played") & asked).select("match_id", "side", "player_id")
     met = mine.join(sides.select("match_id", "side", "opponent_id", "sets_for", "sets_against"), ["match_id", "side"])
     return met.groupBy("player_id", "opponent_id").agg(F.count(F.lit(1)).alias("matches"), F.count_if(F.col("sets_for") > F.col("sets_against")).alias("wins"))
 

@@ -61,13 +61,13 @@ query(
 query(
     "a21_upsert",
     lambda c: rl.upsert(
-        c.matches.where("season = 1996").select("match_id", "sets_a", F.lit(1).alias("version")),
-        c.matches.where("season = 1996 and match_id % 3 = 0").select("match_id", (F.col("sets_a") + 10).alias("sets_a"), F.lit(2).alias("version")).unionByName(c.matches.where("season = 1997 and match_id % 5 = 0").select("match_id", "sets_a", F.lit(3).alias("version"))),
+        c.matches.select("match_id", "sets_a", F.lit(1).alias("version")),
+        c.matches.where("match_id % 3 = 0").select("match_id", (F.col("sets_a") + 10).alias("sets_a"), F.lit(2).alias("version")).unionByName(c.matches.where("match_id % 5 = 0").select((-F.col("match_id") - 1).alias("match_id"), "sets_a", F.lit(3).alias("version"))),
         ["match_id"],
         "version",
     ),
-    """SELECT match_id, CASE WHEN match_id % 3 = 0 THEN sets_a + 10 ELSE sets_a END sets_a, CASE WHEN match_id % 3 = 0 THEN 2 ELSE 1 END AS version FROM matches WHERE season = 1996
-UNION ALL SELECT match_id, sets_a, 3 FROM matches WHERE season = 1997 AND match_id % 5 = 0""",
+    """SELECT match_id, CASE WHEN match_id % 3 = 0 THEN sets_a + 10 ELSE sets_a END sets_a, CASE WHEN match_id % 3 = 0 THEN 2 ELSE 1 END AS version FROM matches
+UNION ALL SELECT -match_id - 1, sets_a, 3 FROM matches WHERE match_id % 5 = 0""",
 )
 query(
     "a22_replace_for_key",
@@ -127,13 +127,13 @@ query(
 )
 query(
     "j8_team_mates",
-    lambda c: pf.team_mates(c.appearances, [1, 7, 42]),
-    "SELECT m.player_id asked, a.player_id, count(*) matches FROM appearances a JOIN appearances m ON a.match_id = m.match_id AND a.side = m.side AND a.player_id <> m.player_id WHERE a.played AND m.player_id IN (1, 7, 42) GROUP BY 1, 2",
+    lambda c: pf.team_mates(c.appearances),
+    "SELECT m.player_id asked, a.player_id, count(*) matches FROM appearances a JOIN appearances m ON a.match_id = m.match_id AND a.side = m.side AND a.player_id <> m.player_id WHERE a.played GROUP BY 1, 2",
 )
 query(
     "j8_opponents",
-    lambda c: pf.opponents(c.appearances, c.sides, [1, 7, 42]),
-    "SELECT player_id, opponent_id, count(*) matches, count(*) FILTER (s.sets_for > s.sets_against) wins FROM appearances a JOIN sides s ON a.match_id = s.match_id AND a.side = s.side WHERE a.played AND player_id IN (1, 7, 42) GROUP BY 1, 2",
+    lambda c: pf.opponents(c.appearances, c.sides),
+    "SELECT player_id, opponent_id, count(*) matches, count(*) FILTER (s.sets_for > s.sets_against) wins FROM appearances a JOIN sides s ON a.match_id = s.match_id AND a.side = s.side WHERE a.played GROUP BY 1, 2",
 )
 query(
     "j9_team_form",

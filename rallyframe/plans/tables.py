@@ -98,11 +98,11 @@ SELECT season, competition, team_id, count(*) results, string_agg(result, '' ORD
 )
 query(
     "e9_standings_by_month",
-    lambda c: st.standings(c.sides.where("season = 1996").withColumn("month", F.month("day")), ["competition", "month"]).select("competition", F.col("month").cast("long").alias("month"), "team_id", "points", "rank"),
+    lambda c: st.standings(c.sides.withColumn("month", F.month("day")), ["season", "competition", "month"]).select("season", "competition", F.col("month").cast("long").alias("month"), "team_id", "points", "rank"),
     _AWARDS
-    + f""", ln AS (SELECT competition, CAST(month(day) AS BIGINT) AS month, team_id, CAST(sum(points) AS BIGINT) points, sum(sets_for) sf, sum(sets_against) sa, sum(points_for) pf, sum(points_against) pa,
-  min(match_id * 2 + CASE WHEN side = 'A' THEN 0 ELSE 1 END) AS seen FROM aw WHERE season = 1996 GROUP BY 1, 2, 3)
-SELECT competition, month, team_id, points, row_number() OVER (PARTITION BY competition, month ORDER BY points DESC, {_ratio("sf", "sa")} DESC, {_ratio("pf", "pa")} DESC, seen) AS rank FROM ln""",
+    + f""", ln AS (SELECT season, competition, CAST(month(day) AS BIGINT) AS month, team_id, CAST(sum(points) AS BIGINT) points, sum(sets_for) sf, sum(sets_against) sa, sum(points_for) pf, sum(points_against) pa,
+  min(match_id * 2 + CASE WHEN side = 'A' THEN 0 ELSE 1 END) AS seen FROM aw GROUP BY 1, 2, 3, 4)
+SELECT season, competition, month, team_id, points, row_number() OVER (PARTITION BY season, competition, month ORDER BY points DESC, {_ratio("sf", "sa")} DESC, {_ratio("pf", "pa")} DESC, seen) AS rank FROM ln""",
 )
 query(
     "e11_cross_table",
@@ -296,20 +296,31 @@ _DECISIONS = (
     _LINES_OF_SETS
     + """,
 ev AS (SELECT *, sum(CASE WHEN kind = 'point' THEN 1 ELSE 0 END) OVER (PARTITION BY set_id ORDER BY ts, event_id) AS pos, sum(CASE WHEN kind = 'point' THEN 1 ELSE 0 END) OVER (PARTITION BY set_id) AS n FROM tm),
-e2 AS (SELECT set_id, event_id, kind, called_by AS side, pos, greatest(0, pos - CAST(greatest(4, least(12, round(n * CAST(0.18 AS DOUBLE)))) AS BIGINT)) f, least(n, pos + CAST(greatest(4, least(12, round(n * CAST(0.18 AS DOUBLE)))) AS BIGINT)) t FROM ev WHERE kind <> 'point'),
-e3 AS (SELECT e2.*, coalesce(CASE WHEN side = 'A' THEN p0.score_a ELSE p0.score_b END, 0) s0, coalesce(CASE WHEN side = 'A' THEN p1.score_a ELSE p1.score_b END, 0) s1, coalesce(CASE WHEN side = 'A' THEN p2.score_a ELSE p2.score_b END, 0) s2
+e1 AS (SELECT *, CAST(greatest(4, least(12, round_even(greatest(1, n) * CAST(0.18 AS DOUBLE), 0))) AS BIGINT) AS w FROM ev WHERE kind <> 'point' AND n > 0),
+e2 AS (SELECT set_id, event_id, kind, called_by AS side, pos, n, w, greatest(0, pos - w) f, least(n, pos + w) t FROM e1),
+e3 AS (SELECT e2.*, pos - f AS nb, t - pos AS na, CASE WHEN side = 'A' THEN 1 ELSE -1 END AS sg,
+  coalesce(CASE WHEN side = 'A' THEN p0.score_a ELSE p0.score_b END, 0) s0, coalesce(CASE WHEN side = 'A' THEN p1.score_a ELSE p1.score_b END, 0) s1, coalesce(CASE WHEN side = 'A' THEN p2.score_a ELSE p2.score_b END, 0) s2,
+  coalesce(p0.y, 0) y0, coalesce(p1.y, 0) y1, coalesce(p2.y, 0) y2
   FROM e2 LEFT JOIN po p0 ON p0.set_id = e2.set_id AND p0.x = f LEFT JOIN po p1 ON p1.set_id = e2.set_id AND p1.x = pos LEFT JOIN po p2 ON p2.set_id = e2.set_id AND p2.x = t),
-e4 AS (SELECT *, CAST(s1 - s0 AS DOUBLE) / nullif(pos - f, 0) b, CAST(s2 - s1 AS DOUBLE) / nullif(t - pos, 0) a FROM e3),
-dc AS (SELECT set_id, event_id, kind, side, CAST(pos AS BIGINT) x, round(b, 3) AS before, round(a, 3) AS after, round(100 * (a - b), 1) AS change FROM e4),
-di AS (SELECT *, CASE WHEN change >= 12 THEN 'positive' WHEN change <= -12 THEN 'negative' WHEN change IS NOT NULL THEN 'neutral' END impact FROM dc)
+e4 AS (SELECT *, coalesce(CAST(s1 - s0 AS DOUBLE) / nullif(nb, 0), CAST(0.5 AS DOUBLE)) b, coalesce(CAST(s2 - s1 AS DOUBLE) / nullif(na, 0), CAST(0.5 AS DOUBLE)) a,
+  CAST(sg * (y1 - y0) AS DOUBLE) / greatest(1, nb) sb, CAST(sg * (y2 - y1) AS DOUBLE) / greatest(1, na) sa, sg * (y2 - y1) swing,
+  greatest(CAST(0 AS DOUBLE), least(CAST(1 AS DOUBLE), 1 - abs(y1) / CAST(10 AS DOUBLE))) cl, greatest(CAST(0 AS DOUBLE), least(CAST(1 AS DOUBLE), CAST(pos AS DOUBLE) / n)) pg,
+  greatest(CAST(0 AS DOUBLE), least(CAST(1 AS DOUBLE), CAST(nb + na AS DOUBLE) / (w * 2))) cv FROM e3),
+e5 AS (SELECT *, (a - b) * 72 + (sa - sb) * 42 + swing / greatest(CAST(2 AS DOUBLE), w * CAST(0.8 AS DOUBLE)) * 24 AS raw FROM e4),
+e6 AS (SELECT *, greatest(CAST(-100 AS DOUBLE), least(CAST(100 AS DOUBLE), raw * (CAST(0.75 AS DOUBLE) + CAST(0.35 AS DOUBLE) * cl + CAST(0.25 AS DOUBLE) * pg) * (CAST(0.55 AS DOUBLE) + CAST(0.45 AS DOUBLE) * cv))) sc FROM e5),
+di AS (SELECT set_id, event_id, kind, side, CAST(pos AS BIGINT) x, CAST(nb AS BIGINT) n_before, CAST(na AS BIGINT) n_after, round(b, 3) AS before, round(a, 3) AS after, round(sa - sb, 3) slope_change, CAST(swing AS BIGINT) swing,
+  round(sc, 1) impact, CASE WHEN sc >= 12 THEN 'positive' WHEN sc <= -12 THEN 'negative' ELSE 'neutral' END AS label,
+  CASE WHEN abs(sc) >= 65 THEN 'strong' WHEN abs(sc) >= 38 THEN 'moderate' WHEN abs(sc) >= 18 THEN 'light' ELSE 'faint' END AS strength, round((CAST(0.45 AS DOUBLE) + CAST(0.55 AS DOUBLE) * cv) * 100, 1) confidence FROM e6)
 """
 )
 query("g14_decisions", lambda c: pt.decisions(pt.timeline(c.rallies)), _DECISIONS + "SELECT * FROM di")
 query(
     "g15_decision_summary",
-    lambda c: pt.decision_summary(pt.decisions(pt.timeline(c.rallies))).drop("mean_change"),
+    lambda c: pt.decision_summary(pt.decisions(pt.timeline(c.rallies))),
     _DECISIONS
-    + """SELECT side, kind, count(*) decisions, CAST(sum(CAST(round(change * 10) AS BIGINT)) AS BIGINT) total_tenths, max(change) best, min(change) worst, count(*) FILTER (impact = 'positive') positive FROM di WHERE change IS NOT NULL GROUP BY 1, 2""",
+    + """, te AS (SELECT side, kind, label, CAST(round(impact * 10) AS BIGINT) t FROM di),
+ag AS (SELECT side, kind, count(*) decisions, CAST(sum(t) AS BIGINT) total, max(t) best, min(t) worst, count(*) FILTER (label = 'positive') positive, count(*) FILTER (label = 'neutral') neutral, count(*) FILTER (label = 'negative') negative FROM te GROUP BY 1, 2)
+SELECT *, best - worst AS spread, round(CAST(total AS DOUBLE) / decisions, 1) AS mean FROM ag""",
 )
 query(
     "g4_score_as_of",
