@@ -8,7 +8,7 @@ from __future__ import annotations
 import unicodedata
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # ---------------------------------------------------------------- text
@@ -33,6 +33,15 @@ def plain_upper(c: Column) -> Column:
     return F.upper(F.trim(F.regexp_replace(bare(F.coalesce(c, F.lit(""))), r"\s+", " ")))
 
 
+def per_text(df: DataFrame, column: str, **rules) -> DataFrame:
+    """``df`` with a column for each rule of the text in ``column``; each different text is looked at once.
+
+    Texts are names of which there are far fewer than rows; a null text takes what the rules give for null.
+    """
+    texts = df.select(F.col(column).alias("_text")).distinct().select("_text", *(rule(F.col("_text")).alias(name) for name, rule in rules.items()))
+    return df.join(texts, F.col(column).eqNullSafe(F.col("_text")), "left").drop("_text")
+
+
 def shirt_number(c: Column) -> Column:
     """A shirt number without leading zeros; "0" stays."""
     t = F.trim(c)
@@ -60,11 +69,14 @@ def first_rule(rules: list[tuple[Column, object]], otherwise=None) -> Column:
     return out.otherwise(otherwise)
 
 
-# ---------------------------------------------------------------- gender, age, division
+# ---------------------------------------------------------------- gender, age, division (the rules' patterns are fixed values)
 
 
 def gender(c: Column) -> Column:
-    u = plain_upper(c)
+    return _gender(plain_upper(c))
+
+
+def _gender(u: Column) -> Column:
     return first_rule(
         [
             (u.rlike("MASC|HOMME") | u.rlike(r"\bM\b") & ~u.rlike("FEM|DAME|MIXTE"), "MASCULIN"),
@@ -83,7 +95,10 @@ ADULT_WORDS = "REGIONAL|NATIONAL|ELITE|DEPARTEMENTAL|PRO A|PRO B|LIGUE A|LIGUE B
 
 def age_category(c: Column, senior_by_default: bool = False) -> Column:
     """M9 to M21, JEUNES, SENIOR, VETERAN, or null."""
-    u = plain_upper(c)
+    return _age_category(plain_upper(c), senior_by_default)
+
+
+def _age_category(u: Column, senior_by_default: bool) -> Column:
     n = F.regexp_extract(u, r"\b[MU]\s*([0-9]{1,2})(?:[MFG]|\b)", 1).try_cast("int")
     stepped = reduce(lambda out, a: out.when(n <= a, f"M{a}"), AGE_STEPS[1:], F.when(n <= AGE_STEPS[0], f"M{AGE_STEPS[0]}")).otherwise("SENIOR")
     last = "SENIOR" if senior_by_default else None
@@ -110,7 +125,10 @@ def oldest_age(birth_year: Column, reference_year: int) -> Column:
 
 def division(c: Column, youth: bool = False) -> Column:
     """Division number 1 to 4 of a competition's name or pool code, or null."""
-    u = F.regexp_replace(plain_upper(c), r"\b[46]\s*X\s*[46]\b", " ")
+    return _division(F.regexp_replace(plain_upper(c), r"\b[46]\s*X\s*[46]\b", " "), youth)
+
+
+def _division(u: Column, youth: bool) -> Column:
     young = F.lit(youth) | u.rlike(r"\b(M[0-9]{1,2}|JEUNES?|CADET(TE)?S?|MINIMES?|BENJAMINE?S?|POUSSINE?S?|JUNIORS?|ESPOIRS?)\b")
     found = lambda pattern: F.nullif(F.regexp_extract(u, pattern, 1), F.lit(""))
     adult = F.coalesce(found(r"^[A-Z]?([1-4])[MF]"), found(r"\b([1-4])\s*$"))
@@ -133,7 +151,10 @@ LEVEL_RANKS = {
 
 def level(*parts: Column) -> Column:
     """The level label of a competition's texts, by ordered rules: the first that holds."""
-    u = plain_upper(F.concat_ws(" ", *parts))
+    return _level(plain_upper(F.concat_ws(" ", *parts)), "DEP")
+
+
+def _level(u: Column, otherwise: str | None) -> Column:
     has = lambda p: u.rlike(p)
     youth = has(r"\b(M(9|1[1-9]|2[01])|U(9|1[1-9]|2[01])|JEUNES?|CADET(TE)?S?|MINIMES?|BENJAMINE?S?|POUSSINE?S?)\b")
     regional, departmental = has(r"REGION|\bR[1-4]\b"), has(r"DEPART|\bD[1-4]\b|\bDEP\b")
@@ -166,13 +187,15 @@ def level(*parts: Column) -> Column:
             (departmental, "DEP"),
             (has("NATIONAL"), "NATIONAL"),
         ],
-        "DEP",
+        otherwise,
     )
 
 
 def level_rank(label: Column) -> Column:
+    """The rank of a level however it is spelled: a label's own, else that of the label that the rules find; null if none holds."""
     table = F.create_map(*(F.lit(x) for kv in LEVEL_RANKS.items() for x in kv))
-    return F.try_element_at(table, plain_upper(label))
+    u = plain_upper(label)
+    return F.coalesce(F.try_element_at(table, u), F.try_element_at(table, F.coalesce(_level(u, None), F.lit(""))))
 
 
 def echelon_of(rank: Column) -> Column:

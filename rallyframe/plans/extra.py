@@ -82,7 +82,10 @@ _cases(
 )
 _cases(
     "k7_level_ranks",
-    (("R1", "9", "REGIONAL"), ("Élite", "15", "NATIONAL"), ("d4", "1", "DEPARTEMENTAL"), ("Loisir", "0", "LOISIR"), ("??", None, None)),
+    (
+        ("R1", "9", "REGIONAL"), ("Élite", "15", "NATIONAL"), ("d4", "1", "DEPARTEMENTAL"), ("Loisir", "0", "LOISIR"), ("??", None, None), ("Départementale 2", "3", "DEPARTEMENTAL"), ("régionale 3", "7", "REGIONAL"),
+        ("Nationale 2", "12", "NATIONAL"), ("Ligue A", "17", "NATIONAL"), ("Pré-nationale", "10", "REGIONAL"), ("pre-regional", "6", "DEPARTEMENTAL"), ("Accession N3", "10", "REGIONAL"), ("Coupe de France", "18", "NATIONAL"), ("", None, None),
+    ),
     ("lr", "echelon"),
     lambda d: d.select("id", _text(sc.level_rank(F.col("v"))).alias("lr"), sc.echelon_of(sc.level_rank(F.col("v"))).alias("echelon")),
 )
@@ -108,7 +111,7 @@ _cases(
 )
 _cases(
     "k18_youth_pools",
-    (("CYQ", "M18", "CMX", "Y"), ("BFA", "M13", "BFX", "F"), ("CC", "M18", "CMX", None), ("ZZ", None, None, "Z")),
+    (("CYB", "M18", "CMX", "Y"), ("BGC", "M13", "BFX", "G"), ("CC", "M18", "CMX", None), ("ZZ", None, None, "Z")),
     ("age", "division", "zone"),
     lambda d: d.select("id", sc.youth_pool(F.col("v")).alias("y")).select("id", "y.age", "y.division", "y.zone"),
 )
@@ -120,7 +123,7 @@ _cases(
 )
 _cases(
     "i13_swapped_sides",
-    (("RHONE 1|RHONE 3|RHONE 3|RHONE 1", "true"), ("LYON VB|BRON|LYON VOLLEY|X", "false"), ("LYON VB|BRON|BRON VC|X", "true"), ("A|B||", "false")),
+    (("OISE 2|OISE 5|OISE 5|OISE 2", "true"), ("NANTES VB|REDON|NANTES VOLLEY|X", "false"), ("NANTES VB|REDON|REDON VC|X", "true"), ("A|B||", "false"), ("|||", "false"), ("NIORT|SETE|NIORT|SETE", "false")),
     ("inverted",),
     lambda d: nm.with_swaps(d.select("id", *(F.nullif(F.split("v", r"\|")[k], F.lit("")).alias(c) for k, c in enumerate("abxy"))), *"abxy").select("id", F.col("swapped").cast("string").alias("inverted")),
 )
