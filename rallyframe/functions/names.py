@@ -10,6 +10,44 @@ from rallyframe.functions.scalars import bare
 #: Endings that say only that a club plays volleyball.
 ENDINGS = ("VOLLEY ?BALL", "VOLLEY", "VB", "AVB", "VBC", "VC")
 
+#: Words that don't tell teams apart.
+COMMON_WORDS = ("LE", "LA", "LES", "DE", "DES", "DU", "D", "L", "ET", "VOLLEY", "BALL", "VOLLEYBALL", "VB", "CFC", "ASS", "ASSO", "ASSOCIATION")
+
+
+def team_words(c: Column) -> Column:
+    """A team name's letters and digits in upper case without accents, words parted by one space; null: empty."""
+    return F.trim(F.regexp_replace(F.upper(bare(F.coalesce(c, F.lit("")))), r"[^\p{L}\p{N}]+", " "))
+
+
+def team_tokens(words: Column) -> Column:
+    """The telling words of :func:`team_words`: of two characters or more, no number, no common word."""
+    return F.array_distinct(F.filter(F.split(words, " "), lambda w: (F.length(w) > 1) & ~w.rlike(r"^\p{Nd}+$") & ~w.isin(*COMMON_WORDS)))
+
+
+def with_side(df: DataFrame) -> DataFrame:
+    """``df`` with ``side`` filled in: on which side of a match a player of a team (``team_id``, ``club_id``, ``name``) was.
+
+    The match has ``team_a``, ``club_a``, ``name_a`` and the same of b.  In this order decide: a side already known, equal
+    teams, equal clubs, one name within the other (without spaces), the greater share of the team's telling words
+    if it is a half or more.  If nothing decides the side stays null.
+    """
+    ends = {"n": "name", "a": "name_a", "b": "name_b"}
+    rows = df.withColumns({f"_{k}": team_words(F.col(c)) for k, c in ends.items()})
+    rows = rows.withColumns({f"_{k}_all": F.replace(F.col(f"_{k}"), F.lit(" "), F.lit("")) for k in ends} | {f"_{k}_words": team_tokens(F.col(f"_{k}")) for k in ends})
+    own, filled = F.col("_n_all"), lambda c: F.col(c) != ""
+    within = lambda k: filled("_n_all") & filled(f"_{k}_all") & (F.contains(F.col(f"_{k}_all"), own) | F.contains(own, F.col(f"_{k}_all")))
+    share = lambda k: F.coalesce(F.try_divide(F.size(F.array_intersect("_n_words", f"_{k}_words")).cast("double"), F.size("_n_words")), F.lit(0.0))
+    rows = rows.withColumns({"_share_a": share("a"), "_share_b": share("b")})
+    found = (
+        F.when(F.coalesce("side", F.lit("")) != "", F.col("side"))
+        .when(F.col("team_a") == F.col("team_id"), "A").when(F.col("team_b") == F.col("team_id"), "B")
+        .when(F.col("club_a") == F.col("club_id"), "A").when(F.col("club_b") == F.col("club_id"), "B")
+        .when(within("a"), "A").when(within("b"), "B")
+        .when((F.col("_share_a") > F.col("_share_b")) & (F.col("_share_a") >= 0.5), "A")
+        .when((F.col("_share_b") > F.col("_share_a")) & (F.col("_share_b") >= 0.5), "B")
+    )
+    return rows.withColumn("side", found).select(*df.columns)
+
 
 def club_name(c: Column) -> Column:
     """Upper case without accents and punctuation, a final team number dropped, SAINT(E) and STE as ST."""

@@ -92,6 +92,16 @@ def diffuse(scores: DataFrame, passes: int = 5, write=None) -> tuple[DataFrame,
     return beliefs, passes
 
 
+def with_roles(appearances: DataFrame, beliefs: DataFrame) -> DataFrame:
+    """Appearances with the believed role and its confidence (whole per cent), where there is a belief.
+
+    A player believed on both sides of a match has the more confident belief, of equal ones that of side B.
+    """
+    one = beliefs.groupBy("match_id", "player_id").agg(F.max_by(F.struct("role", "confidence"), F.struct("confidence", "side")).alias("_b"))
+    new = {"role": F.coalesce("_b.role", "role"), "confidence": F.coalesce(F.round(F.col("_b.confidence") * 100).cast("long"), "confidence")}
+    return appearances.join(one, ["match_id", "player_id"], "left").withColumns(new).select(*appearances.columns)
+
+
 def role_metrics(beliefs: DataFrame) -> DataFrame:
     """Per role: beliefs, mean confidence, how many are certain (0.75), likely (0.50) or weak."""
     c = F.col("confidence")

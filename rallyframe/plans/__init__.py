@@ -1,4 +1,4 @@
 """All registered queries of the contest domain."""
 
-from rallyframe.plans import extra, leaderboards, more, sheets, tables  # noqa: F401
+from rallyframe.plans import extra, leaderboards, more, rules, sheets, tables  # noqa: F401
 from rallyframe.plans.registry import ORACLES, QUERIES  # noqa: F401

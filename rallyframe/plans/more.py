@@ -255,7 +255,33 @@ def _diffused(c):
     return ro.diffuse(ro.evidence(_formations(c)), 3)[0]
 
 
-query("h4_role_diffusion", _diffused)
+
+
+def _pass(n: int) -> str:
+    """One pass of the diffusion: beliefs ``be{n}`` from the evidence and the players' priors by ``be{n - 1}``."""
+    return f""",
+w{n} AS MATERIALIZED (SELECT player_id, role, sum(CAST(round(greatest(CAST(0.5 AS DOUBLE), confidence) * 1000) AS BIGINT)) w FROM be{n - 1} GROUP BY 1, 2),
+pr{n} AS MATERIALIZED (SELECT player_id, role, round(CAST(w AS DOUBLE) / sum(w) OVER (PARTITION BY player_id), 4) AS share FROM w{n}),
+al{n} AS (SELECT match_id, side, player_id, role, score FROM ev UNION ALL SELECT match_id, side, player_id, role, share * CAST(2.4 AS DOUBLE) FROM (SELECT DISTINCT match_id, side, player_id FROM ev) JOIN pr{n} USING (player_id)),
+ev{n} AS (SELECT match_id, side, player_id, role, sum(score) score FROM al{n} GROUP BY 1, 2, 3, 4),
+sh{n} AS (SELECT *, sum(score) OVER (PARTITION BY match_id, side, player_id) total, greatest(CAST(0.01 AS DOUBLE), round(score / sum(score) OVER (PARTITION BY match_id, side, player_id), 6)) AS share FROM ev{n}),
+rk{n} AS (SELECT *, row_number() OVER (PARTITION BY match_id, side, player_id ORDER BY share DESC, role) AS n FROM sh{n}),
+tw{n} AS (SELECT match_id, side, player_id, max(role) FILTER (n = 1) AS role, max(share) FILTER (n = 1) AS share, coalesce(max(share) FILTER (n = 2), 0) AS second, max(total) total FROM rk{n} GROUP BY 1, 2, 3),
+be{n} AS MATERIALIZED (SELECT match_id, side, player_id, role, round(share, 4) AS share, round(CAST(0.35 AS DOUBLE) * share + CAST(0.30 AS DOUBLE) * (share - second) + CAST(0.35 AS DOUBLE) * least(CAST(1 AS DOUBLE), total / 10), 3) confidence FROM tw{n}),
+ch{n} AS MATERIALIZED (SELECT count(*) AS n FROM be{n} a JOIN be{n - 1} b USING (match_id, side, player_id) WHERE a.role <> b.role)
+"""
+
+
+query(
+    "h4_role_diffusion",
+    _diffused,
+    _SOLVED
+    + ", be0 AS MATERIALIZED (SELECT * FROM be)"
+    + "".join(map(_pass, (1, 2, 3)))
+    + """, held AS MATERIALIZED (SELECT CASE WHEN ch1.n = 0 THEN 0 WHEN ch2.n = 0 THEN 1 WHEN ch3.n = 0 THEN 2 ELSE 3 END AS k FROM ch1, ch2, ch3)
+"""
+    + " UNION ALL ".join(f"SELECT be{k}.* FROM be{k}, held WHERE k = {k}" for k in range(4)),
+)
 query(
     "h6_role_metrics",
     lambda c: ro.role_metrics(ro.solve(ro.evidence(_formations(c)))).drop("mean_confidence"),
