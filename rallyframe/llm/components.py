@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rallyframe.llm.common import materialise
 
 
-def _roots(parent: DataFrame) -> DataFrame:
+def roots(parent: DataFrame) -> DataFrame:
     """(id, root) from (id, root) where a root may itself have one; the distance halves in each pass."""
     while True:
         up = parent.select(F.col("id").alias("root"), F.col("root").alias("above"))
@@ -27,7 +27,7 @@ def components(edges: DataFrame) -> DataFrame:
     edges = materialise(edges.select("a", "b").distinct(), "edges")
     found = None
     while edges.limit(1).count():
-        step = _roots(edges.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("root")))
+        step = roots(edges.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("root")))
         found = step if found is None else materialise(relabel(found, step, "root").unionByName(step), "roots")
         ends = relabel(relabel(edges, step, "a"), step, "b")
         edges = materialise(ends.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
