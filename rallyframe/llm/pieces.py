@@ -96,7 +96,9 @@ class PieceEncoder:
 
     def split(self, text: str) -> list[str]:
         """The pieces of a text without special strings; their ids one behind the other are the text's."""
-        return self.find(text) if _OTHER.search(text) else self.cut(text.lower() if self.kind == "word" else text)
+        cut = text.lower() if self.kind == "word" else text
+        # capitals may fold to letters that the classes of the splits do not hold
+        return self.find(text) if _OTHER.search(text) or (cut is not text and _OTHER.search(cut)) else self.cut(cut)
 
     def _learn(self) -> None:
         """Ask the library for the pieces that wait, all in one call."""

@@ -1,5 +1,6 @@
 """Operators 1, 3 and 9 against the tokenizers library itself."""
 
+import unicodedata
 import zlib
 
 import numpy as np
@@ -10,6 +11,7 @@ from tokenizers import Tokenizer
 
 from rallyframe.llm.common import table
 from rallyframe.llm.packing import best_fit_pack, cuts, plan
+from rallyframe.llm.pieces import PieceEncoder
 from rallyframe.llm.token_counts import token_counts
 from rallyframe.llm.token_output import pack, read_ids, token_output, unpack, write_ids
 
@@ -57,6 +59,24 @@ def test_token_output_is_the_librarys(spark, docs, texts):
     assert len(got) == len(texts)
 
 
+@pytest.mark.parametrize("name, kind", [("word_bpe_49k.json", "word"), ("byte_bpe_50k.json", "byte")])
+def test_every_code_point_is_the_librarys(name, kind):
+    """Every assigned code point alone, in a word, between digits and between spaces; then random Latin words."""
+    texts = []
+    for k in range(0x110000):
+        c = chr(k)
+        if unicodedata.category(c) not in ("Cn", "Cs", "Co"):
+            texts.append(f"{c}\na{c}b\n1{c}2\na {c} b")
+    latin = [chr(k) for k in range(0x250) if unicodedata.category(chr(k))[0] in "LN"] + list(" '.")
+    rng = np.random.default_rng(5)
+    texts += ["".join(rng.choice(latin, 12)) for _ in range(6000)] + ["BAKI ŞƏHƏRİ, AZƏRBAYCAN"]
+    t, mine = Tokenizer.from_file(public_tokenizers.path(name)), PieceEncoder(name, kind)
+    for at in range(0, len(texts), 5000):
+        some = texts[at : at + 5000]
+        for text, got, want in zip(some, mine.encode(some), t.encode_batch(some, add_special_tokens=False)):
+            assert got.tolist() == want.ids, (text, hex(ord(text[0])))
+
+
 def test_variable_length_round_trip():
     rng = np.random.default_rng(1)
     for n in (0, 1, 2, 3, 4, 5, 1000):
