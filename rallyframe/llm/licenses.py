@@ -13,6 +13,7 @@ labels, score 0.  Repeated rows are answered each.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from functools import lru_cache
 
 import pyarrow as pa
@@ -67,41 +68,49 @@ def _machine():
     return automaton, patterns
 
 
+#: No word of a notice with its errors is so long; a window never needs to reach into one.
+LONG_WORD = 64
+
+
+def _window(text: str, start: int, end: int) -> tuple[int, int]:
+    """The window, its end moved to the end of a word: a cut word would look like a whole one."""
+    start, end = max(0, start), min(end, len(text))
+    if end < len(text) and text[end] != " ":
+        space = text.find(" ", end, end + LONG_WORD)
+        if space < 0 and end + LONG_WORD < len(text):
+            space = max(start, text.rfind(" ", start, end))
+        end = len(text) if space < 0 else space
+    return start, end
+
+
 def fuzzy_spans(text: str) -> list[tuple[str, int, int, int]]:
     """(label, start, end, edits) of notices in ``text`` (words joined by single spaces), one per disjoint place.
 
-    Windows of one notice that touch are verified together: the search gives the best place of a window,
-    and what lies before and behind it is searched again.
+    Each seed's own window, of bounded length, is verified; of places of one notice that overlap the one with
+    the fewest edits counts, then the leftmost.
     """
     automaton, patterns = _machine()
-    windows: dict[int, list[list[int]]] = {}
+    windows: dict[int, set[tuple[int, int]]] = {}
     for end, (size, uses) in automaton.iter(text):
         start = end - size + 1
         for which, at in uses:
             phrase, _, errors = NOTICES[which]
-            a, b = max(0, start - at - errors - 1), start - at + len(phrase) + errors + 1
-            mine = windows.setdefault(which, [])
-            if mine and a <= mine[-1][1]:
-                mine[-1][1] = max(mine[-1][1], b)
-            else:
-                mine.append([a, b])
+            windows.setdefault(which, set()).add(_window(text, start - at - errors - 1, start - at + len(phrase) + errors + 1))
     found = []
     for which, mine in windows.items():
-        phrase, label, errors = NOTICES[which]
+        places = set()
         for a, b in mine:
-            rest = [(a, min(b, len(text)))]
-            while rest:
-                lo, hi = rest.pop()
-                if m := patterns[which].search(text, lo, hi):
-                    found.append((label, m.start(), m.end(), sum(m.fuzzy_counts)))
-                    rest += [(lo, m.start()), (max(m.end(), m.start() + 1), hi)]
+            if m := patterns[which].search(text, a, b):
+                places.add((sum(m.fuzzy_counts), m.start(), m.end()))
+        taken: list[tuple[int, int]] = []  # disjoint, in order
+        for edits, start, end in sorted(places):
+            k = bisect_left(taken, (start, end))
+            if (k == 0 or taken[k - 1][1] <= start) and (k == len(taken) or end <= taken[k][0]):
+                taken.insert(k, (start, end))
+                found.append((NOTICES[which][1], start, end, edits))
     return sorted(found, key=lambda x: (x[1], x[2], x[0]))
 
 
-#: Fast rejection: a text in which no seed's notice can stand.
-_FIRST = re.compile("|".join(sorted({re.escape(p) for phrase, _, e in NOTICES for p, _ in seeds(phrase, e)}, key=len, reverse=True)))
-
-
 @lru_cache(maxsize=1)
 def _base_patterns():
     return [(re.compile(rf"(?<![^ ])(?={re.escape(p)}(?![^ ]))"), label) for p, label in BASE]
