@@ -16,6 +16,7 @@ repeated rows and repeated items are reported each, null ids under null; extra c
 
 from __future__ import annotations
 
+import hashlib
 from functools import lru_cache
 
 import numpy as np
@@ -121,7 +122,7 @@ def stretches(equal: np.ndarray) -> list[tuple[int, int]]:
 
 def _batch(columns: list, names: str) -> pa.RecordBatch:
     """Columns of long, binary, text or lists of long by the names' types."""
-    kinds = {"long": pa.int64(), "string": pa.string(), "array<long>": pa.list_(pa.int64())}
+    kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
     fields = [f.split() for f in names.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, (_, t) in zip(columns, fields)], [n for n, _ in fields])
 
@@ -205,34 +206,38 @@ OVERLAPS = "doc_id long, item_id long, first_word long, n_words long, n_equal lo
 
 
 def _overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The columns of OVERLAPS and the document's text for every verified overlap."""
+    """The columns of OVERLAPS and the digest of the document's text for every verified overlap.
+
+    The diagonals of a document and an item are gathered first, so the two texts meet once.
+    """
     items = benchmark_items(benchmark)
     seeds = item_seeds(items)
     lengths = sorted(r[0] for r in seeds.select("size").distinct().collect())  # at most LEAST_WORDS
     hits = hit_documents(docs, masks_in_use(lengths), bit_table(seeds))
     each = hits.select("doc", F.explode(F.arrays_zip("keys", "places")).alias("h")).select("doc", F.col("h.keys").alias("key"), F.col("h.places").alias("place"))
-    diagonals = each.join(seeds.select("key", "item", "at"), "key").select("doc", "item", (F.col("place") - F.col("at")).alias("diagonal")).distinct()
-    both = diagonals.join(items, "item").join(hits.select("doc", "doc_id", "text"), "doc").select("doc_id", "item_id", "diagonal", "text", "item_text")
+    diagonals = each.join(seeds.select("key", "item", "at"), "key").groupBy("doc", "item").agg(F.collect_set(F.col("place") - F.col("at")).alias("diagonals"))
+    both = diagonals.join(items, "item").join(hits.select("doc", "doc_id", "text"), "doc").select("doc_id", "item_id", "diagonals", "text", "item_text")
 
     def run(batches):
-        names = f"{OVERLAPS}, text string"
-        last, words, theirs, mine = None, None, None, None
+        names = f"{OVERLAPS}, digest binary"
+        last, words, digest, theirs, mine = None, None, None, None, None
         for b in parts_of(batches, 3):
             rows = []
-            for doc, item, diagonal, text, item_text in zip(*(b.column(k).to_pylist() for k in range(5))):
+            for doc, item, diagonals, text, item_text in zip(*(b.column(k).to_pylist() for k in range(5))):
                 if text != last:
-                    last, words = text, hashes_of(letter_words(text))
+                    last, words, digest = text, hashes_of(letter_words(text)), hashlib.md5(text.encode()).digest()
                 if item_text != theirs:
                     theirs, mine = item_text, hashes_of(letter_words(item_text))
-                rows += [(doc, item, *found, text) for found in verified(words, mine, diagonal)]
+                for diagonal in sorted(diagonals):
+                    rows += [(doc, item, *found, digest) for found in verified(words, mine, diagonal)]
             yield _batch(list(zip(*rows)) if rows else [[]] * 7, names)
 
-    return both.mapInArrow(run, f"{OVERLAPS}, text string")
+    return both.mapInArrow(run, f"{OVERLAPS}, digest binary")
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per verified overlap of a document and an item; only contaminated documents appear."""
-    return _overlaps(docs, benchmark).drop("text")
+    return _overlaps(docs, benchmark).drop("digest")
 
 
 def reject_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
@@ -243,6 +248,6 @@ def reject_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "
     """
     digest = F.unhex(F.md5(F.col(text_col).cast("string").cast("binary")))
     only = docs.select(F.lit(0).alias("doc_id"), F.col(text_col).alias("text"))
-    bad = materialise(_overlaps(only, benchmark).select(F.unhex(F.md5(F.col("text").cast("binary"))).alias("_digest")).distinct(), "contaminated")
+    bad = materialise(_overlaps(only, benchmark).select(F.col("digest").alias("_digest")).distinct(), "contaminated")
     bad = F.broadcast(bad) if bad.count() <= MOST_SENT else bad
     return docs.join(bad, digest == bad["_digest"], "left_anti")

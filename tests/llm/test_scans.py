@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 
 import pytest
 
@@ -107,6 +108,33 @@ def test_fuzzy_spans_against_an_edit_distance_scan():
                         assert any(x < b and a < y for _, x, y, _ in mine), (text, phrase, text[a:b])
 
 
+def test_slipped_notices_take_linear_time():
+    """Eight times as many slipped notices take about eight times as long, not sixty-four."""
+    li.fuzzy_spans("gnu general publik license")
+
+    def seconds(n):
+        began = time.process_time()
+        spans = li.fuzzy_spans("gnu general publik license " * n)
+        assert len([s for s in spans if s[0] == "gpl"]) == n
+        return time.process_time() - began
+
+    assert seconds(8000) < 20 * max(seconds(1000), 0.05)
+
+
+def test_a_cut_word_is_no_whole_word():
+    assert li.fuzzy_spans("mit license" + "x" * 500) == [] and li.fuzzy_spans("mit licensexyz then") == []
+    assert [s[:3] for s in li.fuzzy_spans("mitt license mit license")] == [("mit", 0, 12), ("mit", 13, 24)]
+
+
+def test_repeated_words_meet_a_text_once(spark):
+    """Every diagonal of a text and an item of one word repeated, without a copy of the text for each."""
+    text = "word " * 6000
+    docs = spark.createDataFrame([(1, text), (2, "other " * 40)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "word " * 40)], "item_id long, text string")
+    found = dc._overlaps(docs, items)
+    assert {r[0] for r in found.select("doc_id").distinct().collect()} == {1} and "text" not in found.columns
+
+
 def test_many_places_are_counted_in_linear_time():
     r = li.scan("mit license " * 60_000)
     assert r[:4] == (120_000, 60_000, 0, 119_998)
