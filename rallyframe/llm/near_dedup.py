@@ -16,13 +16,13 @@
 
 Defined cases: null and empty texts and texts without words have an empty set and are linked with
 nothing, not even each other; texts of fewer than five words have one shingle, the whole sequence.
-Rows that repeat a doc_id stand or fall together.  A row with a null doc_id takes its class's
+Rows that repeat a doc_id are one document: they stand or fall together, and each one's links count.  A row with a null doc_id takes its class's
 component_id (null if the class has no other id) and is kept only in that case.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -157,7 +157,7 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int = SIMILARITY) -> bool:
 
 def _bayes(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sizes and signatures allow the similarity."""
-    side = lambda k: reps.select(F.col("doc_id").alias(k), F.col("n").alias(f"n_{k}"), F.col("sig").alias(f"sig_{k}"))
+    side = lambda k: reps.select(F.col("number").alias(k), F.col("n").alias(f"n_{k}"), F.col("sig").alias(f"sig_{k}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a")
     both = both.where(100 * F.least("n_a", "n_b") >= SIMILARITY * F.greatest("n_a", "n_b")).select("a", "b", "sig_a", "sig_b")
 
@@ -195,25 +195,28 @@ def id_bits(ids: DataFrame):
     return ids.sparkSession.sparkContext.broadcast(table)
 
 
-def _packed(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id and the text's words, compressed, of the ids: one row each (of a repeated id the least), as a table."""
-    wanted = id_bits(ids)
+def _packed(docs: DataFrame, wanted: DataFrame, reps: DataFrame) -> DataFrame:
+    """(number, packed): the words, compressed, of the wanted classes' texts, one row each, as a table.
+
+    A text is known by its document and digest, as the rows of a repeated id may differ."""
+    named = reps.join(wanted, "number", "left_semi").select("number", F.col("owner").alias("doc_id"), "same")
+    bits = id_bits(named)
 
     def run(batches):
         pack = zstandard.ZstdCompressor(level=1).compress
         for b in parts_of(batches, 1):
             at = _slot(b.column(0).to_numpy())
-            b = b.filter(pa.array((wanted.value[at >> 5] >> (at & 31).astype(np.uint32)) & 1 > 0))
-            texts = [pack(b" ".join(blank_words(t))) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.binary())], ["doc_id", "packed"])
+            b = b.filter(pa.array((bits.value[at >> 5] >> (at & 31).astype(np.uint32)) & 1 > 0))
+            texts = [b" ".join(blank_words(t)) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([xxhash.xxh3_128_digest(t) for t in texts], pa.binary()), pa.array([pack(t) for t in texts], pa.binary())], ["doc_id", "same", "packed"])
 
-    near = id_text(docs).where("doc_id is not null").mapInArrow(run, "doc_id long, packed binary")
-    return materialise(near.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("packed").alias("packed")), "texts")
+    near = id_text(docs).where("doc_id is not null").mapInArrow(run, "doc_id long, same binary, packed binary")
+    return materialise(near.join(named, ["doc_id", "same"]).groupBy("number").agg(F.min("packed").alias("packed")), "texts")
 
 
 def _exact(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) that have the similarity, by their full sets; ``texts`` has one row per doc_id of them."""
-    side = lambda k: texts.select(F.col("doc_id").alias(k), F.col("packed").alias(f"text_{k}"))
+    """The pairs (a, b) that have the similarity, by their full sets; ``texts`` has one row per class of them."""
+    side = lambda k: texts.select(F.col("number").alias(k), F.col("packed").alias(f"text_{k}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b")
 
     def run(batches):
@@ -236,38 +239,53 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame |
     likely = materialise(_bayes(pairs, reps), "likely")
     if likely.limit(1).count() == 0:
         return None
-    ids = likely.select(F.col("a").alias("doc_id")).union(likely.select(F.col("b").alias("doc_id"))).distinct()
-    return materialise(_exact(likely, _packed(docs, ids)), "links")
+    ends = likely.select(F.col("a").alias("number")).union(likely.select(F.col("b").alias("number"))).distinct()
+    return materialise(_exact(likely, _packed(docs, ends, reps)), "links")
+
+
+def _same_ids(full: DataFrame, reps: DataFrame) -> DataFrame | None:
+    """Links between the classes of one doc_id, as rows that repeat an id are one document; None if no id has several."""
+    digest = F.xxhash64("same")
+    several = full.where("doc_id is not null").groupBy("doc_id").agg(F.min(digest).alias("lo"), F.max(digest).alias("hi")).where("lo <> hi").select("doc_id")
+    several = materialise(several, "repeated-ids")
+    if several.limit(1).count() == 0:
+        return None
+    classes = full.join(several, "doc_id").select("doc_id", "same").distinct()
+    numbered = materialise(classes.join(reps.select("same", "number"), "same").select("doc_id", "number"), "id-classes")
+    first = numbered.groupBy("doc_id").agg(F.min("number").alias("a"))
+    return numbered.join(first, "doc_id").where("number <> a").select("a", F.col("number").alias("b")).distinct()
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row."""
     prints = materialise(fingerprints(docs), "prints")
     full = prints.where("n > 0")
-    classes = full.groupBy("same").agg(F.min("doc_id").alias("class_id"))
+    # a class has a number of its own: its least doc_id may name several classes, if rows of that id differ
     firsts = full.where(F.col("doc_id").isNotNull()).groupBy("same").agg(F.min(F.struct("doc_id", "n", "bands", "sig")).alias("r"))
-    reps = materialise(firsts.select("r.*"), "reps")
+    reps = materialise(firsts.select("same", F.col("r.doc_id").alias("owner"), "r.n", "r.bands", "r.sig").withColumn("number", F.monotonically_increasing_id()), "reps")
 
-    bands = reps.select("doc_id", "n", F.explode("bands").alias("key"))
-    shared = bands.groupBy("key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("size")).where("size > 1").select("key", "first")
+    bands = reps.select("number", "n", F.explode("bands").alias("key"))
+    shared = bands.groupBy("key").agg(F.min("number").alias("first"), F.count(F.lit(1)).alias("size")).where("size > 1").select("key", "first")
     crowded = materialise(bands.join(shared, "key"), "crowded")
-    shares = crowded.where("doc_id <> first").groupBy("doc_id", "first").agg(F.count(F.lit(1)).alias("shared"))
-    stars = shares.groupBy(F.col("doc_id").alias("b")).agg(F.max_by("first", F.struct("shared", -F.col("first"))).alias("a")).select("a", "b")
+    shares = crowded.where("number <> first").groupBy("number", "first").agg(F.count(F.lit(1)).alias("shared"))
+    stars = shares.groupBy(F.col("number").alias("b")).agg(F.max_by("first", F.struct("shared", -F.col("first"))).alias("a")).select("a", "b")
     links = _verified(stars, reps, docs)
     roots = components(links if links is not None else stars.limit(0))
 
     mixed = _mixed_buckets(crowded, roots)
     listed = _verified(_cross_pairs(mixed.where(F.col("size") <= LISTED)), reps, docs)
     blocked = _block_links(mixed.where(F.col("size") > LISTED), reps, docs)
-    found = [x for x in (listed, blocked) if x is not None]
+    found = [x.select("a", "b") for x in (listed, blocked, _same_ids(full, reps)) if x is not None]
     if found:
-        more = found[0] if len(found) == 1 else found[0].unionByName(found[1])
+        more = reduce(DataFrame.unionByName, found)
         ends = relabel(relabel(more, roots, "a"), roots, "b").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         step = components(ends)
         roots = materialise(relabel(roots, step, "root").unionByName(step), "roots")
 
     # a table of its own, so that adaptive execution may split the join for a large group of copies
-    named = materialise(relabel(classes.select("same", F.col("class_id").alias("component_id")), roots, "component_id"), "named")
+    rooted = relabel(reps.select("same", "owner", F.col("number").alias("root")), roots, "root")
+    least = rooted.groupBy("root").agg(F.min("owner").alias("component_id"))
+    named = materialise(rooted.join(least, "root").select("same", "component_id"), "named")
     out = prints.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("same")).alias("same")).join(named, "same", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     out = out.select("doc_id", "n_shingles", component.alias("component_id"))
@@ -275,15 +293,15 @@ def near_dedup(docs: DataFrame) -> DataFrame:
 
 
 def _mixed_buckets(crowded: DataFrame, roots: DataFrame) -> DataFrame:
-    """key, doc_id, n, root, size: the members of buckets that hold several components, as a table."""
-    labelled = relabel(crowded.withColumn("root", F.col("doc_id")), roots, "root")
+    """key, number, n, root, size: the members of buckets that hold several components, as a table."""
+    labelled = relabel(crowded.withColumn("root", F.col("number")), roots, "root")
     mixed = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi").select("key", "size")
-    return materialise(labelled.join(mixed, "key").select("key", "doc_id", "n", "root", "size"), "mixed")
+    return materialise(labelled.join(mixed, "key").select("key", "number", "n", "root", "size"), "mixed")
 
 
 def _cross_pairs(members: DataFrame) -> DataFrame:
     """Pairs (a, b) of small buckets' members in different components whose sizes may reach the similarity."""
-    side = lambda k: members.select("key", F.col("root").alias(f"root_{k}"), F.col("doc_id").alias(k), F.col("n").alias(f"size_{k}"))
+    side = lambda k: members.select("key", F.col("root").alias(f"root_{k}"), F.col("number").alias(k), F.col("n").alias(f"size_{k}"))
     pairs = side("a").join(side("b"), "key").where("a < b and root_a <> root_b")
     return pairs.where(100 * F.least("size_a", "size_b") >= SIMILARITY * F.greatest("size_a", "size_b")).select("a", "b").distinct()
 
@@ -294,19 +312,19 @@ def _block_links(members: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFr
     A member goes to every pair of blocks that its own is part of; a task holds two blocks.  A pair is
     decided in the first bucket that its members share.
     """
-    ids = members.select("doc_id").distinct()
+    ids = members.select("number").distinct()
     if ids.limit(1).count() == 0:
         return None
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
-    spread = members.select("key", "doc_id", "root", mine.alias("mine"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    spread = spread.select("key", "doc_id", "root", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
-    full = reps.join(_packed(docs, ids), "doc_id").select("doc_id", "n", "bands", "sig", "packed")
+    mine = F.pmod(F.xxhash64("number"), blocks).cast("int")
+    spread = members.select("key", "number", "root", mine.alias("mine"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    spread = spread.select("key", "number", "root", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    full = reps.join(_packed(docs, ids, reps), "number").select("number", "n", "bands", "sig", "packed")
 
     def compare(group: pa.Table) -> pa.Table:
         unpack = zstandard.ZstdDecompressor().decompress
         col = lambda k: group.column(k).to_numpy()
-        ids_, root, n, mine_ = col("doc_id"), col("root").copy(), col("n").astype(np.int64), col("mine")
+        ids_, root, n, mine_ = col("number"), col("root").copy(), col("n").astype(np.int64), col("mine")
         key, i, j = (group.column(k)[0].as_py() for k in ("key", "i", "j"))
         sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint8).reshape(-1, HASHES)
         bands = np.array(group.column("bands").to_pylist(), np.int64)
@@ -331,7 +349,7 @@ def _block_links(members: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFr
                 root[root == root[y]] = root[x]
         return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
-    return materialise(spread.join(full, "doc_id").groupBy("key", "i", "j").applyInArrow(compare, "a long, b long").distinct(), "links")
+    return materialise(spread.join(full, "number").groupBy("key", "i", "j").applyInArrow(compare, "a long, b long").distinct(), "links")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

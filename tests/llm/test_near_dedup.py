@@ -105,6 +105,38 @@ def test_repeated_null_and_empty(spark):
     assert sorted(r[0] for r in kept if r[0] is not None) == [7, 7]
 
 
+def test_repeated_ids_of_different_texts(spark):
+    """Every row's links count, and rows of one id are one document: against all pairs of rows."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    rows = []
+    for group in range(12):
+        x, y = ([word() for _ in range(60)] for _ in range(2))
+        near = [*y[:30], word(), *y[30:]]
+        at = 100 * group
+        rows += [(at + 5, " ".join(x)), (at + 5, " ".join(y)), (at + 7, " ".join(near))]
+        if group % 3 == 0:
+            rows += [(at + 3, " ".join([*x[1:], word()])), (at + 5, "")]
+    sets = [shingle_set(t) for _, t in rows]
+    root = {i: i for i, _ in rows}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for j in range(len(rows)):
+        for k in range(j):
+            both = len(sets[j] & sets[k])
+            if both and 100 * both >= 75 * (len(sets[j]) + len(sets[k]) - both):
+                a, b = sorted((find(rows[j][0]), find(rows[k][0])))
+                root[b] = a
+    got = near_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).where("n_shingles > 0").collect()
+    assert len(got) == sum(map(bool, sets))
+    for r in got:
+        assert r["component_id"] == find(r["doc_id"]), r
+
+
 @pytest.mark.parametrize("edges", [[(1, 2), (2, 3), (3, 4), (8, 9)], [(k, k + 1) for k in range(40)], [(0, k) for k in range(1, 30)] + [(50, 60), (29, 50)], []])
 def test_components(spark, edges):
     root: dict = {}
