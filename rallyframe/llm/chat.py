@@ -20,9 +20,9 @@ Output: a table, one row per segment: ``conv_id``, ``part`` (ascending within a
 
 Defined cases: null text or role: empty.  Null conv_id: a conversation of its own, null turns first.
 Rows of one turn (repeated rows too) are all kept, ordered by role, then by the text's hash.  Roles other
-than ``assistant``, known or not, are marked but not trained on.  A template that rewrites history has
-no loss mask from the rewritten segment's place on: its spans are no longer where they were.  Empty
-table: no rows.  Other columns are not read.
+than ``assistant``, known or not, are marked but not trained on.  A segment whose history is rewritten has no loss
+mask, as its spans are no longer where they were; a conversation keeps its history where all its segments do.
+Empty table: no rows.  Other columns are not read.
 """
 
 from __future__ import annotations
