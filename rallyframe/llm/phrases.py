@@ -317,6 +317,8 @@ def count_phrases(coded: DataFrame, dictionary, sizes: tuple[int, ...], least: i
                 continue
             columns, counts = runs[s][0]
             at = np.flatnonzero(counts >= least)
+            if not len(at):
+                continue
             ids = unpacked([c[at] for c in columns], d.width, s)
             raw = ids[:, :, 0].astype(">u4") if d.width == 4 else ids.astype(">u8").reshape(len(at), -1)
             raw = np.ascontiguousarray(raw).view(np.uint8).reshape(len(at), -1)
