@@ -18,10 +18,16 @@ def service_order(sheets: DataFrame) -> DataFrame:
     The positions come round in order, from 1 for the side that serves first and from 2, with 1 last, for the
     other; a position's n-th score belongs to the n-th round.  Null or empty maps give no rows.
     """
-    one = lambda side: sheets.select("set_id", (F.col("service_initial") == side).alias("first"), F.lit(side).alias("side"), F.explode(f"services_{side.lower()}").alias("position", "scores"))
-    each = one("A").unionByName(one("B")).select("set_id", "side", "position", F.when(F.col("first"), F.col("position")).otherwise(F.pmod(F.col("position") - 2, F.lit(6))).alias("place"), F.posexplode("scores").alias("round", "score"))
+    return _order(sheets)
+
+
+def _order(sheets: DataFrame, *keep: str) -> DataFrame:
+    """The turns in order, with further columns of the sheet: one pass over it."""
+    sides = F.explode(F.array(*(F.struct(F.lit(k).alias("side"), F.col(f"services_{k.lower()}").alias("services")) for k in "AB"))).alias("s")
+    each = sheets.select("set_id", "service_initial", *keep, sides).select("set_id", (F.col("service_initial") == F.col("s.side")).alias("first"), *keep, "s.side", F.explode("s.services").alias("position", "scores"))
+    placed = each.select("set_id", "side", *keep, "position", F.when(F.col("first"), F.col("position")).otherwise(F.pmod(F.col("position") - 2, F.lit(6))).alias("place"), F.posexplode("scores").alias("round", "score"))
     w = Window.partitionBy("set_id", "side").orderBy("round", "place")
-    return each.select("set_id", "side", (F.row_number().over(w) - 1).cast("long").alias("turn"), F.col("position").cast("long").alias("position"), F.col("score").cast("long").alias("score"))
+    return placed.select("set_id", "side", (F.row_number().over(w) - 1).cast("long").alias("turn"), F.col("position").cast("long").alias("position"), F.col("score").cast("long").alias("score"), *keep)
 
 
 def service_turns(sheets: DataFrame) -> DataFrame:
@@ -32,9 +38,9 @@ def service_turns(sheets: DataFrame) -> DataFrame:
     if the set was won on serve, and then gives the other side no point.  Sets without a first server or turns give none.
     """
     winner = F.when(F.col("score_a") > F.col("score_b"), "A").when(F.col("score_b") > F.col("score_a"), "B")
-    finals = sheets.where(F.col("service_initial").isin("A", "B")).select("set_id", "service_initial", winner.alias("winner"), F.greatest("score_a", "score_b").cast("long").alias("won_at"))
+    known = sheets.where(F.col("service_initial").isin("A", "B")).withColumn("winner", winner).withColumn("won_at", F.greatest("score_a", "score_b").cast("long"))
     own = Window.partitionBy("set_id", "side")
-    rows = service_order(sheets).join(finals, "set_id").withColumn("victory", (F.col("side") == F.col("winner")) & (F.col("turn") == F.max("turn").over(own)))
+    rows = _order(known, "service_initial", "winner", "won_at").withColumn("victory", (F.col("side") == F.col("winner")) & (F.col("turn") == F.max("turn").over(own)))
     rows = rows.withColumn("victory", F.coalesce("victory", F.lit(False))).withColumn("first", F.col("side") == F.col("service_initial"))
     whole = Window.partitionBy("set_id")
     count = lambda c: F.sum(c.cast("long")).over(whole)
@@ -71,6 +77,13 @@ def player_at(position: Column, at: Column, formation: Column, changes: Column)
     return F.when(formation.isNotNull(), F.coalesce(F.try_element_at(done, F.lit(-1))["entrant"], F.try_element_at(formation, position.cast("int"))))
 
 
+def position_of(player: Column, at: Column, formation: Column, changes: Column) -> Column:
+    """The position (1 to 6) at which a player stands when the scores sum up to ``at``, the smallest of several; null where at none."""
+    there = F.transform(F.sequence(F.lit(1), F.lit(6)), lambda p: player_at(p, at, formation, changes).eqNullSafe(player))
+    found = F.array_position(there, F.lit(True))
+    return F.when(player.isNotNull() & (found > 0), found)
+
+
 def servers(turns: DataFrame, lineups: DataFrame) -> DataFrame:
     """The turns with ``player``: who served them."""
     both = turns.join(lineups, ["set_id", "side"], "left")

@@ -9,24 +9,53 @@ from rallyframe.operators.points import in_set, points_only, timeline
 
 
 def service_sheets(rallies: DataFrame) -> DataFrame:
-    """One sheet per decided set: its points until the winner's last, each serve run an entry of the server's next position."""
-    points = points_only(timeline(rallies))
-    ends = points.groupBy("set_id").agg(F.max_by("y", "x").alias("lead"))
-    ends = ends.where("lead <> 0").select("set_id", F.when(F.col("lead") > 0, "A").otherwise("B").alias("winner"))
-    rows = points.join(ends, "set_id")
-    rows = rows.withColumn("until", F.max(F.when(F.col("scored_by") == F.col("winner"), F.col("x"))).over(Window.partitionBy("set_id"))).where("x <= until")
+    """One sheet per decided set: its points until the winner's last, each serve run an entry of the server's next position.
+
+    Every step is dealt by set, so the events are shuffled once.
+    """
+    whole = Window.partitionBy("set_id")
+    lead = F.max_by("y", "x").over(whole)
+    rows = points_only(timeline(rallies)).withColumn("winner", F.when(lead > 0, "A").when(lead < 0, "B")).where("winner is not null")
+    rows = rows.withColumn("until", F.max(F.when(F.col("scored_by") == F.col("winner"), F.col("x"))).over(whole)).where("x <= until")
     rows = rows.withColumn("changed", F.coalesce((F.col("server") != F.lag("server").over(in_set())).cast("int"), F.lit(0))).withColumn("run", F.sum("changed").over(in_set()))
     own = F.when(F.col("server") == "A", F.col("score_a")).otherwise(F.col("score_b"))
-    turns = rows.groupBy("set_id", "run", F.col("server").alias("side")).agg(F.max(own).alias("score"))
-    last = rows.groupBy("set_id", "winner").agg(F.max_by("server", "x").alias("server"), F.max("run").alias("run"), F.max("score_a").alias("score_a"), F.max("score_b").alias("score_b"))
-    received = last.where("server <> winner").select("set_id", (F.col("run") + 1).alias("run"), F.col("winner").alias("side"), F.when(F.col("winner") == "A", F.col("score_a")).otherwise(F.col("score_b")).alias("score"))
+    ends = [F.max(c).over(whole).alias(f"end_{c[-1]}") for c in ("score_a", "score_b")]
+    turns = rows.select("*", *ends, F.max("run").over(whole).alias("last")).groupBy("set_id", "run", F.col("server").alias("side")).agg(F.max(own).alias("score"), *(F.first(c).alias(c) for c in ("winner", "last", "end_a", "end_b")))
+    # a set won on reception: the winner's score of the victory is an entry of its next position
+    received = F.struct((F.col("run") + 1).alias("run"), F.col("winner").alias("side"), F.when(F.col("winner") == "A", F.col("end_a")).otherwise(F.col("end_b")).alias("score"))
+    mine = F.struct("run", "side", "score")
+    entries = F.explode(F.when((F.col("run") == F.col("last")) & (F.col("side") != F.col("winner")), F.array(mine, received)).otherwise(F.array(mine)))
+    each = turns.select("set_id", "end_a", "end_b", entries.alias("e")).select("set_id", "end_a", "end_b", "e.*")
     turn = F.row_number().over(Window.partitionBy("set_id", "side").orderBy("run")) - 1
-    placed = turns.unionByName(received).withColumn("turn", turn)
-    placed = placed.withColumn("position", (F.pmod(F.col("turn") + (F.col("side") == "B").cast("int"), F.lit(6)) + 1).cast("int"))
-    lists = placed.groupBy("set_id", "side", "position").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "score"))), lambda t: t["score"].cast("int")).alias("scores"))
+    placed = each.withColumn("turn", turn).withColumn("position", (F.pmod(F.col("turn") + (F.col("side") == "B").cast("int"), F.lit(6)) + 1).cast("int"))
+    scores = F.transform(F.array_sort(F.collect_list(F.struct("turn", "score"))), lambda t: t["score"].cast("int"))
+    lists = placed.groupBy("set_id", "side", "position").agg(scores.alias("scores"), F.first("end_a").alias("end_a"), F.first("end_b").alias("end_b"))
     entry = lambda side: F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("side") == side, F.struct("position", "scores"))))).alias(f"services_{side.lower()}")
-    maps = lists.groupBy("set_id").agg(entry("A"), entry("B"))
-    return last.select("set_id", "score_a", "score_b", F.lit("A").alias("service_initial")).join(maps, "set_id")
+    return lists.groupBy("set_id").agg(F.first("end_a").alias("score_a"), F.first("end_b").alias("score_b"), F.lit("A").alias("service_initial"), entry("A"), entry("B"))
+
+
+def set_context(sheets: DataFrame) -> DataFrame:
+    """The sheets as sets of matches: match_id, number (1 to 5) and minutes."""
+    return sheets.select("*", F.expr("set_id div 5").alias("match_id"), (F.pmod("set_id", F.lit(5)) + 1).alias("number"), (F.pmod("set_id", F.lit(20)) + 15).alias("minutes"))
+
+
+def court_sides(rallies: DataFrame, sheets: DataFrame) -> DataFrame:
+    """Per (set, side) of the sheets: starters 1 to 6 and the changes until the end, with scores and who left.
+
+    At each position a bench player of that position and the starter come in by turns.
+    """
+    here = Window.partitionBy("set_id", "called_by", "position").orderBy("ts", "event_id")
+    position = F.pmod("event_id", F.lit(6)) + 1
+    subs = timeline(rallies).where("kind = 'substitution'").withColumn("position", position).withColumn("k", F.row_number().over(here))
+    entrant = F.when(F.col("k") % 2 == 1, F.col("position") * 10 + F.pmod("event_id", F.lit(10))).otherwise(F.col("position")).cast("string")
+    subs = subs.withColumn("entrant", entrant).withColumn("leaver", F.coalesce(F.lag("entrant").over(here), F.col("position").cast("string")))
+    change = F.struct((F.col("score_a") + F.col("score_b")).alias("at"), "event_id", "position", "entrant", "leaver", "score_a", "score_b")
+    made = subs.groupBy("set_id").agg(*(F.array_sort(F.collect_list(F.when(F.col("called_by") == k, change))).alias(k) for k in "AB"))
+    formation = F.array(*(F.lit(str(k)) for k in range(1, 7))).alias("formation")
+    sides = sheets.select("set_id", (F.col("score_a") + F.col("score_b")).alias("until")).join(made, "set_id", "left")
+    within = lambda k: F.filter(F.col(k), lambda c: c["at"] <= F.col("until")).alias("changes")
+    both = F.explode(F.array(*(F.struct(F.lit(k).alias("side"), within(k)) for k in "AB"))).alias("s")
+    return sides.select("set_id", both).select("set_id", "s.side", formation, "s.changes")
 
 
 def lineups(rallies: DataFrame) -> DataFrame:
