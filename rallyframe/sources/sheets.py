@@ -68,6 +68,31 @@ def lineups(rallies: DataFrame) -> DataFrame:
     return sides.join(made, ["set_id", "side"], "left").select("set_id", "side", formation.alias("formation"), "changes")
 
 
+def role_sides(rallies: DataFrame) -> DataFrame:
+    """Per set and side: match_id, side, number, formation, changes, liberos.
+
+    Shirts 11 to 16 start, turned by one place in sets of odd number.  Of substitutions every fourth is a double change of
+    two players across from each other; time-outs stand for swaps with the libero, 17.
+    """
+    number, event = F.pmod("set_id", F.lit(5)) + 1, F.col("event_id")
+    turn = F.pmod(F.col("number"), F.lit(2))
+    start = lambda position: (F.pmod(position - 1 + turn, F.lit(6)) + 11).cast("string")
+    formation = F.transform(F.sequence(F.lit(1).cast("long"), F.lit(6).cast("long")), start)
+    lines = timeline(rallies).withColumn("number", number)
+    double = F.pmod(event, F.lit(4)) == 0
+    net, across = F.pmod(event, F.lit(3)) + 2, F.pmod(F.pmod(event, F.lit(3)) + 4, F.lit(6)) + 1
+    one = lambda position, entrant, leaver: F.struct((F.col("score_a") + F.col("score_b")).alias("at"), "event_id", position.cast("long").alias("position"), entrant.cast("string").alias("entrant"), leaver.cast("string").alias("leaver"), "score_a", "score_b")
+    single, which = F.pmod(event, F.lit(6)) + 1, F.pmod(F.expr("event_id div 3"), F.lit(3))
+    back = F.element_at(F.array(F.lit(1), F.lit(5), F.lit(6)), (which + 1).cast("int"))
+    swap = F.when(F.pmod(event, F.lit(3)) == 0, one(back, F.lit("17"), start(back))).when(F.pmod(event, F.lit(3)) == 1, one(which + 2, start(which + 2), F.lit("17"))).otherwise(one(which + 2, F.lit("17"), start(which + 2)))
+    subs = F.when(double, F.array(one(net, F.pmod(event, F.lit(5)) + 20, start(net)), one(across, F.pmod(event, F.lit(5)) + 30, start(across)))).otherwise(F.array(one(single, F.pmod(event, F.lit(9)) + 40, start(single))))
+    made = lines.where("kind <> 'point'").withColumn("of", F.when(F.col("kind") == "substitution", subs).otherwise(F.array(swap)))
+    gathered = made.groupBy("set_id").agg(*(F.array_sort(F.flatten(F.collect_list(F.when(F.col("called_by") == k, F.col("of"))))).alias(k) for k in "AB"))
+    sides = rallies.select("set_id").distinct().join(gathered, "set_id", "left").withColumn("number", number)
+    both = F.explode(F.array(*(F.struct(F.lit(k).alias("side"), F.col(k).alias("changes")) for k in "AB"))).alias("s")
+    return sides.select(F.expr("set_id div 5").alias("match_id"), "number", formation.alias("formation"), F.array(F.lit("17")).alias("liberos"), both).select("match_id", "s.side", "number", "formation", "s.changes", "liberos")
+
+
 def staff(sides: DataFrame, people: DataFrame) -> DataFrame:
     """match_id, season, team_id, won, role (EA, EB: coaches; K: others), name, licence (null for some)."""
     of = F.array(

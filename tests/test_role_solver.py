@@ -172,3 +172,21 @@ def test_random_sides_against_plain_python(spark, with_priors):
     for r in got:
         shares = sorted(((-round(v, 4), rs.ROLES[k]) for k, v in want[r["match_id"]][r["player"]].items()))
         assert (r["role"], pytest.approx(r["share"], abs=2e-4)) == (shares[0][1], -shares[0][0]), (r, shares)
+
+
+def test_diffusion_stops_when_no_role_moves(spark):
+    """A substitute of one match who starts as setter in others is taken for one there, from the second pass on."""
+    from rallyframe.sources.storage import stored
+
+    line = ["11", "12", "13", "14", "15", "16"]
+    rows = [(m, "A", n, line, [], []) for m in (1, 2, 3) for n in (1, 2)]
+    rows += [(4, "A", 1, ["21", "22", "23", "24", "25", "26"], [change("11", "23", 3, 5, 5)], [])]
+    ctx = rs.contexts(spark.createDataFrame(rows, SIDES))
+    people = spark.createDataFrame([(m, "A", p, int(p), 1) for m in (1, 2, 3, 4) for p in line if m < 4 or p == "11"] + [(4, "A", "22", None, 1)], "match_id long, side string, player string, person long, season long")
+    beliefs, before, n = rs.diffuse_roles(ctx, people, 5, stored)
+    got = {(r["match_id"], r["player"]): r["role"] for r in beliefs.collect()}
+    alone = {(r["match_id"], r["player"]): r["role"] for r in rs.solve_roles(ctx).collect()}
+    assert n == 2 and got[4, "11"] == "passeur" != alone[4, "11"] and before is not None
+    assert {k: v for k, v in got.items() if k[0] < 4} == {k: v for k, v in alone.items() if k[0] < 4}
+    counts = {r["role"]: r["changed"] for r in rs.pass_metrics(beliefs, before).collect()}
+    assert counts["passeur"] == 1 and sum(counts.values()) == 1
