@@ -6,7 +6,11 @@ ties are decided alike everywhere.  A limit is part of each report.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import hashlib
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Matches a rate needs.
@@ -190,3 +194,59 @@ def filter_options(matches: DataFrame) -> DataFrame:
 def signature(matches: DataFrame) -> DataFrame:
     """Count and latest day of the played matches: a stored result is stale when either changed."""
     return matches.where("played").agg(F.count(F.lit(1)).alias("matches"), F.max("day").alias("latest"))
+
+
+def content_version(rows: DataFrame, *by: str) -> DataFrame:
+    """Rows and version (by groups): the sum of 60-bit digests of all rows, whatever their order; any edit in place moves it.
+
+    Columns count in the order of their names, null apart from the empty text.
+    """
+    text = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in sorted(rows.columns)))
+    digest = F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("decimal(20,0)")
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(digest), F.lit(0)).cast("string").alias("version"))
+
+
+class StoredResults:
+    """Results kept by key and content version under a shared folder; a result is computed when its version is new.
+
+    A folder counts once Spark has marked it complete, so a run that broke off is repeated.  ``computed`` counts the runs.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder, self.computed = spark, folder.rstrip("/"), 0
+
+    def _complete(self, path: str) -> bool:
+        mark = self.spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+        return mark.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(mark)
+
+    def get(self, key: str, inputs: list[DataFrame], compute: Callable[[], DataFrame]) -> DataFrame:
+        """The result of ``compute`` over ``inputs``, whose contents are the version; the key names the filter."""
+        versions = [content_version(df).first() for df in inputs]
+        name = hashlib.sha256(repr((key, [(r["rows"], r["version"]) for r in versions])).encode()).hexdigest()[:32]
+        path = f"{self.folder}/{name}"
+        if not self._complete(path):
+            self.computed += 1
+            compute().write.mode("overwrite").parquet(path)
+        return self.spark.read.parquet(path)
+
+
+#: Boards of a report: id, figure, and whether the smallest comes first.
+BOARDS = {
+    "c01_players_by_matches": ("player_id", "matches", False), "c02_players_by_wins": ("player_id", "wins", False), "c03_players_by_rate": ("player_id", "rate", False), "c04_match_points_records": ("player_id", "points", False),
+    "c05_players_by_defeats": ("player_id", "defeats", False), "c06_captaincies": ("player_id", "times", False), "c07_libero_appearances": ("player_id", "times", False), "c08_most_loyal": ("player_id", "matches", False),
+    "c09_top_scorers": ("player_id", "points", False), "c10_top_servers": ("player_id", "serves", False), "c11_win_streaks": ("player_id", "record", False), "c12_current_streaks": ("player_id", "current", False),
+    "c13_closest_matches": ("match_id", "gap", True), "c14_highest_sets": ("match_id", "total", False), "c15_widest_sets": ("match_id", "gap", False), "c16_comebacks": ("match_id", "deficit", False),
+    "c17_longest_matches": ("match_id", "minutes", False), "c18_most_points_matches": ("match_id", "points", False), "c19_teams_by_rate": ("team_id", "rate", False), "c20_clean_sheets": ("team_id", "times", False),
+    "c21_tie_break_wins": ("team_id", "times", False), "c22_clubs_by_wins": ("club_id", "wins", False), "c23_referees_by_matches": ("referee_id", "matches", False),
+}
+
+
+def whole_report(boards: dict[str, DataFrame]) -> DataFrame:
+    """All boards in one frame: board, place, id, figure; a board has at most some rows, so places are numbered within it."""
+    lines = []
+    for name, df in boards.items():
+        key, figure, least = BOARDS[name]
+        value = F.col(figure).cast("double")
+        place = F.row_number().over(Window.partitionBy(F.lit(name)).orderBy(value.asc() if least else value.desc(), key)).cast("long")
+        lines.append(df.select(F.lit(name).alias("board"), place.alias("place"), F.col(key).cast("long").alias("id"), value.alias("figure")))
+    return reduce(DataFrame.unionByName, lines)

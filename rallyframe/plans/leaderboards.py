@@ -1,7 +1,7 @@
 """Leaderboard queries."""
 
 from rallyframe.operators import leaders as ld
-from rallyframe.plans.registry import query
+from rallyframe.plans.registry import ORACLES, QUERIES, query
 
 _RESULTS = """,
 r AS (SELECT player_id, count(DISTINCT match_id) matches, count(*) FILTER (sets_for > sets_against) wins, count(*) FILTER (sets_for < sets_against) defeats
@@ -146,3 +146,24 @@ query(
     "SELECT DISTINCT 'season' AS option, CAST(season AS VARCHAR) AS value FROM matches WHERE played UNION SELECT DISTINCT 'competition', competition FROM matches WHERE played",
 )
 query("c26_signature", lambda c: ld.signature(c.matches), "SELECT count(*) matches, max(day) latest FROM matches WHERE played")
+
+
+_VERSIONED = ("match_id", "season", "day", "team_a", "team_b", "sets_a", "sets_b", "points_a", "points_b", "forfeit", "played")
+query(
+    "c26_content_versions",
+    lambda c: ld.content_version(c.matches.select(*_VERSIONED), "season"),
+    "SELECT season, count(*) AS rows, CAST(sum(CAST(CAST('0x' || md5(concat_ws('|', " + ", ".join(f"coalesce(CAST({k} AS VARCHAR), '\\N')" for k in sorted(_VERSIONED)) + "))[1:15] AS BIGINT) AS HUGEINT)) AS VARCHAR) AS version FROM matches GROUP BY season",
+)
+
+
+def _board_sql(name: str) -> str:
+    key, figure, least = ld.BOARDS[name]
+    value = f"CAST({figure} AS DOUBLE)"
+    return f"SELECT '{name}' AS board, row_number() OVER (ORDER BY {value} {'ASC' if least else 'DESC'}, {key}) AS place, CAST({key} AS BIGINT) AS id, {value} AS figure FROM ({ORACLES[name]})"
+
+
+def _report(c):
+    return ld.whole_report({name: QUERIES[name](c.spark, c.sf_dir) for name in ld.BOARDS})
+
+
+query("c24_whole_report", _report, " UNION ALL ".join(map(_board_sql, ld.BOARDS)), base=False)

@@ -10,7 +10,7 @@ from rallyframe.operators import quality as qu
 from rallyframe.operators import relational as rl
 from rallyframe.operators import roles as ro
 from rallyframe.operators import rollups as ru
-from rallyframe.plans.registry import query
+from rallyframe.plans.registry import ORACLES, query
 from rallyframe.plans.tables import _TEAMS
 from rallyframe.streaming import incremental as inc
 
@@ -455,6 +455,17 @@ query(
     lambda c: inc.apply_matches(ru.team_seasons(c.sides.where("match_id % 10 <> 3")), c.matches, c.matches.where("match_id % 10 = 3")),
     _TEAMS + "SELECT * FROM ts",
 )
+
+
+def _refreshed(c):
+    """Rollups of nine tenths of the matches, after a batch of the last tenth."""
+    old = inc.build(c.appearances.where("match_id % 10 <> 3"), c.matches.where("match_id % 10 <> 3"), c.teams)
+    return inc.refresh(old, c.appearances, c.matches, c.teams, c.matches.where("match_id % 10 = 3"))
+
+
+query("f8_players_incremental", lambda c: _refreshed(c).players, ORACLES["f2_player_seasons"], base=False)
+query("f8_careers_incremental", lambda c: _refreshed(c).careers, ORACLES["f3_player_careers"], base=False)
+query("f8_clubs_incremental", lambda c: _refreshed(c).clubs, ORACLES["f6_club_rollup"], base=False)
 query(
     "l13_tumbling_windows",
     lambda c: inc.tumbling(c.table("events")),

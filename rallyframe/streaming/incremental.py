@@ -7,13 +7,15 @@ a batch again changes nothing.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from rallyframe.operators.relational import replace_for_keys
-from rallyframe.operators.rollups import team_seasons
+from rallyframe.operators.rollups import PLAYER_KEY, career_days, club_rollup, player_careers, player_seasons, team_seasons
 from rallyframe.sources.views import sides_of
 
 
@@ -28,6 +30,49 @@ def apply_matches(rollup: DataFrame, matches: DataFrame, batch: DataFrame) -> Da
     return replace_for_keys(rollup, team_seasons(sides_of(again)).select(*rollup.columns), ["season", "competition"])
 
 
+@dataclass(frozen=True)
+class Rollups:
+    """The chain: team and player lines by season, careers and clubs, each built from the one before."""
+
+    teams: DataFrame
+    players: DataFrame
+    careers: DataFrame
+    clubs: DataFrame
+
+
+def build(appearances: DataFrame, matches: DataFrame, teams: DataFrame) -> Rollups:
+    """All rollups from all matches."""
+    lines, people = team_seasons(sides_of(matches)), player_seasons(appearances)
+    return Rollups(lines, people, player_careers(people, career_days(appearances)), club_rollup(lines, teams, people))
+
+
+def _replaced(old: DataFrame, new: DataFrame, touched: DataFrame, keys: list[str]) -> DataFrame:
+    """Old rows of touched keys go, whether or not the new rows still have the key."""
+    same = reduce(lambda a, b: a & b, (old[k].eqNullSafe(touched[k]) for k in keys))
+    return old.join(touched, same, "left_anti").unionByName(new.select(*old.columns))
+
+
+def refresh(rollups: Rollups, appearances: DataFrame, matches: DataFrame, teams: DataFrame, batch: DataFrame, former: DataFrame | None = None, store: Callable[[DataFrame], DataFrame] = lambda df: df) -> Rollups:
+    """The rollups after a batch of matches, of which only what hangs on them is built anew.
+
+    ``appearances`` and ``matches`` hold the batch already; ``former``: the appearances that its matches had before, so that
+    players taken out of a match are touched too.  Touched keys travel down the chain: player lines of who plays in the
+    batch, careers of those players, clubs of those teams.  ``store`` may keep interim tables.
+    """
+    now = appearances.join(batch.select("match_id").distinct(), "match_id", "left_semi")
+    both = now if former is None else now.unionByName(former.select(*now.columns))
+    keys = store(both.select(*PLAYER_KEY).distinct())
+    match = reduce(lambda a, b: a & b, (appearances[k].eqNullSafe(keys[k]) for k in PLAYER_KEY))
+    lines = apply_matches(rollups.teams, matches, batch)
+    players = store(_replaced(rollups.players, player_seasons(appearances.join(keys, match, "left_semi")), keys, PLAYER_KEY))
+    people = store(keys.select("player_id").distinct())
+    careers = player_careers(players.join(people, "player_id", "left_semi"), career_days(appearances.join(people, "player_id", "left_semi")))
+    sides = sides_of(batch).select("team_id").union(keys.select("team_id")).distinct()
+    clubs = store(teams.join(sides, "team_id", "left_semi").select("club_id").distinct())
+    members = teams.join(clubs, "club_id", "left_semi")
+    return Rollups(lines, players, _replaced(rollups.careers, careers, people, ["player_id"]), _replaced(rollups.clubs, club_rollup(lines, members, players), clubs, ["club_id"]))
+
+
 def follow_matches(stream: DataFrame, store: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """Call ``store(batch, batch_id)`` for each micro-batch, each match once (last row of its id); the batch id makes a repeat detectable."""
 
