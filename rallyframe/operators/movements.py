@@ -48,6 +48,66 @@ def period_counts(moves: DataFrame) -> DataFrame:
     )
 
 
+#: The rungs of a ladder from below, with their labels, and the level labels that stand on each.
+RUNGS = {
+    "LOISIR": ("Loisir", ("LOISIR", "BRASSAGE")), "D4": ("D4", ("D4",)), "D3": ("D3", ("D3",)), "D2": ("D2", ("D2",)), "D1": ("D1", ("D1",)), "DEP": ("Dép", ("DEP", "JEUNES DEP")), "PREREG": ("Préreg", ("PREREG",)),
+    "R4": ("R4", ("R4",)), "R3": ("R3", ("R3",)), "R2": ("R2", ("R2",)), "R1": ("R1", ("R1",)), "REGIONAL": ("Régionale", ("REGIONAL", "JEUNES REGIONAL")), "PRENAT": ("Prénat", ("PRENAT",)),
+    "N3": ("N3", ("N3",)), "N2": ("N2", ("N2", "NATIONAL")), "ELITE": ("Élite", ("ELITE", "ELITE AVENIR", "JEUNES ELITE")), "N1": ("N1", ("N1",)), "PRO B": ("Pro B", ("PRO B", "PRO")), "PRO A": ("Pro A", ("PRO A",)),
+}
+
+
+def rung(label: Column) -> Column:
+    """The rung on which a level label stands; null for cups and unknown labels."""
+    out = F.lit(None).cast("string")
+    for key, (_, labels) in RUNGS.items():
+        out = F.when(label.isin(*labels), key).otherwise(out)
+    return out
+
+
+def ladder(entries: DataFrame, *scope: str) -> DataFrame:
+    """Per scope (a club, a territory): rank (from 0), rung and label of the levels that its entries know over all seasons.
+
+    A rung between two that occur is there too: D1 under a pre-regional level, D2 under D1, D3 under D2, and every
+    national one below the highest.  Names that changed over the years share a rung: D1 and "Dép", R1 and "Régionale",
+    N1 and "Élite".  A ladder has two rungs at least: the department's and the region's, unless others occur.
+
+    The scale is one aggregate per scope, of at most as many values as there are rungs; cups count for nothing.
+    """
+    known = entries.groupBy(*scope).agg(F.collect_set(rung(F.col("label"))).alias("has"))
+    has = lambda *keys: F.arrays_overlap("has", F.array(*map(F.lit, keys)))
+    plus = lambda df, key, when: df.withColumn("has", F.when(when, F.array_union("has", F.array(F.lit(key)))).otherwise(F.col("has")))
+    known = plus(known, "D1", has("D2") & has("PREREG") & ~has("DEP"))
+    known = plus(known, "D2", has("D3") & has("D1", "PREREG"))
+    known = plus(known, "D3", has("D4") & has("D2", "D1", "PREREG"))
+    known = plus(known, "PRO B", has("PRO A"))
+    top = has("PRO A", "PRO B")
+    known = plus(known, "ELITE", top & ~has("ELITE", "N1"))
+    known = plus(known, "N2", top | has("ELITE", "N1"))
+    known = plus(known, "N3", has("N2"))
+    step = lambda when, key, label: F.when(when, F.struct(F.lit(key).alias("rung"), label.alias("label")))
+    one = lambda key: step(has(key), key, F.lit(RUNGS[key][0]))
+    two = lambda new, old, key: step(has(new, old), key, F.when(has(new) & has(old), f"{RUNGS[new][0]} / {RUNGS[old][0]}").when(has(new), RUNGS[new][0]).otherwise(RUNGS[old][0]))
+    rungs = [one("LOISIR"), one("D4"), one("D3"), one("D2"), two("D1", "DEP", "D1"), one("PREREG"), one("R4"), one("R3"), one("R2"), two("R1", "REGIONAL", "R1"), one("PRENAT"), one("N3"), one("N2"), two("ELITE", "N1", "ELITE"), one("PRO B"), one("PRO A")]
+    steps = known.withColumn("steps", F.array_compact(F.array(*rungs)))
+    department, region = (F.struct(F.lit(key).alias("rung"), F.lit(RUNGS[of][0]).alias("label")) for key, of in (("D1", "DEP"), ("R1", "REGIONAL")))
+    lone = F.col("steps")[0]["rung"].isin("D4", "D3", "D2", "D1", "PREREG")
+    filled = F.when(F.size("steps") == 0, F.array(department, region)).when((F.size("steps") == 1) & lone, F.concat("steps", F.array(region))).when(F.size("steps") == 1, F.concat(F.array(department), "steps")).otherwise(F.col("steps"))
+    return steps.select(*scope, F.posexplode(filled).alias("rank", "s")).select(*scope, F.col("rank").cast("long").alias("rank"), "s.rung", "s.label")
+
+
+#: Rungs that share one step of a ladder.
+_SHARED = {"DEP": "D1", "REGIONAL": "R1", "N1": "ELITE"}
+
+
+def on_ladder(entries: DataFrame, *scope: str) -> DataFrame:
+    """The entries with ``rank`` and ``step`` (label) on their scope's ladder; null for cups and unknown labels."""
+    key = rung(F.col("label"))
+    for old, shared in _SHARED.items():
+        key = F.when(rung(F.col("label")) == old, shared).otherwise(key)
+    steps = ladder(entries, *scope).withColumnRenamed("label", "step")
+    return entries.withColumn("rung", key).join(steps, [*scope, "rung"], "left").drop("rung")
+
+
 def _among(teams: Column, *asked: str) -> Column:
     """Whether all of the asked columns' teams are in the array; unknown teams are not."""
     found = F.lit(True)

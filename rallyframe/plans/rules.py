@@ -44,6 +44,45 @@ query(
     _MOVES + "SELECT club_id, season_from, season_to, cumulative, count(*) series, count(*) FILTER (status = 'promotion') promotions, count(*) FILTER (status = 'relegation') relegations FROM mo GROUP BY 1, 2, 3, 4",
 )
 
+#: Labels of own choice that a team may have had, by its number and the season.
+_LABELS = ("DEP", "D1", "D2", "D4", "PREREG", "R1", "REGIONAL", "R3", "PRENAT", "N2", "N1", "ELITE", "PRO A", "LOISIR", "CDF", "JEUNES DEP")
+
+
+_LADDER = """, en AS (SELECT DISTINCT club_id, team_id, season, [{labels}][CAST((club_id * 3 + (team_id % 4) * (season % 3)) % {n} AS BIGINT) + 1] AS label FROM sides JOIN teams USING (team_id) WHERE played),
+al AS (SELECT * FROM (VALUES {rungs}) v(label, rung)),
+h0 AS (SELECT club_id, list(DISTINCT rung) FILTER (rung IS NOT NULL) hs FROM en LEFT JOIN al USING (label) GROUP BY 1),
+h AS (SELECT club_id, coalesce(hs, []) hs FROM h0),
+f1 AS (SELECT club_id, list_contains(hs, 'LOISIR') loisir, list_contains(hs, 'D4') d4, list_contains(hs, 'D3') d3a, list_contains(hs, 'D2') d2a, list_contains(hs, 'D1') d1a, list_contains(hs, 'DEP') dep, list_contains(hs, 'PREREG') prereg,
+  list_contains(hs, 'R4') r4, list_contains(hs, 'R3') r3, list_contains(hs, 'R2') r2, list_contains(hs, 'R1') r1, list_contains(hs, 'REGIONAL') reg, list_contains(hs, 'PRENAT') prenat, list_contains(hs, 'N3') n3a, list_contains(hs, 'N2') n2a,
+  list_contains(hs, 'N1') n1, list_contains(hs, 'ELITE') elite, list_contains(hs, 'PRO B') pbx, list_contains(hs, 'PRO A') pa FROM h),
+f2 AS (SELECT *, d1a OR (d2a AND prereg AND NOT dep) d1, pbx OR pa pb FROM f1),
+f3 AS (SELECT *, d2a OR (d3a AND (d1 OR prereg)) d2, n1 OR elite OR pb top FROM f2),
+f4 AS (SELECT *, d3a OR (d4 AND (d2 OR d1 OR prereg)) d3, n2a OR top n2 FROM f3),
+st AS (SELECT club_id, unnest(range(16)) k, unnest([loisir, d4, d3, d2, d1 OR dep, prereg, r4, r3, r2, r1 OR reg, prenat, n3a OR n2, n2, top, pb, pa]) there,
+  unnest(['LOISIR', 'D4', 'D3', 'D2', 'D1', 'PREREG', 'R4', 'R3', 'R2', 'R1', 'PRENAT', 'N3', 'N2', 'ELITE', 'PRO B', 'PRO A']) rung,
+  unnest(['Loisir', 'D4', 'D3', 'D2', CASE WHEN d1 AND dep THEN 'D1 / Dép' WHEN d1 THEN 'D1' ELSE 'Dép' END, 'Préreg', 'R4', 'R3', 'R2', CASE WHEN r1 AND reg THEN 'R1 / Régionale' WHEN r1 THEN 'R1' ELSE 'Régionale' END, 'Prénat', 'N3', 'N2',
+    CASE WHEN n1 AND elite THEN 'Élite / N1' WHEN n1 THEN 'N1' ELSE 'Élite' END, 'Pro B', 'Pro A']) AS label FROM f4),
+s1 AS (SELECT club_id, k, rung, label, count(*) OVER (PARTITION BY club_id) AS total FROM st WHERE there),
+s2 AS (SELECT club_id, k, rung, label FROM s1 UNION ALL SELECT club_id, 9, 'R1', 'Régionale' FROM s1 WHERE total = 1 AND k BETWEEN 1 AND 5 UNION ALL SELECT club_id, -1, 'D1', 'Dép' FROM s1 WHERE total = 1 AND k NOT BETWEEN 1 AND 5
+  UNION ALL SELECT club_id, k, rung, label FROM h, (VALUES (4, 'D1', 'Dép'), (9, 'R1', 'Régionale')) v(k, rung, label) WHERE club_id NOT IN (SELECT club_id FROM s1)),
+ld AS (SELECT club_id, row_number() OVER (PARTITION BY club_id ORDER BY k) - 1 AS rank, rung, label FROM s2)
+""".format(labels=", ".join(f"'{x}'" for x in _LABELS), n=len(_LABELS), rungs=", ".join(f"('{x}', '{k}')" for k, (_, xs) in mv.RUNGS.items() for x in xs))
+
+
+def _club_levels(c):
+    """club_id, team_id, season, label: one of own labels by club, team and season."""
+    which = F.pmod(F.col("club_id") * 3 + F.pmod("team_id", F.lit(4)) * F.pmod("season", F.lit(3)), F.lit(len(_LABELS)))
+    each = c.sides.where("played").join(c.teams.select("team_id", "club_id"), "team_id").select("club_id", "team_id", "season").distinct()
+    return each.withColumn("label", F.element_at(F.array(*map(F.lit, _LABELS)), (which + 1).cast("int")))
+
+
+query("j11_ladder", lambda c: mv.ladder(_club_levels(c), "club_id"), _LADDER + "SELECT * FROM ld")
+query(
+    "j11_on_ladder",
+    lambda c: mv.on_ladder(_club_levels(c), "club_id"),
+    _LADDER + "SELECT en.*, rank, ld.label AS step FROM en LEFT JOIN al USING (label) LEFT JOIN ld ON ld.club_id = en.club_id AND ld.rung = CASE al.rung WHEN 'DEP' THEN 'D1' WHEN 'REGIONAL' THEN 'R1' WHEN 'N1' THEN 'ELITE' ELSE al.rung END",
+)
+
 # ---------------------------------------------------------------- brackets
 #: Twelve matches of ranks 1 to 8: (odd season, n, first, second, stage, half); in odd seasons the lower rank always wins.
 _DRAW = (
