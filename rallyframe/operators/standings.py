@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rallyframe.sources.views import sides_of
+
 KEY = ["season", "competition"]
 COUNTERS = ("points", "matches", "wins", "defeats", "w30", "w31", "w32", "d23", "d13", "d03", "forfeits", "sets_for", "sets_against", "points_for", "points_against")
 
@@ -127,6 +129,20 @@ def cross_table(matches: DataFrame) -> DataFrame:
     return cell.select(*KEY, F.col("team_a").alias("host"), F.col("team_b").alias("guest"), "match_id", status.alias("status"), F.when(F.col("played"), F.concat_ws("-", "sets_a", "sets_b")).alias("score"))
 
 
+def cell_points(matches: DataFrame) -> DataFrame:
+    """The cells of the cross table with what they gave to host and guest, by the awards of the standings, and a badge.
+
+    A forfeit takes a point from who forfeits and gives the other three; a double one takes a point from both.  Badges:
+    2F and F for forfeits, else the score's kind (3-0, 3-1, 3-2 as ``large``, ``clear``, ``close``).  No points without a result.
+    """
+    cells = cross_table(matches)
+    given = awards(sides_of(matches), keep=()).groupBy("match_id").agg(*(F.max(F.when(F.col("side") == k, F.col("points"))).cast("long").alias(name) for k, name in (("A", "host_points"), ("B", "guest_points"))))
+    by = matches.select("match_id", "forfeit_by", F.abs(F.col("sets_a") - F.col("sets_b")).alias("_apart"))
+    kind = F.when(F.col("_apart") == 3, "large").when(F.col("_apart") == 2, "clear").when(F.col("_apart") == 1, "close")
+    badge = F.when(F.col("forfeit_by") == "both", "2F").when(F.col("status") == "forfeit", "F").when(F.col("status") == "played", kind)
+    return cells.join(given, "match_id", "left").join(by, "match_id").select(*cells.columns, "host_points", "guest_points", badge.alias("badge"))
+
+
 def score_distribution(matches: DataFrame) -> DataFrame:
     """Per competition and season: how often each score, and the share of home wins."""
     m = matches.where("played").withColumn("score", F.concat_ws("-", "sets_a", "sets_b"))

@@ -9,6 +9,7 @@ from rallyframe.operators import standings as st
 from rallyframe.operators.filters import MatchFilter, filtered
 from rallyframe.operators.ranking import Ranking, rank_by
 from rallyframe.plans.registry import query
+from rallyframe.sources.views import departments_of, divisions_of
 
 # ---------------------------------------------------------------- the shared filter
 query(
@@ -28,6 +29,34 @@ query(
     "SELECT season, count(*) matches FROM matches WHERE played AND match_id IN (SELECT match_id FROM sides JOIN teams USING (team_id) WHERE club_id = 7) GROUP BY 1",
 )
 
+_DIVISIONS = """, dv AS (SELECT season, competition, ['MASCULIN', 'F', 'Mixte', 'M', 'FEMININ'][n % 5 + 1] gender, ['SENIOR', 'M18', 'M15'][2 * n % 3 + 1] category, ['N2', 'N3', 'PRENAT', 'REGIONAL', 'R2', 'D1', 'DEP', 'LOISIR', 'autre'][5 * n % 9 + 1] AS level
+  FROM (SELECT DISTINCT season, competition, season + CAST(substr(competition, 1, 1) AS INTEGER) n FROM matches)),
+md AS (SELECT matches.match_id, season, competition, gender, category, dv.level FROM matches JOIN dv USING (season, competition) WHERE played)
+"""
+
+
+def _in_division(**conditions):
+    """Ids of the matches that pass conditions on their division."""
+    return lambda c: filtered(c.matches, MatchFilter(**conditions), divisions=divisions_of(c.matches)).select("match_id")
+
+
+query("b4_filtered_by_gender", _in_division(gender="homme"), _DIVISIONS + "SELECT match_id FROM md WHERE upper(gender) IN ('M', 'MASCULIN', 'HOMME')")
+query("b5_filtered_by_mixed_gender", _in_division(gender="X"), _DIVISIONS + "SELECT match_id FROM md WHERE upper(gender) LIKE '%MIXTE%'")
+query("b6_filtered_by_category", _in_division(category="M18"), _DIVISIONS + "SELECT match_id FROM md WHERE category = 'M18'")
+query("b7_filtered_by_level", _in_division(level="regional"), _DIVISIONS + "SELECT match_id FROM md WHERE upper(level) = 'REGIONAL'")
+query("b8_filtered_by_level_range", _in_division(least_level="D1", most_level="N3"), _DIVISIONS + "SELECT match_id FROM md WHERE level IN ('N3', 'PRENAT', 'REGIONAL', 'R2', 'D1', 'DEP')")
+query("b9_filtered_by_open_level", _in_division(least_level="PRENAT", gender="F"), _DIVISIONS + "SELECT match_id FROM md WHERE level IN ('N2', 'N3', 'PRENAT') AND upper(gender) IN ('F', 'FEMININ', 'FEMME')")
+query(
+    "b10_filtered_by_department",
+    lambda c: filtered(c.matches, MatchFilter(department="03", season=1997), c.sides, c.teams, departments_of(c.clubs)).select("match_id"),
+    "SELECT match_id FROM matches WHERE played AND season = 1997 AND match_id IN (SELECT match_id FROM sides JOIN teams USING (team_id) WHERE club_id % 9 + 1 = 3)",
+)
+query(
+    "b11_filtered_by_echelon",
+    lambda c: filtered(c.matches.join(divisions_of(c.matches), ["season", "competition"]).withColumn("competition", F.col("level")), MatchFilter(echelon="REGIONAL")).select("match_id"),
+    _DIVISIONS + "SELECT match_id FROM md WHERE level LIKE '%REGION%' OR level LIKE '%PRE_NAT%' OR level LIKE '%PRE NAT%'",
+)
+
 # ---------------------------------------------------------------- standings
 _AWARDS = """,
 o AS (
@@ -104,6 +133,16 @@ query(
   min(match_id * 2 + CASE WHEN side = 'A' THEN 0 ELSE 1 END) AS seen FROM aw GROUP BY 1, 2, 3, 4)
 SELECT season, competition, month, team_id, points, row_number() OVER (PARTITION BY season, competition, month ORDER BY points DESC, {_ratio("sf", "sa")} DESC, {_ratio("pf", "pa")} DESC, seen) AS rank FROM ln""",
 )
+query(
+    "e11_cell_points",
+    lambda c: st.cell_points(c.matches),
+    """, n AS (SELECT *, row_number() OVER (PARTITION BY season, competition, team_a, team_b ORDER BY played DESC, day DESC, match_id DESC) AS n FROM matches),
+p AS (SELECT *, CASE WHEN forfeit THEN 'forfeit' WHEN played THEN 'played' ELSE 'no result' END status, played AND (sets_a > 0 OR sets_b > 0 OR forfeit) counts FROM n WHERE n = 1)
+SELECT season, competition, team_a AS host, team_b guest, match_id, status, CASE WHEN played THEN sets_a || '-' || sets_b END score,
+  CASE WHEN counts THEN CAST(CASE WHEN forfeit_by IN ('both', 'a') THEN -1 WHEN forfeit_by = 'b' THEN 3 WHEN sets_a = 3 AND sets_b = 2 THEN 2 WHEN sets_a > sets_b THEN 3 WHEN sets_b = 3 AND sets_a = 2 THEN 1 ELSE 0 END AS BIGINT) END host_points,
+  CASE WHEN counts THEN CAST(CASE WHEN forfeit_by IN ('both', 'b') THEN -1 WHEN forfeit_by = 'a' THEN 3 WHEN sets_b = 3 AND sets_a = 2 THEN 2 WHEN sets_b > sets_a THEN 3 WHEN sets_a = 3 AND sets_b = 2 THEN 1 ELSE 0 END AS BIGINT) END guest_points,
+  CASE WHEN forfeit_by = 'both' THEN '2F' WHEN status = 'forfeit' THEN 'F' WHEN status = 'played' THEN CASE abs(sets_a - sets_b) WHEN 3 THEN 'large' WHEN 2 THEN 'clear' WHEN 1 THEN 'close' END END badge FROM p""",
+)
 query(
     "e11_cross_table",
     lambda c: st.cross_table(c.matches),

@@ -162,6 +162,20 @@ class Contest:
         )
 
 
+def divisions_of(matches: DataFrame) -> DataFrame:
+    """season, competition, gender, category, level of each division (invented attributes, the documents' spellings)."""
+    n = F.col("season") + F.substring("competition", 1, 1).cast("int")
+    of = lambda values, k: F.element_at(F.array(*map(F.lit, values)), (F.pmod(k, F.lit(len(values))) + 1).cast("int"))
+    return matches.select("season", "competition").distinct().select(
+        "season", "competition", of(("MASCULIN", "F", "Mixte", "M", "FEMININ"), n).alias("gender"), of(("SENIOR", "M18", "M15"), n * 2).alias("category"), of(("N2", "N3", "PRENAT", "REGIONAL", "R2", "D1", "DEP", "LOISIR", "autre"), n * 5).alias("level")
+    )
+
+
+def departments_of(clubs: DataFrame) -> DataFrame:
+    """The clubs with their department: two digits of the club's number, as text."""
+    return clubs.withColumn("department", F.lpad((F.pmod("club_id", F.lit(9)) + 1).cast("string"), 2, "0"))
+
+
 def sides_of(matches: DataFrame) -> DataFrame:
     """Unpivot of matches to (match, side): one pass, no join."""
     pair = F.array(

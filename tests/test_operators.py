@@ -219,3 +219,18 @@ def test_roles_converge(spark):
     got = {(r["match_id"], r["player_id"]): r["role"] for r in beliefs.collect()}
     assert got[(0, 11)] == "passeur" and got[(0, 14)] == "pointu" and got[(1, 13)] == "libero" and passes <= 5
     assert {(r["player_1"], r["player_2"]) for r in ro.opposite_pairs(f).collect()} == {(11, 14), (12, 15), (13, 16)}
+
+
+def test_filter_by_division_and_department(spark):
+    m = spark.createDataFrame([match(1, 1, 2, 3, 0, day=1), match(2, 3, 4, 3, 0, day=20)], MATCH)
+    first = m.select("season", "competition").first()
+    divisions = spark.createDataFrame([(first[0], first[1], "Masculin", "M18", "prenat")], "season int, competition string, gender string, category string, level string")
+    ids = lambda **f: {r["match_id"] for r in filtered(m, MatchFilter(**f), divisions=divisions).collect()}
+    assert ids(gender="M") == ids(category="M18") == ids(level="PRENAT") == ids(least_level="R1", most_level="n3") == {1, 2}
+    assert ids(gender="F") == ids(category="M15") == ids(least_level="N3") == ids(most_level="R1", gender="homme") == set()
+    assert ids(least_level="unheard of") == {1, 2}
+    from rallyframe.sources.views import sides_of
+
+    teams = spark.createDataFrame([(1, 7), (2, 8), (3, 9), (4, 9)], "team_id long, club_id long")
+    clubs = spark.createDataFrame([(7, "01"), (8, "02"), (9, None)], "club_id long, department string")
+    assert {r["match_id"] for r in filtered(m, MatchFilter(department="02"), sides_of(m), teams, clubs).collect()} == {1}
