@@ -3,13 +3,13 @@
 Pattern spans: three kinds (``assign``, ``access``, ``hex``), leftmost and non-overlapping per kind.
 Novel spans: runs of identifier characters near a sensitive word.  Each is measured by the bytes that
 it adds to the compressed surroundings, zstandard being primed with a dictionary of identifiers (fixed
-ones and the corpus's own: words of letters that stand in many documents away from sensitive words); a
+ones and the corpus's own: the words of letters that stand in most documents, one in a thousand at least, away from sensitive words); a
 run that adds nearly as many bytes as it has characters could not be predicted from code or prose and
 is reported as kind ``novel``, also where it touches a pattern span.  As words near sensitive ones don't
 prime, a secret that leaks many times stays as novel as one that leaks once.
 
-Defined cases: null and empty texts have no spans; repeated rows are scanned each; in a table of few
-documents, or an empty one, only the fixed identifiers prime.  Texts are scanned whole; only words with
+Defined cases: null and empty texts have no spans; repeated rows are scanned each; in an empty table only the
+fixed identifiers prime.  Texts are scanned whole; only words with
 the numbers of their documents are shuffled.  Extra columns are not read.
 """
 
@@ -36,8 +36,8 @@ LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX = 12, 18, 16
 #: Words that make a context sensitive.
 SENSITIVE = ("secret", "token", "passw", "passphrase", "pwd", "credential", "apikey", "api_key", "api-key", "access_key", "private_key", "client_id", "auth", "bearer", "akia")
 _SENSITIVE = re.compile("|".join(SENSITIVE))
-#: A candidate: identifier characters; how far from a sensitive word it may start; its surroundings.
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: A candidate: at least twelve identifier characters, dots within; how far from a sensitive word it may start; its surroundings.
+_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-][A-Za-z0-9+/_.=-]{10,}[A-Za-z0-9+/_=-]")
 NEAR, AROUND = 64, 256
 #: Added bytes per character, and added bytes, from which a candidate is novel.
 NOVEL, LEAST_BYTES = 0.6, 12
@@ -113,8 +113,8 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in sorted(spans, key=lambda x: (x[1], KINDS.index(x[0]), x[2])))
 
 
-#: Words that prime the measure, the documents that must hold one away from sensitive words, and its letters.
-PRIMING, LEAST_DOCUMENTS = 2048, 20
+#: Words that prime the measure at most, the share of all documents that must hold one away from sensitive words, and its letters.
+PRIMING, LEAST_SHARE = 2048, 0.001
 _WORD = re.compile(r"(?<![A-Za-z0-9])[A-Za-z]{4,32}(?![A-Za-z0-9])")
 #: Distinct words a task holds before it hands on their partial counts.
 HELD = 200_000
@@ -150,6 +150,7 @@ def novelty(docs: DataFrame) -> Novelty:
             return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
 
         for b in parts_of(batches, 0):
+            seen[""] += b.num_rows  # the number of documents
             for text in b.column(0).to_pylist():
                 seen.update(ordinary_words(text))
             if len(seen) > HELD:
@@ -158,8 +159,9 @@ def novelty(docs: DataFrame) -> Novelty:
         yield partial()
 
     counts = id_text(docs).select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    best = counts.where(F.col("n") >= LEAST_DOCUMENTS).orderBy(F.desc("n"), "word").limit(PRIMING).select("word")
-    return Novelty([r[0] for r in best.collect()])
+    most = counts.orderBy(F.desc("n"), "word").limit(PRIMING + 1).collect()  # no word stands in more documents than there are
+    total = next((r["n"] for r in most if not r["word"]), 0)
+    return Novelty([r["word"] for r in most if r["word"] and r["n"] >= LEAST_SHARE * total][:PRIMING])
 
 
 def secret_spans(docs: DataFrame) -> DataFrame:

@@ -205,7 +205,7 @@ def test_letters_digits_and_keys_about_a_pattern_are_measured():
 def test_primer_counts_documents_exactly(spark, monkeypatch):
     texts = [f"often{chr(97 + k)} often{chr(97 + k)} rare{'x' * (k % 5)}" for k in range(20)] * 3 + ["token oftena plantedword " * 9] * 5
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
-    monkeypatch.setattr(se, "LEAST_DOCUMENTS", 3)
+    monkeypatch.setattr(se, "LEAST_SHARE", 3 / len(texts))
     monkeypatch.setattr(se, "HELD", 2)
     want = {}
     for text in texts:
@@ -262,6 +262,58 @@ def test_a_key_alone_in_its_table_is_novel(spark):
     assert [r["spans"] for r in se.secret_spans(docs).collect()] == ["novel:12:34"]
 
 
+def test_dotted_and_short_keys_are_measured(spark):
+    """A key of three parts between dots is one candidate, one of fifteen characters too; a sentence's full stop is none of it."""
+    rows = [(1, "auth: q8Zr4Vt1.Lm0Xs7Kd.9Pw2Hc5Nb end"), (2, "bearer k7Qx2Vw9Lr4Tz8M."), (3, "the token is elsewhere. nothing here but plain words")]
+    got = {r["doc_id"]: r["spans"] for r in se.secret_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "novel:6:33", 2: "novel:7:22", 3: ""}
+
+
+def test_the_same_text_in_small_and_large_tables(spark):
+    """What a text's candidates add does not hang on how many documents there are beside it."""
+    text = "auth bearer Zx9Kq2vL7pW4mN8rT1yB5c end"
+    for n in (1, 15, 400):
+        docs = spark.createDataFrame([(k, f"ordinary words of document {k} about nothing") for k in range(n)] + [(9999, text)], "doc_id long, text string")
+        assert [r["spans"] for r in se.secret_spans(docs).where("doc_id = 9999").collect()] == ["novel:12:34"], n
+
+
+def plain_novel(text, measure):
+    """Every maximal run of candidate characters, its distance to every sensitive word, its marginal bytes by a fresh compressor."""
+    import zstandard
+
+    size = lambda t: len(zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(measure.primer, dict_type=zstandard.DICT_TYPE_RAWCONTENT)).compress(t.encode()))
+    near = [k for k in range(len(text)) for w in se.SENSITIVE if text[k : k + len(w)].lower() == w]
+    allowed, out, k = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-."), [], 0
+    while k < len(text):
+        e = k
+        while e < len(text) and text[e] in allowed:
+            e += 1
+        s, end = k, e
+        while s < end and text[s] == ".":
+            s += 1
+        while end > s and text[end - 1] == ".":
+            end -= 1
+        if end - s >= 12 and any(s - se.NEAR <= n <= end + se.NEAR for n in near):
+            before, after = text[max(0, s - se.AROUND) : s], text[end : end + se.AROUND]
+            added = size(before + after + text[s:end]) - size(before + after)
+            if added >= se.LEAST_BYTES and added >= se.NOVEL * (end - s):
+                out.append(("novel", s, end))
+        k = e + 1
+    return out
+
+
+def test_novel_spans_against_a_plain_scan(spark, sf_dir):
+    random.seed(12)
+    docs = [r["text"] or "" for r in table(spark, sf_dir, "documents").select("text").limit(60).collect()]
+    measure = se.novelty(table(spark, sf_dir, "documents"))
+    for text in docs:
+        words = text[:1500].split(" ")
+        for _ in range(4):
+            words.insert(random.randrange(len(words) + 1), random.choice(["token", "AUTH:", "Bearer", "x.y.z", "...", "..leading.dots.of.words", "A" * 14, "".join(random.choices(KINDS_OF_KEY["base64"] + ".", k=random.randint(10, 40)))]))
+        text = " ".join(words)
+        assert measure.spans(text) == plain_novel(text, measure), text
+
+
 def plain_overlaps(words, item, least=dc.LEAST_WORDS):
     """Whether some diagonal has a stretch of ``least`` words with at most two unequal, ends equal."""
     for d in range(-len(item) + 1, len(words)):
