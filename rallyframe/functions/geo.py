@@ -48,21 +48,48 @@ def near_centre(lat: Column, lon: Column, department: Column, centre_lat: Column
 
 
 def jittered(entity_id: Column, lat: Column, lon: Column) -> Column:
-    """A centre moved a little, always alike for one id, so that markers don't cover each other."""
-    angle = F.radians(F.pmod(entity_id * 137, F.lit(360)).cast("double"))
-    radius = F.lit(0.004) + F.pmod(entity_id, F.lit(7)) * 0.002
+    """A department's centre moved by 400 m to 2 km, always alike for one id, so that markers don't cover each other."""
+    return _moved(entity_id, lat, lon, 37, F.lit(0.004) + F.pmod(entity_id, F.lit(7)) * 0.002)
+
+
+def nudged(entity_id: Column, lat: Column, lon: Column) -> Column:
+    """A city's place moved by at most 180 m, always alike for one id."""
+    return _moved(entity_id, lat, lon, 47, (F.pmod(entity_id, F.lit(5)) - 2) * 0.0008)
+
+
+def _moved(entity_id: Column, lat: Column, lon: Column, step: int, radius: Column) -> Column:
+    angle = F.radians(F.pmod(entity_id * step, F.lit(360)).cast("double"))
     return F.struct((lat + F.sin(angle) * radius).alias("lat"), (lon + F.cos(angle) * radius).alias("lon"))
 
 
+def valid_place(lat: Column, lon: Column) -> Column:
+    """Whether coordinates are some: both known, within the globe, not 0 and 0."""
+    return F.coalesce(lat.between(-90, 90) & lon.between(-180, 180) & ((lat != 0) | (lon != 0)), F.lit(False))
+
+
+def city_name(c: Column) -> Column:
+    """A city's name in capitals, without a postcode before it."""
+    return F.trim(F.regexp_replace(F.trim(F.upper(c)), r"^[0-9]{5}\s*", ""))
+
+
 def resolve_places(entities: DataFrame, cities: DataFrame, centres: DataFrame) -> DataFrame:
-    """Coordinates of each entity: its own, else its city's, else its department's centre with jitter; and which."""
-    e = entities.join(cities.select(F.col("city"), F.col("lat").alias("city_lat"), F.col("lon").alias("city_lon")), "city", "left")
-    e = e.join(centres.select(F.col("department"), F.col("lat").alias("centre_lat"), F.col("lon").alias("centre_lon")), "department", "left")
-    moved = jittered(F.col("entity_id"), F.col("centre_lat"), F.col("centre_lon"))
-    own, city, centre = F.col("lat").isNotNull() & F.col("lon").isNotNull(), F.col("city_lat").isNotNull(), F.col("centre_lat").isNotNull()
-    pick = lambda a, b, c: F.when(own, F.col(a)).when(city, F.col(b)).when(centre, c)
-    source = F.when(own, "own").when(city, "city").when(centre, "department")
-    return e.select("entity_id", "department", "city", pick("lat", "city_lat", moved["lat"]).alias("lat"), pick("lon", "city_lon", moved["lon"]).alias("lon"), source.alias("source"))
+    """The entities with ``lat``, ``lon`` and ``source``, by falling exactness: their own coordinates where valid, their city's,
+    nudged, their department's centre, jittered; null without any.
+
+    Entities: ``entity_id``, ``lat``, ``lon``, ``city`` (with or without postcode), ``department``, ``address`` if known, and others.  A
+    department not given is that of the postcode in city or address; one of one digit has a nought before it.  Both
+    fall-backs are looked up in one pass over the entities.
+    """
+    named = F.upper(F.trim("department"))
+    department = F.coalesce(F.nullif(F.when(named.rlike("^[0-9]$"), F.lpad(named, 2, "0")).otherwise(named), F.lit("")), department_of_address(*(F.col(k) for k in ("city", "address") if k in entities.columns)))
+    e = entities.withColumn("department", department).withColumn("_city", F.nullif(city_name(F.col("city")), F.lit("")))
+    e = e.join(cities.select(F.upper("city").alias("_city"), F.col("lat").alias("_city_lat"), F.col("lon").alias("_city_lon")), "_city", "left")
+    e = e.join(centres.select("department", F.col("lat").alias("_centre_lat"), F.col("lon").alias("_centre_lon")), "department", "left")
+    place = lambda lat, lon, source: F.struct(lat.cast("double").alias("lat"), lon.cast("double").alias("lon"), F.lit(source).alias("source"))
+    near, centre = nudged(F.col("entity_id"), F.col("_city_lat"), F.col("_city_lon")), jittered(F.col("entity_id"), F.col("_centre_lat"), F.col("_centre_lon"))
+    own = valid_place(F.col("lat"), F.col("lon"))
+    found = F.when(own, place(F.col("lat"), F.col("lon"), "own")).when(F.col("_city_lat").isNotNull(), place(near["lat"], near["lon"], "city")).when(F.col("_centre_lat").isNotNull(), place(centre["lat"], centre["lon"], "department"))
+    return e.withColumn("_p", found).withColumns({"lat": F.col("_p.lat"), "lon": F.col("_p.lon"), "source": F.col("_p.source")}).select(*entities.columns, "source")
 
 
 def outliers(places: DataFrame, centres: DataFrame, reach: float = REACH_KM) -> DataFrame:

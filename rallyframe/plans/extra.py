@@ -117,7 +117,7 @@ _cases(
 )
 _cases(
     "i9_departments",
-    (("38600 FONTAINE", "38"), ("23 rue X, 20250 CORTE", "2B"), ("97400 ST DENIS", "974"), ("GRENOBLE", None)),
+    (("73110 VAL GELON", "73"), ("23 rue X, 20250 CORTE", "2B"), ("97400 ST DENIS", "974"), ("GRENOBLE", None)),
     ("department",),
     lambda d: d.select("id", geo.department_of_address(F.col("v")).alias("department")),
 )
