@@ -105,10 +105,11 @@ def test_rewritten_history_is_found_and_not_trained_on(spark):
     turns = [("user", "q"), ("assistant", "<think>long</think>a"), ("user", "r"), ("assistant", "b")]
     assert render_segment(Template(drops_thoughts), [], turns).rewritten == 2
     rows = [(1, k, r, t) for k, (r, t) in enumerate(turns)] + [(2, 0, "user", "q"), (2, 1, "assistant", "plain")]
-    df = spark.createDataFrame(rows, SCHEMA).coalesce(1)
-    got = {r["conv_id"]: r for r in format_chats(df.where("conv_id = 1").union(df.where("conv_id = 2")), Template(drops_thoughts)).collect() if not (r["history_kept"] and r["conv_id"] == 1)}
-    assert not got[1]["history_kept"] and got[1]["loss_starts"] == []
-    assert got[2]["history_kept"] and [got[2]["formatted"][s:e] for s, e in zip(got[2]["loss_starts"], got[2]["loss_ends"])] == ["plain"]
+    segments = format_chats(spark.createDataFrame(rows, SCHEMA), Template(drops_thoughts)).collect()
+    trained = {c: [r["formatted"][s:e] for r in segments if r["conv_id"] == c for s, e in zip(r["loss_starts"], r["loss_ends"])] for c in (1, 2)}
+    # a conversation keeps its history where all its segments do; a rewritten segment trains on nothing
+    assert not all(r["history_kept"] for r in segments if r["conv_id"] == 1) and all(r["loss_starts"] == [] for r in segments if not r["history_kept"])
+    assert all(r["history_kept"] for r in segments if r["conv_id"] == 2) and trained[2] == ["plain"]
 
 
 def test_a_template_that_looks_further_back_is_reported(spark, monkeypatch):
