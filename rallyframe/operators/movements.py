@@ -154,3 +154,30 @@ def bracket_flow(matches: DataFrame) -> DataFrame:
         .when(consolation & _among(F.col("_ul"), "team_a", "team_b"), "upper").when(consolation & _among(F.col("_ll"), "team_a", "team_b"), "lower")
     )
     return rows.select(*KEY, F.col("n").cast("long").alias("n"), "stage", half.alias("half"), "team_a", "team_b", "winner", "loser")
+
+
+def challenge_bracket(matches: DataFrame) -> DataFrame:
+    """The two small brackets of a challenge: half, semi_1, semi_2, final, bronze (ids of matches; bronze null if there is none).
+
+    ``matches``: season, competition, pool, code, match_id, team_a, team_b, sets_a, sets_b, played.  Of a competition's two cross
+    pools the one of lower code holds the semis, the other the finals.  A final is a match of two semis' winners, its
+    bronze match the first of those semis' losers alone.  The half of the final of lower code is ``lower`` (places 5 to 8), the
+    other ``upper``.  Competitions without two pools, or without two finals, give nothing.
+
+    Teams flow by equi-joins on the team; no competition is gathered.
+    """
+    place = Window.partitionBy(*KEY).orderBy("pool")
+    pools = matches.select(*KEY, "pool").distinct().withColumn("k", F.row_number().over(place)).withColumn("pools", F.count(F.lit(1)).over(Window.partitionBy(*KEY))).where("pools = 2")
+    m = matches.join(pools, [*KEY, "pool"]).withColumn("team", F.explode(F.array("team_a", "team_b")))
+    a_won = F.col("sets_a") > F.col("sets_b")
+    winner = F.when(a_won, F.col("team_a")).otherwise(F.col("team_b"))
+    semis = m.where("k = 1 and played and team = team_a").select(*KEY, F.struct("code", F.col("match_id").alias("semi"), F.when(a_won, F.col("team_b")).otherwise(F.col("team_a")).alias("loser")).alias("s"), winner.alias("team"))
+    last = m.where("k = 2").select(*KEY, "code", "match_id", "team")
+    feeds = last.join(semis, [*KEY, "team"]).groupBy(*KEY, F.col("code").alias("final_code"), F.col("match_id").alias("final"))
+    finals = feeds.agg(F.count(F.lit(1)).alias("n"), F.min("s").alias("one"), F.max("s").alias("two")).where("n = 2")
+    lost = finals.select(*KEY, "final", F.explode(F.array("one.loser", "two.loser")).alias("team"))
+    alone = lost.join(last, [*KEY, "team"]).where("match_id <> final").groupBy(*KEY, "final", "code", "match_id").agg(F.countDistinct("team").alias("n")).where("n = 2")
+    bronze = alone.groupBy(*KEY, "final").agg(F.min(F.struct("code", "match_id")).alias("b"))
+    both = finals.join(bronze, [*KEY, "final"], "left")
+    both = both.withColumn("halves", F.count(F.lit(1)).over(Window.partitionBy(*KEY))).where("halves = 2").withColumn("k", F.row_number().over(Window.partitionBy(*KEY).orderBy("final_code", "final")))
+    return both.select(*KEY, F.when(F.col("k") == 1, "lower").otherwise("upper").alias("half"), F.col("one.semi").alias("semi_1"), F.col("two.semi").alias("semi_2"), "final", F.col("b.match_id").alias("bronze"))

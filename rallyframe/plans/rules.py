@@ -1,6 +1,6 @@
 """Queries over level moves, brackets, sanctions, sides, status and rebuilt rollups."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rallyframe.functions import names as nm
@@ -196,3 +196,25 @@ na AS (SELECT a.* REPLACE (coalesce(ob.role, a.role) AS role, coalesce(CAST(roun
     + _SEASONS.replace("FROM appearances", "FROM na")
     + "SELECT * FROM ps",
 )
+
+
+def _challenges(c):
+    """Cross pools of each competition's first eight teams: who wins a semi hangs on the season, and so does the order of the finals."""
+    first = c.sides.where("played").select("season", "competition", "team_id").distinct().withColumn("r", F.row_number().over(Window.partitionBy("season", "competition").orderBy("team_id"))).where("r <= 8")
+    eight = first.groupBy("season", "competition").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "team_id"))), lambda x: x["team_id"]).alias("t")).where("size(t) = 8")
+    wins = lambda n: F.when((F.col("season") + n) % 3 == 0, 0).otherwise(1)  # noqa: E731  whether the second team of semi n wins
+    of = lambda n, lost: F.get("t", 2 * n + (1 - wins(n) if lost else wins(n)))
+    semi = [F.struct(F.lit("A").alias("pool"), F.lit(f"A{n}").alias("code"), F.lit(n).alias("n"), F.get("t", F.lit(2 * n)).alias("team_a"), F.get("t", F.lit(2 * n + 1)).alias("team_b"), (3 - 3 * wins(n)).alias("sets_a"), (3 * wins(n)).alias("sets_b")) for n in range(4)]
+    order = lambda k: F.concat(F.lit("B"), F.pmod(F.col("season") + k, F.lit(4)).cast("string"))
+    final = [F.struct(F.lit("B").alias("pool"), order(k).alias("code"), F.lit(4 + k).alias("n"), of(2 * (k // 2), k % 2 == 1).alias("team_a"), of(2 * (k // 2) + 1, k % 2 == 1).alias("team_b"), F.lit(3).alias("sets_a"), F.lit(1).alias("sets_b")) for k in range(4)]
+    rows = eight.select("season", "competition", F.explode(F.array(*semi, *final)).alias("m")).select("season", "competition", "m.*")
+    return rows.select("season", "competition", "pool", "code", F.col("n").cast("long").alias("match_id"), "team_a", "team_b", "sets_a", "sets_b", F.lit(True).alias("played"))
+
+
+query(
+    "e12_challenge_bracket",
+    lambda c: mv.challenge_bracket(_challenges(c)),
+    """, ei AS (SELECT season, competition FROM (SELECT DISTINCT season, competition, team_id FROM sides WHERE played) GROUP BY 1, 2 HAVING count(*) >= 8),
+fi AS (SELECT season, competition, k, (season + 2 * k) % 4 AS code FROM ei, (VALUES (0), (1)) v(k))
+SELECT season, competition, CASE WHEN row_number() OVER (PARTITION BY season, competition ORDER BY code) = 1 THEN 'lower' ELSE 'upper' END half, CAST(2 * k AS BIGINT) semi_1, CAST(2 * k + 1 AS BIGINT) semi_2, CAST(4 + 2 * k AS BIGINT) AS final, CAST(5 + 2 * k AS BIGINT) bronze FROM fi""",
+)

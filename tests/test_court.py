@@ -64,9 +64,9 @@ def test_position_of_a_player(match):
 
 @pytest.fixture(scope="module")
 def rescue(spark):
-    """A is 20-24 down in the deciding set of a match of two, saves four set balls on serve from position 1, wins 26-24."""
+    """A is 19-24 down, saves a set ball on reception and four on serve from position 1, and wins 26-24."""
     sheets = spark.createDataFrame(
-        [(1, "A", 26, 24, {1: [20, 26]}, {1: [24]}, 5, 1, 30)],
+        [(1, "A", 26, 24, {1: [19, 26]}, {1: [24]}, 5, 1, 30)],
         "set_id long, service_initial string, score_a int, score_b int, services_a map<int,array<int>>, services_b map<int,array<int>>, match_id long, number long, minutes long",
     )
     sides = spark.createDataFrame([(1, "A", ["7", "2", "3", "4", "5", "6"], None), (1, "B", ["1", "2", "3", "4", "5", "6"], None)], SIDES)
@@ -75,14 +75,14 @@ def rescue(spark):
 
 def test_clutch(rescue):
     turns = [(r["side"], r["score_a"], r["score_b"], r["points"], r["wins_set"]) for r in rescue[0].orderBy("n").collect()]
-    assert turns == [("A", 0, 0, 20, False), ("B", 20, 1, 23, False), ("A", 21, 24, 5, True)]
+    assert turns == [("A", 0, 0, 19, False), ("B", 19, 1, 23, False), ("A", 20, 24, 6, True)]
     got = {(r["side"], r["player"]): r for r in co.clutch_figures(co.player_rallies(*rescue)).collect()}
     seven = got["A", "7"]
-    # 24-20 to 24-23 against: the first ends B's turn, the others are on the player's own serve
-    assert (seven["set_balls_against_played"], seven["set_balls_against_won"]) == (4, 4)
-    assert (seven["most_saves"], seven["set_balls_played"], seven["set_balls_won"]) == (3, 1, 1)
-    assert seven["money_played"] == 30 and seven["level_played"] == 3 and seven["ahead_won"] == 19 + 1
-    assert got["A", "4"]["most_saves"] == 0 and got["B", "1"]["set_balls_played"] == 4 and got["B", "1"]["set_balls_won"] == 0
+    # 24-19 to 24-23 against: the first ends B's turn, the others are on the player's own serve
+    assert (seven["set_balls_against_played"], seven["set_balls_against_won"]) == (5, 5)
+    assert (seven["most_saves"], seven["set_balls_played"], seven["set_balls_won"]) == (4, 1, 1)
+    assert seven["money_played"] == 11 and seven["level_played"] == 3 and seven["ahead_won"] == 18 + 1
+    assert got["A", "4"]["most_saves"] == 0 and got["B", "1"]["set_balls_played"] == 5 and got["B", "1"]["set_balls_won"] == 0
     assert seven["received_played"] == 24 and seven["received_won"] == 1
 
 

@@ -29,14 +29,15 @@ def test_triplets_tell_all_six(spark):
 
 def test_double_change_has_an_orientation(spark):
     """At one score a newcomer takes the place of the first server at the net, another that of the opposite behind."""
-    rows = [(1, "A", 1, ["10", "20", "30", "40", "50", "60"], [change("80", "10", 3, 12, 11), change("90", "40", 6, 12, 11, 2)], [])]
+    line = ["4", "7", "8", "11", "12", "15"]
+    rows = [(1, "A", 1, line, [change("18", "4", 3, 12, 11), change("2", "11", 6, 12, 11, 2)], [])]
     got = solved(spark, rows)
-    assert (got["10"]["role"], got["40"]["role"], got["90"]["role"], got["80"]["role"]) == ("passeur", "pointu", "passeur", "pointu")
+    assert (got["4"]["role"], got["11"]["role"], got["2"]["role"], got["18"]["role"]) == ("passeur", "pointu", "passeur", "pointu")
     found = {r["player"]: r for r in rs.evidence_rows(rs.contexts(spark.createDataFrame(rows, SIDES))).collect()}
-    assert (found["10"]["double_s"], found["90"]["double_s"], found["40"]["double_o"], found["80"]["double_o"]) == (14.0,) * 4
+    assert (found["4"]["double_s"], found["2"]["double_s"], found["11"]["double_o"], found["18"]["double_o"]) == (14.0,) * 4
     # at other scores, or positions not opposite, there is none
-    for other in (change("90", "40", 6, 13, 11, 2), change("90", "40", 5, 12, 11, 2)):
-        rows = [(1, "A", 1, ["10", "20", "30", "40", "50", "60"], [change("80", "10", 3, 12, 11), other], [])]
+    for other in (change("2", "11", 6, 13, 11, 2), change("2", "11", 5, 12, 11, 2)):
+        rows = [(1, "A", 1, line, [change("18", "4", 3, 12, 11), other], [])]
         assert {r["double_s"] for r in rs.evidence_rows(rs.contexts(spark.createDataFrame(rows, SIDES))).collect()} == {0.0}
 
 
