@@ -24,6 +24,7 @@ Other columns are not read.
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from functools import reduce
 
@@ -93,6 +94,7 @@ class Dense:
     width = 4
 
     def __init__(self, high: np.ndarray, low: np.ndarray, n: np.ndarray):
+        self.key = uuid.uuid4().hex  # a worker's cache holds ids of one dictionary
         order = np.argsort(high, kind="stable")
         self.high, self.low = high[order], (low[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
         n = n[order].astype(np.float64)
@@ -119,6 +121,7 @@ class Wide:
     width = 16
 
     def __init__(self, bits: np.ndarray):
+        self.key = uuid.uuid4().hex
         self.bits = bits
 
     def ids(self, found: np.ndarray) -> np.ndarray:
@@ -212,7 +215,7 @@ def encode(texts: DataFrame, dictionary) -> DataFrame:
         zero = b"\0" * d.width
         code = (lambda row: int(row[0]).to_bytes(4, "little")) if d.width == 4 else (lambda row: row.astype("<u8").tobytes())
         for b in parts_of(batches, 1):
-            hold_cache(("phrases", id(d)), _known.clear)
+            hold_cache(("phrases", d.key), _known.clear)
             if sum(map(len, _known.values())) > MOST_WORDS:
                 _known.clear()
             out = []
