@@ -10,11 +10,14 @@ Conventions of the subpackage
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -125,9 +128,20 @@ def parts_of(batches, text_at: int):
 _holder: dict = {}
 
 
-def hold_cache(name: str, clear) -> None:
-    """Only one operator's cache lives in a Python worker: when another begins to fill its own, the last one is cleared."""
+def hold_cache(name, clear) -> None:
+    """Only one operator's cache lives in a Python worker: when another begins to fill its own, the last one is cleared, and
+    what it took goes back to the machine (a worker lives as long as its executor, and freed memory would stay with it)."""
     if _holder.get("name") != name:
         if "clear" in _holder:
             _holder["clear"]()
+            give_back()
         _holder.update(name=name, clear=clear)
+
+
+def give_back() -> None:
+    """Return freed memory to the machine, where the C library knows how to."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
