@@ -108,19 +108,69 @@ def with_swaps(df: DataFrame, a: str, b: str, other_a: str, other_b: str, score:
 
 
 def match_clubs(names: DataFrame, clubs: DataFrame, name_col: str = "name", club_col: str = "club") -> DataFrame:
-    """(name, club) pairs that denote the same club.
+    """(name, club) pairs that denote the same club, as :func:`same_club` has it.
 
-    Candidates meet by blocking keys, never by a cross join: the core name and, for cores of six
-    letters or more, what is left when one or two of its letters are deleted (two names within two
-    edits share such a key).
+    Pairs meet by keys that prove them, never by a cross join: equal names, one less a volleyball ending the other; equal
+    cores of four letters or more; cores of one length equal but for one letter that each lacks, or for two places in which
+    they differ; cores of lengths one or two apart equal when the longer lacks one letter more (only here a distance is
+    measured).  Many alike names thus cost little more than their pairs.
     """
 
-    def keys(core: Column) -> Column:
-        without = lambda c: F.transform(F.sequence(F.lit(1), F.length(c)), lambda k: F.concat(c.substr(F.lit(1), k - 1), c.substr(k + 1, F.length(c))))
-        one = without(core)
-        return F.when(F.length(core) >= 6, F.array_distinct(F.concat(F.array(core), one, F.flatten(F.transform(one, without))))).otherwise(F.array(core))
-
-    core = lambda df, c, name: df.select(F.col(c).alias(name)).distinct().withColumn("core", core_name(F.col(name)))
-    left = core(names, name_col, "name").select("name", F.explode(keys(F.col("core"))).alias("key"))
-    right = core(clubs, club_col, "club").select("club", F.explode(keys(F.col("core"))).alias("key"))
-    return left.join(right, "key").select("name", "club").distinct().where(same_club(F.col("name"), F.col("club")))
+    def known(df: DataFrame, column: str, name: str) -> DataFrame:
+        # short rows that become many keys: a number of tasks is asked for, as few bytes would be put into one
+        tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        each = df.select(F.col(column).alias(name)).repartition(tasks, name).distinct().withColumn("full", club_name(F.col(name))).withColumn("core", core_name(F.col(name)))
+        return each.withColumn("size", F.length("core"))
+
+    left, right = known(names, name_col, "name"), known(clubs, club_col, "club")
+    # lengths of the other side's cores: few, whatever the number of names
+    sizes = lambda df: df.select(F.col("size").alias("other")).distinct()
+    left_keys = left.select("name", F.explode(_equal_keys(F.col("full"), F.col("core"))).alias("k"))
+    right_keys = right.select("club", F.explode(_equal_keys(F.col("full"), F.col("core"))).alias("k"))
+    # a short core on the left is near to nothing
+    near_by, more = F.abs(F.col("size") - F.col("other")) <= 2, F.col("size") - F.col("other")
+    left_near, right_near = left.where("size >= 6").join(F.broadcast(sizes(right)), near_by), right.join(F.broadcast(sizes(left.where("size >= 6"))), near_by)
+    left_keys = left_keys.unionByName(left_near.select("name", F.explode(_near_keys(F.col("core"), more, more)).alias("k")))
+    right_keys = right_keys.unionByName(right_near.select("club", F.explode(_near_keys(F.col("core"), more, -more)).alias("k")))
+    a, b = left_keys.select("name", "k.*").alias("a"), right_keys.select("club", "k.*").alias("b")
+    kind, at = F.col("a.kind"), lambda side, n: F.col(f"{side}.note").substr(n, 1)
+    proven = (
+        F.when(kind == "name", (F.col("a.note") == "") | (F.col("b.note") == ""))
+        .when(kind == "two", (at("a", 1) != at("b", 1)) & (at("a", 2) != at("b", 2)))
+        .when(kind.isin("1", "-1"), F.levenshtein(F.col("a.note"), F.col("b.note"), 2).between(0, 2))
+        .otherwise(True)
+    )
+    return a.join(b, (kind == F.col("b.kind")) & (F.col("a.key") == F.col("b.key")) & proven).select("name", "club").distinct()
+
+
+def _key(kind: str | Column, key: Column, note: Column | None = None) -> Column:
+    return F.struct((F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), key.alias("key"), (F.lit("") if note is None else note).alias("note"))
+
+
+def _equal_keys(full: Column, core: Column) -> Column:
+    """A name itself, what is left of it without an ending (noted), and its core."""
+    endings = tuple(e for ending in ENDINGS for e in ((ending.replace(" ?", ""), ending.replace(" ?", " ")) if "?" in ending else (ending,)))
+    cut = [F.rtrim(full.substr(F.lit(1), F.length(full) - len(e))) for e in endings]
+    shorter = [F.when(full.endswith(e) & (F.length(c) >= 5), _key("name", c, F.lit(e))) for e, c in zip(endings, cut)]
+    return F.array_compact(F.array(_key("name", full), *shorter, F.when(F.length(core) >= 4, _key("core", core))))
+
+
+def _near_keys(core: Column, more: Column, kind: Column) -> Column:
+    """Keys under which a core meets those within two edits that have ``more`` letters less; ``kind`` is that number seen from the left side.
+
+    Of one length: a letter left out (``one``), or two whose places are part of the key and which are noted (``two``).  Else
+    the longer core lacks two letters, the shorter one a letter if it is one shorter, none if two.
+    """
+    places, length = F.sequence(F.lit(1), F.length(core)), kind.cast("string")
+    without = lambda c, k: F.concat(c.substr(F.lit(1), k - 1), c.substr(k + 1, F.length(c)))
+    pairs = F.flatten(F.transform(places, lambda k: F.transform(F.filter(places, lambda j: j > k), lambda j: F.struct(k.alias("k"), j.alias("j")))))
+    less_two = lambda p: without(without(core, p["j"]), p["k"])
+    one, two = F.array_distinct(F.transform(places, lambda k: without(core, k))), F.array_distinct(F.transform(pairs, less_two))
+    apart = F.transform(pairs, lambda p: _key("two", F.concat_ws(",", p["k"].cast("string"), p["j"].cast("string"), less_two(p)), F.concat(core.substr(p["k"], F.lit(1)), core.substr(p["j"], F.lit(1)))))
+    return (
+        F.when(more == 0, F.concat(F.transform(one, lambda x: _key("one", x)), apart))
+        .when(more == 1, F.transform(two, lambda x: _key(length, x, core)))
+        .when(more == -1, F.transform(one, lambda x: _key(length, x, core)))
+        .when(more == 2, F.transform(two, lambda x: _key(length, x)))
+        .otherwise(F.array(_key(length, core)))
+    )
