@@ -48,13 +48,18 @@ def opposite_pairs(formations: DataFrame) -> DataFrame:
     return pair.groupBy("match_id", "side", "player_1", "player_2").agg(F.count(F.lit(1)).alias("sets"))
 
 
-def solve(scores: DataFrame, priors: DataFrame | None = None) -> DataFrame:
-    """Belief of each (match, side, player): main role, its share, and a confidence from share, margin and volume."""
+def solve(scores: DataFrame, priors: DataFrame | None = None, tasks: int | None = None) -> DataFrame:
+    """Belief of each (match, side, player): main role, its share, and a confidence from share, margin and volume.
+
+    ``tasks``: over how many tasks scores and priors meet, a match in one of them.
+    """
     s = scores
     if priors is not None:
         ids = scores.select(*KEY).distinct()
+        ids = ids.repartition(tasks, "player_id") if tasks else ids
         extra = ids.join(priors, "player_id").select(*KEY, "role", (F.col("share") * PRIOR_WEIGHT).alias("score"))
-        s = scores.unionByName(extra).groupBy(*KEY, "role").agg(F.sum("score").alias("score"))
+        s = scores.unionByName(extra)
+        s = (s.repartition(tasks, "match_id") if tasks else s).groupBy(*KEY, "role").agg(F.sum("score").alias("score"))
     w = Window.partitionBy(*KEY)
     share = F.greatest(F.lit(FLOOR), F.round(F.col("score") / F.sum("score").over(w), 6))
     ranked = s.withColumn("total", F.sum("score").over(w)).withColumn("share", share).withColumn("n", F.row_number().over(w.orderBy(F.desc("share"), "role")))
@@ -74,17 +79,19 @@ def priors(beliefs: DataFrame) -> DataFrame:
     return weighted.withColumn("share", F.round(F.col("w").cast("double") / F.sum("w").over(Window.partitionBy("player_id")), 4)).drop("w")
 
 
-def diffuse(scores: DataFrame, passes: int = 5, write=None) -> tuple[DataFrame, int]:
+def diffuse(scores: DataFrame, passes: int = 5, write=None, tasks: int | None = None) -> tuple[DataFrame, int]:
     """Beliefs after passes with priors until no main role changes, and the number of passes.
 
     ``write`` stores a frame and reads it back (a table in shared storage); a checkpoint by default.
     On convergence the beliefs of the pass before hold.
     """
     write = write or (lambda df: df.checkpoint())
-    beliefs = write(solve(scores))
+    scores = write(scores)
+    beliefs = write(solve(scores.repartition(tasks, "match_id") if tasks else scores))
     for n in range(1, passes + 1):
-        after = write(solve(scores, priors(beliefs)))
+        after = write(solve(scores, priors(beliefs), tasks))
         before = beliefs.select(*KEY, F.col("role").alias("was"))
+        before = before.repartition(tasks, *KEY) if tasks else before
         changed = after.join(before, KEY).where("role <> was").count()
         if changed == 0:
             return beliefs, n

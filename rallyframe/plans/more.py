@@ -12,6 +12,7 @@ from rallyframe.operators import roles as ro
 from rallyframe.operators import rollups as ru
 from rallyframe.plans.registry import ORACLES, query
 from rallyframe.plans.tables import _TEAMS
+from rallyframe.sources.storage import stored
 from rallyframe.streaming import incremental as inc
 
 # ---------------------------------------------------------------- relational primitives
@@ -206,8 +207,9 @@ ev AS (SELECT match_id, side, player_id, role, sum(score) score FROM sc0 GROUP B
 def _formations(c):
     """Starters for the role operators: a line of an order is a starter of a set."""
     k = F.col("l_partkey")
-    return c.table("lineitem").select(
-        F.col("l_orderkey").alias("match_id"),
+    lines = c.by_match(c.table("lineitem").select(F.col("l_orderkey").alias("match_id"), "l_suppkey", "l_linenumber", "l_partkey", "l_quantity"))
+    return lines.select(
+        "match_id",
         F.when(F.pmod("l_suppkey", F.lit(2)) == 0, "A").otherwise("B").alias("side"),
         F.col("l_linenumber").cast("long").alias("set_number"),
         (F.pmod(k, F.lit(6)) + 1).alias("position"),
@@ -245,16 +247,7 @@ SELECT player_id, role, round(CAST(w AS DOUBLE) / sum(w) OVER (PARTITION BY play
 
 
 def _diffused(c):
-    from pyspark import StorageLevel
-
-    shared = c.spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:  # one machine: memory and disk hold the passes
-        return ro.diffuse(ro.evidence(_formations(c)), 3, lambda df: df.persist(StorageLevel.MEMORY_AND_DISK))[0]
-    if not c.spark.sparkContext.getCheckpointDir():
-        c.spark.sparkContext.setCheckpointDir(shared)
-    return ro.diffuse(ro.evidence(_formations(c)), 3)[0]
-
-
+    return ro.diffuse(ro.evidence(_formations(c)), 3, lambda df: stored(df, "beliefs"), c.tasks)[0]
 
 
 def _pass(n: int) -> str:
