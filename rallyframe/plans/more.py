@@ -452,8 +452,11 @@ query(
 
 def _refreshed(c):
     """Rollups of nine tenths of the matches, after a batch of the last tenth."""
-    old = inc.build(c.appearances.where("match_id % 10 <> 3"), c.matches.where("match_id % 10 <> 3"), c.teams)
-    return inc.refresh(old, c.appearances, c.matches, c.teams, c.matches.where("match_id % 10 = 3"))
+    columns = ("match_id", *ru.PLAYER_KEY, "role", "day", "played", "sets_for", "sets_against", "points", "serves", "runs", "longest_run", "confidence")
+    keep = lambda df: stored(df, "rollups")
+    appearances, matches = keep(c.appearances.select(*columns).repartition("player_id")), keep(c.matches)
+    old = inc.build(appearances.where("match_id % 10 <> 3"), matches.where("match_id % 10 <> 3"), c.teams, keep)
+    return inc.refresh(old, appearances, matches, c.teams, matches.where("match_id % 10 = 3"), store=keep)
 
 
 query("f8_players_incremental", lambda c: _refreshed(c).players, ORACLES["f2_player_seasons"], base=False)

@@ -40,9 +40,9 @@ class Rollups:
     clubs: DataFrame
 
 
-def build(appearances: DataFrame, matches: DataFrame, teams: DataFrame) -> Rollups:
-    """All rollups from all matches."""
-    lines, people = team_seasons(sides_of(matches)), player_seasons(appearances)
+def build(appearances: DataFrame, matches: DataFrame, teams: DataFrame, store: Callable[[DataFrame], DataFrame] = lambda df: df) -> Rollups:
+    """All rollups from all matches; ``store`` may keep the player lines, which careers and clubs are built from."""
+    lines, people = team_seasons(sides_of(matches)), store(player_seasons(appearances))
     return Rollups(lines, people, player_careers(people, career_days(appearances)), club_rollup(lines, teams, people))
 
 
