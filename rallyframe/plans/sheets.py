@@ -7,6 +7,7 @@ from rallyframe.operators import service as sv
 from rallyframe.plans.registry import query
 from rallyframe.plans.tables import _LINES_OF_SETS
 from rallyframe.sources.sheets import lineups, service_sheets, staff
+from rallyframe.sources.storage import stored
 
 #: The turns straight from the points: what the operators must find again from the sheets.
 _TURNS = (
@@ -89,6 +90,15 @@ def _of(rows, *keys, **figures):
 
 
 _played = lambda c: c.appearances.where("played")
+
+
+def _by_player(c):
+    """The played appearances, worked out once for all blocks of a page and stored by player, so that a block's sums need little shuffling."""
+    if not hasattr(c, "stored_by_player"):
+        c.stored_by_player = stored(_played(c).select("player_id", "season", "team_id", "role", "shirt", "points", "captain", "libero", "sets_for", "sets_against").repartition("player_id"), "appearances")
+    return c.stored_by_player
+
+
 _sides = lambda c: c.sides.where("played")
 _placed = lambda c: _sides(c).join(c.teams.join(c.clubs, "club_id"), "team_id")
 _people = lambda c: _played(c).join(c.teams.join(c.clubs, "club_id"), "team_id")
@@ -97,10 +107,10 @@ _PLACED = "sides JOIN teams USING (team_id) JOIN clubs USING (club_id) WHERE pla
 _PEOPLE = "appearances JOIN teams USING (team_id) JOIN clubs USING (club_id) WHERE played"
 
 _page("j2_player_page", [
-    ("totals", _of(_played, "player_id", matches=_n, wins=_won, captaincies="count_if(captain)", liberos="count_if(libero)", points="sum(points)", best="max(points)"), f"SELECT player_id, count(*) matches, {_WON}, count(*) FILTER (captain) captaincies, count(*) FILTER (libero) liberos, sum(points) points, max(points) best FROM appearances WHERE played GROUP BY 1", "player_id", ["matches", "wins", "captaincies", "liberos", "points", "best"], None),
-    ("seasons", _of(_played, "player_id", "season", matches=_n, wins=_won, points="sum(points)", teams="count(DISTINCT team_id)"), f"SELECT player_id, season, count(*) matches, {_WON}, sum(points) points, count(DISTINCT team_id) teams FROM appearances WHERE played GROUP BY 1, 2", "player_id", ["matches", "wins", "points", "teams"], "season"),
-    ("roles", _of(_played, "player_id", "role", matches=_n), "SELECT player_id, role, count(*) matches FROM appearances WHERE played GROUP BY 1, 2", "player_id", ["matches"], "role"),
-    ("shirts", _of(_played, "player_id", "shirt", matches=_n), "SELECT player_id, shirt, count(*) matches FROM appearances WHERE played GROUP BY 1, 2", "player_id", ["matches"], "shirt"),
+    ("totals", _of(_by_player, "player_id", matches=_n, wins=_won, captaincies="count_if(captain)", liberos="count_if(libero)", points="sum(points)", best="max(points)"), f"SELECT player_id, count(*) matches, {_WON}, count(*) FILTER (captain) captaincies, count(*) FILTER (libero) liberos, sum(points) points, max(points) best FROM appearances WHERE played GROUP BY 1", "player_id", ["matches", "wins", "captaincies", "liberos", "points", "best"], None),
+    ("seasons", _of(_by_player, "player_id", "season", matches=_n, wins=_won, points="sum(points)", teams="count(DISTINCT team_id)"), f"SELECT player_id, season, count(*) matches, {_WON}, sum(points) points, count(DISTINCT team_id) teams FROM appearances WHERE played GROUP BY 1, 2", "player_id", ["matches", "wins", "points", "teams"], "season"),
+    ("roles", _of(_by_player, "player_id", "role", matches=_n), "SELECT player_id, role, count(*) matches FROM appearances WHERE played GROUP BY 1, 2", "player_id", ["matches"], "role"),
+    ("shirts", _of(_by_player, "player_id", "shirt", matches=_n), "SELECT player_id, shirt, count(*) matches FROM appearances WHERE played GROUP BY 1, 2", "player_id", ["matches"], "shirt"),
 ])
 _page("j17_team_page", [
     ("totals", _of(_sides, "team_id", matches=_n, wins=_won, home="count_if(side = 'A')", sets_for="sum(sets_for)", sets_against="sum(sets_against)", forfeits="count_if(forfeit)"), f"SELECT team_id, count(*) matches, {_WON}, count(*) FILTER (side = 'A') home, sum(sets_for) sets_for, sum(sets_against) sets_against, count(*) FILTER (forfeit) forfeits FROM sides WHERE played GROUP BY 1", "team_id", ["matches", "wins", "home", "sets_for", "sets_against", "forfeits"], None),
