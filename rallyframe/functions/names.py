@@ -86,14 +86,17 @@ def with_swaps(df: DataFrame, a: str, b: str, other_a: str, other_b: str, score:
     """
     sides = {"a": a, "b": b, "x": other_a, "y": other_b}
     up = df.withColumns({f"_{k}": F.upper(F.trim(F.coalesce(F.col(c), F.lit("")))) for k, c in sides.items()})
-    up = up.withColumns({f"_{k}_name": club_name(F.col(f"_{k}")) for k in sides} | {f"_{k}_core": core_name(F.col(f"_{k}")) for k in sides})
     one = lambda test: F.coalesce(test, F.lit(False)).cast("int")
     there = lambda p, q: (F.col(f"_{p}") != "") & (F.col(f"_{q}") != "")
     equal = lambda p, q: one(there(p, q) & (F.col(f"_{p}") == F.col(f"_{q}")))
     alike = lambda p, q: one(there(p, q) & _same(*(F.col(f"_{k}_{what}") for k in (p, q) for what in ("name", "core"))))
     far = lambda p, q: F.levenshtein(F.col(f"_{p}_name"), F.col(f"_{q}_name"))
+    up = up.withColumn("_exact", equal("x", "a") + equal("y", "b") - equal("x", "b") - equal("y", "a"))
+    named = ((F.col("_a") != "") | (F.col("_b") != "")) & ((F.col("_x") != "") | (F.col("_y") != ""))
+    # normal forms take many patterns: only where both sides are named and exact names leave it open
+    unsure = lambda c: F.when(named & (F.col("_exact") == 0), c)
+    up = up.withColumns({f"_{k}_name": unsure(club_name(F.col(f"_{k}"))) for k in sides} | {f"_{k}_core": unsure(core_name(F.col(f"_{k}"))) for k in sides})
     up = up.withColumns({
-        "_exact": equal("x", "a") + equal("y", "b") - equal("x", "b") - equal("y", "a"),
         "_fuzzy": alike("x", "a") + alike("y", "b") - alike("x", "b") - alike("y", "a"),
         "_gap": far("x", "a") + far("y", "b") - far("x", "b") - far("y", "a"),
     })
@@ -101,7 +104,6 @@ def with_swaps(df: DataFrame, a: str, b: str, other_a: str, other_b: str, score:
     if score:
         sa, sb = (F.regexp_extract(F.col(score), r"^\s*(\d+)\s*/\s*(\d+)\s*$", k).try_cast("int") for k in (1, 2))
         by_score = F.coalesce((sa != sb) & (F.col(sets_a) == sb) & (F.col(sets_b) == sa), F.lit(False))
-    named = ((F.col("_a") != "") | (F.col("_b") != "")) & ((F.col("_x") != "") | (F.col("_y") != ""))
     exact, fuzzy, gap = F.col("_exact"), F.col("_fuzzy"), F.col("_gap")
     swapped = F.when(~named, False).when(exact > 0, False).when(exact < 0, True).when(fuzzy > 0, False).when(fuzzy < 0, True).when(gap >= 3, True).when(gap <= -3, False).otherwise(by_score)
     return up.select(*df.columns, swapped.alias("swapped"))

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from rallyframe.plans.registry import query
+from rallyframe.sources.storage import stored
 from rallyframe.streaming import imports as im
 
 
@@ -10,7 +11,8 @@ def _batches(c):
     """Exports of all played matches, then sheets of two thirds of them (some named the other way round, some of another score, some of
     matches without an export), then corrected exports of some."""
     names = c.teams.select("team_id", "team")
-    m = c.matches.where("played and not forfeit").join(names.withColumnsRenamed({"team_id": "team_a", "team": "name_a"}), "team_a").join(names.withColumnsRenamed({"team_id": "team_b", "team": "name_b"}), "team_b")
+    played = stored(c.matches.where("played and not forfeit").select("match_id", "season", "competition", "day", "team_a", "team_b", "sets_a", "sets_b"), "played")  # read by all batches
+    m = played.join(names.withColumnsRenamed({"team_id": "team_a", "team": "name_a"}), "team_a").join(names.withColumnsRenamed({"team_id": "team_b", "team": "name_b"}), "team_b")
     k, score = F.col("match_id"), lambda a, b: F.concat_ws("/", a, b)
     key = (F.col("season").cast("string").alias("season"), "competition", k.cast("string").alias("code"))
     row = lambda source, at, a, b, day, hall, points, sets: m.select(*key, F.lit(source).alias("source"), F.lit(at).alias("read_at"), a.alias("team_a"), b.alias("team_b"), day.alias("day"), hall.alias("hall"), points.alias("score"), sets.cast(im.SETS).alias("sets"), k.alias("match_id"))
