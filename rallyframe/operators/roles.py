@@ -7,11 +7,15 @@ so the plan doesn't grow, and the driver sees only the number of changes.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: How much a prior weighs against evidence, the least weight of a belief, the least share of a role.
 PRIOR_WEIGHT, LEAST_CONFIDENCE, FLOOR = 2.4, 0.5, 0.01
+#: The roles, by name.
+ROLES = ("central", "libero", "passeur", "pointu", "receptionneur")
 KEY = ["match_id", "side", "player_id"]
 
 
@@ -27,16 +31,18 @@ def evidence(formations: DataFrame) -> DataFrame:
     A libero scores 40; a player whom the libero replaces 5.5 a swap as middle; position 1 scores 1.8
     as setter and its opposite 1.8 as opposite; other starters 1 as receivers.
     """
-    roles = F.array_compact(
-        F.array(
-            F.when(F.col("libero"), F.struct(F.lit("libero").alias("role"), F.lit(40.0).cast("double").alias("score"))),
-            F.when(~F.col("libero") & (F.col("swaps") > 0), F.struct(F.lit("central").alias("role"), (F.col("swaps") * 5.5).cast("double").alias("score"))),
-            F.when(~F.col("libero") & (F.col("position") == 1), F.struct(F.lit("passeur").alias("role"), F.lit(1.8).cast("double").alias("score"))),
-            F.when(~F.col("libero") & (F.col("position") == opposite(F.lit(1))), F.struct(F.lit("pointu").alias("role"), F.lit(1.8).cast("double").alias("score"))),
-            F.when(~F.col("libero"), F.struct(F.lit("receptionneur").alias("role"), F.lit(1.0).cast("double").alias("score"))),
-        )
-    )
-    return formations.select(*KEY, F.explode(roles).alias("r")).groupBy(*KEY, "r.role").agg(F.sum("r.score").alias("score"))
+    each = F.array_compact(F.array(*(F.when(F.col(k).isNotNull(), F.struct(F.lit(k).alias("role"), F.col(k).alias("score"))) for k in ROLES)))
+    return _scored(formations).select(*KEY, F.explode(each).alias("r")).select(*KEY, "r.role", "r.score")
+
+
+def _scored(formations: DataFrame) -> DataFrame:
+    """The evidence with a column per role, null without any: numbers only, so lines are summed by hash and not sorted."""
+    plain, d = ~F.col("libero"), lambda x: F.lit(x).cast("double")
+    rules = {
+        "central": F.when(plain & (F.col("swaps") > 0), (F.col("swaps") * 5.5).cast("double")), "libero": F.when(F.col("libero"), d(40.0)), "passeur": F.when(plain & (F.col("position") == 1), d(1.8)),
+        "pointu": F.when(plain & (F.col("position") == opposite(F.lit(1))), d(1.8)), "receptionneur": F.when(plain, d(1.0)),
+    }
+    return formations.groupBy(*KEY).agg(*(F.sum(rules[k]).alias(k) for k in ROLES))
 
 
 def opposite_pairs(formations: DataFrame) -> DataFrame:
@@ -59,18 +65,25 @@ def solve(scores: DataFrame, priors: DataFrame | None = None, tasks: int | None
         ids = ids.repartition(tasks, "player_id") if tasks else ids
         extra = ids.join(priors, "player_id").select(*KEY, "role", (F.col("share") * PRIOR_WEIGHT).alias("score"))
         s = scores.unionByName(extra)
-        s = (s.repartition(tasks, "match_id") if tasks else s).groupBy(*KEY, "role").agg(F.sum("score").alias("score"))
-    w = Window.partitionBy(*KEY)
-    share = F.greatest(F.lit(FLOOR), F.round(F.col("score") / F.sum("score").over(w), 6))
-    ranked = s.withColumn("total", F.sum("score").over(w)).withColumn("share", share).withColumn("n", F.row_number().over(w.orderBy(F.desc("share"), "role")))
-    two = ranked.where("n <= 2").groupBy(*KEY).agg(
-        F.max(F.when(F.col("n") == 1, F.col("role"))).alias("role"),
-        F.max(F.when(F.col("n") == 1, F.col("share"))).alias("share"),
-        F.coalesce(F.max(F.when(F.col("n") == 2, F.col("share"))), F.lit(0.0).cast("double")).alias("second"),
-        F.max("total").alias("total"),
-    )
+        s = s.repartition(tasks, "match_id") if tasks else s
+    return _believed(s.groupBy(*KEY).agg(*(F.sum(F.when(F.col("role") == k, F.col("score"))).alias(k) for k in ROLES)))
+
+
+def beliefs(formations: DataFrame) -> DataFrame:
+    """:func:`solve` of the :func:`evidence` of formations, in one pass over them."""
+    return _believed(_scored(formations))
+
+
+def _believed(scored: DataFrame) -> DataFrame:
+    """The beliefs of players with a score per role (null: none); of equal shares the first role by name."""
+    s = scored.where(F.coalesce(*ROLES).isNotNull())
+    s = s.withColumn("total", reduce(lambda a, b: a + b, (F.coalesce(k, F.lit(0.0).cast("double")) for k in ROLES)))
+    s = s.withColumns({k: F.when(F.col(k).isNotNull(), F.greatest(F.lit(FLOOR).cast("double"), F.round(F.col(k) / F.col("total"), 6))) for k in ROLES})
+    s = s.withColumn("share", F.greatest(*ROLES))
+    s = s.withColumn("role", F.coalesce(*(F.when(F.col(k) == F.col("share"), F.lit(k)) for k in ROLES)))
+    s = s.withColumn("second", F.coalesce(F.greatest(*(F.when(F.col("role") != k, F.col(k)) for k in ROLES)), F.lit(0.0).cast("double")))
     margin, volume = F.col("share") - F.col("second"), F.least(F.lit(1.0).cast("double"), F.col("total") / 10)
-    return two.select(*KEY, "role", F.round("share", 4).alias("share"), F.round(0.35 * F.col("share") + 0.30 * margin + 0.35 * volume, 3).alias("confidence"))
+    return s.select(*KEY, "role", F.round("share", 4).alias("share"), F.round(0.35 * F.col("share") + 0.30 * margin + 0.35 * volume, 3).alias("confidence"))
 
 
 def priors(beliefs: DataFrame) -> DataFrame:
@@ -102,9 +115,14 @@ def diffuse(scores: DataFrame, passes: int = 5, write=None, tasks: int | None =
 def with_roles(appearances: DataFrame, beliefs: DataFrame) -> DataFrame:
     """Appearances with the believed role and its confidence (whole per cent), where there is a belief.
 
-    A player believed on both sides of a match has the more confident belief, of equal ones that of side B.
+    A player believed on both sides of a match has the more confident belief, of equal ones that of side B.  Sides are A and
+    B, believed roles those of ``ROLES``.
     """
-    one = beliefs.groupBy("match_id", "player_id").agg(F.max_by(F.struct("role", "confidence"), F.struct("confidence", "side")).alias("_b"))
+    # numbers only, so that a match's beliefs are brought together by hash and not sorted
+    of = lambda side: [F.max(F.when(F.col("side") == side, c)).alias(f"_{k}{side}") for k, c in (("r", F.array_position(F.array(*map(F.lit, ROLES)), F.col("role"))), ("c", F.col("confidence")))]
+    b = F.col("_rB").isNotNull() & (F.col("_rA").isNull() | F.col("_cA").isNull() | F.coalesce(F.col("_cB") >= F.col("_cA"), F.lit(False)))
+    name = F.element_at(F.array(*map(F.lit, ROLES)), F.when(b, F.col("_rB")).otherwise(F.col("_rA")).cast("int"))
+    one = beliefs.groupBy("match_id", "player_id").agg(*of("A"), *of("B")).select("match_id", "player_id", F.struct(name.alias("role"), F.when(b, F.col("_cB")).otherwise(F.col("_cA")).alias("confidence")).alias("_b"))
     new = {"role": F.coalesce("_b.role", "role"), "confidence": F.coalesce(F.round(F.col("_b.confidence") * 100).cast("long"), "confidence")}
     return appearances.join(one, ["match_id", "player_id"], "left").withColumns(new).select(*appearances.columns)
 

@@ -236,10 +236,10 @@ tw AS (SELECT match_id, side, player_id, max(role) FILTER (n = 1) AS role, max(s
 be AS (SELECT match_id, side, player_id, role, round(share, 4) AS share, round(CAST(0.35 AS DOUBLE) * share + CAST(0.30 AS DOUBLE) * (share - second) + CAST(0.35 AS DOUBLE) * least(CAST(1 AS DOUBLE), total / 10), 3) confidence FROM tw)
 """
 )
-query("h2_role_beliefs", lambda c: ro.solve(ro.evidence(_formations(c))), _SOLVED + "SELECT * FROM be")
+query("h2_role_beliefs", lambda c: ro.beliefs(_formations(c)), _SOLVED + "SELECT * FROM be")
 query(
     "h5_role_priors",
-    lambda c: ro.priors(ro.solve(ro.evidence(_formations(c)))),
+    lambda c: ro.priors(ro.beliefs(_formations(c))),
     _SOLVED
     + """, w AS (SELECT player_id, role, sum(CAST(round(greatest(CAST(0.5 AS DOUBLE), confidence) * 1000) AS BIGINT)) w FROM be GROUP BY 1, 2)
 SELECT player_id, role, round(CAST(w AS DOUBLE) / sum(w) OVER (PARTITION BY player_id), 4) AS share FROM w""",
@@ -277,7 +277,7 @@ query(
 )
 query(
     "h6_role_metrics",
-    lambda c: ro.role_metrics(ro.solve(ro.evidence(_formations(c)))).drop("mean_confidence"),
+    lambda c: ro.role_metrics(ro.beliefs(_formations(c))).drop("mean_confidence"),
     _SOLVED + "SELECT role, count(*) beliefs, count(*) FILTER (confidence >= 0.75) certain, count(*) FILTER (confidence >= 0.5 AND confidence < 0.75) likely, count(*) FILTER (confidence < 0.5) weak FROM be GROUP BY 1",
 )
 query(

@@ -188,7 +188,7 @@ _cases(
 # ---------------------------------------------------------------- roles written back
 query(
     "h7_rebuilt_seasons",
-    lambda c: ru.player_seasons(ro.with_roles(c.appearances, ro.solve(ro.evidence(_formations(c))))),
+    lambda c: ru.player_seasons(ro.with_roles(c.appearances, ro.beliefs(_formations(c)))),
     _SOLVED
     + """, ob AS (SELECT match_id, player_id, arg_max(role, (confidence, side)) AS role, max(confidence) confidence FROM be GROUP BY 1, 2),
 na AS (SELECT a.* REPLACE (coalesce(ob.role, a.role) AS role, coalesce(CAST(round(ob.confidence * 100) AS BIGINT), a.confidence) AS confidence) FROM appearances a LEFT JOIN ob USING (match_id, player_id))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from rallyframe import plans
 from rallyframe.functions import names as nm
+from rallyframe.operators import roles as ro
 from rallyframe.sources import storage
 from rallyframe.sources.views import Contest
 
@@ -42,3 +43,16 @@ def test_normal_forms_only_where_exact_names_are_open(spark):
     assert [r for r in df.collect() if r["swapped"] != r["want"]] == []
     assert "_exact" in df._jdf.queryExecution().optimizedPlan().toString()
     assert df.where(F.col("swapped").isNull()).count() == 0
+
+
+@pytest.mark.parametrize("name", ["h2_role_beliefs", "h7_rebuilt_seasons"])
+def test_beliefs_are_summed_by_hash(spark, sf_dir, name):
+    """No sort and no window of a player's roles; only the matches' own lines are sorted for their sets."""
+    plan = _plan(plans.QUERIES[name](spark, sf_dir))
+    assert "max_by" not in plan and "row_number" not in plan
+
+
+def test_of_equal_shares_the_first_role_by_name(spark):
+    rows = [(1, "A", 7, "pointu", 1.8), (1, "A", 7, "passeur", 1.8), (1, "B", 7, "libero", 3.0), (2, "A", 9, "central", 0.0), (2, "A", 9, "libero", 5.0)]
+    got = {tuple(r) for r in ro.solve(spark.createDataFrame(rows, "match_id long, side string, player_id long, role string, score double")).collect()}
+    assert got == {(1, "A", 7, "passeur", 0.5, 0.301), (1, "B", 7, "libero", 1.0, 0.755), (2, "A", 9, "libero", 1.0, 0.822)}
