@@ -44,6 +44,8 @@ SPLITS = {
 }
 #: A worker forgets its pieces between two batches once it knows so many (about 150 MB).
 MOST_PIECES = 700_000
+#: New pieces that the library gets in one text.
+JOINED = 256
 
 
 def vocabulary(name: str) -> str:
@@ -85,6 +87,8 @@ class PieceEncoder:
         self.library, self.kind, self.find, self.cut = library(name), kind, PIECES[kind].findall, SPLITS[kind].findall
         special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
+        plain = [(t.content, i) for i, t in self.library.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized)]
+        self.mark, self.mark_id = plain[0] if plain and kind == "word" else (None, None)
         self._clear()
 
     def _clear(self) -> None:
@@ -104,9 +108,7 @@ class PieceEncoder:
         """Ask the library for the pieces that wait, all in one call."""
         waiting, self.slots.waiting = self.slots.waiting, []
         start = len(self.slots) - len(waiting)
-        lists = [e.ids for e in self.library.encode_batch_fast(waiting, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, lists), np.int32, len(lists))
-        ids = np.fromiter((i for x in lists for i in x), np.uint32, int(sizes.sum()))
+        ids, sizes = self._joined(waiting) if self.mark else self._single(waiting)
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while len(self.slots) > len(self.first):
@@ -117,6 +119,24 @@ class PieceEncoder:
         self.first[start : start + len(sizes)] = self.used + np.cumsum(sizes) - sizes
         self.used += len(ids)
 
+    def _single(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The pieces' ids one behind the other, and how many each has."""
+        lists = [e.ids for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, lists), np.int32, len(lists))
+        return np.fromiter((i for x in lists for i in x), np.uint32, int(sizes.sum())), sizes
+
+    def _joined(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same, ``JOINED`` pieces a text with a special string between them, at which the library cuts first."""
+        groups = [pieces[k : k + JOINED] for k in range(0, len(pieces), JOINED)]
+        found = []
+        for group, e in zip(groups, self.library.encode_batch_fast([self.mark.join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, np.uint32)
+            between = ids == self.mark_id
+            at = np.flatnonzero(between)
+            # a piece that gives the special id itself: each for itself
+            found.append((ids[~between], np.diff(at, prepend=-1, append=len(ids)) - 1) if len(at) == len(group) - 1 else self._single(group))
+        return np.concatenate([i for i, _ in found]), np.concatenate([n for _, n in found]).astype(np.int32)
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """One array of unsigned 32-bit ids per text."""
         hold_cache(id(self), self._clear)

@@ -167,3 +167,21 @@ def test_long_unbroken_text_is_counted(spark):
     r = token_counts(spark.createDataFrame([(1, text), (2, "a few words")], "doc_id long, text string"), "byte_bpe_50k.json").where("doc_id = 1").collect()[0]
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     assert r["n_tokens"] == len(t.encode(text, add_special_tokens=False).ids) > 65_535
+
+
+def test_new_pieces_reach_the_library_in_joined_texts(monkeypatch):
+    """Ids of joined pieces are those of each alone, also where a piece gives the id of the special string between them."""
+    from rallyframe.llm.pieces import PieceEncoder
+
+    enc = PieceEncoder("word_bpe_49k.json", "word")
+    rng = np.random.default_rng(5)
+    pieces = ["".join(rng.choice(list("abcxyz'-é1中ÅİΣ<|>_"), rng.integers(1, 12))) for _ in range(1000)] + ["\u200b", "\ufe0f", "\u0301"]
+    for given in (pieces, [*pieces[:300], enc.mark, *pieces[300:]]):
+        ids, sizes = enc._joined(given)
+        want, lengths = enc._single(given)
+        assert ids.tolist() == want.tolist() and sizes.tolist() == lengths.tolist()
+    texts, calls = [" ".join(pieces)] * 2, []
+    real = enc.library
+    monkeypatch.setattr(enc, "library", type("Counted", (), {"encode_batch_fast": lambda self, x, **k: calls.append(len(x)) or real.encode_batch_fast(x, **k)})())
+    assert [r.tolist() for r in enc.encode(texts)] == [real.encode(t, add_special_tokens=False).ids for t in texts]
+    assert sum(calls) * 100 < len(enc.slots)
