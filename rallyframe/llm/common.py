@@ -119,10 +119,10 @@ def slices(batch, text_at: int, most: int = 4 << 20):
         start = end
 
 
-def parts_of(batches, text_at: int):
+def parts_of(batches, text_at: int, most: int = 4 << 20):
     """The batches of a task in slices of a few MB of text."""
     for batch in batches:
-        yield from slices(batch, text_at)
+        yield from slices(batch, text_at, most)
 
 
 _holder: dict = {}

@@ -33,33 +33,68 @@ from rallyframe.llm.pieces import encoder
 
 END_ID = 1
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + 1
-MASKS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
 BYTE = np.arange(4, dtype=np.uint8)
+#: Bytes of ids that a task packs or unpacks at once.
+AT_ONCE = 1 << 20
+
+
+def _padded(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each value where every row begins at a control byte of its own; and the rows' control bytes."""
+    bytes_of = -(-sizes // 4)
+    shift = 4 * (np.cumsum(bytes_of) - bytes_of) - (np.cumsum(sizes) - sizes)
+    return np.arange(int(sizes.sum())) + np.repeat(shift, sizes), bytes_of
+
+
+def pack_rows(values: np.ndarray, sizes: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Control and data bytes of rows of ``sizes`` unsigned 32-bit values, one row behind the other."""
+    size = 1 + (values > 0xFF).astype(np.uint8)
+    for most in (0xFFFF, 0xFFFFFF):
+        size += values > most
+    at, bytes_of = _padded(sizes)
+    codes = np.zeros(4 * int(bytes_of.sum()), np.uint8)
+    codes[at] = size - 1
+    four = codes.view("<u4")
+    control = (four | four >> 6 | four >> 12 | four >> 18).astype(np.uint8)
+    wide = 2 if int(size.max(initial=1)) <= 2 else 4
+    data = values.astype(f"<u{wide}").view(np.uint8).reshape(-1, wide)[BYTE[:wide] < size[:, None]]
+    before = np.append(0, np.cumsum(size, dtype=np.int64))
+    return binary_rows(control, np.cumsum(bytes_of)), binary_rows(data, before[np.cumsum(sizes)])
+
+
+def unpack_rows(sizes: np.ndarray, control: bytes, data: bytes) -> np.ndarray:
+    """The values of :func:`pack_rows`, by lookup of the control bytes; the rows' bytes one behind the other."""
+    size = LENGTHS[np.frombuffer(control, np.uint8)].ravel()[_padded(sizes)[0]]
+    at = np.cumsum(size, dtype=np.int64) - size
+    raw = np.frombuffer(data, np.uint8)
+    values = raw[at].astype(np.uint32)
+    for k in range(1, int(size.max(initial=1))):
+        more = np.flatnonzero(size > k)
+        values[more] |= raw[at[more] + k].astype(np.uint32) << np.uint32(8 * k)
+    return values
+
+
+def binary_rows(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """A binary column of the bytes up to each of ``ends``."""
+    offsets = np.append(0, ends).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
 
 
 def pack(values: np.ndarray) -> tuple[bytes, bytes]:
     """Control and data bytes of unsigned 32-bit values."""
-    size = 1 + (values > 0xFF).astype(np.uint8) + (values > 0xFFFF) + (values > 0xFFFFFF)
-    codes = np.zeros(-(-len(values) // 4) * 4, np.uint8)
-    codes[: len(values)] = size - 1
-    codes = codes.reshape(-1, 4)
-    control = codes[:, 0] | codes[:, 1] << 2 | codes[:, 2] << 4 | codes[:, 3] << 6
-    data = values.astype("<u4").view(np.uint8).reshape(-1, 4)[BYTE < size[:, None]]
-    return control.tobytes(), data.tobytes()
+    control, data = pack_rows(values, np.array([len(values)]))
+    return control[0].as_py(), data[0].as_py()
 
 
 def unpack(n: int, control: bytes, data: bytes) -> np.ndarray:
-    """The ``n`` values of :func:`pack`, by lookup of the control bytes."""
-    size = LENGTHS[np.frombuffer(control, np.uint8)].ravel()[:n].astype(np.int64)
-    at = np.cumsum(size) - size
-    raw = np.frombuffer(data + b"\0\0\0", np.uint8).astype(np.uint32)
-    word = raw[at] | raw[at + 1] << np.uint32(8) | raw[at + 2] << np.uint32(16) | raw[at + 3] << np.uint32(24)
-    return word & MASKS[size]
+    """The ``n`` values of :func:`pack`."""
+    return unpack_rows(np.array([n]), control, data)
 
 
-def _ids(vocabulary: str):
-    enc = encoder(vocabulary, "word")
-    return lambda texts: [np.append(x, np.uint32(END_ID)) for x in enc.encode(texts)]
+def _digests(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The crc32 of each row's ids as little-endian unsigned 32-bit integers."""
+    raw = memoryview(ids.astype("<u4").view(np.uint8))
+    at = [0, *(4 * ends).tolist()]
+    return pa.array([zlib.crc32(raw[a:b]) for a, b in zip(at, at[1:])], pa.int64())
 
 
 INTERIM = "doc_id long, crc long, n_tokens long, raw binary, counted binary"
@@ -73,17 +108,15 @@ def encode_ids(docs: DataFrame, vocabulary: str, path: str) -> DataFrame:
     """
 
     def run(batches):
-        ids, total = _ids(vocabulary), np.zeros(1 << 16, np.int64)
+        enc, total = encoder(vocabulary, "word"), np.zeros(1 << 16, np.int64)
         for b in parts_of(batches, 1):
-            rows = ids(b.column(1).to_pylist())
-            if not rows:
-                continue
-            got = np.bincount(np.concatenate(rows))
+            ids, sizes = enc.flat(b.column(1), END_ID)
+            ends, got = np.cumsum(sizes), np.bincount(ids)
             if len(got) > len(total):
                 total = np.concatenate([total, np.zeros(len(got) - len(total), np.int64)])
             total[: len(got)] += got
-            raw = [r.astype("<u2").tobytes() if int(r.max()) <= 0xFFFF else r.astype("<u4").tobytes() for r in rows]
-            cols = [b.column(0), pa.array([zlib.crc32(r.astype("<u4").tobytes()) for r in rows], pa.int64()), pa.array([len(r) for r in rows], pa.int64()), pa.array(raw, pa.binary()), pa.nulls(len(rows), pa.binary())]
+            raw = ids.astype("<u2" if len(got) <= 1 << 16 else "<u4")
+            cols = [b.column(0), _digests(ids, ends), pa.array(sizes, pa.int64()), binary_rows(raw.view(np.uint8), ends * raw.itemsize), pa.nulls(len(sizes), pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in INTERIM.split(", ")])
         seen = np.flatnonzero(total)
         if len(seen):
@@ -130,15 +163,13 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str = "word_bpe_49k.json")
 
     def run(batches):
         at = 0
-        for b in batches:
+        for b in parts_of(batches, 3, AT_ONCE):
             sizes = b.column(2).to_numpy()
-            packed = [pack(table.value[_wide(n, raw)]) for n, raw in zip(sizes.tolist(), b.column(3).to_pylist())]
+            ids = np.concatenate([_wide(n, raw) for n, raw in zip(sizes.tolist(), b.column(3).to_pylist())])
             before = at + np.cumsum(sizes) - sizes
             at += int(sizes.sum())
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(before, pa.int64()), b.column(2), pa.array([c for c, _ in packed], pa.binary()), pa.array([d for _, d in packed], pa.binary())],
-                [c.split()[0] for c in FILES.split(", ")],
-            )
+            cols = [b.column(0), b.column(1), pa.array(before, pa.int64()), b.column(2), *pack_rows(table.value[ids], sizes)]
+            yield pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in FILES.split(", ")])
 
     order = (F.asc_nulls_first("doc_id"), "crc", "tie")
     shards = interim.where("counted is null").drop("counted").repartitionByRange(parts(spark), *order).sortWithinPartitions(*order)
@@ -148,27 +179,27 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str = "word_bpe_49k.json")
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """(shard, doc_id, at, n_tokens, ids array<int>) of the files."""
-    return _decoded(spark, path, lambda ids: ids.astype(np.int32).tolist(), "array<int>", pa.list_(pa.int32()))
+    return _decoded(spark, path, lambda ids, ends: pa.ListArray.from_arrays(np.append(0, ends).astype(np.int32), ids.astype(np.int32)), "array<int>")
 
 
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
     """As :func:`read_ids`, with the crc32 of the ids as little-endian unsigned 32-bit integers."""
-    return _decoded(spark, path, lambda ids: zlib.crc32(ids.astype("<u4").tobytes()), "long", pa.int64())
+    return _decoded(spark, path, _digests, "long")
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(FILES).parquet(f"{path}/ids")
 
 
-def _decoded(spark, path, last, sql_type, arrow_type):
+def _decoded(spark, path, last, sql_type):
     ranks = spark.read.schema("rank int, id int").parquet(f"{path}/ranks").orderBy("rank").select("id").collect()
     table = spark.sparkContext.broadcast(np.array([r[0] for r in ranks], np.uint32))
 
     def run(batches):
-        for b in batches:
-            n, c, d = (b.column(k).to_pylist() for k in (3, 4, 5))
-            out = [last(table.value[unpack(*x)]) for x in zip(n, c, d)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(out, arrow_type)], ["shard", "doc_id", "at", "n_tokens", "ids"])
+        for b in parts_of(batches, 5, AT_ONCE):
+            sizes = b.column(3).to_numpy()
+            ids = table.value[unpack_rows(sizes, *(b"".join(b.column(k).to_pylist()) for k in (4, 5)))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], last(ids, np.cumsum(sizes))], ["shard", "doc_id", "at", "n_tokens", "ids"])
 
     return _files(spark, path).mapInArrow(run, f"shard int, doc_id long, at long, n_tokens long, ids {sql_type}")
 

@@ -1,10 +1,12 @@
 """Operators 1, 3 and 9 against the tokenizers library itself."""
 
+import itertools
 import unicodedata
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
@@ -13,7 +15,7 @@ from rallyframe.llm.common import table
 from rallyframe.llm.packing import best_fit_pack, cuts, plan
 from rallyframe.llm.pieces import PieceEncoder
 from rallyframe.llm.token_counts import token_counts
-from rallyframe.llm.token_output import pack, read_ids, token_output, unpack, write_ids
+from rallyframe.llm.token_output import pack, pack_rows, read_ids, token_output, unpack, unpack_rows, write_ids
 
 ODD = [
     None,
@@ -185,3 +187,60 @@ def test_new_pieces_reach_the_library_in_joined_texts(monkeypatch):
     monkeypatch.setattr(enc, "library", type("Counted", (), {"encode_batch_fast": lambda self, x, **k: calls.append(len(x)) or real.encode_batch_fast(x, **k)})())
     assert [r.tolist() for r in enc.encode(texts)] == [real.encode(t, add_special_tokens=False).ids for t in texts]
     assert sum(calls) * 100 < len(enc.slots)
+
+
+def test_columns_of_texts_are_the_librarys():
+    """Every assigned code point alone, in a word, between digits and between spaces, each in a text of its own among plain ones; every string
+    of up to five of the characters at which splits are decided; texts that end where a split may go on; special strings; parts of columns."""
+    chars = [chr(k) for k in range(0x110000) if unicodedata.category(chr(k)) not in ("Cn", "Cs", "Co") and (k < 0x3000 or k % 50 == 0)]
+    texts = [t for c in chars for t in (f"{c}\na{c}b\n1{c}2\na {c} b", f"It's {c.upper()}{c}'{c}s")]
+    texts += ["".join(x) for n in range(6) for x in itertools.product("'sLe .1", repeat=n)]
+    texts += ["".join(x) for n in (3, 4) for x in itertools.product("'²éR\xa0v|<", repeat=n)]
+    texts += ["a '", "s b", "a 'r", "e", "", "it'", "'ll", "x<", "|startoftext|>", "y<|endoftext|>z", "<|", "<|startoftext|>"]
+    texts += [t or "" for t in ODD]
+    t, mine = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), PieceEncoder("word_bpe_49k.json", "word")
+    for at in range(0, len(texts), 4000):
+        some = texts[at : at + 4000]
+        for column, part in ((pa.array(some), some), (pa.array(["before é", *some, "'s behind"])[1:-1], some)):
+            ids, sizes = mine.flat(column, 1)
+            ends = np.cumsum(sizes)
+            assert len(ends) == len(part) and ends[-1] == len(ids)
+            for text, got, want in zip(part, np.split(ids, ends[:-1]), t.encode_batch(part, add_special_tokens=False)):
+                assert got.tolist() == [*want.ids, 1], text
+
+
+def test_a_column_looks_up_each_piece_once(monkeypatch):
+    """The cost of a column is that of its different pieces, and the library gets those folded and cut, without normalising them again."""
+    mine = PieceEncoder("word_bpe_49k.json", "word")
+    asked, given = [], []
+    slots = type(mine.slots)
+
+    class Counted(slots):
+        def __getitem__(self, piece):
+            asked.append(piece)
+            return super().__getitem__(piece)
+
+    monkeypatch.setattr("rallyframe.llm.pieces._Slots", Counted)
+    monkeypatch.setattr(mine, "library", type("None", (), {"encode_batch_fast": lambda self, x, **k: given.extend(x)})())
+    mine._clear()
+    text = "The cat's 12 Cats, the CATS don't."
+    ids, sizes = mine.flat(pa.array([text] * 3000), 1)
+    want = [*Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")).encode(text, add_special_tokens=False).ids, 1]
+    assert ids.tolist() == want * 3000 and (sizes == len(want)).all()
+    assert sorted(asked) == sorted({"the", "cat", "'s", "1", "2", "cats", ",", "don", "'t", "."}) and not given
+
+
+def test_rows_packed_together_are_those_packed_alone():
+    rng = np.random.default_rng(4)
+    for most in (8, 16, 32):
+        sizes = rng.integers(0, 9, 200)
+        values = (rng.integers(0, 1 << most, int(sizes.sum()), dtype=np.uint64) >> rng.integers(0, most, int(sizes.sum()), dtype=np.uint64)).astype(np.uint32)
+        control, data = pack_rows(values, sizes)
+        rows = np.split(values, np.cumsum(sizes)[:-1])
+        assert list(zip(control.to_pylist(), data.to_pylist())) == [pack(r) for r in rows]
+        assert (unpack_rows(sizes, b"".join(control.to_pylist()), b"".join(data.to_pylist())) == values).all()
+        # plainly: two bits a value, then its bytes
+        for row, c, d in zip(rows, control.to_pylist(), data.to_pylist()):
+            size = [max(1, (int(v).bit_length() + 7) // 8) for v in row]
+            assert c == bytes(sum(n - 1 << 2 * k for k, n in enumerate(size[j : j + 4])) for j in range(0, len(size), 4))
+            assert d == b"".join(int(v).to_bytes(n, "little") for v, n in zip(row, size))
