@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from rallyframe.llm.common import materialise
 
 
-def roots(parent: DataFrame) -> DataFrame:
-    """(id, root) from (id, root) where a root may itself have one; the distance halves in each pass."""
+def roots(parent: DataFrame, how: str | None = None) -> DataFrame:
+    """(id, root) from (id, root) where a root may itself have one; the distance halves in each pass.  ``how``: a hint for the joins."""
     while True:
         up = parent.select(F.col("id").alias("root"), F.col("root").alias("above"))
+        up = up.hint(how) if how else up
         jumped = materialise(parent.join(up, "root", "left").select("id", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved")), "jump")
         parent = jumped.select("id", "root")
         if jumped.where("moved").limit(1).count() == 0:

@@ -13,6 +13,9 @@ may be hot (words of frequent bigrams only), so the key also has what no edit to
 shorter word two stand in both, at the beginning, at the end or one at each.  What meets is verified by the edit
 distance inside the join; no pair of unlike words leaves it.
 
+All joins are merges by hint: Spark takes a table for as large as its compressed files, which hold a few bytes a word, and
+the exploded keys for no larger, so it would broadcast some hundred MB of them through the driver.
+
 Counting: words are counted where texts are read and per worker first; only distinct words are shuffled.
 
 Defined cases: null and empty texts have no words.  A null doc_id is the empty string in the checksum.
@@ -133,8 +136,8 @@ def near_pairs(words: DataFrame) -> DataFrame:
         return rows.withColumnsRenamed({"word": word, "n": n})
 
     edit = F.levenshtein("word", "near", 1) == 1
-    replaced = named(same, "word", "n").join(named(same, "near", "near_n"), "key").where((F.col("word") < F.col("near")) & edit)
-    inserted = named(asks, "word", "n").join(named(longer, "near", "near_n"), "key").where((F.length("near") == F.length("word") + 1) & edit)
+    replaced = named(same, "word", "n").join(named(same, "near", "near_n").hint("merge"), "key").where((F.col("word") < F.col("near")) & edit)
+    inserted = named(asks, "word", "n").join(named(longer, "near", "near_n").hint("merge"), "key").where((F.length("near") == F.length("word") + 1) & edit)
     once = replaced.drop("key").unionByName(inserted.drop("key")).distinct()
     both = F.explode(F.array(F.struct("word", "n", "near", "near_n"), F.struct(F.col("near").alias("word"), F.col("near_n").alias("n"), F.col("word").alias("near"), F.col("n").alias("near_n"))))
     return once.select(both.alias("p")).select("p.*")
@@ -149,11 +152,11 @@ def spelling_variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     words = materialise(word_counts(docs, id_col, text_col), "words")
     best = F.min(F.struct((-F.col("near_n")).alias("least"), F.col("near").alias("form")))
     found = near_pairs(words).groupBy("word").agg(F.count("*").alias("n_near"), best.alias("best"))
-    lines = words.join(found, "word", "left")
+    lines = words.join(found.hint("merge"), "word", "left")
     taken = -F.col("best.least") >= 2 * F.col("n")
     formed = materialise(
         lines.select("word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(taken, F.col("best.form")).alias("form"), F.when(taken, -F.col("best.least")).alias("form_n")),
         "word-forms",
     )
-    last = roots(formed.where("form is not null").select(F.col("word").alias("id"), F.col("form").alias("root")))
-    return formed.join(last.select(F.col("id").alias("word"), "root"), "word", "left").withColumn("root", F.coalesce("root", "word"))
+    last = roots(formed.where("form is not null").select(F.col("word").alias("id"), F.col("form").alias("root")), "merge")
+    return formed.join(last.select(F.col("id").alias("word"), "root").hint("merge"), "word", "left").withColumn("root", F.coalesce("root", "word"))

@@ -7,9 +7,10 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from rallyframe.llm import components, spelling
 from rallyframe.llm import phrases as P
-from rallyframe.llm.common import table
-from rallyframe.llm.spelling import runs, slipped, spelling_variants
+from rallyframe.llm.common import materialise, table
+from rallyframe.llm.spelling import near_pairs, runs, slipped, spelling_variants
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -133,6 +134,30 @@ def test_spelling_of_an_empty_table(spark):
     assert spelling_variants(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_no_join_of_words_is_a_broadcast(spark, tmp_path):
+    """Small files of words give many keys: however small a table looks, it is not sent through the driver."""
+    rows = [("houses", 9), ("house", 50), ("horses", 4), ("mouse", 3)]
+    words = spark.createDataFrame(rows, "word string, n long")
+    parent = spark.createDataFrame([("houses", "house"), ("house", "mouse")], "id string, root string")
+    docs = spark.createDataFrame([(1, " ".join(w for w, n in rows for _ in range(n)))], "doc_id long, text string")
+    assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").removesuffix("b")) >= 10 << 20
+    steps = {"pairs": near_pairs(words), "variants": spelling_variants(docs)}
+    plans = {k: df._jdf.queryExecution().executedPlan().toString() for k, df in steps.items()}
+    assert all("SortMergeJoin" in p and "Broadcast" not in p for p in plans.values()), plans
+    seen = []
+
+    def kept(df, name):
+        seen.append(df._jdf.queryExecution().executedPlan().toString())
+        return materialise(df, name)
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(components, "materialise", kept)
+        m.setattr(spelling, "materialise", kept)
+        assert {tuple(r) for r in components.roots(parent, "merge").collect()} == {("houses", "mouse"), ("house", "mouse")}
+        assert {r["word"]: r["root"] for r in spelling_variants(docs).collect()} == dict.fromkeys(("houses", "house", "horses", "mouse"), "house")
+    assert len(seen) >= 5 and not any("Broadcast" in p for p in seen), seen
+
+
 def test_runs_and_slips():
     assert runs("AbÉc, dāe 1ß") == [b"ab\xc9c", b"d", b"e", b"\xdf"]
     some = [(i, w) for i in range(400) for w in (b"\xe9tude", b"houses") if zlib.crc32(f"{i}:{w.decode('latin-1')}".encode()) % 97 == 0]
