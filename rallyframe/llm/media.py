@@ -3,10 +3,11 @@
 An image column is three columns: ``height``, ``width`` and ``pixels`` (grey, one byte each, row by
 row).  Corners are found at several scales; each gets an orientation and ``BITS`` binary brightness
 tests turned by it.  Images with equal pixels form a class and only its smallest id is searched.
-Descriptors are cut into ``TABLES`` chunks; the queries' chunks are broadcast in blocks of ``BLOCK``
-corners and met on the map side, corners that share a chunk and lie within ``FARTHEST`` vote, images of
-which enough votes agree on a similarity transform become candidates, and a candidate is a copy if its
-mutually nearest descriptors agree on one.
+Descriptors are cut into ``TABLES`` chunks, which are keys; a key that is crowded among the queries takes on
+further bits till it isn't (``Keys``).  The queries' keys are broadcast in blocks of ``BLOCK`` corners and met
+on the map side, corners that share a key and lie within ``FARTHEST`` vote, images of which enough votes agree
+on a similarity transform become candidates, and a candidate is a copy if its mutually nearest descriptors
+agree on one.
 
 A query set is compared with all rows; the index holds every row.  Corners per scale (``STRONGEST`` for a
 picture of ``AREA`` pixels, more in proportion for a larger one) are part of the detector.  Defined cases:
@@ -38,6 +39,8 @@ VOTES, FARTHEST, LEAST_INLIERS = 4, 52, 6
 TOLERANCE, TURN, ZOOM = 3.5, 0.4, 0.3
 #: Pictures that are drawn, edited or described in one go.
 AT_A_TIME = 128
+#: Pixels that are described in one go (their float arrays stay in the processor's cache).
+PIXELS = 200_000
 
 
 def _tests(smooth: float = 2.5, pool: int = 1500) -> np.ndarray:
@@ -84,8 +87,13 @@ def _blur(x: np.ndarray) -> np.ndarray:
     """Binomial smoothing of a stack of images."""
     for axis in (1, 2):
         pad = np.pad(x, [(0, 0)] + [(2, 2) if k == axis else (0, 0) for k in (1, 2)], mode="edge")
-        s = lambda k: np.take(pad, range(k, k + x.shape[axis]), axis)  # noqa: B023, E731
-        x = (s(0) + 4 * s(1) + 6 * s(2) + 4 * s(3) + s(4)) / 16
+        at = [pad[:, k : k + x.shape[1]] if axis == 1 else pad[:, :, k : k + x.shape[2]] for k in range(5)]
+        x = 4 * at[1]
+        x += at[0]
+        for k, weight in ((2, 6), (3, 4)):
+            x += weight * at[k]
+        x += at[4]
+        x /= 16
     return x
 
 
@@ -126,20 +134,22 @@ def corners(stack: np.ndarray) -> dict[str, np.ndarray]:
             for dx in (-1, 0, 1):
                 np.maximum(top, r[:, edge + dy : h - edge + dy, edge + dx : w - edge + dx], out=top)
         peak = np.where((inner == top) & (inner > 0.01 * inner.max((1, 2), keepdims=True)) & (inner > 1e-3), inner, 0).reshape(n, -1)
-        best = np.argsort(-peak, 1, kind="stable")[:, :strongest]
-        image, place = np.nonzero(np.take_along_axis(peak, best, 1) > 0)
-        flat = best[image, place]
+        image, flat = np.nonzero(peak)
         if not len(flat):
             continue
+        order = np.lexsort((-peak[image, flat], image))  # stable: of equal ones the first
+        image, flat = image[order], flat[order]
+        best = np.arange(len(image)) - np.searchsorted(image, image) < strongest
+        image, flat = image[best], flat[best]
         y, z = flat // inner.shape[2] + edge, flat % inner.shape[2] + edge
-        smooth = _blur(x)
-        patch = smooth[image[:, None, None], y[:, None, None] + _GRID[0], z[:, None, None] + _GRID[1]] * _DISC
+        smooth, at = _blur(x).ravel(), ((image * h + y) * w + z)[:, None, None]
+        patch = smooth[at + (_GRID[0] * w + _GRID[1])] * _DISC
         angle = np.arctan2((patch * _GRID[0]).sum((1, 2)), (patch * _GRID[1]).sum((1, 2)))
         cos, sin = np.cos(angle)[:, None, None], np.sin(angle)[:, None, None]
         cos, sin = cos.astype(np.float32), sin.astype(np.float32)
-        px = np.rint(_PLACES[None, :, :, 0] * cos - _PLACES[None, :, :, 1] * sin).astype(np.int16)
-        py = np.rint(_PLACES[None, :, :, 0] * sin + _PLACES[None, :, :, 1] * cos).astype(np.int16)
-        value = smooth[image[:, None, None], y[:, None, None] + py, z[:, None, None] + px]
+        px = np.rint(_PLACES[None, :, :, 0] * cos - _PLACES[None, :, :, 1] * sin).astype(np.int64)
+        py = np.rint(_PLACES[None, :, :, 0] * sin + _PLACES[None, :, :, 1] * cos).astype(np.int64)
+        value = smooth[at + (py * w + px)]
         for k, v in zip(found, (image, z * scale, y * scale, np.full(len(z), scale), angle, value[:, :, 0] < value[:, :, 1])):
             found[k].append(v)
     if not found["image"]:
@@ -148,9 +158,63 @@ def corners(stack: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def chunks(bits: np.ndarray) -> np.ndarray:
-    """(corners, TABLES) keys, the table's number above the chunk's bits."""
-    powers = 1 << np.arange(CHUNK, dtype=np.int64)
-    return bits.reshape(-1, TABLES, CHUNK).astype(np.int64) @ powers + (np.arange(TABLES, dtype=np.int64) << CHUNK)
+    """(corners, TABLES) keys, the table's number (and a one before it) above the chunk's bits."""
+    powers = (1 << np.arange(CHUNK)).astype(np.float32)  # sums below 2**24 are exact
+    return (bits.reshape(-1, CHUNK).astype(np.float32) @ powers).astype(np.int64).reshape(-1, TABLES) + ((TABLES_UP + np.arange(TABLES, dtype=np.int64)) << CHUNK)
+
+
+#: Bits that a crowded key takes on at a time, and how often.
+STEP, LEVELS = 5, 7
+#: Corners of the queries beyond which a key is crowded; corners that the keys are fitted on; those among them that a crowded key has at least.
+CROWD, SAMPLE, SEEN = 64, 400_000, 4
+#: A power of two above the number of tables: the one before the table's number, by which keys of different lengths differ.
+TABLES_UP = 1 << (TABLES - 1).bit_length()
+#: The bits that a table's keys take on, from the other chunks in turn: (LEVELS, TABLES, STEP).
+_MORE = np.array([[[(t + 1 + k % (TABLES - 1)) % TABLES * CHUNK + (t + k // (TABLES - 1)) % CHUNK for k in range(v * STEP, (v + 1) * STEP)] for t in range(TABLES)] for v in range(LEVELS)])
+
+
+class Keys:
+    """The keys under which corners meet: a chunk's bits, and for a key that is crowded among the queries further bits, till it isn't.
+
+    Smooth parts of pictures give few different chunks, so without this nearly all that meets are unlike corners under
+    common keys, and their number grows with the square of the input.  What is crowded is told by a sample of ``share``
+    of the queries' corners, so a key is a function of the corner's own bits, whatever block or task it is in.
+    """
+
+    def __init__(self, packed: np.ndarray, share: float = 1.0):
+        first, found = _chunked(packed), [[] for _ in range(LEVELS)]
+        for table in range(TABLES):
+            keys, at = first[:, table], np.arange(table, first.size, TABLES)
+            for level in range(LEVELS):
+                u, inverse, n = np.unique(keys, return_inverse=True, return_counts=True)
+                many = n >= max(SEEN, CROWD * share + 1)
+                found[level].append(u[many])
+                left = many[inverse]
+                at = at[left]
+                keys = _longer(keys[left], packed, at, level)
+        self.crowded = [np.concatenate(f) for f in found if sum(map(len, f))]
+
+    def of(self, packed: np.ndarray) -> np.ndarray:
+        """The keys of corners (packed bits, a row each), TABLES for each, in one row."""
+        keys = _chunked(packed).ravel()
+        at = np.arange(len(keys))
+        for level, crowded in enumerate(self.crowded):
+            mine = keys[at]
+            at = at[crowded[np.minimum(np.searchsorted(crowded, mine), len(crowded) - 1)] == mine]
+            keys[at] = _longer(keys[at], packed, at, level)
+        return keys
+
+
+def _chunked(packed: np.ndarray) -> np.ndarray:
+    """``chunks`` of packed bits, unpacked some rows at a time."""
+    return np.concatenate([chunks(np.unpackbits(packed[k : k + CORNERS], axis=1)) for k in range(0, max(1, len(packed)), CORNERS)])
+
+
+def _longer(keys: np.ndarray, packed: np.ndarray, at: np.ndarray, level: int) -> np.ndarray:
+    """Keys (``at``: corner * TABLES + table) with the next ``STEP`` bits."""
+    place = _MORE[level][at % TABLES]
+    more = packed[(at // TABLES)[:, None], place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1
+    return keys << STEP | more @ (1 << np.arange(STEP))
 
 
 FEATURES = "image_id long, same binary, geometry binary, bits binary"
@@ -169,7 +233,7 @@ def descriptors(images: DataFrame, id_col: str = "image_id") -> DataFrame:
                     by_shape.setdefault((h, w), []).append(k)
             out: list = [(b"", b"")] * len(ids)
             for (h, w), members in by_shape.items():
-                step = max(1, min(AT_A_TIME, 2_000_000 // (h * w)))
+                step = max(1, min(AT_A_TIME, PIXELS // (h * w)))
                 for at in range(0, len(members), step):
                     part = members[at : at + step]
                     c = corners(np.stack([np.frombuffer(raws[k], np.uint8).reshape(h, w) for k in part]))
@@ -191,8 +255,8 @@ def rows_of(bits: bytes) -> np.ndarray:
     return np.frombuffer(bits, np.uint8).reshape(-1, BITS // 8)
 
 
-#: Query corners of a broadcast block (about 60 bytes each); pairs of votes looked at in one go; votes from which a pair is a candidate unseen.
-BLOCK, AT_ONCE, MANY = 100_000, 1_000_000, 256
+#: Query corners of a broadcast block (about 60 bytes each, 300 once it is sorted); corners of images, and pairs of votes, looked at in one go; votes from which a pair is a candidate unseen.
+BLOCK, CORNERS, AT_ONCE, MANY = 400_000, 8_000, 500_000, 256
 #: Bins of turns, none narrower than TURN.
 TURNS = int(2 * np.pi / TURN)
 
@@ -210,14 +274,33 @@ def _differences(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return total
 
 
+def _near(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of the corners x[:, a] and y[:, b] lie within FARTHEST; those too far by their first words are not looked at further."""
+    left, total = np.arange(len(a)), np.zeros(len(a), np.uint8)
+    for v, w in zip(x, y):
+        total = total + np.bitwise_count(v[a] ^ w[b])
+        keep = np.flatnonzero(total <= FARTHEST)
+        left, total, a, b = left[keep], total[keep], a[keep], b[keep]
+    return left
+
+
 def _distinct(x: np.ndarray) -> np.ndarray:
     """The different numbers of ``x`` in order (sorting is faster here than np.unique)."""
     x = np.sort(x)
     return x[np.flatnonzero(np.diff(x, prepend=-1))]
 
 
+def _slices(many: np.ndarray):
+    """(start, stop) of runs of ``many`` with sums of about AT_ONCE, so that common keys need no more memory."""
+    ends, start = np.cumsum(many), 0
+    while start < len(many):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + AT_ONCE, "right")))
+        yield start, stop
+        start = stop
+
+
 class Queries:
-    """A block of query images, with a sorted table of chunk keys made where it is used."""
+    """A block of query images, with a sorted table of their corners' keys made where it is used."""
 
     def __init__(self, rows: list[tuple[int, bytes, bytes]]):
         self.rows, self.tables = rows, None
@@ -225,47 +308,57 @@ class Queries:
     def __getstate__(self):
         return {"rows": self.rows, "tables": None}
 
-    def prepare(self) -> None:
+    def prepare(self, keys: Keys) -> None:
         packed = [rows_of(b) for _, _, b in self.rows]
         self.owner = np.repeat(np.arange(len(packed)), [len(p) for p in packed])
         every = np.concatenate(packed)
         self.words = _words(every)
         self.geometry = np.concatenate([np.frombuffer(g, "<f4").reshape(-1, 4) for _, g, _ in self.rows])
-        keys = chunks(np.unpackbits(every, axis=1)).ravel()
-        order = np.argsort(keys, kind="stable")
-        keys = keys[order]
-        ends = np.flatnonzero(np.diff(keys, append=-1)) + 1
-        self.tables = keys, order // TABLES, np.repeat(ends, np.diff(ends, prepend=0))
-
-    def candidates(self, geometry: np.ndarray, packed: np.ndarray) -> np.ndarray:
-        """The numbers of the queries of which VOTES corners share a chunk with a near corner of the image and agree on a transform."""
+        own = np.concatenate([keys.of(every[k : k + CORNERS]) for k in range(0, len(every), CORNERS)]).reshape(-1, TABLES)
+        known, starts, members, corner = [], [], [], []
+        for table in range(TABLES):  # one at a time, for the memory
+            order = np.argsort(own[:, table], kind="stable").astype(np.int32)
+            mine = own[order, table]
+            start = np.flatnonzero(np.diff(mine, prepend=-1))
+            known.append(mine[start])
+            starts.append((start + table * len(mine)).astype(np.int32))
+            members.append(np.diff(start, append=len(mine)).astype(np.int32))
+            corner.append(order)
+        known = np.concatenate(known)
+        order = np.argsort(known).astype(np.int32)
+        self.tables = known[order], np.concatenate(starts)[order], np.concatenate(members)[order], np.concatenate(corner)
+
+    def candidates(self, keys: Keys, image: np.ndarray, geometry: np.ndarray, packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of queries, numbers of images) of which VOTES corners of the query share a key with a near corner of the image and
+        agree on a transform.  ``image``, ``geometry``, ``packed``: some images' corners, the images numbered in order."""
         if self.tables is None:
-            self.prepare()
-        keys, corner, end = self.tables
-        mine = chunks(np.unpackbits(packed, axis=1)).ravel()
-        lo = np.minimum(np.searchsorted(keys, mine, "left"), len(keys) - 1)
-        many = np.where(keys[lo] == mine, end[lo] - lo, 0)
-        words, ends, seen, start = _words(packed), np.cumsum(many), [], 0
-        while start < len(mine):  # a slice of the keys at a time, so that common ones need no more memory
-            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + AT_ONCE, "right")))
+            self.prepare(keys)
+        known, starts, members, corner = self.tables
+        mine = keys.of(packed)
+        k = np.argsort(mine)
+        mine = mine[k]
+        at = np.minimum(np.searchsorted(known, mine), len(known) - 1)
+        met = np.flatnonzero(known[at] == mine)
+        k, lo, many = k[met] // TABLES, starts[at[met]], members[at[met]].astype(np.int64)
+        words, seen, images = _words(packed), [], int(image[-1]) + 1 if len(image) else 1
+        for start, stop in _slices(many):
             n = many[start:stop]
-            k = np.repeat(np.arange(start, stop), n)
+            i = np.repeat(k[start:stop], n)
             q = corner[np.repeat(lo[start:stop] - np.cumsum(n) + n, n) + np.arange(n.sum())]
-            i = k // TABLES
-            near = _differences([w[q] for w in self.words], [w[i] for w in words]) <= FARTHEST
-            seen.append(_distinct(q[near] * len(packed) + i[near]))
-            start = stop
-        q, i = np.divmod(_distinct(np.concatenate(seen)) if seen else np.zeros(0, np.int64), len(packed))
-        owner = self.owner[q]
-        distinct = np.bincount(owner[np.flatnonzero(np.diff(q, prepend=-1))], minlength=len(self.rows))
-        count = np.bincount(owner, minlength=len(self.rows))
+            near = _near(self.words, words, q, i)
+            seen.append(_distinct(q[near].astype(np.int64) * len(packed) + i[near]))
+        q, i = np.divmod(_distinct(np.concatenate(seen)) if seen else np.zeros(0, np.int64), max(1, len(packed)))
+        pairs, owner = np.unique(self.owner[q] * images + image[i], return_inverse=True)
+        distinct = np.bincount(owner[np.flatnonzero(np.diff(q * images + image[i], prepend=-1))], minlength=len(pairs))
+        count = np.bincount(owner, minlength=len(pairs))
         found = [np.flatnonzero(count > MANY)]
         left = np.flatnonzero(((count <= MANY) & (distinct >= VOTES))[owner])
-        # votes by query and turn: those that agree stand in bins next to each other
-        q, i, owner = q[left], i[left], owner[left]
+        # votes by pair and turn: those that agree stand in bins next to each other
+        some = np.unique(owner[left])
+        q, i, owner = q[left], i[left], np.searchsorted(some, owner[left])
         turn = (geometry[i, 3].astype(float) - self.geometry[q, 3]) % (2 * np.pi)
         here = np.minimum((turn * (TURNS / (2 * np.pi))).astype(np.int64), TURNS - 1)
-        bins = np.bincount(owner * TURNS + here, minlength=len(self.rows) * TURNS).reshape(-1, TURNS)
+        bins = np.bincount(owner * TURNS + here, minlength=len(some) * TURNS).reshape(-1, TURNS)
         left = np.flatnonzero((bins + np.roll(bins, 1, 1) + np.roll(bins, -1, 1) >= VOTES)[owner, here])
         left = left[np.argsort(owner[left] * TURNS + here[left], kind="stable")]
         q, i, owner, here, turn = (x[left] for x in (q, i, owner, here, turn))
@@ -278,9 +371,8 @@ class Queries:
         beside = np.stack([owner * TURNS + (here + d) % TURNS for d in (-1, 0, 1)], 1).ravel()
         lo = np.searchsorted(key, beside, "left")
         many = np.searchsorted(key, beside, "right") - lo
-        ends, agreed, start = np.cumsum(many), [], 0
-        while start < len(lo):
-            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + AT_ONCE, "right")))
+        agreed = []
+        for start, stop in _slices(many):
             n = many[start:stop]
             a = np.repeat(np.arange(start, stop) // 3, n)
             b = np.repeat(lo[start:stop] - np.cumsum(n) + n, n) + np.arange(n.sum())
@@ -292,11 +384,30 @@ class Queries:
             turned = np.abs(turn[a] - turn[b])
             keep = np.minimum(turned, 2 * np.pi - turned) <= TURN
             agreed.append(a[keep] * len(self.owner) + q[b[keep]])
-            start = stop
         if agreed:
             voted = _distinct(np.concatenate(agreed)) // len(self.owner)
-            found.append(owner[np.flatnonzero(np.bincount(voted) >= VOTES)])
-        return np.unique(np.concatenate(found))
+            found.append(some[owner[np.flatnonzero(np.bincount(voted) >= VOTES)]])
+        return np.divmod(pairs[np.unique(np.concatenate(found))], images)
+
+
+def fitted(asked: DataFrame) -> Keys:
+    """The keys for the queries with descriptors, fitted on about SAMPLE of their corners, which a digest of each picks."""
+    total = asked.agg(F.sum(F.length("bits"))).first()[0] or 0
+    share = min(1.0, SAMPLE * (BITS // 8) / max(1, total))
+    most = int(share * (1 << 64))
+
+    def run(batches):
+        for b in parts_of(batches, 1):
+            picked = []
+            for i, g, bits in zip(*(b.column(k).to_pylist() for k in range(3))):
+                for k in range(len(bits) * 8 // BITS):
+                    row = bits[k * BITS // 8 : (k + 1) * BITS // 8]
+                    if share == 1 or xxhash.xxh3_64_intdigest(g[16 * k : 16 * k + 16] + row, i & (1 << 63) - 1) < most:
+                        picked.append(row)
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(picked)], pa.binary())], ["bits"])
+
+    rows = asked.select("image_id", "geometry", "bits").mapInArrow(run, "bits binary")
+    return Keys(rows_of(b"".join(bytes(r[0]) for r in rows.toLocalIterator())), share)
 
 
 def blocks(asked: DataFrame, size: int | None = None):
@@ -346,8 +457,23 @@ def consensus(gq: np.ndarray, bq: np.ndarray, gi: np.ndarray, bi: np.ndarray) ->
 PAIRS = "query_id long, image_id long, members long, inliers long, dx double, dy double, scale double, angle double"
 
 
+def _some(images: list[tuple]):
+    """Parts of images (id, members, geometry, bits) with descriptors of about CORNERS corners."""
+    part, weight = [], 0
+    for row in images:
+        if row[3]:
+            part.append(row)
+            weight += len(row[3]) * 8 // BITS
+            if weight >= CORNERS:
+                yield part
+                part, weight = [], 0
+    if part:
+        yield part
+
+
 def _pairs(asked: DataFrame, index: DataFrame) -> DataFrame:
     out = None
+    keys = asked.sparkSession.sparkContext.broadcast(fitted(asked))
     for block in blocks(asked):
 
         def run(batches, block=block):
@@ -355,13 +481,16 @@ def _pairs(asked: DataFrame, index: DataFrame) -> DataFrame:
             names = [c.split()[0] for c in PAIRS.split(", ")]
             for b in parts_of(batches, 3):
                 rows = []
-                for i, members, g, bits in zip(*(b.column(k).to_pylist() for k in range(4))):
-                    gi, packed = np.frombuffer(g, "<f4").reshape(-1, 4), rows_of(bits)
-                    for k in block.value.candidates(gi, packed).tolist() if len(packed) else ():
+                for part in _some(list(zip(*(b.column(k).to_pylist() for k in range(4))))):
+                    geometry = [np.frombuffer(g, "<f4").reshape(-1, 4) for _, _, g, _ in part]
+                    packed = [rows_of(bits) for *_, bits in part]
+                    image = np.repeat(np.arange(len(part)), [len(p) for p in packed])
+                    found = block.value.candidates(keys.value, image, np.concatenate(geometry), np.concatenate(packed))
+                    for k, at in zip(*(x.tolist() for x in found)):
                         q, g_q, b_q = block.value.rows[k]
-                        got = consensus(np.frombuffer(g_q, "<f4").reshape(-1, 4), rows_of(b_q), gi, packed)
+                        got = consensus(np.frombuffer(g_q, "<f4").reshape(-1, 4), rows_of(b_q), geometry[at], packed[at])
                         if got[0] >= LEAST_INLIERS:
-                            rows.append((q, i, members, *got))
+                            rows.append((q, *part[at][:2], *got))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 8, kinds)], names)
 
         part = index.mapInArrow(run, PAIRS)

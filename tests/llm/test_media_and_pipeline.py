@@ -125,6 +125,47 @@ def test_every_row_has_its_class_and_blocks_give_the_same(spark, sf_dir, monkeyp
     assert pairs and pairs == sorted((r["query_id"], r["image_id"], r["inliers"]) for r in md.find_copies(queries, images).collect())
 
 
+def test_crowded_keys_take_on_bits_and_no_corner_is_dropped():
+    """What meets under a key stays about as much when the corners under one chunk become four times as many; equal corners stay together."""
+    rng = np.random.default_rng(8)
+    bits = rng.integers(0, 2, (20_000, md.BITS)).astype(np.uint8)
+    bits[:, : md.CHUNK] = 0  # one chunk is the same everywhere
+    met = []
+    for n in (5_000, 20_000):
+        packed = np.packbits(bits[:n], axis=1)
+        for keys in (md.Keys(packed), md.Keys(packed[: n // 2], 0.5)):
+            own = keys.of(packed).reshape(-1, md.TABLES)
+            counts = np.unique(own[:, 0], return_counts=True)[1]
+            met.append((counts**2).sum() / n)
+            assert own.shape == (n, md.TABLES) and counts.sum() == n and counts.max() <= 2 * md.CROWD
+            assert len(set(own[:, 0].tolist()) & set(own[:, 1].tolist())) == 0
+    assert max(met) <= 2 * md.CROWD
+    same = np.packbits(np.repeat(bits[:1], 300, 0), axis=1)
+    keys = md.Keys(same)
+    assert len(np.unique(keys.of(same))) == md.TABLES and len(keys.crowded) == md.LEVELS
+    rows = md.Queries([(k, np.zeros((1, 4), "<f4").tobytes(), bytes(b)) for k, b in enumerate(same)])
+    rows.prepare(keys)
+    assert rows.tables[2].tolist() == [300] * md.TABLES and len(rows.tables[3]) == 300 * md.TABLES
+
+
+@pytest.mark.parametrize("sample", [400_000, 1_000])
+def test_copies_are_found_by_long_keys_too_in_any_blocks(spark, sf_dir, monkeypatch, sample):
+    images = spark.createDataFrame(md.rendered(table(spark, sf_dir, "embeddings").orderBy("vec_id").limit(90)).collect(), md.IMAGES).cache()
+    queries = md.edited(images).cache()
+    f = lambda df: {r["image_id"]: (np.frombuffer(r["geometry"], "<f4").reshape(-1, 4), md.rows_of(r["bits"])) for r in md.descriptors(df).collect()}
+    index, asked = f(images), f(queries)
+    brute = {(k, k) for k, (g, b) in asked.items() if md.consensus(g, b, *index[k])[0] >= md.LEAST_INLIERS}
+    for name, value in (("CROWD", 2), ("SEEN", 2), ("SAMPLE", sample)):
+        monkeypatch.setattr(md, name, value)
+    keys = md.fitted(md.descriptors(queries))
+    assert len(keys.crowded) >= 3
+    found = []
+    for size in (400_000, 300):
+        monkeypatch.setattr(md, "BLOCK", size)
+        found.append(sorted((r["query_id"], r["image_id"], r["inliers"]) for r in md.find_copies(queries, images.repartition(3)).collect()))
+    assert found[0] == found[1] and len(brute & {x[:2] for x in found[0]}) >= 0.95 * len(brute) > 60
+
+
 def test_pipeline_stages_take_effect(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     before = {r["doc_id"] for r in docs.select("doc_id").collect()}
